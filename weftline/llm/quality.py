@@ -4,12 +4,14 @@ Each rule looks at a document's statistics and votes good (1), bad (0) or abstai
 expectation-maximisation over the table of vote patterns estimates how often each rule votes how for good and for bad
 documents, and a document is kept by its posterior probability of being good, not by passing every rule.
 
-Two passes read the texts and nothing is stored between them: the first counts vote patterns (at most ``3 ** len(RULES)``
-rows reach the driver, whatever the corpus), the second scores each row by itself.  No row moves through a shuffle.
+One pass reads the texts and writes the statistics and votes to the shared folder.  Vote patterns are counted from there (at
+most ``3 ** len(RULES)`` rows reach the driver, whatever the corpus), and each row is scored by itself: only the counts of
+patterns move through a shuffle.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from dataclasses import dataclass
 
@@ -18,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.common import written
+
 #: fixed value: the characters that count as symbols
 SYMBOLS = b"#*$%&|<>"
 _UPPER = bytes(range(65, 91))
@@ -26,7 +30,10 @@ _ENDS = (".", "!", "?", "…", '"', "”", ":", ";")
 MIN_WORDS = 50
 
 STATS = {"n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long"}
-_EXTRA = ("n_lines", "n_upper", "n_ascii_letters", "n_shouts", "n_ended", "n_distinct")
+_EXTRA = ("n_lines", "n_upper", "n_ascii_letters", "n_shouts", "n_ended", "n_distinct", "n_bytes", "n_letter_bytes", "n_plain", "n_top")
+#: a word of letters with one mark after it at most
+_PLAIN = re.compile(rb"(?<![^\x20\x09-\x0D])[A-Za-z\x80-\xFF'-]+[.,;:?!]?(?![^\x20\x09-\x0D])")
+_WORDLIKE = _LETTERS + bytes(range(128, 256))
 
 
 def _count(raw: bytes, of: bytes) -> int:
@@ -44,16 +51,16 @@ def text_stats(text: str | None) -> tuple[int, ...]:
     n, repeated = len(words), 0
     if n > 3:
         triples = list(zip(words, words[1:], words[2:]))
-        seen = Counter(triples)
-        if len(seen) < len(triples):
-            end = 0  # first word not counted yet
+        if len(set(triples)) < len(triples):
+            seen, end = Counter(triples), 0  # first word not counted yet
             for i, t in enumerate(triples):
                 if seen[t] > 1:
                     repeated += i + 3 - max(i, end)
                     end = i + 3
     return (
         n, len(text) - spaces, _count(raw, SYMBOLS), len(lines) - len(set(lines)), repeated,
-        len(lines), _count(raw, _UPPER), _count(raw, _LETTERS), _count(raw, b"!"), sum(x.rstrip().endswith(_END_BYTES) for x in lines), len(set(words)),
+        len(lines), _count(raw, _UPPER), _count(raw, _LETTERS), _count(raw, b"!"), sum(x.rstrip().endswith(_END_BYTES) for x in lines), len(once := Counter(words)),
+        len(raw) - spaces, _count(raw, _WORDLIKE), len(_PLAIN.findall(raw)), max(once.values(), default=0),
     )
 
 
@@ -72,21 +79,28 @@ class Rule:
 INF = float("inf")
 RULES = (
     Rule("symbols", (-INF, 0.02), (-INF, 0.1)),
-    Rule("repetition", (-INF, 0.1), (-INF, 0.3)),
-    Rule("duplicate_lines", (-INF, 0.05), (-INF, 0.3)),
+    Rule("letters", (0.93, INF), (0.8, INF)),
+    Rule("plain_words", (0.9, INF), (0.7, INF)),
     Rule("word_length", (3.2, 9.0), (2.5, 12.0)),
     Rule("upper_case", (-INF, 0.2), (-INF, 0.4)),
     Rule("shouting", (-INF, 0.03), (-INF, 0.15)),
-    Rule("ended_lines", (0.6, INF), (0.2, INF)),
+    Rule("repetition", (-INF, 0.1), (-INF, 0.3)),
+    Rule("duplicate_lines", (-INF, 0.05), (-INF, 0.3)),
     Rule("variety", (0.3, INF), (0.12, INF)),
+    Rule("top_word", (-INF, 0.15), (-INF, 0.25)),
+    Rule("ended_lines", (0.6, INF), (0.2, INF)),
 )
 
 
 def ratios(stats: np.ndarray) -> np.ndarray:
     """(documents, rules); nan where a rule has nothing to judge."""
-    n, chars, sym, dup, rep, lines, upper, letters, shouts, ended, distinct = stats.T.astype(float)
+    n, chars, sym, dup, rep, lines, upper, letters, shouts, ended, distinct, size, wordlike, plain, top = stats.T.astype(float)
     with np.errstate(divide="ignore", invalid="ignore"):
-        out = [sym / n, rep / n, np.where(lines >= 3, dup / lines, np.nan), chars / n, np.where(letters >= 20, upper / letters, np.nan), shouts / n, np.where(lines >= 2, ended / lines, np.nan), np.where(n >= 20, distinct / np.sqrt(n * 100.0), np.nan)]
+        out = [
+            sym / n, wordlike / size, plain / n, chars / n, np.where(letters >= 20, upper / letters, np.nan), shouts / n,
+            rep / n, np.where(lines >= 3, dup / lines, np.nan), np.where(n >= 20, distinct / np.sqrt(n * 100.0), np.nan),
+            np.where(n >= 20, top / n, np.nan), np.where(lines >= 2, ended / lines, np.nan),
+        ]
     return np.stack([np.where(n > 0, x, np.nan) for x in out], axis=1)
 
 
@@ -117,12 +131,13 @@ class LabelModel:
 def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> LabelModel:
     """Expectation-maximisation over distinct vote patterns.
 
-    Starts from every rule being right in 4 of 5 votes and 4 of 5 documents being good.  A rule is never taken to be worse
-    than chance (its good votes count for good documents), which keeps the two classes from changing places.  No patterns:
-    the starting model."""
-    k = len(RULES)
-    like = np.tile(np.array([[1 / 3, 0.53, 0.14], [1 / 3, 0.13, 0.54]])[:, None, :], (1, k, 1))  # (class, rule, vote + 1)
-    prior, weight = 0.8, counts.astype(float)
+    The prior belief about a rule, worth a tenth of all documents: a good document seldom gets its bad vote, a bad one gets
+    it in two of five cases (a rule sees some kinds of bad documents only).  A rule is never taken to be worse than chance
+    (its good votes do not count against a document), which keeps the two classes from changing places.  No patterns: the
+    model is the prior belief."""
+    k, weight = len(RULES), counts.astype(float)
+    belief = np.tile(np.array([[0.1, 0.4, 0.5], [0.13, 0.02, 0.85]])[:, None, :], (1, k, 1))  # (class, rule, vote + 1)
+    prior, like = 0.9, belief
 
     def ratio():
         w = np.log(like[1]) - np.log(like[0])
@@ -136,7 +151,7 @@ def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> LabelMod
     for _ in range(rounds):
         good = LabelModel(prior, ratio()).posterior(patterns)
         mass = np.stack([(1 - good) * weight, good * weight])
-        like = np.einsum("cp,prv->crv", mass, onehot) + 1.0  # one document of each kind besides those seen
+        like = np.einsum("cp,prv->crv", mass, onehot) + belief * (1 + 0.1 * weight.sum())
         like /= like.sum(axis=2, keepdims=True)
         new = float(np.clip(mass[1].sum() / weight.sum(), 0.02, 0.98))
         if abs(new - prior) < 1e-9:
@@ -149,38 +164,31 @@ def _stats_of(column: pa.Array) -> np.ndarray:
     return np.array([text_stats(t) for t in column.to_pylist()], dtype=np.int64).reshape(-1, len(STATS) + len(_EXTRA))
 
 
-def fit_corpus(docs: DataFrame, text: str = "text") -> LabelModel:
-    """The label model of all rows of ``docs``, those that fail the base limits left out."""
-
-    def count(batches):
-        seen: Counter = Counter()
-        for b in batches:
-            s = _stats_of(b.column(0))
-            seen.update(map(bytes, (votes(s[~base_failed(s)]) + 1).astype(np.uint8)))
-        yield pa.RecordBatch.from_pydict({"pattern": pa.array(list(seen), pa.binary()), "n": pa.array(list(seen.values()), pa.int64())})
-
-    rows = docs.select(text).mapInArrow(count, "pattern binary, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").collect()
-    patterns = np.array([list(r.pattern) for r in rows], dtype=np.int8).reshape(-1, len(RULES)) - 1
-    return fit(patterns, np.array([r.n for r in rows], dtype=float))
-
-
 def judge(docs: DataFrame, keep_columns: list[str] | None = None, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """``keep_columns`` (all, if not given) with the statistics, ``base_failed``, ``quality`` (posterior) and ``kept``.
 
-    Null and empty texts have no words: they fail the base limits and are not kept.  Repeated rows are judged each by
-    itself, alike.  Columns of the same names as the results are replaced.  An empty table gives no rows."""
-    model = fit_corpus(docs, text)
+    Null and empty texts have no words: they fail the base limits and are not kept.  Documents that fail the base limits take
+    no part in the fit.  Repeated rows are judged each by itself, alike.  Columns of the same names as the results are
+    replaced.  An empty table gives no rows."""
     made = [*STATS, "base_failed", "quality", "kept"]
-    kept = [c for c in (keep_columns or docs.columns) if c not in made]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept), *(f"{k} {v}" for k, v in STATS.items()), "base_failed boolean, quality double, kept boolean"])
-    order = [f.name for f in docs.schema if f.name in kept]
+    order = [f for f in docs.schema if f.name in (keep_columns or docs.columns) and f.name not in [*made, "__votes"]]
+    names = [f.name for f in order]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in order), *(f"{k} {v}" for k, v in STATS.items()), "base_failed boolean, __votes binary"])
 
-    def score(batches):
+    def measure(batches):
         for b in batches:
-            s = _stats_of(b.column(b.num_columns - 1))
-            failed, p = base_failed(s), model.posterior(votes(s))
-            columns = [b.column(i) for i in range(b.num_columns - 1)]
-            columns += [pa.array(s[:, i]) for i in range(len(STATS))] + [pa.array(failed), pa.array(p), pa.array(~failed & (p >= threshold))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*order, *made])
-
-    return docs.select(*order, F.col(text).alias("__text")).mapInArrow(score, schema)
+            s = _stats_of(b.column(len(names)))
+            ballots = pa.array([bytes(x) for x in (votes(s) + 1).astype(np.uint8)], pa.binary())
+            columns = [b.column(i) for i in range(len(names))] + [pa.array(s[:, i]) for i in range(len(STATS))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(base_failed(s)), ballots], names=[*names, *STATS, "base_failed", "__votes"])
+
+    measured = written(docs.select(*names, F.col(text).alias("__text")).mapInArrow(measure, schema), "quality")
+    rows = measured.where(~F.col("base_failed")).groupBy("__votes").agg(F.count(F.lit(1)).alias("n")).collect()
+    patterns = np.array([list(r["__votes"]) for r in sorted(rows)], dtype=np.int8).reshape(-1, len(RULES)) - 1
+    model = fit(patterns, np.array([r.n for r in sorted(rows)], dtype=float))
+    vote = [F.conv(F.hex(F.substring("__votes", i + 1, 1)), 16, 10).cast("int") for i in range(len(RULES))]
+    odds = F.lit(float(np.log(model.prior / (1 - model.prior))))
+    for v, w in zip(vote, model.weight):
+        odds = odds + F.when(v == 2, float(w[2])).when(v == 1, float(w[1])).otherwise(float(w[0]))
+    posterior = 1 / (1 + F.exp(-odds))
+    return measured.withColumn("quality", posterior).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold)).select(*names, *made)
