@@ -4,8 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftline.llm import langid, quality, sharding
-from weftline.llm.common import table, training_row
+from weftline.llm import langid, quality, sharding, simhash, toxicity
+from weftline.llm.common import table, training_row, written
+
+
+def op3_simhash_near_dedup(spark, sf_dir):
+    prints = written(simhash.fingerprints(table(spark, sf_dir, "documents"), ["doc_id"]), "prints")
+    return simhash.cluster(prints).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op4_language_id(spark, sf_dir):
@@ -18,6 +23,12 @@ def op5_sharding(spark, sf_dir):
     return sharding.place(table(spark, sf_dir, "documents").select("doc_id"))
 
 
+def op7_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), training_row())
+    return toxicity.predict(docs, model, ["doc_id"]).select("doc_id", (~training_row()).alias("held_out"), "score", "predicted")
+
+
 def op9_quality_rules(spark, sf_dir):
     judged = quality.judge(table(spark, sf_dir, "documents"), ["doc_id"])
     return judged.select("doc_id", *quality.STATS, "base_failed", "kept", F.round("quality", 6).alias("quality"))
