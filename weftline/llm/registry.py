@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftline.llm import langid, quality, sharding, simhash, toxicity
+from weftline.llm import decontamination, langid, packing, quality, sharding, simhash, toxicity
 from weftline.llm.common import table, training_row, written
 
 
@@ -29,11 +29,23 @@ def op7_toxicity(spark, sf_dir):
     return toxicity.predict(docs, model, ["doc_id"]).select("doc_id", (~training_row()).alias("held_out"), "score", "predicted")
 
 
+def op8_best_fit_packing(spark, sf_dir):
+    import public_tokenizers
+
+    packed = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), ["doc_id"])
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op9_quality_rules(spark, sf_dir):
     judged = quality.judge(table(spark, sf_dir, "documents"), ["doc_id"])
     return judged.select("doc_id", *quality.STATS, "base_failed", "kept", F.round("quality", 6).alias("quality"))
 
 
+def op10_decontamination(spark, sf_dir):
+    measured = decontamination.measure(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return measured.select("doc_id", F.col("__n").alias("n_words"), "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def queries():
     import corpus_pipeline
 
@@ -41,5 +53,23 @@ def queries():
     return {**found, "pipeline": corpus_pipeline.run}
 
 
+_OP10_SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, least(13, len(w)) AS n, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') AS g
+        FROM (SELECT item_id, w, unnest(generate_series(1, greatest(1, len(w) - 12))) AS i FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM win),
+dw AS (SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS g
+       FROM (SELECT r, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM d, sizes WHERE len(w) >= n)),
+hit AS (SELECT DISTINCT r, dw.n, i, item_id FROM dw JOIN win ON dw.n = win.n AND dw.g = win.g),
+n_hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(generate_series(i, i + n - 1)) AS p FROM hit) GROUP BY r),
+items AS (SELECT r, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256
+          FROM (SELECT DISTINCT r, item_id::VARCHAR AS item FROM hit) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN n_hit USING (r) LEFT JOIN items USING (r)
+"""
+
+
 def oracle_sql():
-    return {}
+    return {"op10_decontamination": _OP10_SQL}
