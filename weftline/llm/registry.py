@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftline.llm import decontamination, langid, packing, quality, sharding, simhash, toxicity
+from weftline.llm import decontamination, langid, packing, quality, repeats, sharding, simhash, toxicity
 from weftline.llm.common import table, training_row, written
 
 
@@ -23,6 +23,10 @@ def op5_sharding(spark, sf_dir):
     return sharding.place(table(spark, sf_dir, "documents").select("doc_id"))
 
 
+def op6_suffix_array_dedup(spark, sf_dir):
+    return repeats.strip(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op7_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), training_row())
