@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftline.llm import decontamination, langid, packing, quality, repeats, sharding, simhash, toxicity
+from weftline.llm import decontamination, langid, packing, quality, repeats, sharding, simhash, toxicity, wrappers
 from weftline.llm.common import table, training_row, written
 
 
+def op2_html_extraction(spark, sf_dir):
+    return wrappers.main_text(table(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
 def op3_simhash_near_dedup(spark, sf_dir):
     prints = written(simhash.fingerprints(table(spark, sf_dir, "documents"), ["doc_id"]), "prints")
     return simhash.cluster(prints).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
