@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftline.llm import decontamination, langid, packing, quality, repeats, sharding, simhash, toxicity, wrappers
+from weftline.llm import decontamination, langid, lines, packing, quality, repeats, sharding, simhash, toxicity, wrappers
 from weftline.llm.common import table, training_row, written
 
 
+def op1_line_dedup(spark, sf_dir):
+    kept = lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def op2_html_extraction(spark, sf_dir):
     return wrappers.main_text(table(spark, sf_dir, "pages"), ["page_id", "url"])
 
