@@ -1,15 +1,526 @@
-"""The registered queries and their SQL twins."""
+"""The registered queries, by the operators that they apply.  Each reads its whole tables."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from weftline.config import FEATURES, ClusterConfig
+from weftline.functions import scalars as S
+from weftline.functions import texts as T
+from weftline.functions import vectors as V
+from weftline.operators import evaluate as E
+from weftline.operators import features as X
+from weftline.operators import pool as P
+from weftline.operators import training as TR
+from weftline.plans import oracles
+from weftline.sources import encode, linking
+from weftline.sources import fixtures as FX
+from weftline.sources.models import PolynomialModel, load_merge, load_rank
+from weftline.streaming import run as R
+from weftline.streaming import store
 
-def queries():
-    return {}
+CFG = ClusterConfig()
+#: a small polynomial model, for the query that shows the scorer
+POLYNOMIAL = PolynomialModel(2.0, 0.5, 1.0, 0.25, tuple((c, tuple(v)) for c, v in ((0.75, (1, 0.5, 0, 0.25, 0, 1, 0.5, 0, 1, 0, 0, 0)), (-0.5, (0.5, 1, 0.25, 0, 0, 0, 1, 0.5, 0, 0, 0, 0)))))
 
 
-def oracle_sql():
-    return {}
+def r6(c) -> F.Column:
+    return F.round(c, 6)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return f"{found or tempfile.mkdtemp(prefix='weftline-')}/{uuid.uuid4().hex}"
+
+
+# -- pieces that several queries share
+
+
+def _pool(spark, d):
+    return FX.label_pool(FX.vec_stream(spark, d))
+
+
+def _scored(spark, d):
+    stream = FX.vec_stream(spark, d)
+    docs = stream.withColumnRenamed("vec_id", "doc").drop("ts")
+    pool = FX.label_pool(stream).drop("newest", "oldest", "languages")
+    out = X.score_pool(docs, pool, load_rank(CFG.rank_model), CFG)
+    return out.select(F.col("d_doc").alias("doc"), F.col("c_cid").alias("cid"), F.col("d_gold").alias("gold"), F.col("d_lang").alias("lang"), *FEATURES, "rank")
+
+
+def _best(spark, d):
+    return P.best_cluster(_scored(spark, d))
+
+
+def _next(spark, d):
+    """Each vector beside that of the next id."""
+    v = FX.vec_stream(spark, d).select("vec_id", F.col("main").alias("a"))
+    return v.join(v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("b")), "vec_id")
+
+
+def _pairs(spark, d, **how):
+    return P.scored_pairs(_pool(spark, d).drop("newest", "oldest", "languages"), load_merge(CFG.merge_model), CFG, **how)
+
+
+def _rounded(df, *columns):
+    return df.select(*(r6(c).alias(c) if t == "double" else F.col(c) for c, t in df.select(*columns).dtypes))
+
+
+# -- the flagship
+
+
+def flagship(spark, d):
+    """STA-01..11: the update log of the online clustering of the document stream, one module."""
+    return cluster_online_batch(spark, d)
+
+
+def flagship_fixed_pool_assign(spark, d):
+    """AGG-01/02, FEA-01/03/05, SCO-01, STA-04, FLT-02: the best cluster of a fixed pool and whether it is accepted."""
+    out = P.accepted(_best(spark, d), load_merge(CFG.merge_model), CFG.merge_threshold)
+    return _rounded(out, "doc", "cid", "rank", "merge_score", "accepted")
+
+
+# -- projections, filters, text
+
+
+def prj_payload(spark, d):
+    """PRJ-01, FN-10, API payloads: the internal record of each document."""
+    s = FX.doc_stream(spark, d)
+    return s.select(F.col("id").cast("string").alias("id"), "group_id", F.concat_ws("_", F.col("id").cast("string"), "group_id").alias("unique_id"), F.col("source").alias("source_feed_name"), F.col("lang").alias("language"), "body", "title", F.col("ts").alias("timestamp"), F.col("ts").alias("update_timestamp"), F.md5(F.col("body").cast("binary")).alias("forced_label"))
+
+
+def flt_nonempty(spark, d):
+    """FLT-01: documents with a body or a title."""
+    return FX.doc_stream(spark, d).where(~((F.col("body") == "") & (F.col("title") == ""))).select("id", F.length("body").cast("long").alias("n_chars"))
+
+
+def flt_deviation_step(spark, d):
+    """FLT-05, WIN-01: every tenth document of the stream goes without its gold label."""
+    s = FX.with_seq(FX.doc_stream(spark, d))
+    return s.select("id", "seq", ((F.col("seq") - 1) % CFG.deviation_step == 0).alias("skips_gold"))
+
+
+def flt_language_list(spark, d):
+    """FLT-07, FLT-06 (JON-05): documents of the allowed languages that were labelled."""
+    labelled = FX.read(spark, d, "labels").select(F.col("doc_id").alias("id"))
+    return FX.doc_stream(spark, d).where(F.col("lang").isin("en", "de", "es")).join(labelled, "id", "left_semi").select("id", "lang", "group_id")
+
+
+def txt_paragraphs(spark, d):
+    """TXT-01."""
+    s = FX.doc_stream(spark, d).select("id", T.paragraphs(F.col("body")).alias("p"))
+    return s.select("id", F.posexplode("p").alias("i", "paragraph")).select("id", F.col("i").cast("long").alias("i"), "paragraph")
+
+
+def txt_sentences(spark, d):
+    """TXT-02."""
+    p = FX.doc_stream(spark, d).select("id", F.posexplode(T.paragraphs(F.col("body"))).alias("i", "p"))
+    return p.select("id", F.col("i").cast("long").alias("i"), F.posexplode(T.sentences(F.col("p"))).alias("k", "sentence")).select("id", "i", F.col("k").cast("long").alias("k"), "sentence")
+
+
+def txt_title_first_paragraph(spark, d):
+    """TXT-03."""
+    s = FX.doc_stream(spark, d).select("id", T.title_first_paragraph(F.col("title"), T.paragraphs(F.col("body"))).alias("p"))
+    return s.select("id", F.get("p", F.lit(0)).alias("title_paragraph"), F.size("p").cast("long").alias("parts"))
+
+
+def txt_html_paragraphs(spark, d):
+    """TXT-06, regular expression form."""
+    p = FX.read(spark, d, "pages").select("page_id", T.html_paragraphs(F.coalesce("html", F.lit(""))).alias("p"))
+    return p.select("page_id", F.posexplode("p").alias("i", "paragraph")).select("page_id", F.col("i").cast("long").alias("i"), "paragraph")
+
+
+def enc_hash_vectors(spark, d):
+    """SRC-04 by the hashing encoder: the vector of each whole text, in rows."""
+    return encode.hashed_cells(FX.doc_stream(spark, d), "id", F.col("body")).select("id", F.col("bucket").cast("long").alias("bucket"), F.col("weight").cast("long").alias("weight"))
+
+
+def enc_main_repr(spark, d):
+    """TXT-04, VEC-08: mean of title and first paragraph with the further paragraphs, in rows."""
+    s = FX.doc_stream(spark, d).select("id", T.title_first_paragraph(F.col("title"), T.paragraphs(F.col("body"))).alias("p"))
+    parts = s.select("id", F.when(F.size("p") > 2, F.concat(F.slice("p", 1, 1), F.slice("p", 3, 100))).otherwise(F.slice("p", 1, 1)).alias("p"))
+    rows = parts.select("id", F.size("p").alias("parts"), F.posexplode("p").alias("i", "t")).withColumn("key", F.struct("id", "i", "parts"))
+    cells = encode.hashed_cells(rows, "key", F.col("t"))
+    return cells.groupBy(F.col("key.id").alias("id"), F.col("bucket").cast("long").alias("bucket")).agg(r6(F.sum("weight") / F.max("key.parts")).alias("weight"))
+
+
+# -- vectors
+
+
+def vec_add(spark, d):
+    """VEC-01."""
+    return _next(spark, d).select("vec_id", F.transform(V.add(F.col("a"), F.col("b")), r6).alias("v"))
+
+
+def vec_subtract(spark, d):
+    """VEC-02."""
+    return _next(spark, d).select("vec_id", F.transform(V.subtract(F.col("a"), F.col("b")), r6).alias("v"))
+
+
+def vec_dot(spark, d):
+    """VEC-03, VEC-06."""
+    return _next(spark, d).select("vec_id", r6(V.dot(F.col("a"), F.col("b"))).alias("dot"))
+
+
+def vec_sq_norm(spark, d):
+    """VEC-04."""
+    return FX.vec_stream(spark, d).select("vec_id", r6(V.squared_norm(F.col("main"))).alias("sq_norm"))
+
+
+def vec_cosine(spark, d):
+    """VEC-05, VEC-07; a zero vector beside each, too."""
+    zero = F.transform("a", lambda x: x * 0)
+    return _next(spark, d).select("vec_id", r6(V.cosine(F.col("a"), F.col("b"))).alias("cos"), r6(V.shifted_cosine(F.col("a"), F.col("b"))).alias("shifted"), r6(V.shifted_cosine(F.col("a"), zero)).alias("against_zero"))
+
+
+def vec_mean(spark, d):
+    """VEC-08: the mean of each document's three vectors."""
+    return FX.vec_stream(spark, d).select("vec_id", F.transform(V.mean(F.array("main", "par", "tp")), r6).alias("v"))
+
+
+# -- aggregates
+
+
+def agg_centroid(spark, d):
+    """VEC-09, AGG-02."""
+    return V.vector_sum(FX.vec_stream(spark, d), ["gold"], ["main"]).select("gold", F.transform("main", r6).alias("centroid"))
+
+
+def agg_cluster_stats(spark, d):
+    """AGG-01, AGG-03, STA-06 in batch form, FEA-05."""
+    return _rounded(FX.cluster_stats(FX.vec_stream(spark, d), "gold"), "gold", "n", "sum_h", "sq_h", "newest", "oldest", "stamp_h")
+
+
+def agg_languages(spark, d):
+    """AGG-03, STA-16."""
+    return FX.cluster_stats(FX.vec_stream(spark, d), "gold").select("gold", F.concat_ws(",", "languages").alias("languages"))
+
+
+def agg_label_histogram(spark, d):
+    """AGG-04, STA-16: labels of each language's cluster."""
+    return FX.vec_stream(spark, d).groupBy("lang", "gold").agg(F.count(F.lit(1)).alias("n"))
+
+
+def agg_count_where(spark, d):
+    """AGG-09: counts with a predicate, and maxima, by cluster."""
+    return _rounded(FX.vec_stream(spark, d).groupBy("gold").agg(F.count_if(F.col("lang") == "en").alias("english"), F.max("h").alias("last_h")), "gold", "english", "last_h")
+
+
+def agg_toppling(spark, d):
+    """AGG-11: running counts of cart events (+1) and purchases (-1)."""
+    e = FX.read(spark, d, "events").select(F.col("event_id").alias("seq"), F.when(F.col("event_id") % 3 == 0, 1).when(F.col("event_id") % 3 == 1, -1).otherwise(0).alias("sign"))
+    return E.toppling(e)
+
+
+# -- functions
+
+
+def fn_gaussian_decay(spark, d):
+    """FN-01, FN-02, FEA-03: decay of each event against the last one of its user."""
+    e = FX.read(spark, d, "events")
+    last = e.groupBy("user_id").agg(F.max("ts").alias("last"))
+    out = e.join(last, "user_id").select("event_id", S.day_difference(F.col("last"), F.col("ts")).alias("days"))
+    return _rounded(out.withColumn("decay", S.gaussian(F.col("days"))), "event_id", "days", "decay")
+
+
+def fn_relevance_stamp(spark, d):
+    """FN-03, FN-04, FEA-05: by user over all events."""
+    e = FX.read(spark, d, "events").withColumn("h", S.hours(F.col("ts")))
+    agg = e.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.sum("h").alias("s"), F.sum(F.col("h") * F.col("h")).alias("q"))
+    return agg.select("user_id", F.round(S.relevance_stamp(F.col("n"), F.col("s"), F.col("q")), 4).alias("stamp_h"))
+
+
+def fn_size_bin(spark, d):
+    """FN-05: by users' numbers of events."""
+    return FX.read(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).select("user_id", "n", r6(S.size_bin(F.col("n"))).alias("bin"))
+
+
+def fn_relevance_score(spark, d):
+    """STA-06: what the n-th event of a user would count for, and FN-07: their mean."""
+    e = FX.read(spark, d, "events").withColumn("nth", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
+    return e.groupBy("user_id").agg(r6(F.avg(S.relevance_score(F.col("nth"), F.col("value")))).alias("mean_relevance"))
+
+
+def fn_logistic(spark, d):
+    """FN-08: a linear model's margin as a probability."""
+    m = load_merge(CFG.merge_model)
+    return _best(spark, d).select("doc", r6(S.logistic(X.linear_score(m) - m.bias, m.bias)).alias("p"))
+
+
+def fn_pair_counts(spark, d):
+    """FN-09: pairs of events of one type for each user, exact."""
+    return FX.read(spark, d, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n")).groupBy("user_id").agg(F.sum(S.pairs(F.col("n"))).alias("pairs"))
+
+
+def fn_short_number(spark, d):
+    """FN-11."""
+    return FX.read(spark, d, "events").select("event_id", S.short_number(F.round("value", 3)).alias("text"))
+
+
+# -- ranking
+
+
+def rank_all(spark, d):
+    """FEA-01, FEA-06, FEA-07, SCO-01, JON-01."""
+    return _rounded(_scored(spark, d), "doc", "cid", *FEATURES, "rank")
+
+
+def rank_top50(spark, d):
+    """SRT-02, WIN-02: each document's first five clusters, and each cluster's fifty best documents."""
+    s = _scored(spark, d).withColumn("q", F.round("rank", 9))
+    by_doc = F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("q"), "cid"))
+    by_cid = F.row_number().over(Window.partitionBy("cid").orderBy(F.desc("q"), "doc"))
+    return s.select("doc", "cid", by_doc.alias("in_doc"), by_cid.alias("in_cluster")).where("in_doc <= 5 OR in_cluster <= 50").select("doc", "cid", F.col("in_doc").cast("long").alias("in_doc"), F.col("in_cluster").cast("long").alias("in_cluster"))
+
+
+def rank_best(spark, d):
+    """STA-04, AGG-10."""
+    return _rounded(_best(spark, d), "doc", "cid", "rank", "embedding_all")
+
+
+def merge_accept(spark, d):
+    """FLT-02 against both thresholds: the merge model's, and the rank's where there is none."""
+    m = load_merge(CFG.merge_model)
+    return P.accepted(_best(spark, d), m).select("doc", "accepted", (F.col("rank") > 16.5).alias("by_rank"))
+
+
+def first_k_flag(spark, d):
+    """STA-03, WIN-01: documents that open a cluster whatever their rank, one module for each language (STA-17)."""
+    return FX.with_seq(FX.doc_stream(spark, d), "lang").select("id", "lang", "seq", (F.col("seq") <= CFG.k_first).alias("opens"))
+
+
+def score_polynomial(spark, d):
+    """SCO-02."""
+    return _scored(spark, d).select("doc", "cid", F.round(X.polynomial_score(POLYNOMIAL), 5).alias("score"))
+
+
+# -- clusters against clusters
+
+
+def pair_features(spark, d):
+    """FEA-02, FEA-04, JON-02."""
+    return _rounded(_pairs(spark, d), "s_cid", "t_cid", *FEATURES)
+
+
+def pair_join_decision(spark, d):
+    """STA-10 pair part, FLT-03, FLT-04: the merge model orders candidates, the join model decides on them."""
+    p = _pairs(spark, d, densities=True).withColumn("join_score", X.linear_score(load_merge(CFG.join_model)))
+    plain = X.linear_score(load_merge(CFG.merge_model))
+    return _rounded(p.withColumn("merge_score", plain).withColumn("joins", F.col("join_score") > CFG.join_threshold), "s_cid", "t_cid", "merge_score", "join_score", "joins")
+
+
+def nearest_clusters(spark, d):
+    """STA-14, API-02, SRT-01: all clusters by their score to cluster 0."""
+    out = P.nearest(_pool(spark, d).drop("newest", "oldest", "languages"), 0, load_rank(CFG.rank_model))
+    return _rounded(out, "s_cid", "t_cid", "score")
+
+
+def triangular_pairs(spark, d):
+    """JON-03, STA-12 pair part."""
+    return _rounded(_pairs(spark, d, triangular=True), "s_cid", "t_cid", "score")
+
+
+def join_cluster_merge(spark, d):
+    """STA-11, SET-02."""
+    out = P.joined(_pool(spark, d), F.col("cid") % 5)
+    return out.select("target", "n", r6("sum_h").alias("sum_h"), "newest", "oldest", r6("stamp_h").alias("stamp_h"), F.concat_ws(",", "languages").alias("languages"), F.transform("main", r6).alias("main"))
+
+
+def evict_candidate(spark, d):
+    """STA-08: the cluster of least relevance stamp."""
+    return _pool(spark, d).agg(F.min_by("cid", F.struct(F.round("stamp_h", 9), "cid")).alias("cid"), r6(F.min("stamp_h")).alias("stamp_h"))
+
+
+def changelog_compaction(spark, d):
+    """STA-13."""
+    e = FX.read(spark, d, "events")
+    op = F.when(F.col("event_id") % 3 == 0, "Add").when(F.col("event_id") % 3 == 1, "Update").otherwise("Remove")
+    return store.compact(e.select("user_id", F.col("event_id").alias("o"), op.alias("op")), "user_id", "o")
+
+
+# -- evaluation
+
+
+def _labelled(spark, d):
+    return _best(spark, d).select("doc", "lang", "gold", F.col("cid").alias("pred"))
+
+
+def eval_cooccurrence(spark, d):
+    """AGG-05, AGG-06: the contingency table with its sums."""
+    c = E.cooccurrence(_labelled(spark, d))
+    return c.cube("gold", "pred").agg(F.sum("n").alias("n"), F.grouping("gold").cast("long").alias("all_gold"), F.grouping("pred").cast("long").alias("all_pred"))
+
+
+def eval_pair_f1(spark, d):
+    """EVL-04, EVL-05."""
+    s = E.pair_scores(_labelled(spark, d))
+    return _rounded(s, "tp", "fp", "fn", "tn", "n_clu", "acc", "p", "r", "f1")
+
+
+def eval_pair_f1_by_lang(spark, d):
+    """EVL-03, FLT-06, JON-04."""
+    s = E.pair_scores(_labelled(spark, d), ["lang"])
+    return _rounded(s, "lang", "tp", "fp", "fn", "tn", "n_clu", "acc", "p", "r", "f1")
+
+
+def _links(spark, d):
+    """Links of each document with the next ten: positive where gold labels agree."""
+    v = FX.vec_stream(spark, d).select("vec_id", "gold")
+    steps = v.select("vec_id", "gold", F.explode(F.array([F.lit(k) for k in range(1, 11)])).alias("k")).select("vec_id", "gold", (F.col("vec_id") + F.col("k")).alias("o"))
+    one = steps.join(v.select(F.col("vec_id").alias("o"), F.col("gold").alias("og")), "o").select(F.col("vec_id").alias("doc_a"), F.col("o").alias("doc_b"), (F.col("gold") == F.col("og")).alias("positive"))
+    return one.unionByName(one.select(F.col("doc_b").alias("doc_a"), F.col("doc_a").alias("doc_b"), "positive"))
+
+
+def eval_cross_pairs(spark, d):
+    """EVL-06, SET-01."""
+    assigned = _best(spark, d).select(F.col("doc").alias("doc_id"), F.col("cid").alias("cluster_id"))
+    return _rounded(E.cross_pairs_scores(assigned, _links(spark, d)), "tp", "fp", "fn", "tn", "n_clu", "acc", "p", "r", "f1")
+
+
+def eval_gold_position(spark, d):
+    """EVL-08, SRT-05: the gold cluster's place among each document's ranked clusters, from 0."""
+    return TR.ranked(_scored(spark, d)).where("label = 1").select("doc", (F.col("place") - 1).cast("long").alias("position"))
+
+
+def eval_recall_at_k(spark, d):
+    """EVL-07, without the reference's own misses counted as hits."""
+    return _rounded(E.recall_at(eval_gold_position(spark, d)), "k", "recall")
+
+
+def eval_local_f1_separate(spark, d):
+    """EVL-09, EVL-10: clusters 0 to 2, apart."""
+    return _rounded(E.local_f1(_labelled(spark, d), [0, 1, 2]), "tp", "fp", "fn", "p", "r", "f1")
+
+
+def eval_local_f1_joined(spark, d):
+    """EVL-11: clusters 0 to 2, as if joined."""
+    return _rounded(E.local_f1(_labelled(spark, d), [0, 1, 2], joined=True), "tp", "fp", "fn", "p", "r", "f1")
+
+
+def eval_density_histogram(spark, d):
+    """AGG-08, SNK-08: sizes of users' groups of events."""
+    return E.density_histogram(FX.read(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n")))
+
+
+def eval_clusters_over_time(spark, d):
+    """AGG-07, SNK-08."""
+    v = FX.with_seq(FX.vec_stream(spark, d).withColumnRenamed("vec_id", "id"))
+    return E.clusters_over_time(v, cluster="gold")
+
+
+def eval_replay_assignments(spark, d):
+    """EVL-01, EVL-02, SET-03: events as an update log; the type stands for the cluster, every fifth row removes."""
+    e = FX.read(spark, d, "events")
+    log = e.select(F.lit("multi").alias("module"), F.col("user_id").alias("document_id"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 5 == 0, "remove").otherwise("add").alias("op"), F.col("event_type").alias("cluster_id"))
+    return R.assignments(log).select("document_id", "cluster_id")
+
+
+# -- training lines and links
+
+
+def train_rank_lines(spark, d):
+    """TRN-01, TRN-02."""
+    return TR.rank_lines(_six(spark, d))
+
+
+def _six(spark, d):
+    """Scored rows with features rounded as written, so that the last digit does not hang on the order of a sum."""
+    s = _scored(spark, d)
+    return s.select(*(F.round(c, 4).alias(c) if c in FEATURES else F.col(c) for c in s.columns))
+
+
+def train_merge_lines(spark, d):
+    """TRN-03, TRN-04."""
+    return TR.merge_lines(_six(spark, d))
+
+
+def train_merge_neg_lines(spark, d):
+    """TRN-04 with the second line."""
+    return TR.merge_lines(_six(spark, d), negatives=True)
+
+
+def train_join_lines(spark, d):
+    """TRN-06, TRN-07: pairs of neighbours in the pool's order are taken as those that belong together."""
+    p = _pairs(spark, d, densities=True)
+    p = p.select(*(F.round(c, 4).alias(c) if c in FEATURES else F.col(c) for c in ("s_cid", "t_cid", *FEATURES)))
+    return TR.join_lines(p, F.floor(F.col("s_cid") / 2) == F.floor(F.col("t_cid") / 2))
+
+
+def train_split_by_qid(spark, d):
+    """TRN-09."""
+    return TR.split_by_qid(FX.doc_stream(spark, d).select(F.col("id").alias("qid")))
+
+
+def link_cross_pairs(spark, d):
+    """TRN-08, SNK-09, JON-08: sources as bags, neighbouring bags linked; articles of different languages meet."""
+    docs = FX.read(spark, d, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"))
+    return linking.turn_links(docs, FX.read(spark, d, "conversations"))
+
+
+# -- the clusterer
+
+
+def _stream_vectors(spark, d):
+    return encode.with_vectors(FX.duplicate_labels(FX.doc_stream(spark, d)))
+
+
+def cluster_online_batch(spark, d):
+    """STA-01..11, API-01: one module."""
+    return R.cluster_batch(R.prepared(_stream_vectors(spark, d)), CFG)
+
+
+def cluster_online_by_lang(spark, d):
+    """STA-17: a module for each language."""
+    return R.cluster_batch(R.prepared(_stream_vectors(spark, d), "lang"), CFG)
+
+
+def cluster_offline_merge(spark, d):
+    """STA-12."""
+    return R.cluster_pool(R.prepared(_stream_vectors(spark, d), "lang"), ClusterConfig(check_cluster_join=False), merge_offline=True).select("module", "cluster_id", F.col("n").cast("long").alias("n"), F.size("documents").cast("long").alias("documents"))
+
+
+def cluster_online_stream(spark, d):
+    """STA-01, STA-02 through Structured Streaming: the documents as files in order of time; the same log as in batch."""
+    home = shared_dir(spark)
+    ready = R.prepared(_stream_vectors(spark, d), "lang").withColumn("part", F.ntile(4).over(Window.orderBy("ts_h", "id")))
+    for k in range(1, 5):
+        ready.where(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(f"{home}/in")
+    source = spark.readStream.schema(ready.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(f"{home}/in")
+    job = R.cluster_stream(source, CFG).writeStream.format("parquet").option("path", f"{home}/out").option("checkpointLocation", f"{home}/checkpoint").outputMode("append").trigger(availableNow=True).start()
+    job.awaitTermination()
+    return spark.read.schema(R.UPDATES).parquet(f"{home}/out")
+
+
+def pool_snapshot(spark, d):
+    """SNK-01/04, SRC-09: the pool, saved and read back."""
+    path = f"{shared_dir(spark)}/pool"
+    store.save(R.cluster_pool(R.prepared(_stream_vectors(spark, d), "lang"), CFG), path)
+    return store.load(spark, path).select("module", "cluster_id", F.col("n").cast("long").alias("n"), r6("stamp").alias("stamp"), F.concat_ws(",", "languages").alias("languages"))
+
+
+def pool_status(spark, d):
+    """SNK-03, SNK-10, SRC-10, API-02."""
+    return store.status(FX.doc_stream(spark, d))
+
+
+def eval_online_clusters(spark, d):
+    """EVL-01..05, API-03 end to end: the online clusters of each language against groups of equal texts."""
+    docs = _stream_vectors(spark, d)
+    found = R.assignments(R.cluster_batch(R.prepared(docs, "lang"), CFG))
+    gold = docs.select(F.col("id").cast("string").alias("document_id"), F.col("label").alias("gold"))
+    return _rounded(E.pair_scores(found.join(gold, "document_id").select(F.col("module").alias("lang"), "gold", F.col("cluster_id").alias("pred")), ["lang"]), "lang", "tp", "fp", "fn", "tn", "n_clu", "acc", "p", "r", "f1")
+
+
+_PREFIXES = ("prj_", "flt_", "txt_", "enc_", "vec_", "agg_", "fn_", "rank_", "merge_", "first_", "score_", "pair_", "nearest_", "triangular_", "join_", "evict_", "changelog_", "eval_", "train_", "link_", "cluster_", "pool_", "flagship_")
+
+
+def queries() -> dict:
+    return {k: f for k, f in globals().items() if callable(f) and k.startswith(_PREFIXES)}
+
+
+def oracle_sql() -> dict[str, str]:
+    return oracles.sql()
