@@ -7,7 +7,7 @@ from weftline.llm import lines
 def brute(rows):
     """(doc, kept text, lines, removed) by holding each line against all before it."""
     before, out = [], []
-    for doc, text in sorted(rows, key=lambda r: (r[0] is not None, str(r[0]))):
+    for doc, text in rows:
         kept, gone = [], 0
         for line in text.split("\n"):
             words = frozenset(line.lower().split())
@@ -37,15 +37,17 @@ def corpus(seed, variants):
 
 
 def test_against_brute_force(make, monkeypatch):
-    for seed, postings in ((1, 24), (2, 2)):  # the second has many words with more lines than are joined pair by pair
-        monkeypatch.setattr(lines, "POSTINGS", postings)
+    for seed, common, leaders, long in ((1, 1500, 4096, 320), (2, 3, 4096, 320), (3, 3, 2, 320), (4, 1500, 2, 12)):
+        monkeypatch.setattr(lines, "COMMON", common)
+        monkeypatch.setattr(lines, "LEADERS", leaders)
+        monkeypatch.setattr(lines, "LONG", long)
         rows = corpus(seed, 0.7)
-        got = sorted(((r.doc_id, r.text, r.n_lines, r.n_removed) for r in lines.dedup(make(rows)).collect()), key=str)
-        assert got == brute(rows)
+        got = sorted(((r.doc_id, r.text, r.n_lines, r.n_removed) for r in lines.dedup(make(rows).coalesce(1)).collect()), key=str)
+        assert got == brute(rows), seed
 
 
 def test_odd_rows(odd_docs, no_docs):
-    got = lines.dedup(odd_docs).collect()
+    got = lines.dedup(odd_docs.coalesce(1)).collect()
     assert len(got) == odd_docs.count() and set(odd_docs.columns) <= set(got[0].asDict())
     by = {}
     for r in got:

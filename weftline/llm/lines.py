@@ -5,14 +5,14 @@ the first few of both (prefix filter), at places that leave room for the overlap
 (length filter).  A 64-bit parity sketch of the set bounds the symmetric difference from below and drops nearly all other
 pairs, none wrongly.  What is left is verified on the full sets.  A line that is like an earlier one is removed.
 
-Rarity is counted over all lines in a fixed number of buckets; any order is right, a good one is fast.  Words whose bucket
-saw one line lead to no pair and are passed over.  A word with many lines is not joined with itself: its lines are first held
-against the earliest of them, and only those that stay unmatched go on, by triples of words, against the others.
+Rarity is counted over all lines in a fixed number of buckets; any order is right, a good one is fast.  A word of more than
+``COMMON`` lines is not looked up by itself: if it is the rarest common word of two lines, their next common word follows
+it within a prefix one word longer, so such words are looked up in pairs.  A line needs one earlier match only: each lookup
+names the likeliest one, and all others just for lines of which no named one held.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +28,12 @@ SIMILAR = (4, 5)  # 0.8, as a fraction
 #: lines of fewer words are left alone
 MIN_WORDS = 5
 BUCKETS = 1 << 18
-#: lines of one word that are joined pair by pair
-POSTINGS = 24
+#: lines of a word that is looked up by itself, at most
+COMMON = 1500
+#: lines of so many words are looked up by single words, however common; lines of fewer than LONG * 5 / 4 as all others
+LONG = 320
+#: lines of one pair of words that all others of it are held against at first
+LEADERS = 4096
 _SLICE = 400
 
 
@@ -94,8 +98,28 @@ def _base(docs: DataFrame, text: str) -> DataFrame:
     return written(docs.select(*names, F.col(text).alias("__text")).mapInArrow(run, schema).withColumn("__row", F.monotonically_increasing_id()), "lines")
 
 
+#: a line's number: 19 bits of partition, 24 of row in it, 20 of line in it; numbers follow the order of the input
+_ROW, _LINE = 24, 20
+
+
+def numbers(row: np.ndarray, line: np.ndarray) -> np.ndarray:
+    part, at = row >> 33, row & ((1 << 33) - 1)
+    if len(row) and (part.max() >> 19 or at.max() >> _ROW or line.max() >> _LINE):
+        raise ValueError("more than 2**19 partitions, 2**24 rows in one or 2**20 lines in a text; repartition the input")
+    return (part << (_ROW + _LINE)) | (at << _LINE) | line
+
+
+def _row_of(number):
+    part, at = F.shiftright(number, _ROW + _LINE), F.shiftright(number, _LINE).bitwiseAND((1 << _ROW) - 1)
+    return F.shiftleft(part, 33).bitwiseOR(at)
+
+
+def _line_of(number):
+    return number.bitwiseAND((1 << _LINE) - 1).cast("int")
+
+
 def _survey(base: DataFrame) -> DataFrame:
-    """Lines (row, line, id, id2, n) and, with null row, counts of lines by word bucket (id, n)."""
+    """Lines (num, id, id2) and, with null id2, counts of lines by word bucket (num, id)."""
 
     def run(batches):
         unzip, counts = zstandard.ZstdDecompressor(), np.zeros(BUCKETS, np.int64)
@@ -103,131 +127,196 @@ def _survey(base: DataFrame) -> DataFrame:
             for s in range(0, b.num_rows, _SLICE):
                 row = b.column(0).slice(s, _SLICE).to_numpy()
                 text, line, place, h = sets_of(_texts(b.column(1).slice(s, _SLICE), unzip))
-                np.add.at(counts, (h >> np.uint64(46)).astype(np.int64), 1)
-                one, two, _, n = signatures(place, h, len(text))
-                yield pa.RecordBatch.from_arrays([pa.array(row[text]), pa.array(line.astype(np.int32)), pa.array(one), pa.array(two), pa.array(n.astype(np.int64))], names=["row", "line", "id", "id2", "n"])
+                counts += np.bincount((h >> np.uint64(46)).astype(np.int64), minlength=BUCKETS)
+                one, two, _, _ = signatures(place, h, len(text))
+                yield pa.RecordBatch.from_arrays([pa.array(numbers(row[text], line)), pa.array(one), pa.array(two)], names=["num", "id", "id2"])
         some = np.flatnonzero(counts)
-        none = pa.nulls(len(some), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, pa.nulls(len(some), pa.int32()), pa.array(some), none, pa.array(counts[some])], names=["row", "line", "id", "id2", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some]), pa.nulls(len(some), pa.int64())], names=["num", "id", "id2"])
 
-    return written(base.where(F.col("__z").isNotNull()).select("__row", "__z").mapInArrow(run, "row long, line int, id long, id2 long, n long"), "survey")
+    return written(base.where(F.col("__z").isNotNull()).select("__row", "__z").mapInArrow(run, "num long, id long, id2 long"), "survey")
 
 
-def _prefix(n: np.ndarray) -> np.ndarray:
+def prefix_of(n: np.ndarray) -> np.ndarray:
     a, b = SIMILAR
     return n - -(-n * a // b) + 1
 
 
-def _postings(base: DataFrame, rarity: np.ndarray, extra: int = 0) -> DataFrame:
-    """(tok, id, sketch, n, pos) for the words of each set's prefix that others may have; with ``extra``, (id, toks) where the
-    prefix is longer by so many words."""
+def lookups(n: np.ndarray, seen: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line, key, place of the key's first word) by which lines are looked up; words of each line from the rarest on."""
+    start = np.cumsum(n) - n
+    line = np.repeat(np.arange(len(n)), n)
+    pos = np.arange(len(h)) - start[line]
+    short, long = prefix_of(n), n >= LONG
+    inside, usual = pos < short[line], (n * 4 <= LONG * 5)[line]
+    single = inside & usual & (seen > 1) & (seen <= COMMON)
+    far = inside & long[line]
+    out = [(line[single], h[single], pos[single]), (line[far], _mix(h[far], 5), pos[far])]
+    common = np.flatnonzero(inside & usual & (seen > COMMON))
+    step = 1
+    while len(common):  # the step-th word after each, within a prefix longer by one
+        common = common[pos[common] + step <= short[line[common]]]
+        common = common[pos[common] + step < n[line[common]]]
+        out.append((line[common], _mix(h[common], 6) + _mix(h[common + step], 7), pos[common]))
+        step += 1
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _postings(base: DataFrame, lists: DataFrame, rarity: np.ndarray) -> DataFrame:
+    """(key, num, sketch, size) of the lookups of the lines named in ``lists`` (r, lines); size: words << 12 | place."""
     sent = base.sparkSession.sparkContext.broadcast(rarity)
 
     def run(batches):
         unzip, count = zstandard.ZstdDecompressor(), sent.value
         for b in batches:
             for s in range(0, b.num_rows, _SLICE):
-                text, _, place, h = sets_of(_texts(b.column(0).slice(s, _SLICE), unzip))
-                one, _, sketch, n = signatures(place, h, len(text))
+                row, wanted = b.column(0).slice(s, _SLICE).to_numpy(), b.column(2).slice(s, _SLICE)
+                text, line, place, h = sets_of(_texts(b.column(1).slice(s, _SLICE), unzip))
+                num = numbers(row[text], line)
+                want = numbers(np.repeat(row, pc.list_value_length(wanted).to_numpy()), pc.list_flatten(wanted).to_numpy().astype(np.int64))
+                use = np.isin(num, want)
+                keep = use[place]
+                place, h, num = (np.cumsum(use) - 1)[place[keep]], h[keep], num[use]
+                _, _, sketch, n = signatures(place, h, len(num))
                 seen = count[(h >> np.uint64(46)).astype(np.int64)]
                 order = np.lexsort((h, seen, place))
-                place, h, seen = place[order], h[order], seen[order]
-                pos = np.arange(len(place)) - np.repeat(np.cumsum(n) - n, n)
-                use = (pos < (_prefix(n) + extra)[place]) & (seen > 1)
-                p = place[use]
-                yield pa.RecordBatch.from_arrays([pa.array(h[use].view(np.int64)), pa.array(one[p]), pa.array(sketch[p]), pa.array(n[p].astype(np.int32)), pa.array(pos[use].astype(np.int32))], names=["tok", "id", "sketch", "n", "pos"])
+                at, key, pos = lookups(n, seen[order], h[order])
+                for k in range(0, len(at), 1 << 16):
+                    c = slice(k, k + (1 << 16))
+                    yield pa.RecordBatch.from_arrays([pa.array(key[c].view(np.int64)), pa.array(num[at[c]]), pa.array(sketch[at[c]]), pa.array((n[at[c]] << 12) | np.minimum(pos[c], 4095))], names=["key", "num", "sketch", "size"])
 
-    return base.where(F.col("__z").isNotNull()).select("__z").mapInArrow(run, "tok long, id long, sketch long, n int, pos int").distinct()
+    both = base.select("__row", "__z").join(lists, F.col("__row") == F.col("r")).select("__row", "__z", "lines")
+    return both.mapInArrow(run, "key long, num long, sketch long, size long")
 
 
-def _near(a: str, b: str):
-    """The length, positional and sketch filters between two postings of a word (column prefixes ``a``, ``b``)."""
+def _passes(x, y) -> np.ndarray:
+    """The length, positional and sketch filters between lines (num, sketch, size), all of ``x`` against all of ``y``; only an
+    earlier ``y`` passes.  Gives the distance of the sketches, 255 where the pair is out."""
     up, down = SIMILAR
-    na, nb, pa_, pb = (F.col(f"{x}{c}").cast("long") for c in ("n", "pos") for x in (a, b))
-    least = F.least(na, nb) * down >= F.greatest(na, nb) * up
-    need = F.ceil((na + nb) * up / F.lit(float(up + down)) - 1e-9)
-    room = 1 + F.least(na - pa_ - 1, nb - pb - 1) >= need
-    apart = F.bit_count(F.col(f"{a}sketch").bitwiseXOR(F.col(f"{b}sketch"))) <= na + nb - 2 * need
-    return least & room & apart
-
+    na, nb = (x[2] >> 12)[:, None], (y[2] >> 12)[None, :]
+    pa_, pb = (x[2] & 4095)[:, None], (y[2] & 4095)[None, :]
+    need = -(-(na + nb) * up // (up + down))
+    apart = np.bitwise_count(x[1][:, None] ^ y[1][None, :]).astype(np.int64)
+    able = (apart <= na + nb - 2 * need) & (np.minimum(na, nb) * down >= np.maximum(na, nb) * up) & (1 + np.minimum(na - pa_, nb - pb) - 1 >= need) & (y[0][None, :] < x[0][:, None])
+    return np.where(able, apart, 255)
+
+
+def named_matches(group: tuple, every: np.ndarray | None = None) -> tuple[list, list, list]:
+    """(line, earlier line, whether there may be others) for the lines of one key; ``every``: all pairs of those lines only.
+
+    Without ``every`` each line names its nearest.  A large key's lines are held against its leaders; one that is near none of
+    them names nobody (-1) but may have others."""
+    group = tuple(c[np.argsort(group[0], kind="stable")] for c in group)
+    size = len(group[0])
+    xs, ys, more = [], [], []
+    against = size if every is not None else min(size, LEADERS)
+    y = tuple(c[:against] for c in group)
+    todo = np.flatnonzero(np.isin(group[0], every)) if every is not None else np.arange(size)
+    for at in range(0, len(todo), 256):
+        rows = todo[at : at + 256]
+        x = tuple(c[rows] for c in group)
+        last = min(against, rows[-1] + 1)
+        far = _passes(x, tuple(c[:last] for c in y))
+        if every is not None:
+            i, j = np.nonzero(far < 255)
+            xs += x[0][i].tolist()
+            ys += y[0][j].tolist()
+            more += [False] * len(i)
+            continue
+        best = far.argmin(axis=1)
+        found = far[np.arange(len(rows)), best] < 255
+        others = (far < 255).sum(axis=1) > 1
+        blind = rows >= against
+        tell = found | blind
+        xs += x[0][tell].tolist()
+        ys += np.where(found, y[0][best], -1)[tell].tolist()
+        more += (others | blind)[tell].tolist()
+    return xs, ys, more
+
+
+def _candidates(post: DataFrame, every: bool = False) -> DataFrame:
+    """(x, y, more) by :func:`named_matches`; with ``every`` for the lines of which column ``open`` is true."""
 
-def _named(df: DataFrame, prefix: str) -> DataFrame:
-    return df.select(*(F.col(c).alias(f"{prefix}{c}") for c in df.columns))
-
-
-def _verified(pairs: DataFrame, base: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of ``pairs`` (x, y: ids), those whose sets are similar enough; (id, id2) of the later line of each."""
+    def run(batches):
+        held = None
+
+        def work(t: pa.Table):
+            key = t.column("key").to_numpy()
+            num, sketch, size = t.column("num").to_numpy(), t.column("sketch").to_numpy().view(np.uint64), t.column("size").to_numpy()
+            open_ = t.column("open").to_numpy() if every else None
+            edges = np.flatnonzero(np.diff(key)) + 1
+            xs, ys, more = [], [], []
+            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(key)]):
+                if b - a > 1 and (not every or open_[a:b].any()):
+                    for out, found in zip((xs, ys, more), named_matches((num[a:b], sketch[a:b], size[a:b]), num[a:b][open_[a:b]] if every else None)):
+                        out += found
+            return pa.RecordBatch.from_arrays([pa.array(xs, pa.int64()), pa.array(ys, pa.int64()), pa.array(more, pa.bool_())], names=["x", "y", "more"])
+
+        parts: list[pa.RecordBatch] = []
+        for b in batches:
+            parts.append(b)
+            last = b.column(0)[b.num_rows - 1].as_py() if b.num_rows else None
+            if b.num_rows and b.column(0)[0].as_py() == last and len(parts) > 1 and held == last:
+                continue  # still one key
+            held = last
+            whole = pa.Table.from_batches(parts)
+            cut = int(np.searchsorted(whole.column("key").to_numpy(), last)) if last is not None else 0
+            if cut:
+                yield work(whole.slice(0, cut))
+            parts = whole.slice(cut).combine_chunks().to_batches()
+        if parts:
+            yield work(pa.Table.from_batches(parts))
+
+    columns = ["key", "num", "sketch", "size", *(["open"] if every else [])]
+    return post.select(*columns).repartition("key").sortWithinPartitions("key").mapInArrow(run, "x long, y long, more boolean")
+
+
+def _verified(pairs: DataFrame, base: DataFrame) -> DataFrame:
+    """(num) of the later line of each of ``pairs`` (x, y: the earlier) whose sets are similar enough."""
     wanted = pairs.select(F.col("x").alias("w")).union(pairs.select("y")).distinct()
-    found = sets.join(wanted, F.col("id") == F.col("w"), "left_semi").select("id", "id2", "first")
-    lists = found.groupBy(F.col("first.row").alias("r")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "id", "id2", F.col("first.doc").alias("doc"))).alias("want"))
+    lists = wanted.groupBy(_row_of(F.col("w")).alias("r")).agg(F.collect_list(_line_of(F.col("w"))).alias("lines"))
 
     def run(batches):
         unzip = zstandard.ZstdDecompressor()
         for b in batches:
-            for i in range(b.num_rows):
-                lines = unzip.decompress(b.column(1)[i].as_py()).lower().split(b"\n")
-                row, want = b.column(0)[i].as_py(), b.column(2)[i].as_py()
-                words = [np.unique(np.fromiter((xxhash.xxh64_intdigest(w) for w in lines[x["line"]].split()), np.uint64)).view(np.int64) for x in want]
-                yield pa.RecordBatch.from_arrays([pa.array([x["id"] for x in want]), pa.array([x["id2"] for x in want]), pa.array([x["doc"] for x in want], pa.string()), pa.array([row] * len(want)), pa.array([x["line"] for x in want], pa.int32()), pa.array(words, pa.list_(pa.int64()))], names=["id", "id2", "doc", "row", "line", "words"])
-
-    full = base.select("__row", "__z").join(lists, F.col("__row") == F.col("r")).select("__row", "__z", "want").mapInArrow(run, "id long, id2 long, doc string, row long, line int, words array<long>")
-    full = written(full.select("id", "id2", F.struct("doc", "row", "line").alias("first"), "words"), "words")
-    both = pairs.join(_named(full, "a_"), F.col("x") == F.col("a_id")).join(_named(full, "b_"), F.col("y") == F.col("b_id"))
-    shared = F.size(F.array_intersect("a_words", "b_words"))
+            for row, z, want in zip(*(c.to_pylist() for c in b.columns)):
+                lines = unzip.decompress(z).lower().split(b"\n")
+                words = [np.unique(np.fromiter((xxhash.xxh64_intdigest(w) for w in lines[i].split()), np.uint64)).view(np.int64) for i in want]
+                yield pa.RecordBatch.from_arrays([pa.array(numbers(np.full(len(want), row, np.int64), np.array(want, np.int64))), pa.array(words, pa.list_(pa.int64()))], names=["num", "words"])
+
+    full = written(base.select("__row", "__z").join(lists, F.col("__row") == F.col("r")).select("__row", "__z", "lines").mapInArrow(run, "num long, words array<long>"), "words")
+    a, b = full.select(F.col("num").alias("a"), F.col("words").alias("aw")), full.select(F.col("num").alias("b"), F.col("words").alias("bw"))
+    both = pairs.select("x", "y").join(a, F.col("x") == F.col("a")).join(b, F.col("y") == F.col("b"))
     up, down = SIMILAR
-    alike = shared * down >= (F.size("a_words") + F.size("b_words") - shared) * up
-    later = F.when(F.col("a_first") > F.col("b_first"), F.struct(F.col("a_id").alias("id"), F.col("a_id2").alias("id2"))).otherwise(F.struct(F.col("b_id").alias("id"), F.col("b_id2").alias("id2")))
-    return both.where(alike).select(later.alias("later")).select("later.*").distinct()
-
-
-def _triples(base: DataFrame, rarity: np.ndarray, hot: DataFrame, sets: DataFrame, matched: DataFrame) -> DataFrame:
-    """Candidate pairs (x, y) of the lines of hot words: x not matched yet, y any other; both share three words."""
-    wide = _postings(base, rarity, 2).join(hot.select(F.col("tok").alias("ht"), "id").select("id").distinct(), "id", "left_semi")
-    packed = wide.groupBy("id", "sketch", "n").agg(F.sort_array(F.collect_set("tok")).alias("toks"))
-
-    def run(batches):
-        for b in batches:
-            for i, sketch, n, toks in zip(*(c.to_pylist() for c in b.columns)):
-                keys = [xxhash.xxh64_intdigest(np.array(t, np.int64).tobytes()) for t in combinations(toks, 3)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), *(pa.array([v] * len(keys), k) for v, k in ((i, pa.int64()), (sketch, pa.int64()), (n, pa.int32())))], names=["key", "id", "sketch", "n"])
-
-    keyed = written(packed.select("id", "sketch", "n", "toks").mapInArrow(run, "key long, id long, sketch long, n int").withColumn("pos", F.lit(0)), "triples")
-    open_ = keyed.join(matched.select(F.col("id").alias("m")).distinct(), F.col("id") == F.col("m"), "left_anti")
-    both = _named(open_, "a_").join(_named(keyed, "b_"), (F.col("a_key") == F.col("b_key")) & (F.col("a_id") != F.col("b_id")) & _near("a_", "b_"))
-    return both.select(F.col("a_id").alias("x"), F.col("b_id").alias("y")).distinct()
+    shared = F.size(F.array_intersect("aw", "bw"))
+    return both.where(shared * down >= (F.size("aw") + F.size("bw") - shared) * up).select(F.col("x").alias("num")).distinct()
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``text`` less its removed lines, and n_lines, n_removed.
 
     A line goes if its set of words (A-Z lower-cased, parted by ASCII white space) is equal to that of an earlier line, or of
-    Jaccard similarity 0.8 or more to it; earlier by (``key`` as text, row, line), in any row, removed or not.  Lines of
-    fewer than five different words, blank ones too, always stay.  Null texts stay null and have no lines; a null key comes
-    before all others; a text all of whose lines go becomes empty.  An empty table gives no rows."""
+    Jaccard similarity 0.8 or more to it; earlier in the order of the input, in any row, removed or not.  Lines of fewer than
+    five different words, blank ones too, always stay.  Null texts stay null and have no lines; a text all of whose lines go
+    becomes empty.  An empty table gives no rows."""
     base = _base(docs, text)
     survey = _survey(base)
-    cells = survey.where(F.col("row").isNull()).groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    cells = survey.where(F.col("id2").isNull()).groupBy("num").agg(F.sum("id").alias("n")).toArrow()
     rarity = np.zeros(BUCKETS, np.int64)
-    rarity[cells.column("id").to_numpy()] = cells.column("n").to_numpy()
-    owner = base.select(F.col("__row").alias("r0"), F.col(key).cast("string").alias("doc")) if key in base.columns else base.select(F.col("__row").alias("r0"), F.lit(None).cast("string").alias("doc"))
-    line = written(survey.where(F.col("row").isNotNull()).join(owner, F.col("row") == F.col("r0")).select("id", "id2", F.struct("doc", "row", "line").alias("at")), "line")
-    sets = written(line.groupBy("id", "id2").agg(F.min("at").alias("first")), "sets")
-    post = written(_postings(base, rarity), "postings")
-    sizes = post.groupBy(F.col("tok").alias("t")).agg(F.count(F.lit(1)).alias("lines")).where("lines > 1")
-    sizes = written(sizes, "sizes")
-    few = post.join(sizes.where(F.col("lines") <= POSTINGS), F.col("tok") == F.col("t"), "left_semi")
-    cold = _named(few, "a_").join(_named(few, "b_"), (F.col("a_tok") == F.col("b_tok")) & (F.col("a_id") < F.col("b_id")) & _near("a_", "b_")).select(F.col("a_id").alias("x"), F.col("b_id").alias("y"))
-    hot = written(post.join(sizes.where(F.col("lines") > POSTINGS), F.col("tok") == F.col("t"), "left_semi").join(sets.groupBy(F.col("id").alias("i")).agg(F.min("first").alias("first")), F.col("id") == F.col("i")).drop("i"), "hot")
-    earliest = hot.groupBy(F.col("tok").alias("t")).agg(F.min(F.struct("first", "id", "sketch", "n", "pos")).alias("e")).select("t", F.col("e.id").alias("b_id"), F.col("e.sketch").alias("b_sketch"), F.col("e.n").alias("b_n"), F.col("e.pos").alias("b_pos"))
-    warm = _named(hot.drop("first"), "a_").join(earliest, F.col("a_tok") == F.col("t")).where((F.col("a_id") != F.col("b_id")) & _near("a_", "b_")).select(F.col("a_id").alias("x"), F.col("b_id").alias("y"))
-    gone = written(_verified(written(cold.union(warm).distinct(), "pairs"), base, sets), "gone")
-    if not hot.isEmpty():
-        pairs = written(_triples(base, rarity, hot, sets, gone), "pairs")
-        if not pairs.isEmpty():
-            gone = written(gone.union(_verified(pairs, base, sets)).distinct(), "gone")
-    firsts = sets.join(_named(gone, "g_"), (F.col("id") == F.col("g_id")) & (F.col("id2") == F.col("g_id2")), "left").select(F.col("id").alias("s1"), F.col("id2").alias("s2"), "first", F.col("g_id").isNotNull().alias("gone"))
-    drop = line.join(firsts, (F.col("id") == F.col("s1")) & (F.col("id2") == F.col("s2"))).where(F.col("gone") | (F.col("at") > F.col("first")))
-    lists = drop.groupBy(F.col("at.row").alias("r")).agg(F.collect_list("at.line").alias("drop"))
+    rarity[cells.column("num").to_numpy()] = cells.column("n").to_numpy()
+    line = survey.where(F.col("id2").isNotNull())
+    sets = written(line.groupBy("id", "id2").agg(F.min("num").alias("first")), "sets")
+    lists = sets.groupBy(_row_of(F.col("first")).alias("r")).agg(F.collect_list(_line_of(F.col("first"))).alias("lines"))
+    named = written(_candidates(_postings(base, lists, rarity)).groupBy("x", "y").agg(F.max("more").alias("more")), "named")
+    gone = written(_verified(named.where("y >= 0"), base), "gone")
+    still = named.where("more").select(F.col("x").alias("o")).distinct().join(gone, F.col("o") == F.col("num"), "left_anti")
+    still = written(still.select("o"), "open")
+    if not still.isEmpty():
+        post = _postings(base, lists, rarity).join(still, F.col("num") == F.col("o"), "left").withColumn("open", F.col("o").isNotNull())
+        rest = written(_candidates(post, every=True).select("x", "y").distinct(), "rest")
+        gone = written(gone.union(_verified(rest, base)).distinct(), "gone")
+    firsts = sets.join(gone, F.col("first") == F.col("num"), "left").select(F.col("id").alias("s1"), F.col("id2").alias("s2"), "first", F.col("num").isNotNull().alias("gone"))
+    drop = line.join(firsts, (F.col("id") == F.col("s1")) & (F.col("id2") == F.col("s2"))).where(F.col("gone") | (F.col("num") > F.col("first")))
+    lists = drop.groupBy(_row_of(F.col("num")).alias("r")).agg(F.collect_list(_line_of(F.col("num"))).alias("drop"))
     order = [f for f in docs.schema if f.name not in ("n_lines", "n_removed")]
     names = [f.name for f in order]
     rest = [n for n in names if n != text]
