@@ -93,11 +93,12 @@ def label_model(votes: np.ndarray, given: np.ndarray, rounds: int = 25) -> tuple
         like = np.stack([(np.einsum("r,vrm->vm", w, onehot) + 0.5) / (w.sum() + 1.5) for w in (1 - p, p)])  # (class, vote, voter)
         right = np.stack([((1 - p) @ (given == 0) + 2) / ((1 - p).sum() + 2.1), (p @ (given == 1) + 2) / (p.sum() + 2.1)])
         cast = (votes >= 0).astype(float)
-        about = cast - np.stack([1 - like[0, 0], 1 - like[1, 0]])[(p > 0.5).astype(int)]
-        spread = np.sqrt((about**2).mean(axis=0)) + 1e-9
-        corr = np.abs(about.T @ about / n / np.outer(spread, spread))
+        # what a vote says beyond what its class makes likely; voters that go together in that are partly one voter
+        beyond = onehot[2] - onehot[1] - np.stack([like[0, 2] - like[0, 1], like[1, 2] - like[1, 1]])[(p > 0.5).astype(int)]
+        spread = np.sqrt((beyond**2).mean(axis=0))
+        corr = np.abs(beyond.T @ beyond / n) / np.maximum(np.outer(spread, spread), 1e-6)
         np.fill_diagonal(corr, 0)
-        alone = 1 / (1 + np.where(corr > 0.05, corr, 0).sum(axis=1))
+        alone = 1 / (1 + np.where(corr > 0.1, corr, 0).sum(axis=1))
         prior = np.clip(p.mean(), 1e-4, 1 - 1e-4)
         step = np.log(like[1]) - np.log(like[0])  # (vote, voter)
         z = np.log(prior / (1 - prior)) + np.einsum("vrm,vm,m->r", onehot, step, alone)
