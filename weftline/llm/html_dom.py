@@ -24,6 +24,7 @@ _FENCE = frozenset("table ul ol dl article section div body html main aside nav
 DEPTH = 120
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([A-Za-z][^\s/>]*)[^>]*(?:>|\Z)|<([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+_JOINT = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 
 
@@ -39,6 +40,13 @@ class Node:
             return ""
         return " ".join(unescape(b or c or d or a) for a, b, c, d in _ATTRIBUTE.findall(self.attrs) if a.lower() in names).lower()
 
+    def words(self) -> str:
+        """Class and id with the parts of joined words (pageFooter) set apart, lower-cased."""
+        if not self.attrs:
+            return ""
+        found = (b or c or d for a, b, c, d in _ATTRIBUTE.findall(self.attrs) if a.lower() in ("class", "id"))
+        return _JOINT.sub("-", unescape(" ".join(found))).lower()
+
 
 def parse(html: str | None) -> Node:
     """The tree of ``html`` (None: empty); text is held as str among the children.  Never fails: what isn't a tag is text."""

@@ -31,7 +31,7 @@ _NAMES = re.compile(
     r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|submenu|header|masthead|topbar|footer|bottombar|sidebar|side|rail|ad|ads|adv|advert|adverts|advertisement|adsense|adbox|banner|sponsor|"
     r"sponsored|promo|promotion|cookie|cookies|consent|notice|notices|gdpr|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|search|searchbox|share|sharing|social|related|"
     r"recommended|recommendations|trending|popular|breadcrumb|breadcrumbs|pagination|pager|paging|toolbar|widget|widgets|comment|comments|commentlist|discussion|disqus|replies|reply|respond|"
-    r"copyright|disclaimer|skip|hidden|screen-reader-text|toc)(?=$|[\s_-]|\d+(?:$|[\s_-]))"
+    r"copyright|disclaimer|skip|hidden|screen-reader-text|toc|alert|alerts|announcement|subnav|topnav|sidenav|crumbs|paywall|feedback|responses|outbrain|taboola|promoted|teaser|teasers|donate)(?=$|[\s_-]|\d+(?:$|[\s_-]))"
 )
 _ARTICLE_NAMES = re.compile(r"(?:^|[\s_-])(?:comment|comments|reply|replies|ad|ads|advert|advertisement|sponsored|promo|related|recommended|teaser)(?=$|[\s_-]|\d+(?:$|[\s_-]))")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
@@ -45,7 +45,7 @@ def boilerplate(n: Node, inside: bool) -> bool:
         return True
     if not n.attrs or n.tag in ("html", "body"):
         return False
-    names = n.get("class", "id")
+    names = n.words()
     if names and (_ARTICLE_NAMES if n.tag in ("article", "main") else _NAMES).search(names):
         return True
     return n.get("role") in _ROLES or n.get("aria-hidden") == "true" or bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", n.attrs)) or bool(_HIDDEN.search(n.get("style")))
