@@ -34,6 +34,8 @@ COMMON = 1500
 LONG = 320
 #: lines of one pair of words that all others of it are held against at first
 LEADERS = 4096
+#: nearest earlier lines that a line names for each lookup
+NAMED = 3
 _SLICE = 400
 
 
@@ -200,56 +202,74 @@ def _passes(x, y) -> np.ndarray:
     return np.where(able, apart, 255)
 
 
-def named_matches(group: tuple, every: np.ndarray | None = None) -> tuple[list, list, list]:
-    """(line, earlier line, whether there may be others) for the lines of one key; ``every``: all pairs of those lines only.
+def named_matches(group: tuple, every: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(line, earlier line, distance, whether there are more) for the lines of one key (num, sketch, size), in order of num;
+    ``every`` (flags): all pairs of those lines only.
 
-    Without ``every`` each line names its nearest.  A large key's lines are held against its leaders; one that is near none of
-    them names nobody (-1) but may have others."""
-    group = tuple(c[np.argsort(group[0], kind="stable")] for c in group)
+    Without ``every`` each line names its ``NAMED`` nearest.  A large key's lines are held against its leaders; one that is
+    near none of them names nobody (-1) but may have more."""
     size = len(group[0])
-    xs, ys, more = [], [], []
     against = size if every is not None else min(size, LEADERS)
-    y = tuple(c[:against] for c in group)
-    todo = np.flatnonzero(np.isin(group[0], every)) if every is not None else np.arange(size)
+    todo = np.flatnonzero(every) if every is not None else np.arange(size)
+    out = []
     for at in range(0, len(todo), 256):
         rows = todo[at : at + 256]
-        x = tuple(c[rows] for c in group)
-        last = min(against, rows[-1] + 1)
-        far = _passes(x, tuple(c[:last] for c in y))
-        if every is not None:
-            i, j = np.nonzero(far < 255)
-            xs += x[0][i].tolist()
-            ys += y[0][j].tolist()
-            more += [False] * len(i)
+        x, y = tuple(c[rows] for c in group), tuple(c[: min(against, rows[-1] + 1)] for c in group)
+        far = _passes(x, y)
+        count = (far < 255).sum(axis=1)
+        blind = (rows >= against) & (every is None)
+        if not (count.any() or blind.any()):
             continue
-        best = far.argmin(axis=1)
-        found = far[np.arange(len(rows)), best] < 255
-        others = (far < 255).sum(axis=1) > 1
-        blind = rows >= against
-        tell = found | blind
-        xs += x[0][tell].tolist()
-        ys += np.where(found, y[0][best], -1)[tell].tolist()
-        more += (others | blind)[tell].tolist()
-    return xs, ys, more
+        if every is None and far.shape[1] > NAMED:
+            limit = np.partition(far, NAMED - 1, axis=1)[:, NAMED - 1 : NAMED]
+            keep = (far <= limit) & (far < 255)
+            keep &= np.cumsum(keep, axis=1) <= NAMED
+        else:
+            keep = far < 255
+        i, j = np.nonzero(keep)
+        more = (count > keep.sum(axis=1)) | blind
+        out.append((x[0][i], y[0][j], far[i, j], more[i]))
+        none = np.flatnonzero(blind & (count == 0))
+        out.append((x[0][none], np.full(len(none), -1), np.full(len(none), 255), np.ones(len(none), bool)))
+    return tuple(np.concatenate(c) for c in zip(*out)) if out else tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, bool))
+
+
+def small_matches(key: np.ndarray, num: np.ndarray, sketch: np.ndarray, size: np.ndarray, most: int = 12) -> tuple:
+    """As :func:`named_matches` for many keys of ``most`` lines or fewer at once: all pairs that pass."""
+    up, down = SIMILAR
+    n, pos, out = size >> 12, size & 4095, []
+    for step in range(1, most):
+        i = np.flatnonzero(key[step:] == key[:-step])
+        if not len(i):
+            break
+        j = i + step  # the later line
+        total = n[i] + n[j]
+        need = -(-total * up // (up + down))
+        apart = np.bitwise_count(sketch[i] ^ sketch[j]).astype(np.int64)
+        ok = (apart <= total - 2 * need) & (np.minimum(n[i], n[j]) * down >= np.maximum(n[i], n[j]) * up) & (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need)
+        out.append((num[j[ok]], num[i[ok]], apart[ok], np.zeros(int(ok.sum()), bool)))
+    return tuple(np.concatenate(c) for c in zip(*out)) if out else tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, bool))
 
 
 def _candidates(post: DataFrame, every: bool = False) -> DataFrame:
-    """(x, y, more) by :func:`named_matches`; with ``every`` for the lines of which column ``open`` is true."""
+    """(x, y, far, more) by :func:`named_matches`; with ``every`` for the lines of which column ``open`` is true."""
 
     def run(batches):
         held = None
 
         def work(t: pa.Table):
-            key = t.column("key").to_numpy()
-            num, sketch, size = t.column("num").to_numpy(), t.column("sketch").to_numpy().view(np.uint64), t.column("size").to_numpy()
-            open_ = t.column("open").to_numpy() if every else None
-            edges = np.flatnonzero(np.diff(key)) + 1
-            xs, ys, more = [], [], []
-            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(key)]):
-                if b - a > 1 and (not every or open_[a:b].any()):
-                    for out, found in zip((xs, ys, more), named_matches((num[a:b], sketch[a:b], size[a:b]), num[a:b][open_[a:b]] if every else None)):
-                        out += found
-            return pa.RecordBatch.from_arrays([pa.array(xs, pa.int64()), pa.array(ys, pa.int64()), pa.array(more, pa.bool_())], names=["x", "y", "more"])
+            t = t.sort_by([("key", "ascending"), ("num", "ascending")])
+            key, num, size = (t.column(c).to_numpy() for c in ("key", "num", "size"))
+            sketch, open_ = t.column("sketch").to_numpy().view(np.uint64), t.column("open").to_numpy() if every else None
+            edges = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
+            count = np.diff(edges)
+            small = np.repeat(count <= (0 if every else 12), count)
+            out = [small_matches(key[small], num[small], sketch[small], size[small])]
+            for g in np.flatnonzero(count > (1 if every else 12)).tolist():
+                c = slice(edges[g], edges[g + 1])
+                if not every or open_[c].any():
+                    out.append(named_matches((num[c], sketch[c], size[c]), open_[c] if every else None))
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["x", "y", "far", "more"])
 
         parts: list[pa.RecordBatch] = []
         for b in batches:
@@ -267,23 +287,30 @@ def _candidates(post: DataFrame, every: bool = False) -> DataFrame:
             yield work(pa.Table.from_batches(parts))
 
     columns = ["key", "num", "sketch", "size", *(["open"] if every else [])]
-    return post.select(*columns).repartition("key").sortWithinPartitions("key").mapInArrow(run, "x long, y long, more boolean")
+    return post.select(*columns).repartition("key").sortWithinPartitions("key").mapInArrow(run, "x long, y long, far long, more boolean")
 
 
-def _verified(pairs: DataFrame, base: DataFrame) -> DataFrame:
-    """(num) of the later line of each of ``pairs`` (x, y: the earlier) whose sets are similar enough."""
+def _words(pairs: DataFrame, base: DataFrame) -> DataFrame:
+    """(num, words) of all lines in ``pairs`` (x, y)."""
     wanted = pairs.select(F.col("x").alias("w")).union(pairs.select("y")).distinct()
     lists = wanted.groupBy(_row_of(F.col("w")).alias("r")).agg(F.collect_list(_line_of(F.col("w"))).alias("lines"))
 
     def run(batches):
         unzip = zstandard.ZstdDecompressor()
         for b in batches:
-            for row, z, want in zip(*(c.to_pylist() for c in b.columns)):
-                lines = unzip.decompress(z).lower().split(b"\n")
-                words = [np.unique(np.fromiter((xxhash.xxh64_intdigest(w) for w in lines[i].split()), np.uint64)).view(np.int64) for i in want]
-                yield pa.RecordBatch.from_arrays([pa.array(numbers(np.full(len(want), row, np.int64), np.array(want, np.int64))), pa.array(words, pa.list_(pa.int64()))], names=["num", "words"])
+            for s in range(0, b.num_rows, _SLICE):
+                at, words = [], []
+                for row, z, want in zip(*(c.slice(s, _SLICE).to_pylist() for c in b.columns)):
+                    lines = unzip.decompress(z).lower().split(b"\n")
+                    at.append(numbers(np.full(len(want), row, np.int64), np.array(want, np.int64)))
+                    words += [np.unique(np.fromiter((xxhash.xxh64_intdigest(w) for w in lines[i].split()), np.uint64)).view(np.int64) for i in want]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(at)), pa.array(words, pa.list_(pa.int64()))], names=["num", "words"])
 
-    full = written(base.select("__row", "__z").join(lists, F.col("__row") == F.col("r")).select("__row", "__z", "lines").mapInArrow(run, "num long, words array<long>"), "words")
+    return written(base.select("__row", "__z").join(lists, F.col("__row") == F.col("r")).select("__row", "__z", "lines").mapInArrow(run, "num long, words array<long>"), "words")
+
+
+def _verified(pairs: DataFrame, full: DataFrame) -> DataFrame:
+    """(num) of the later line of each of ``pairs`` (x, y: the earlier) whose sets are similar enough."""
     a, b = full.select(F.col("num").alias("a"), F.col("words").alias("aw")), full.select(F.col("num").alias("b"), F.col("words").alias("bw"))
     both = pairs.select("x", "y").join(a, F.col("x") == F.col("a")).join(b, F.col("y") == F.col("b"))
     up, down = SIMILAR
@@ -306,14 +333,18 @@ def dedup(docs: DataFrame, text: str = "text") -> DataFrame:
     line = survey.where(F.col("id2").isNotNull())
     sets = written(line.groupBy("id", "id2").agg(F.min("num").alias("first")), "sets")
     lists = sets.groupBy(_row_of(F.col("first")).alias("r")).agg(F.collect_list(_line_of(F.col("first"))).alias("lines"))
-    named = written(_candidates(_postings(base, lists, rarity)).groupBy("x", "y").agg(F.max("more").alias("more")), "named")
-    gone = written(_verified(named.where("y >= 0"), base), "gone")
-    still = named.where("more").select(F.col("x").alias("o")).distinct().join(gone, F.col("o") == F.col("num"), "left_anti")
-    still = written(still.select("o"), "open")
+    named = written(_candidates(_postings(base, lists, rarity)).groupBy("x", "y").agg(F.min("far").alias("far"), F.max("more").alias("more")), "named")
+    full = _words(named.where("y >= 0"), base)
+    # the nearest of each line first; the others only where it doesn't hold
+    best = named.where("y >= 0").groupBy("x").agg(F.min(F.struct("far", "y")).alias("b")).select("x", F.col("b.y").alias("y"))
+    gone = written(_verified(best, full), "gone")
+    left = named.join(gone, F.col("x") == F.col("num"), "left_anti")
+    gone = written(gone.union(_verified(left.where("y >= 0"), full)).distinct(), "gone")
+    still = written(left.where("more").select(F.col("x").alias("o")).distinct().join(gone, F.col("o") == F.col("num"), "left_anti").select("o"), "open")
     if not still.isEmpty():
         post = _postings(base, lists, rarity).join(still, F.col("num") == F.col("o"), "left").withColumn("open", F.col("o").isNotNull())
         rest = written(_candidates(post, every=True).select("x", "y").distinct(), "rest")
-        gone = written(gone.union(_verified(rest, base)).distinct(), "gone")
+        gone = written(gone.union(_verified(rest, _words(rest, base))).distinct(), "gone")
     firsts = sets.join(gone, F.col("first") == F.col("num"), "left").select(F.col("id").alias("s1"), F.col("id2").alias("s2"), "first", F.col("num").isNotNull().alias("gone"))
     drop = line.join(firsts, (F.col("id") == F.col("s1")) & (F.col("id2") == F.col("s2"))).where(F.col("gone") | (F.col("num") > F.col("first")))
     lists = drop.groupBy(_row_of(F.col("num")).alias("r")).agg(F.collect_list(_line_of(F.col("num"))).alias("drop"))
