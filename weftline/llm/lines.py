@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from weftline.llm.common import written
 
 SIMILAR = (4, 5)  # 0.8, as a fraction
-#: lines of fewer words are left alone
+#: lines of fewer words are like equal ones only, so they are not looked up; also the default floor of :func:`dedup`
 MIN_WORDS = 5
 BUCKETS = 1 << 18
 #: lines of a word that is looked up by itself, at most
@@ -46,8 +46,8 @@ def _mix(h: np.ndarray, salt: int) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def sets_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, line) of each line with ``MIN_WORDS`` different words, and (line's place in those, word hash) sorted by both."""
+def sets_of(texts: pa.Array, floor: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, line) of each line with ``floor`` different words, and (line's place in those, word hash) sorted by both."""
     lines = pc.split_pattern(pc.ascii_lower(texts), "\n")
     text_of = np.repeat(np.arange(len(lines)), np.diff(lines.offsets.to_numpy()))
     number = np.arange(len(text_of)) - np.repeat(lines.offsets.to_numpy()[:-1] - lines.offsets.to_numpy()[0], np.diff(lines.offsets.to_numpy()))
@@ -65,7 +65,7 @@ def sets_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     new[1:] = (at[1:] != at[:-1]) | (h[1:] != h[:-1])
     at, h = at[new], h[new]
     size = np.bincount(at, minlength=len(text_of))
-    able = size >= MIN_WORDS
+    able = size >= floor
     place = np.cumsum(able) - 1
     use = able[at]
     return text_of[able], number[able], place[at[use]], h[use]
@@ -120,7 +120,7 @@ def _line_of(number):
     return number.bitwiseAND((1 << _LINE) - 1).cast("int")
 
 
-def _survey(base: DataFrame) -> DataFrame:
+def _survey(base: DataFrame, floor: int) -> DataFrame:
     """Lines (num, id, id2) and, with null id2, counts of lines by word bucket (num, id)."""
 
     def run(batches):
@@ -128,7 +128,7 @@ def _survey(base: DataFrame) -> DataFrame:
         for b in batches:
             for s in range(0, b.num_rows, _SLICE):
                 row = b.column(0).slice(s, _SLICE).to_numpy()
-                text, line, place, h = sets_of(_texts(b.column(1).slice(s, _SLICE), unzip))
+                text, line, place, h = sets_of(_texts(b.column(1).slice(s, _SLICE), unzip), floor)
                 counts += np.bincount((h >> np.uint64(46)).astype(np.int64), minlength=BUCKETS)
                 one, two, _, _ = signatures(place, h, len(text))
                 yield pa.RecordBatch.from_arrays([pa.array(numbers(row[text], line)), pa.array(one), pa.array(two)], names=["num", "id", "id2"])
@@ -318,15 +318,15 @@ def _verified(pairs: DataFrame, full: DataFrame) -> DataFrame:
     return both.where(shared * down >= (F.size("aw") + F.size("bw") - shared) * up).select(F.col("x").alias("num")).distinct()
 
 
-def dedup(docs: DataFrame, text: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, text: str = "text", floor: int = MIN_WORDS) -> DataFrame:
     """``docs`` with ``text`` less its removed lines, and n_lines, n_removed.
 
     A line goes if its set of words (A-Z lower-cased, parted by ASCII white space) is equal to that of an earlier line, or of
     Jaccard similarity 0.8 or more to it; earlier in the order of the input, in any row, removed or not.  Lines of fewer than
-    five different words, blank ones too, always stay.  Null texts stay null and have no lines; a text all of whose lines go
+    ``floor`` different words always stay; with 1, as op1 and the pipeline have it, those are the blank ones only.  Null texts stay null and have no lines; a text all of whose lines go
     becomes empty.  An empty table gives no rows."""
     base = _base(docs, text)
-    survey = _survey(base)
+    survey = _survey(base, floor)
     cells = survey.where(F.col("id2").isNull()).groupBy("num").agg(F.sum("id").alias("n")).toArrow()
     rarity = np.zeros(BUCKETS, np.int64)
     rarity[cells.column("num").to_numpy()] = cells.column("n").to_numpy()

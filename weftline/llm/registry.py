@@ -9,7 +9,7 @@ from weftline.llm.common import table, training_row, written
 
 
 def op1_line_dedup(spark, sf_dir):
-    kept = lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), floor=1)
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
