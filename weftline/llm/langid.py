@@ -98,12 +98,12 @@ def infer(model: Model, text: str | None, price: float = 1.0) -> tuple[str, floa
 def fit(docs: DataFrame, train, text: str = "text", lang: str = "lang", rows: int = FIT_ROWS) -> Model:
     """Learn from the rows where ``train`` holds and ``lang`` is not null.
 
-    About ``rows`` documents of each language are read (all, where there are fewer): those whose text's hash is in the lowest
-    part of the hash range, the part being ``rows`` over the language's number of documents.  Copies of one text count once.
+    About ``rows`` different texts of each language are read (all, where there are fewer): those whose hash is in the lowest
+    part of the hash range, the part being ``rows`` over the language's number of different texts.  Copies count once.
     Rows without text teach nothing."""
     name, spread = F.col(lang).cast("string"), F.xxhash64(F.col(text))
     able = docs.where(train & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = {r.l: r.n for r in able.groupBy(name.alias("l")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r.l: r.n for r in able.select(name.alias("l"), spread.alias("h")).distinct().groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return Model((), np.zeros((0, BUCKETS), np.float32))
     langs = tuple(sorted(counts))
