@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from weftline.llm.common import written
 from weftline.llm.html_dom import BLOCK, RAW, Node, match, outline, parse, text_of
 
-#: characters of a page that can be its host's pattern, at most
+#: a longer page (in characters) is its host's pattern only where all others are blank or longer too
 PATTERN_CHARS = 200_000
 #: pages that a host must have for a template; share of them with the node, and with the same text
 MIN_PAGES, FOUND, SAME = 3, 0.3, 0.9
@@ -155,9 +155,11 @@ def _with_patterns(pages: DataFrame, patterns: DataFrame) -> DataFrame:
 
 
 def patterns_of(pages: DataFrame) -> DataFrame:
-    """(host, pages, hot, pattern) of hosts with enough pages; the pattern is the page of the smallest id."""
+    """(host, pages, hot, pattern) of hosts with enough pages; the pattern is the page of the smallest id that is neither blank nor long, or
+    else the shortest that is not blank."""
     total = pages.count()
-    fit = F.when(F.length("html") <= PATTERN_CHARS, F.col("page_id"))
+    long = F.length("html") > PATTERN_CHARS
+    fit = F.when(F.col("html").rlike(r"\S"), F.struct(long, F.when(long, F.length("html")), F.col("page_id").isNull(), "page_id", F.xxhash64("html")))
     made = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), F.min_by("html", fit).alias("pattern"))
     return written(made.where((F.col("pages") >= MIN_PAGES) & F.col("pattern").isNotNull() & (F.col("host") != "")).withColumn("hot", F.col("pages") > total * HOT_SHARE), "patterns")
 
