@@ -1,368 +1,346 @@
 """Line deduplication by an exact set-similarity join.
 
-A line is the set of its words.  Words are ordered by rarity; two sets of Jaccard similarity ``SIMILAR`` share a word among
-the first few of both (prefix filter), at places that leave room for the overlap (positional filter), and are of like size
-(length filter).  A 64-bit parity sketch of the set bounds the symmetric difference from below and drops nearly all other
-pairs, none wrongly.  What is left is verified on the full sets.  A line that is like an earlier one is removed.
-
-Rarity is counted over all lines in a fixed number of buckets; any order is right, a good one is fast.  A word of more than
-``COMMON`` lines is not looked up by itself: if it is the rarest common word of two lines, their next common word follows
-it within a prefix one word longer, so such words are looked up in pairs.  A line needs one earlier match only: each lookup
-names the likeliest one, and all others just for lines of which no named one held.
+A line is the set of its words.  Words are ordered by rarity; two sets of Jaccard similarity 0.8 share a word among the first
+few of both (prefix filter), at places that leave room for the overlap (positional filter, which implies that of lengths).  A
+parity sketch of each set bounds the symmetric difference from below and drops nearly all other pairs, none wrongly.  What is
+left is verified on the full sets.  A line that is like an earlier one is removed.
+
+Only distinct sets take part, under numbers in the order of their first lines.  Rarity is counted over all lines in a fixed
+number of buckets; any order is right, a good one is fast.  A word of more than ``COMMON`` lines is looked up together with
+each next word of a prefix longer by one, which is exact too.  The sets of a key that may have more than ``LEADERS`` are dealt
+to parts; a set that has found no match in its own part asks all others.  A line needs one earlier match only: each lookup
+names the nearest, the nearest of all is verified, and all others only for lines of which it did not hold.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import written
+from weftline.llm import linesets as L
+from weftline.llm.common import drop_written, written
+from weftline.llm.linesets import SIMILAR, prefix_of
+from weftline.llm.linesets import mix as _mix
+
+__all__ = ["SIMILAR", "prefix_of", "_mix", "dedup"]
 
-SIMILAR = (4, 5)  # 0.8, as a fraction
 #: lines of fewer words are like equal ones only, so they are not looked up; also the default floor of :func:`dedup`
 MIN_WORDS = 5
-BUCKETS = 1 << 18
 #: lines of a word that is looked up by itself, at most
-COMMON = 1500
+COMMON = 4096
 #: lines of so many words are looked up by single words, however common; lines of fewer than LONG * 5 / 4 as all others
 LONG = 320
-#: lines of one pair of words that all others of it are held against at first
-LEADERS = 4096
-#: nearest earlier lines that a line names for each lookup
-NAMED = 3
-_SLICE = 400
-
-
-def _mix(h: np.ndarray, salt: int) -> np.ndarray:
-    h = (h ^ np.uint64(salt)) * np.uint64(0xFF51AFD7ED558CCD)
-    h ^= h >> np.uint64(33)
-    h *= np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> np.uint64(29))
-
-
-def sets_of(texts: pa.Array, floor: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, line) of each line with ``floor`` different words, and (line's place in those, word hash) sorted by both."""
-    lines = pc.split_pattern(pc.ascii_lower(texts), "\n")
-    text_of = np.repeat(np.arange(len(lines)), np.diff(lines.offsets.to_numpy()))
-    number = np.arange(len(text_of)) - np.repeat(lines.offsets.to_numpy()[:-1] - lines.offsets.to_numpy()[0], np.diff(lines.offsets.to_numpy()))
-    words = pc.ascii_split_whitespace(lines.flatten())
-    flat = words.flatten().dictionary_encode()
-    names = flat.dictionary.to_pylist()
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in names), np.uint64, len(names))
-    blank = np.array([not w for w in names], dtype=bool)
-    at, word = np.repeat(np.arange(len(words)), np.diff(words.offsets.to_numpy())), flat.indices.to_numpy()
-    keep = ~blank[word] if len(names) else np.zeros(0, bool)
-    at, h = at[keep], hashes[word[keep]]
-    order = np.lexsort((h, at))
-    at, h = at[order], h[order]
-    new = np.ones(len(at), bool)
-    new[1:] = (at[1:] != at[:-1]) | (h[1:] != h[:-1])
-    at, h = at[new], h[new]
-    size = np.bincount(at, minlength=len(text_of))
-    able = size >= floor
-    place = np.cumsum(able) - 1
-    use = able[at]
-    return text_of[able], number[able], place[at[use]], h[use]
-
-
-def signatures(place: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(id, second id, parity sketch, size) of each of ``n`` sets; the two ids together name a set."""
-    starts = np.searchsorted(place, np.arange(n))
-    if not n:
-        return tuple(np.zeros(0, np.int64) for _ in range(4))
-    one, two = np.add.reduceat(_mix(h, 1), starts), np.add.reduceat(_mix(h, 2), starts)
-    sketch = np.bitwise_xor.reduceat(np.uint64(1) << (_mix(h, 3) & np.uint64(63)), starts)
-    return one.view(np.int64), two.view(np.int64), sketch.view(np.int64), np.diff(np.append(starts, len(place)))
-
-
-def _texts(zs: pa.Array, unzip) -> pa.Array:
-    return pa.array([unzip.decompress(z) for z in zs.to_pylist()], pa.binary()).cast(pa.string(), safe=False)
-
-
-def _base(docs: DataFrame, text: str) -> DataFrame:
-    """``docs`` with ``__row`` and the text compressed in ``__z``; the text itself is left out."""
-    order = [f for f in docs.schema if f.name != text]
-    names = [f.name for f in order]
+#: lines of a key from which it is dealt to parts
+LEADERS = 16384
+#: bytes of a word in a packed prefix and in a packed set
+_TOKEN, _WORD = 5, 7
+#: fixed sizes: parts of a table that tasks add up, bits of a filter
+_CHUNKS, _BITS = 64, 1 << 25
+_HEAD = np.dtype([("n", "<u4"), ("one", "<i8"), ("two", "<i8")])
+
+
+def _added(rows: DataFrame, dtype: str, join) -> np.ndarray:
+    """The element-wise ``join`` of the tables whose compressed ``_CHUNKS`` parts are in ``rows`` (chunk int, z binary): of fixed size, whatever the input."""
 
     def run(batches):
-        zip_ = zstandard.ZstdCompressor(level=3)
+        unzip, zip_, held, total = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1), None, None
         for b in batches:
-            z = [None if t is None else zip_.compress(t) for t in b.column(len(names)).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names))), pa.array(z, pa.binary())], names=[*names, "__z"])
+            for chunk, z in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                part = np.frombuffer(unzip.decompress(z), dtype)
+                if chunk != held:
+                    if held is not None:
+                        yield pa.RecordBatch.from_pydict({"chunk": pa.array([held], pa.int32()), "z": [zip_.compress(total.tobytes())]})
+                    held, total = chunk, part.copy()
+                else:
+                    join(total, part, out=total)
+        if held is not None:
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array([held], pa.int32()), "z": [zip_.compress(total.tobytes())]})
+
+    whole = rows.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(run, "chunk int, z binary").toArrow().sort_by("chunk")
+    unzip = zstandard.ZstdDecompressor()
+    return np.concatenate([np.frombuffer(unzip.decompress(z), dtype) for z in whole.column("z").to_pylist()]) if whole.num_rows else np.zeros(0, dtype)
+
+
+def _chunks(table: np.ndarray) -> pa.RecordBatch:
+    zip_ = zstandard.ZstdCompressor(level=1)
+    return pa.RecordBatch.from_pydict({"chunk": pa.array(range(_CHUNKS), pa.int32()), "z": [zip_.compress(x.tobytes()) for x in table.reshape(_CHUNKS, -1)]})
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in order), "__z binary"])
-    return written(docs.select(*names, F.col(text).alias("__text")).mapInArrow(run, schema).withColumn("__row", F.monotonically_increasing_id()), "lines")
 
+def _filter(values: DataFrame) -> np.ndarray:
+    """A Bloom filter of the long column of ``values``; its size does not hang on theirs."""
 
-#: a line's number: 19 bits of partition, 24 of row in it, 20 of line in it; numbers follow the order of the input
-_ROW, _LINE = 24, 20
+    def run(batches):
+        bits = np.zeros(_BITS, bool)
+        for b in batches:
+            for at in _cells(b.column(0).to_numpy()):
+                bits[at] = True
+        yield _chunks(np.packbits(bits))
+
+    return _added(values.mapInArrow(run, "chunk int, z binary"), "u1", np.bitwise_or)
 
 
-def numbers(row: np.ndarray, line: np.ndarray) -> np.ndarray:
-    part, at = row >> 33, row & ((1 << 33) - 1)
-    if len(row) and (part.max() >> 19 or at.max() >> _ROW or line.max() >> _LINE):
-        raise ValueError("more than 2**19 partitions, 2**24 rows in one or 2**20 lines in a text; repartition the input")
-    return (part << (_ROW + _LINE)) | (at << _LINE) | line
+def _cells(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    h = L.mix(values.view(np.uint64), 9)
+    return (h & np.uint64(_BITS - 1)).astype(np.int64), (h >> np.uint64(32) & np.uint64(_BITS - 1)).astype(np.int64)
 
 
-def _row_of(number):
-    part, at = F.shiftright(number, _ROW + _LINE), F.shiftright(number, _LINE).bitwiseAND((1 << _ROW) - 1)
-    return F.shiftleft(part, 33).bitwiseOR(at)
+def _inside(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    if not len(bits):
+        return np.zeros(len(values), bool)
+    return np.logical_and.reduce([(bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool) for at in _cells(values)])
 
 
-def _line_of(number):
-    return number.bitwiseAND((1 << _LINE) - 1).cast("int")
+def _raw(column: pa.Array) -> list:
+    return column.cast(pa.binary()).to_pylist()
 
 
-def _survey(base: DataFrame, floor: int) -> DataFrame:
-    """Lines (num, id, id2) and, with null id2, counts of lines by word bucket (num, id)."""
+def _ranks(texts: DataFrame, floor: int) -> np.ndarray:
+    """How common the words of each bucket are, over all lines."""
 
     def run(batches):
-        unzip, counts = zstandard.ZstdDecompressor(), np.zeros(BUCKETS, np.int64)
+        counts = np.zeros(1 << L.BUCKET_BITS, np.uint32)
         for b in batches:
-            for s in range(0, b.num_rows, _SLICE):
-                row = b.column(0).slice(s, _SLICE).to_numpy()
-                text, line, place, h = sets_of(_texts(b.column(1).slice(s, _SLICE), unzip), floor)
-                counts += np.bincount((h >> np.uint64(46)).astype(np.int64), minlength=BUCKETS)
-                one, two, _, _ = signatures(place, h, len(text))
-                yield pa.RecordBatch.from_arrays([pa.array(numbers(row[text], line)), pa.array(one), pa.array(two)], names=["num", "id", "id2"])
-        some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some]), pa.nulls(len(some), pa.int64())], names=["num", "id", "id2"])
-
-    return written(base.where(F.col("__z").isNotNull()).select("__row", "__z").mapInArrow(run, "num long, id long, id2 long"), "survey")
-
-
-def prefix_of(n: np.ndarray) -> np.ndarray:
-    a, b = SIMILAR
-    return n - -(-n * a // b) + 1
-
-
-def lookups(n: np.ndarray, seen: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(line, key, place of the key's first word) by which lines are looked up; words of each line from the rarest on."""
-    start = np.cumsum(n) - n
-    line = np.repeat(np.arange(len(n)), n)
-    pos = np.arange(len(h)) - start[line]
-    short, long = prefix_of(n), n >= LONG
-    inside, usual = pos < short[line], (n * 4 <= LONG * 5)[line]
-    single = inside & usual & (seen > 1) & (seen <= COMMON)
-    far = inside & long[line]
-    out = [(line[single], h[single], pos[single]), (line[far], _mix(h[far], 5), pos[far])]
-    common = np.flatnonzero(inside & usual & (seen > COMMON))
-    step = 1
-    while len(common):  # the step-th word after each, within a prefix longer by one
-        common = common[pos[common] + step <= short[line[common]]]
-        common = common[pos[common] + step < n[line[common]]]
-        out.append((line[common], _mix(h[common], 6) + _mix(h[common + step], 7), pos[common]))
-        step += 1
-    return tuple(np.concatenate(x) for x in zip(*out))
-
-
-def _postings(base: DataFrame, lists: DataFrame, rarity: np.ndarray) -> DataFrame:
-    """(key, num, sketch, size) of the lookups of the lines named in ``lists`` (r, lines); size: words << 12 | place."""
-    sent = base.sparkSession.sparkContext.broadcast(rarity)
+            for s in L.sets_of(_raw(b.column(0)), floor):
+                counts += np.bincount(L.bucket(s.words), minlength=len(counts)).astype(np.uint32)
+        yield _chunks(counts)
+
+    found = _added(texts.select("__text").mapInArrow(run, "chunk int, z binary"), "<u4", np.add)
+    return L.ranks(found) if len(found) else np.zeros(1 << L.BUCKET_BITS, np.uint8)
+
+
+def _sets(texts: DataFrame, floor: int, rank: np.ndarray) -> DataFrame:
+    """The distinct sets (num, id, first: where it comes first, blob: size, sketches and prefix), numbered in that order."""
+    sent = texts.sparkSession.sparkContext.broadcast(rank)
 
     def run(batches):
-        unzip, count = zstandard.ZstdDecompressor(), sent.value
+        seen, done = sent.value, set()
         for b in batches:
-            for s in range(0, b.num_rows, _SLICE):
-                row, wanted = b.column(0).slice(s, _SLICE).to_numpy(), b.column(2).slice(s, _SLICE)
-                text, line, place, h = sets_of(_texts(b.column(1).slice(s, _SLICE), unzip))
-                num = numbers(row[text], line)
-                want = numbers(np.repeat(row, pc.list_value_length(wanted).to_numpy()), pc.list_flatten(wanted).to_numpy().astype(np.int64))
-                use = np.isin(num, want)
-                keep = use[place]
-                place, h, num = (np.cumsum(use) - 1)[place[keep]], h[keep], num[use]
-                _, _, sketch, n = signatures(place, h, len(num))
-                seen = count[(h >> np.uint64(46)).astype(np.int64)]
-                order = np.lexsort((h, seen, place))
-                at, key, pos = lookups(n, seen[order], h[order])
-                for k in range(0, len(at), 1 << 16):
-                    c = slice(k, k + (1 << 16))
-                    yield pa.RecordBatch.from_arrays([pa.array(key[c].view(np.int64)), pa.array(num[at[c]]), pa.array(sketch[at[c]]), pa.array((n[at[c]] << 12) | np.minimum(pos[c], 4095))], names=["key", "num", "sketch", "size"])
-
-    both = base.select("__row", "__z").join(lists, F.col("__row") == F.col("r")).select("__row", "__z", "lines")
-    return both.mapInArrow(run, "key long, num long, sketch long, size long")
-
-
-def _passes(x, y) -> np.ndarray:
-    """The length, positional and sketch filters between lines (num, sketch, size), all of ``x`` against all of ``y``; only an
-    earlier ``y`` passes.  Gives the distance of the sketches, 255 where the pair is out."""
-    up, down = SIMILAR
-    na, nb = (x[2] >> 12)[:, None], (y[2] >> 12)[None, :]
-    pa_, pb = (x[2] & 4095)[:, None], (y[2] & 4095)[None, :]
-    need = -(-(na + nb) * up // (up + down))
-    apart = np.bitwise_count(x[1][:, None] ^ y[1][None, :]).astype(np.int64)
-    able = (apart <= na + nb - 2 * need) & (np.minimum(na, nb) * down >= np.maximum(na, nb) * up) & (1 + np.minimum(na - pa_, nb - pb) - 1 >= need) & (y[0][None, :] < x[0][:, None])
-    return np.where(able, apart, 255)
-
-
-def named_matches(group: tuple, every: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(line, earlier line, distance, whether there are more) for the lines of one key (num, sketch, size), in order of num;
-    ``every`` (flags): all pairs of those lines only.
-
-    Without ``every`` each line names its ``NAMED`` nearest.  A large key's lines are held against its leaders; one that is
-    near none of them names nobody (-1) but may have more."""
-    size = len(group[0])
-    against = size if every is not None else min(size, LEADERS)
-    todo = np.flatnonzero(every) if every is not None else np.arange(size)
-    out = []
-    for at in range(0, len(todo), 256):
-        rows = todo[at : at + 256]
-        x, y = tuple(c[rows] for c in group), tuple(c[: min(against, rows[-1] + 1)] for c in group)
-        far = _passes(x, y)
-        count = (far < 255).sum(axis=1)
-        blind = (rows >= against) & (every is None)
-        if not (count.any() or blind.any()):
-            continue
-        if every is None and far.shape[1] > NAMED:
-            limit = np.partition(far, NAMED - 1, axis=1)[:, NAMED - 1 : NAMED]
-            keep = (far <= limit) & (far < 255)
-            keep &= np.cumsum(keep, axis=1) <= NAMED
-        else:
-            keep = far < 255
-        i, j = np.nonzero(keep)
-        more = (count > keep.sum(axis=1)) | blind
-        out.append((x[0][i], y[0][j], far[i, j], more[i]))
-        none = np.flatnonzero(blind & (count == 0))
-        out.append((x[0][none], np.full(len(none), -1), np.full(len(none), 255), np.ones(len(none), bool)))
-    return tuple(np.concatenate(c) for c in zip(*out)) if out else tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, bool))
-
-
-def small_matches(key: np.ndarray, num: np.ndarray, sketch: np.ndarray, size: np.ndarray, most: int = 12) -> tuple:
-    """As :func:`named_matches` for many keys of ``most`` lines or fewer at once: all pairs that pass."""
-    up, down = SIMILAR
-    n, pos, out = size >> 12, size & 4095, []
-    for step in range(1, most):
-        i = np.flatnonzero(key[step:] == key[:-step])
-        if not len(i):
-            break
-        j = i + step  # the later line
-        total = n[i] + n[j]
-        need = -(-total * up // (up + down))
-        apart = np.bitwise_count(sketch[i] ^ sketch[j]).astype(np.int64)
-        ok = (apart <= total - 2 * need) & (np.minimum(n[i], n[j]) * down >= np.maximum(n[i], n[j]) * up) & (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need)
-        out.append((num[j[ok]], num[i[ok]], apart[ok], np.zeros(int(ok.sum()), bool)))
-    return tuple(np.concatenate(c) for c in zip(*out)) if out else tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, bool))
-
-
-def _candidates(post: DataFrame, every: bool = False) -> DataFrame:
-    """(x, y, far, more) by :func:`named_matches`; with ``every`` for the lines of which column ``open`` is true."""
+            for s in L.sets_of(_raw(b.column(2)), floor):
+                one, two = s.ids()
+                new = np.array([not (i in done or done.add(i)) for i in one.tolist()], bool)
+                fresh = s.only(new)
+                head = np.zeros(len(fresh.n), _HEAD)
+                head["n"], (head["one"], head["two"]) = fresh.n, fresh.sketches()
+                take, token = L.prefixes(fresh, seen)
+                take = np.where(fresh.n >= MIN_WORDS, take, 0)
+                raw = L.packed(token, _TOKEN).tobytes()
+                end = np.cumsum(np.minimum(L.prefix_of(fresh.n) + 1, fresh.n)) * _TOKEN
+                begin = np.concatenate([[0], end[:-1]])
+                heads = head.tobytes()
+                k = _HEAD.itemsize
+                made = iter([heads[i * k : i * k + k] + raw[a : a + t] for i, (a, t) in enumerate(zip(begin.tolist(), (take * _TOKEN).tolist()))])
+                blobs = [next(made) if n else b"" for n in new.tolist()]
+                of = pa.array(s.text)
+                yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), b.column(0).take(of), b.column(1).take(of), pa.array(s.line, pa.int64()), pa.array(blobs, pa.binary())], names=["id", "id2", "by", "tie", "line", "blob"])
+
+    by = texts.schema["__by"].dataType.simpleString()
+    rows = texts.select("__by", "__tie", "__text").mapInArrow(run, f"id long, id2 long, by {by}, tie long, line long, blob binary")
+    sets = rows.groupBy("id", "id2").agg(F.min(F.struct("by", "tie", "line")).alias("first"), F.max("blob").alias("blob"))
+    return written(sets.sort("first").select(F.monotonically_increasing_id().alias("num"), "id", "first", "blob"), "sets")
+
+
+_POSTING = "key long, num long, size long, one long, two long"
+
+
+def _postings(sets: DataFrame, sizes: tuple[int, int, int], ask: bool = False, only: np.ndarray | None = None) -> DataFrame:
+    """The lookups of ``sets`` (num, blob); with ``ask`` in all parts of their keys, with ``only`` (a filter) of its keys.
+
+    size: words << 21 | place << 1 | whether the key has parts."""
+    sent = sets.sparkSession.sparkContext.broadcast((sizes, only))
 
     def run(batches):
-        held = None
-
-        def work(t: pa.Table):
-            t = t.sort_by([("key", "ascending"), ("num", "ascending")])
-            key, num, size = (t.column(c).to_numpy() for c in ("key", "num", "size"))
-            sketch, open_ = t.column("sketch").to_numpy().view(np.uint64), t.column("open").to_numpy() if every else None
-            edges = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
-            count = np.diff(edges)
-            small = np.repeat(count <= (0 if every else 12), count)
-            out = [small_matches(key[small], num[small], sketch[small], size[small])]
-            for g in np.flatnonzero(count > (1 if every else 12)).tolist():
-                c = slice(edges[g], edges[g + 1])
-                if not every or open_[c].any():
-                    out.append(named_matches((num[c], sketch[c], size[c]), open_[c] if every else None))
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["x", "y", "far", "more"])
-
-        parts: list[pa.RecordBatch] = []
+        (common, long, leaders), wanted = sent.value
         for b in batches:
+            for at in range(0, b.num_rows, 4096):
+                num, blobs = b.column(0).slice(at, 4096).to_numpy(), b.column(1).slice(at, 4096).to_pylist()
+                use = np.array([len(x) > _HEAD.itemsize for x in blobs], bool)
+                num, blobs = num[use], [x for x in blobs if len(x) > _HEAD.itemsize]
+                head = np.frombuffer(b"".join(x[: _HEAD.itemsize] for x in blobs), _HEAD)
+                token = L.unpacked(np.frombuffer(b"".join(x[_HEAD.itemsize :] for x in blobs), np.uint8), _TOKEN)
+                count = np.array([(len(x) - _HEAD.itemsize) // _TOKEN for x in blobs], np.int64)
+                n = head["n"].astype(np.int64)
+                of, key, pos, lines = L.lookups(n, count, token, common, long)
+                parts = np.maximum(1, np.ceil(lines / leaders)).astype(np.int64)
+                if ask:
+                    again = np.repeat(np.arange(len(of)), parts)
+                    part = np.arange(len(again)) - (np.cumsum(parts) - parts)[again]
+                    of, key, pos, parts = of[again], key[again], pos[again], parts[again]
+                else:
+                    part = (L.mix(num.view(np.uint64), 8)[of] % parts.astype(np.uint64)).astype(np.int64)
+                key = (L.mix(key + part.astype(np.uint64), 10) >> np.uint64(24)).view(np.int64)
+                if wanted is not None:
+                    of, key, pos, parts = (c[ok] for ok in [_inside(wanted, key)] for c in (of, key, pos, parts))
+                size = (n[of] << 21) | (np.minimum(pos, (1 << 20) - 1) << 1) | (parts > 1)
+                for s in range(0, len(of), 1 << 16):
+                    c = slice(s, s + (1 << 16))
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[c], num[of[c]], size[c], head["one"][of[c]], head["two"][of[c]])], names=["key", "num", "size", "one", "two"])
+
+    return sets.select("num", "blob").mapInArrow(run, _POSTING)
+
+
+def _matches(post: DataFrame) -> DataFrame:
+    """(x, y, far, more) by :func:`weftline.llm.linesets.matches`, key by key."""
+
+    def work(t: pa.Table) -> pa.RecordBatch:
+        c = {k: t.column(k).to_numpy() for k in t.column_names}
+        size, i32 = c["size"], np.int32
+        p = L.Postings(c["key"], c["num"], (size >> 21).astype(np.int64), ((size >> 1) & ((1 << 20) - 1)).astype(np.int64), (size & 1).astype(bool), c["one"].view(np.uint64), c["two"].view(np.uint64), c.get("ask"))
+        x, y, far, more = L.matches(p)
+        return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(far.astype(i32)), pa.array(more)], names=["x", "y", "far", "more"])
+
+    def run(batches):
+        parts, held, rows = [], None, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
             parts.append(b)
-            last = b.column(0)[b.num_rows - 1].as_py() if b.num_rows else None
-            if b.num_rows and b.column(0)[0].as_py() == last and len(parts) > 1 and held == last:
-                continue  # still one key
-            held = last
+            rows += b.num_rows
+            last = b.column(0)[b.num_rows - 1].as_py()
+            if rows < 1 << 16 or last == held and b.column(0)[0].as_py() == last:
+                continue  # a few rows, or still one key
             whole = pa.Table.from_batches(parts)
-            cut = int(np.searchsorted(whole.column("key").to_numpy(), last)) if last is not None else 0
+            cut = int(np.searchsorted(whole.column("key").to_numpy(), last))
             if cut:
                 yield work(whole.slice(0, cut))
-            parts = whole.slice(cut).combine_chunks().to_batches()
+            rest = whole.slice(cut)
+            parts, held, rows = rest.to_batches(), last, rest.num_rows
         if parts:
             yield work(pa.Table.from_batches(parts))
 
-    columns = ["key", "num", "sketch", "size", *(["open"] if every else [])]
-    return post.select(*columns).repartition("key").sortWithinPartitions("key").mapInArrow(run, "x long, y long, far long, more boolean")
+    return post.repartition("key").sortWithinPartitions("key", "num").mapInArrow(run, "x long, y long, far int, more boolean")
 
 
-def _words(pairs: DataFrame, base: DataFrame) -> DataFrame:
-    """(num, words) of all lines in ``pairs`` (x, y)."""
-    wanted = pairs.select(F.col("x").alias("w")).union(pairs.select("y")).distinct()
-    lists = wanted.groupBy(_row_of(F.col("w")).alias("r")).agg(F.collect_list(_line_of(F.col("w"))).alias("lines"))
+def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, floor: int) -> DataFrame:
+    """(x) of those of ``pairs`` (x, y) whose sets are similar enough, written."""
+    a, b = (sets.select(F.col("num").alias(f"{k}_"), F.col("id").alias(f"{k}i")) for k in "xy")
+    named = written(pairs.join(a, F.col("x") == F.col("x_")).join(b, F.col("y") == F.col("y_")).select("x", "xi", "yi"), "pairs")
+    sent = sets.sparkSession.sparkContext.broadcast(_filter(named.select("xi").union(named.select("yi"))))
 
-    def run(batches):
-        unzip = zstandard.ZstdDecompressor()
+    def words(batches):
+        wanted, done = sent.value, set()
         for b in batches:
-            for s in range(0, b.num_rows, _SLICE):
-                at, words = [], []
-                for row, z, want in zip(*(c.slice(s, _SLICE).to_pylist() for c in b.columns)):
-                    lines = unzip.decompress(z).lower().split(b"\n")
-                    at.append(numbers(np.full(len(want), row, np.int64), np.array(want, np.int64)))
-                    words += [np.unique(np.fromiter((xxhash.xxh64_intdigest(w) for w in lines[i].split()), np.uint64)).view(np.int64) for i in want]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(at)), pa.array(words, pa.list_(pa.int64()))], names=["num", "words"])
-
-    return written(base.select("__row", "__z").join(lists, F.col("__row") == F.col("r")).select("__row", "__z", "lines").mapInArrow(run, "num long, words array<long>"), "words")
-
-
-def _verified(pairs: DataFrame, full: DataFrame) -> DataFrame:
-    """(num) of the later line of each of ``pairs`` (x, y: the earlier) whose sets are similar enough."""
-    a, b = full.select(F.col("num").alias("a"), F.col("words").alias("aw")), full.select(F.col("num").alias("b"), F.col("words").alias("bw"))
-    both = pairs.select("x", "y").join(a, F.col("x") == F.col("a")).join(b, F.col("y") == F.col("b"))
-    up, down = SIMILAR
-    shared = F.size(F.array_intersect("aw", "bw"))
-    return both.where(shared * down >= (F.size("aw") + F.size("bw") - shared) * up).select(F.col("x").alias("num")).distinct()
-
-
-def dedup(docs: DataFrame, text: str = "text", floor: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with ``text`` less its removed lines, and n_lines, n_removed.
+            for s in L.sets_of(_raw(b.column(0)), floor):
+                one, _ = s.ids()
+                use = _inside(wanted, one)
+                use[use] = [not (i in done or done.add(i)) for i in one[use].tolist()]
+                s, one = s.only(use), one[use]
+                raw, end = L.packed(s.words, _WORD).tobytes(), (np.cumsum(s.n) * _WORD).tolist()
+                yield pa.RecordBatch.from_arrays([pa.array(one), pa.array([raw[i:k] for i, k in zip([0, *end], end)], pa.binary())], names=["id", "words"])
+
+    def judge(batches):
+        for b in batches:
+            ok = L.similar(b.column(1).to_pylist(), b.column(2).to_pylist(), _WORD)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok))], names=["x"])
+
+    full = texts.select("__text").mapInArrow(words, "id long, words binary").dropDuplicates(["id"])
+    a, b = (full.select(F.col("id").alias(f"{k}_"), F.col("words").alias(f"{k}w")) for k in "xy")
+    both = named.join(a, F.col("xi") == F.col("x_")).join(b, F.col("yi") == F.col("y_")).select("x", "xw", "yw")
+    found = written(both.mapInArrow(judge, "x long").distinct(), "gone")
+    drop_written(named)
+    return found
+
+
+def _kept(sets: DataFrame, texts: DataFrame, floor: int, sizes: tuple[int, int, int]) -> DataFrame:
+    """(by, tie, lines): the lines that stay, of each different text; written."""
+    spark = sets.sparkSession
+    near = _matches(_postings(sets, sizes)).groupBy("x").agg(F.min(F.struct("far", "y")).alias("b"), F.max("more").alias("more"), F.min(F.nullif("y", F.lit(-1))).alias("low"), F.max("y").alias("high"))
+    near = written(near.select("x", F.col("b.y").alias("y"), (F.col("more") | (F.col("low") < F.col("high"))).alias("more")), "named")
+    gone = [_verified(near.where("y >= 0").select("x", "y"), sets, texts, floor)]
+    open_ = written(near.where("more").select(F.col("x").alias("o")).join(gone[0], F.col("o") == F.col("x"), "left_anti"), "open")
+    drop_written(near)
+    if not open_.isEmpty():
+        asking = _postings(sets.join(open_, F.col("num") == F.col("o"), "left_semi"), sizes, ask=True)
+        post = _postings(sets, sizes, only=_filter(asking.select("key"))).withColumn("ask", F.lit(False))
+        rest = written(_matches(post.union(asking.withColumn("ask", F.lit(True)))).select("x", "y").distinct(), "rest")
+        gone.append(_verified(rest, sets, texts, floor))
+        drop_written(rest)
+    all_gone = reduce(DataFrame.union, gone).select(F.col("x").alias("g"))
+    stay = sets.select("num", "first").join(all_gone, F.col("num") == F.col("g"), "left_anti")
+    kept = written(stay.groupBy(F.col("first.by").alias("by"), F.col("first.tie").alias("tie")).agg(F.collect_list("first.line").alias("lines")), "kept")
+    for t in (open_, *gone):
+        drop_written(t)
+    return kept
+
+
+def dedup(docs: DataFrame, text: str = "text", floor: int = MIN_WORDS, order: tuple[str, ...] | None = None, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """``docs`` with ``text`` less its removed lines, and two columns named by ``counts``: its lines, and those removed.
 
     A line goes if its set of words (A-Z lower-cased, parted by ASCII white space) is equal to that of an earlier line, or of
-    Jaccard similarity 0.8 or more to it; earlier in the order of the input, in any row, removed or not.  Lines of fewer than
-    ``floor`` different words always stay; with 1, as op1 and the pipeline have it, those are the blank ones only.  Null texts stay null and have no lines; a text all of whose lines go
-    becomes empty.  An empty table gives no rows."""
-    base = _base(docs, text)
-    survey = _survey(base, floor)
-    cells = survey.where(F.col("id2").isNull()).groupBy("num").agg(F.sum("id").alias("n")).toArrow()
-    rarity = np.zeros(BUCKETS, np.int64)
-    rarity[cells.column("num").to_numpy()] = cells.column("n").to_numpy()
-    line = survey.where(F.col("id2").isNotNull())
-    sets = written(line.groupBy("id", "id2").agg(F.min("num").alias("first")), "sets")
-    lists = sets.groupBy(_row_of(F.col("first")).alias("r")).agg(F.collect_list(_line_of(F.col("first"))).alias("lines"))
-    named = written(_candidates(_postings(base, lists, rarity)).groupBy("x", "y").agg(F.min("far").alias("far"), F.max("more").alias("more")), "named")
-    full = _words(named.where("y >= 0"), base)
-    # the nearest of each line first; the others only where it doesn't hold
-    best = named.where("y >= 0").groupBy("x").agg(F.min(F.struct("far", "y")).alias("b")).select("x", F.col("b.y").alias("y"))
-    gone = written(_verified(best, full), "gone")
-    left = named.join(gone, F.col("x") == F.col("num"), "left_anti")
-    gone = written(gone.union(_verified(left.where("y >= 0"), full)).distinct(), "gone")
-    still = written(left.where("more").select(F.col("x").alias("o")).distinct().join(gone, F.col("o") == F.col("num"), "left_anti").select("o"), "open")
-    if not still.isEmpty():
-        post = _postings(base, lists, rarity).join(still, F.col("num") == F.col("o"), "left").withColumn("open", F.col("o").isNotNull())
-        rest = written(_candidates(post, every=True).select("x", "y").distinct(), "rest")
-        gone = written(gone.union(_verified(rest, _words(rest, base))).distinct(), "gone")
-    firsts = sets.join(gone, F.col("first") == F.col("num"), "left").select(F.col("id").alias("s1"), F.col("id2").alias("s2"), "first", F.col("num").isNotNull().alias("gone"))
-    drop = line.join(firsts, (F.col("id") == F.col("s1")) & (F.col("id2") == F.col("s2"))).where(F.col("gone") | (F.col("num") > F.col("first")))
-    lists = drop.groupBy(_row_of(F.col("num")).alias("r")).agg(F.collect_list(_line_of(F.col("num"))).alias("drop"))
-    order = [f for f in docs.schema if f.name not in ("n_lines", "n_removed")]
-    names = [f.name for f in order]
-    rest = [n for n in names if n != text]
+    Jaccard similarity 0.8 or more to it, in any row, removed or not.  Earlier is by the columns ``order`` (doc_id where there
+    is one; nulls first), then by a hash of the text, then by the place in it, so that neither files nor partitions count;
+    of rows equal in all that, one is the first.  Lines of fewer than ``floor`` different words always stay; with 1, as op1
+    and the pipeline have it, those are the blank ones only.  Null texts stay null and have no lines; a text all of whose
+    lines go becomes empty.  An empty table gives no rows.  Other columns keep their values, whatever their names."""
+    order = tuple(c for c in ("doc_id",) if c in docs.columns) if order is None else order
+    by = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(order)), F.lit(0).alias("z"))
+    texts = docs.where(F.col(text).isNotNull()).select(by.alias("__by"), F.xxhash64(text).alias("__tie"), F.col(text).alias("__text"))
+    sets = _sets(texts, floor, _ranks(texts, floor))
+    kept = _kept(sets, texts, floor, (COMMON, LONG, LEADERS))
+    drop_written(sets)
+    return _cut(docs, text, by, kept, floor, counts)
+
+
+def _cut(docs: DataFrame, text: str, by, kept: DataFrame, floor: int, counts: tuple[str, str]) -> DataFrame:
+    """The rows of ``docs`` meet the lists of their lines.  Of rows that are equal in order and text, all but the first of a task leave
+    the common key at once: only their blank lines stay."""
+    fields = [f for f in docs.schema if f.name not in counts]
+    names, place = [f.name for f in fields], [f.name for f in fields].index(text)
+    rest = [f"`{n}`" for n in names if n != text]
+
+    def slim(batches):
+        zip_, done = zstandard.ZstdCompressor(level=1), set()
+        for b in batches:
+            kind, spread = [], []
+            for k, t in enumerate(b.column(2).to_pylist()):
+                again = t is not None and t in done
+                done.add(t)
+                kind.append(2 if again else 1)
+                spread.append(len(done) * 1009 + k if again else 0)
+            z = [None if t is None else zip_.compress(t) for t in b.column(3).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(4), pa.array(z, pa.binary()), pa.array(kind, pa.int32()), pa.array(spread, pa.int64())], names=["rest", "by", "tie", "z", "kind", "spread"])
+
+    kinds = {"rest": F.struct(F.lit(0).alias("__0"), *rest), "by": by}
+    probe = docs.select(*(c.alias(n) for n, c in kinds.items()))
+    rest_type, by_type = (probe.schema[n].dataType.simpleString() for n in ("rest", "by"))
+    tie = F.xxhash64(text)
+    rows = docs.select(kinds["rest"].alias("rest"), by.alias("by"), F.xxhash64(by, tie).alias("key"), F.col(text).alias("__text"), tie.alias("tie"))
+    rows = rows.mapInArrow(slim, f"rest {rest_type}, by {by_type}, tie long, z binary, kind int, spread long").withColumn("lines", F.lit(None).cast("array<long>"))
+    lists = kept.select(F.lit(None).cast(rest_type).alias("rest"), "by", "tie", F.lit(None).cast("binary").alias("z"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("spread"), "lines")
+    both = rows.unionByName(lists).withColumn("at", F.when(F.col("kind") == 2, F.xxhash64("tie", "spread")).otherwise(F.xxhash64("by", "tie")))
+    met = both.repartition("at").sortWithinPartitions("at", "by", "tie", "kind").select("rest", "by", "tie", "z", "kind", "lines")
+
+    def takes_part(line: bytes) -> bool:
+        return bool(line.strip()) if floor <= 1 else len(set(line.lower().split())) >= floor
 
     def cut(batches):
-        unzip = zstandard.ZstdDecompressor()
+        unzip, held, lines = zstandard.ZstdDecompressor(), None, frozenset()
         for b in batches:
-            texts, lines, removed = [], [], []
-            for z, out in zip(b.column(len(rest)).to_pylist(), b.column(len(rest) + 1).to_pylist()):
-                parts, out = unzip.decompress(z).split(b"\n") if z is not None else None, set(out or ())
-                texts.append(None if parts is None else b"\n".join(x for i, x in enumerate(parts) if i not in out))
-                lines.append(len(parts or ()))
-                removed.append(len(out))
-            columns = dict(zip(rest, b.columns)) | {text: pa.array(texts, pa.binary()).cast(pa.string(), safe=False)}
-            yield pa.RecordBatch.from_arrays([*(columns[n] for n in names), pa.array(lines, pa.int64()), pa.array(removed, pa.int64())], names=[*names, "n_lines", "n_removed"])
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in order), "n_lines long, n_removed long"])
-    return base.join(lists, F.col("__row") == F.col("r"), "left").select(*rest, "__z", "drop").mapInArrow(cut, schema)
+            use, texts, n_lines, n_gone = [], [], [], []
+            for k, (by_, tie_, z, kind, list_) in enumerate(zip(*(b.column(c).to_pylist() for c in range(1, 6)))):
+                if kind == 0:
+                    held, lines = (by_, tie_), frozenset(list_)
+                    continue
+                use.append(k)
+                if z is None:
+                    texts.append(None)
+                    n_lines.append(0)
+                    n_gone.append(0)
+                    continue
+                stay = lines if kind == 1 and held == (by_, tie_) else frozenset()
+                if kind == 1:
+                    held = None  # a further copy has nothing left
+                parts = unzip.decompress(z).split(b"\n")
+                left = [p for i, p in enumerate(parts) if i in stay or not takes_part(p)]
+                texts.append(b"\n".join(left))
+                n_lines.append(len(parts))
+                n_gone.append(len(parts) - len(left))
+            columns = [c.take(pa.array(use, pa.int64())) for c in b.column(0).flatten()[1:]]
+            columns.insert(place, pa.array(texts, pa.binary()).cast(pa.string(), safe=False))
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_gone, pa.int64())], names=[*names, *counts])
+
+    return met.mapInArrow(cut, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), *(f"`{c}` long" for c in counts)]))
