@@ -18,8 +18,9 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm import linesets as L
@@ -39,8 +40,14 @@ LONG = 320
 LEADERS = 16384
 #: bytes of a word in a packed prefix and in a packed set
 _TOKEN, _WORD = 5, 7
+#: rows of (long) that may be broadcast: 16 MB at most; more go by a filter of fixed size
+BROADCAST_ROWS = 1_000_000
 #: fixed sizes: parts of a table that tasks add up, bits of a filter
 _CHUNKS, _BITS = 64, 1 << 25
+#: rows of texts that a task turns into Python's objects at once; postings that it holds back to hand them on in blocks
+_ROWS, _HELD = 512, 1 << 19
+#: fixed values: white space that parts words, letters that are lower-cased
+_BLANK, _UPPER = " \t\n\x0b\x0c\r", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _HEAD = np.dtype([("n", "<u4"), ("one", "<i8"), ("two", "<i8")])
 
 
@@ -95,18 +102,21 @@ def _inside(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
     return np.logical_and.reduce([(bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool) for at in _cells(values)])
 
 
-def _raw(column: pa.Array) -> list:
-    return column.cast(pa.binary()).to_pylist()
+def _raw(b: pa.RecordBatch, column: int):
+    """(first row, texts as bytes) of a batch, some rows at a time."""
+    for at in range(0, b.num_rows, _ROWS):
+        yield at, b.column(column).slice(at, _ROWS).cast(pa.binary()).to_pylist()
 
 
-def _ranks(texts: DataFrame, floor: int) -> np.ndarray:
-    """How common the words of each bucket are, over all lines."""
+def _ranks(texts: DataFrame) -> np.ndarray:
+    """How common the words of each bucket are, over all texts."""
 
     def run(batches):
         counts = np.zeros(1 << L.BUCKET_BITS, np.uint32)
         for b in batches:
-            for s in L.sets_of(_raw(b.column(0)), floor):
-                counts += np.bincount(L.bucket(s.words), minlength=len(counts)).astype(np.uint32)
+            for _, texts_ in _raw(b, 0):
+                for h in L.words_of(texts_):
+                    np.add.at(counts, L.bucket(h), np.uint32(1))
         yield _chunks(counts)
 
     found = _added(texts.select("__text").mapInArrow(run, "chunk int, z binary"), "<u4", np.add)
@@ -120,41 +130,67 @@ def _sets(texts: DataFrame, floor: int, rank: np.ndarray) -> DataFrame:
     def run(batches):
         seen, done = sent.value, set()
         for b in batches:
-            for s in L.sets_of(_raw(b.column(2)), floor):
-                one, two = s.ids()
-                new = np.array([not (i in done or done.add(i)) for i in one.tolist()], bool)
-                fresh = s.only(new)
-                head = np.zeros(len(fresh.n), _HEAD)
-                head["n"], (head["one"], head["two"]) = fresh.n, fresh.sketches()
-                take, token = L.prefixes(fresh, seen)
-                take = np.where(fresh.n >= MIN_WORDS, take, 0)
-                raw = L.packed(token, _TOKEN).tobytes()
-                end = np.cumsum(np.minimum(L.prefix_of(fresh.n) + 1, fresh.n)) * _TOKEN
-                begin = np.concatenate([[0], end[:-1]])
-                heads = head.tobytes()
-                k = _HEAD.itemsize
-                made = iter([heads[i * k : i * k + k] + raw[a : a + t] for i, (a, t) in enumerate(zip(begin.tolist(), (take * _TOKEN).tolist()))])
-                blobs = [next(made) if n else b"" for n in new.tolist()]
-                of = pa.array(s.text)
-                yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), b.column(0).take(of), b.column(1).take(of), pa.array(s.line, pa.int64()), pa.array(blobs, pa.binary())], names=["id", "id2", "by", "tie", "line", "blob"])
+            for at, texts_ in _raw(b, 2):
+                for s in L.sets_of(texts_, floor):
+                    one, two = s.ids()
+                    new = np.array([not (i in done or done.add(i)) for i in one.tolist()], bool)
+                    fresh = s.only(new)
+                    head = np.zeros(len(fresh.n), _HEAD)
+                    head["n"], (head["one"], head["two"]) = fresh.n, fresh.sketches()
+                    take, token = L.prefixes(fresh, seen)
+                    raw, end = L.packed(token, _TOKEN).tobytes(), np.cumsum(take) * _TOKEN
+                    take = np.where(fresh.n >= MIN_WORDS, take, 0) * _TOKEN  # smaller sets are not looked up
+                    heads, k = head.tobytes(), _HEAD.itemsize
+                    made = iter([heads[i * k : i * k + k] + raw[a : a + t] for i, (a, t) in enumerate(zip([0, *end.tolist()], take.tolist()))])
+                    blobs = [next(made) if n else b"" for n in new.tolist()]
+                    of = pa.array(s.text + at)
+                    yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), b.column(0).take(of), b.column(1).take(of), pa.array(s.line, pa.int64()), pa.array(blobs, pa.binary())], names=["id", "id2", "by", "tie", "line", "blob"])
 
     by = texts.schema["__by"].dataType.simpleString()
     rows = texts.select("__by", "__tie", "__text").mapInArrow(run, f"id long, id2 long, by {by}, tie long, line long, blob binary")
     sets = rows.groupBy("id", "id2").agg(F.min(F.struct("by", "tie", "line")).alias("first"), F.max("blob").alias("blob"))
-    return written(sets.sort("first").select(F.monotonically_increasing_id().alias("num"), "id", "first", "blob"), "sets")
+    plain = written(sets.select("id", "first", "blob"), "sets")  # sorting looks at it twice
+    ordered = written(plain.sort("first").select(F.monotonically_increasing_id().alias("num"), "id", "first", "blob"), "sets")
+    drop_written(plain)
+    return ordered
 
 
-_POSTING = "key long, num long, size long, one long, two long"
+#: a posting's columns and the bytes that each takes in a block; size: words << 21 | place << 1 | whether the key has parts
+_COLUMNS = {"key": 5, "num": 8, "size": 8, "one": 8, "two": 8}
 
 
-def _postings(sets: DataFrame, sizes: tuple[int, int, int], ask: bool = False, only: np.ndarray | None = None) -> DataFrame:
-    """The lookups of ``sets`` (num, blob); with ``ask`` in all parts of their keys, with ``only`` (a filter) of its keys.
+def _block(columns: dict[str, np.ndarray], zip_) -> bytes:
+    """Postings as bytes: column by column, and of each column first all the lowest bytes."""
+    return zip_.compress(b"".join(np.ascontiguousarray(L.packed(columns[c].view(np.uint64), k).T).tobytes() for c, k in _COLUMNS.items()))
 
-    size: words << 21 | place << 1 | whether the key has parts."""
+
+def _unblock(z: bytes, n: int, unzip) -> dict[str, np.ndarray]:
+    raw, at, out = np.frombuffer(unzip.decompress(z), np.uint8), 0, {}
+    for c, k in _COLUMNS.items():
+        out[c] = L.unpacked(np.ascontiguousarray(raw[at : at + n * k].reshape(k, n).T).reshape(-1), k)
+        at += n * k
+    return out
+
+
+def _postings(sets: DataFrame, sizes: tuple[int, int, int, int], ask: bool = False, only: np.ndarray | None = None) -> DataFrame:
+    """The lookups of ``sets`` (num, blob) in blocks by bucket of their key (bucket, n, ask, block); with ``ask`` in all parts of
+    their keys, with ``only`` (a filter) of its keys."""
     sent = sets.sparkSession.sparkContext.broadcast((sizes, only))
 
     def run(batches):
-        (common, long, leaders), wanted = sent.value
+        (common, long, leaders, buckets), wanted = sent.value
+        held, rows, zip_ = [], 0, zstandard.ZstdCompressor(level=1)
+
+        def blocks():
+            whole = {c: np.concatenate([h[c] for h in held]) for c in _COLUMNS}
+            bucket = (whole["key"] % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
+            order = np.argsort(bucket, kind="stable")
+            bucket = bucket[order]
+            whole = {c: v[order] for c, v in whole.items()}
+            edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])).tolist() if len(bucket) else [0]
+            made = [_block({c: v[a:z] for c, v in whole.items()}, zip_) for a, z in zip(edges, edges[1:])]
+            return pa.RecordBatch.from_arrays([pa.array(bucket[edges[:-1]].astype(np.int64)), pa.array(np.diff(edges), pa.int32()), pa.array([ask] * len(made), pa.bool_()), pa.array(made, pa.binary())], names=["bucket", "n", "ask", "block"])
+
         for b in batches:
             for at in range(0, b.num_rows, 4096):
                 num, blobs = b.column(0).slice(at, 4096).to_numpy(), b.column(1).slice(at, 4096).to_pylist()
@@ -172,81 +208,101 @@ def _postings(sets: DataFrame, sizes: tuple[int, int, int], ask: bool = False, o
                     of, key, pos, parts = of[again], key[again], pos[again], parts[again]
                 else:
                     part = (L.mix(num.view(np.uint64), 8)[of] % parts.astype(np.uint64)).astype(np.int64)
-                key = (L.mix(key + part.astype(np.uint64), 10) >> np.uint64(24)).view(np.int64)
+                key = L.mix(key + part.astype(np.uint64), 10) >> np.uint64(24)
                 if wanted is not None:
-                    of, key, pos, parts = (c[ok] for ok in [_inside(wanted, key)] for c in (of, key, pos, parts))
+                    of, key, pos, parts = (c[ok] for ok in [_inside(wanted, key.view(np.int64))] for c in (of, key, pos, parts))
                 size = (n[of] << 21) | (np.minimum(pos, (1 << 20) - 1) << 1) | (parts > 1)
-                for s in range(0, len(of), 1 << 16):
-                    c = slice(s, s + (1 << 16))
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[c], num[of[c]], size[c], head["one"][of[c]], head["two"][of[c]])], names=["key", "num", "size", "one", "two"])
+                held.append({"key": key, "num": num[of], "size": size, "one": head["one"][of], "two": head["two"][of]})
+                rows += len(of)
+                if rows > _HELD:
+                    yield blocks()
+                    held, rows = [], 0
+        if rows:
+            yield blocks()
 
-    return sets.select("num", "blob").mapInArrow(run, _POSTING)
+    return sets.select("num", "blob").mapInArrow(run, "bucket long, n int, ask boolean, block binary")
 
 
-def _matches(post: DataFrame) -> DataFrame:
-    """(x, y, far, more) by :func:`weftline.llm.linesets.matches`, key by key."""
+def _keys(post: DataFrame) -> DataFrame:
+    def run(batches):
+        unzip = zstandard.ZstdDecompressor()
+        for b in batches:
+            for n, z in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                yield pa.RecordBatch.from_pydict({"key": pa.array(_unblock(z, n, unzip)["key"].view(np.int64))})
+
+    return post.select("n", "block").mapInArrow(run, "key long")
 
-    def work(t: pa.Table) -> pa.RecordBatch:
-        c = {k: t.column(k).to_numpy() for k in t.column_names}
-        size, i32 = c["size"], np.int32
-        p = L.Postings(c["key"], c["num"], (size >> 21).astype(np.int64), ((size >> 1) & ((1 << 20) - 1)).astype(np.int64), (size & 1).astype(bool), c["one"].view(np.uint64), c["two"].view(np.uint64), c.get("ask"))
+
+def _matches(post: DataFrame) -> DataFrame:
+    """(x, y, far, more) by :func:`weftline.llm.linesets.matches`, bucket by bucket."""
+
+    def work(blocks: list[tuple[int, bool, bytes]], unzip) -> pa.RecordBatch:
+        parts = [_unblock(z, n, unzip) for n, _, z in blocks]
+        c = {k: np.concatenate([p[k] for p in parts]) for k in _COLUMNS}
+        asks = np.repeat([a for _, a, _ in blocks], [n for n, _, _ in blocks])
+        order = np.lexsort((asks, c["key"])) if asks.any() else np.argsort(c["key"])
+        c, size = {k: v[order] for k, v in c.items()}, c["size"][order].astype(np.int64)
+        asks = asks[order]
+        p = L.Postings(c["key"], c["num"].view(np.int64), size >> 21, (size >> 1) & ((1 << 20) - 1), (size & 1).astype(bool), c["one"], c["two"], asks if asks.any() else None)
         x, y, far, more = L.matches(p)
-        return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(far.astype(i32)), pa.array(more)], names=["x", "y", "far", "more"])
+        return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(far.astype(np.int32)), pa.array(more)], names=["x", "y", "far", "more"])
 
     def run(batches):
-        parts, held, rows = [], None, 0
+        unzip, held, blocks = zstandard.ZstdDecompressor(), None, []
         for b in batches:
-            if not b.num_rows:
-                continue
-            parts.append(b)
-            rows += b.num_rows
-            last = b.column(0)[b.num_rows - 1].as_py()
-            if rows < 1 << 16 or last == held and b.column(0)[0].as_py() == last:
-                continue  # a few rows, or still one key
-            whole = pa.Table.from_batches(parts)
-            cut = int(np.searchsorted(whole.column("key").to_numpy(), last))
-            if cut:
-                yield work(whole.slice(0, cut))
-            rest = whole.slice(cut)
-            parts, held, rows = rest.to_batches(), last, rest.num_rows
-        if parts:
-            yield work(pa.Table.from_batches(parts))
-
-    return post.repartition("key").sortWithinPartitions("key", "num").mapInArrow(run, "x long, y long, far int, more boolean")
+            for bucket, *block in zip(*(c.to_pylist() for c in b.columns)):
+                if bucket != held and blocks:
+                    yield work(blocks, unzip)
+                    blocks = []
+                held = bucket
+                blocks.append(block)
+        if blocks:
+            yield work(blocks, unzip)
+
+    return post.select("bucket", "n", "ask", "block").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "x long, y long, far int, more boolean")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, floor: int) -> DataFrame:
     """(x) of those of ``pairs`` (x, y) whose sets are similar enough, written."""
-    a, b = (sets.select(F.col("num").alias(f"{k}_"), F.col("id").alias(f"{k}i")) for k in "xy")
-    named = written(pairs.join(a, F.col("x") == F.col("x_")).join(b, F.col("y") == F.col("y_")).select("x", "xi", "yi"), "pairs")
-    sent = sets.sparkSession.sparkContext.broadcast(_filter(named.select("xi").union(named.select("yi"))))
+    a, b = (sets.select(F.col("num").alias(f"{k}_"), F.col("id").alias(f"{k}i"), F.col("first.tie").alias(f"{k}t")) for k in "xy")
+    named = written(pairs.join(a, F.col("x") == F.col("x_")).join(b, F.col("y") == F.col("y_")).select("x", "xi", "yi", "xt", "yt"), "pairs")
+    rows, ids = (named.select(F.col(f"x{k}").alias("w")).union(named.select(f"y{k}")) for k in "ti")
+    rows = written(rows.distinct(), "rows")
+    few = rows.count() <= BROADCAST_ROWS
+    if few:  # texts in which one of the sets comes first
+        texts = texts.join(F.broadcast(rows), F.col("__tie") == F.col("w"), "left_semi")
+    sent = sets.sparkSession.sparkContext.broadcast((None if few else _filter(rows), _filter(ids)))
 
     def words(batches):
-        wanted, done = sent.value, set()
+        (rows, wanted), done = sent.value, set()
         for b in batches:
-            for s in L.sets_of(_raw(b.column(0)), floor):
-                one, _ = s.ids()
-                use = _inside(wanted, one)
-                use[use] = [not (i in done or done.add(i)) for i in one[use].tolist()]
-                s, one = s.only(use), one[use]
-                raw, end = L.packed(s.words, _WORD).tobytes(), (np.cumsum(s.n) * _WORD).tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(one), pa.array([raw[i:k] for i, k in zip([0, *end], end)], pa.binary())], names=["id", "words"])
+            if rows is not None:
+                b = b.filter(pa.array(_inside(rows, b.column(0).to_numpy())))
+            for _, texts_ in _raw(b, 1):
+                for s in L.sets_of(texts_, floor):
+                    one, _ = s.ids()
+                    use = _inside(wanted, one)
+                    use[use] = [not (i in done or done.add(i)) for i in one[use].tolist()]
+                    s, one = s.only(use), one[use]
+                    raw, end = L.packed(s.words, _WORD).tobytes(), (np.cumsum(s.n) * _WORD).tolist()
+                    yield pa.RecordBatch.from_arrays([pa.array(one), pa.array([raw[i:k] for i, k in zip([0, *end], end)], pa.binary())], names=["id", "words"])
 
     def judge(batches):
         for b in batches:
             ok = L.similar(b.column(1).to_pylist(), b.column(2).to_pylist(), _WORD)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok))], names=["x"])
 
-    full = texts.select("__text").mapInArrow(words, "id long, words binary").dropDuplicates(["id"])
+    full = texts.select("__tie", "__text").mapInArrow(words, "id long, words binary").dropDuplicates(["id"])
     a, b = (full.select(F.col("id").alias(f"{k}_"), F.col("words").alias(f"{k}w")) for k in "xy")
     both = named.join(a, F.col("xi") == F.col("x_")).join(b, F.col("yi") == F.col("y_")).select("x", "xw", "yw")
     found = written(both.mapInArrow(judge, "x long").distinct(), "gone")
     drop_written(named)
+    drop_written(rows)
     return found
 
 
-def _kept(sets: DataFrame, texts: DataFrame, floor: int, sizes: tuple[int, int, int]) -> DataFrame:
-    """(by, tie, lines): the lines that stay, of each different text; written."""
+def _kept(sets: DataFrame, texts: DataFrame, floor: int, sizes: tuple[int, int, int, int]) -> DataFrame:
+    """(by, tie, mask, n): the lines that stay, of each different text, as a byte for each line up to the last of them; written."""
     spark = sets.sparkSession
     near = _matches(_postings(sets, sizes)).groupBy("x").agg(F.min(F.struct("far", "y")).alias("b"), F.max("more").alias("more"), F.min(F.nullif("y", F.lit(-1))).alias("low"), F.max("y").alias("high"))
     near = written(near.select("x", F.col("b.y").alias("y"), (F.col("more") | (F.col("low") < F.col("high"))).alias("more")), "named")
@@ -255,13 +311,24 @@ def _kept(sets: DataFrame, texts: DataFrame, floor: int, sizes: tuple[int, int,
     drop_written(near)
     if not open_.isEmpty():
         asking = _postings(sets.join(open_, F.col("num") == F.col("o"), "left_semi"), sizes, ask=True)
-        post = _postings(sets, sizes, only=_filter(asking.select("key"))).withColumn("ask", F.lit(False))
-        rest = written(_matches(post.union(asking.withColumn("ask", F.lit(True)))).select("x", "y").distinct(), "rest")
+        post = _postings(sets, sizes, only=_filter(_keys(asking)))
+        rest = written(_matches(post.union(asking)).select("x", "y").distinct(), "rest")
         gone.append(_verified(rest, sets, texts, floor))
         drop_written(rest)
     all_gone = reduce(DataFrame.union, gone).select(F.col("x").alias("g"))
     stay = sets.select("num", "first").join(all_gone, F.col("num") == F.col("g"), "left_anti")
-    kept = written(stay.groupBy(F.col("first.by").alias("by"), F.col("first.tie").alias("tie")).agg(F.collect_list("first.line").alias("lines")), "kept")
+    lists = stay.groupBy(F.col("first.by").alias("by"), F.col("first.tie").alias("tie")).agg(F.collect_list("first.line").alias("lines"))
+
+    def masks(batches):
+        for b in batches:
+            made = []
+            for lines in b.column(2).to_pylist():
+                mask = np.zeros(max(lines) + 1, np.uint8)
+                mask[lines] = 1
+                made.append(mask.tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.binary()), pa.compute.list_value_length(b.column(2)).cast(pa.int64())], names=["by", "tie", "mask", "n"])
+
+    kept = written(lists.mapInArrow(masks, f"by {lists.schema['by'].dataType.simpleString()}, tie long, mask binary, n long"), "kept")
     for t in (open_, *gone):
         drop_written(t)
     return kept
@@ -279,68 +346,31 @@ def dedup(docs: DataFrame, text: str = "text", floor: int = MIN_WORDS, order: tu
     order = tuple(c for c in ("doc_id",) if c in docs.columns) if order is None else order
     by = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(order)), F.lit(0).alias("z"))
     texts = docs.where(F.col(text).isNotNull()).select(by.alias("__by"), F.xxhash64(text).alias("__tie"), F.col(text).alias("__text"))
-    sets = _sets(texts, floor, _ranks(texts, floor))
-    kept = _kept(sets, texts, floor, (COMMON, LONG, LEADERS))
+    sets = _sets(texts, floor, _ranks(texts))
+    buckets = max(1024, sets.count() * 12 >> 16)  # so that what meets in one is some 65,000 lookups, whatever the input
+    kept = _kept(sets, texts, floor, (COMMON, LONG, LEADERS, buckets))
     drop_written(sets)
     return _cut(docs, text, by, kept, floor, counts)
 
 
 def _cut(docs: DataFrame, text: str, by, kept: DataFrame, floor: int, counts: tuple[str, str]) -> DataFrame:
-    """The rows of ``docs`` meet the lists of their lines.  Of rows that are equal in order and text, all but the first of a task leave
-    the common key at once: only their blank lines stay."""
-    fields = [f for f in docs.schema if f.name not in counts]
-    names, place = [f.name for f in fields], [f.name for f in fields].index(text)
-    rest = [f"`{n}`" for n in names if n != text]
-
-    def slim(batches):
-        zip_, done = zstandard.ZstdCompressor(level=1), set()
-        for b in batches:
-            kind, spread = [], []
-            for k, t in enumerate(b.column(2).to_pylist()):
-                again = t is not None and t in done
-                done.add(t)
-                kind.append(2 if again else 1)
-                spread.append(len(done) * 1009 + k if again else 0)
-            z = [None if t is None else zip_.compress(t) for t in b.column(3).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(4), pa.array(z, pa.binary()), pa.array(kind, pa.int32()), pa.array(spread, pa.int64())], names=["rest", "by", "tie", "z", "kind", "spread"])
-
-    kinds = {"rest": F.struct(F.lit(0).alias("__0"), *rest), "by": by}
-    probe = docs.select(*(c.alias(n) for n, c in kinds.items()))
-    rest_type, by_type = (probe.schema[n].dataType.simpleString() for n in ("rest", "by"))
-    tie = F.xxhash64(text)
-    rows = docs.select(kinds["rest"].alias("rest"), by.alias("by"), F.xxhash64(by, tie).alias("key"), F.col(text).alias("__text"), tie.alias("tie"))
-    rows = rows.mapInArrow(slim, f"rest {rest_type}, by {by_type}, tie long, z binary, kind int, spread long").withColumn("lines", F.lit(None).cast("array<long>"))
-    lists = kept.select(F.lit(None).cast(rest_type).alias("rest"), "by", "tie", F.lit(None).cast("binary").alias("z"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("spread"), "lines")
-    both = rows.unionByName(lists).withColumn("at", F.when(F.col("kind") == 2, F.xxhash64("tie", "spread")).otherwise(F.xxhash64("by", "tie")))
-    met = both.repartition("at").sortWithinPartitions("at", "by", "tie", "kind").select("rest", "by", "tie", "z", "kind", "lines")
-
-    def takes_part(line: bytes) -> bool:
-        return bool(line.strip()) if floor <= 1 else len(set(line.lower().split())) >= floor
-
-    def cut(batches):
-        unzip, held, lines = zstandard.ZstdDecompressor(), None, frozenset()
-        for b in batches:
-            use, texts, n_lines, n_gone = [], [], [], []
-            for k, (by_, tie_, z, kind, list_) in enumerate(zip(*(b.column(c).to_pylist() for c in range(1, 6)))):
-                if kind == 0:
-                    held, lines = (by_, tie_), frozenset(list_)
-                    continue
-                use.append(k)
-                if z is None:
-                    texts.append(None)
-                    n_lines.append(0)
-                    n_gone.append(0)
-                    continue
-                stay = lines if kind == 1 and held == (by_, tie_) else frozenset()
-                if kind == 1:
-                    held = None  # a further copy has nothing left
-                parts = unzip.decompress(z).split(b"\n")
-                left = [p for i, p in enumerate(parts) if i in stay or not takes_part(p)]
-                texts.append(b"\n".join(left))
-                n_lines.append(len(parts))
-                n_gone.append(len(parts) - len(left))
-            columns = [c.take(pa.array(use, pa.int64())) for c in b.column(0).flatten()[1:]]
-            columns.insert(place, pa.array(texts, pa.binary()).cast(pa.string(), safe=False))
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_gone, pa.int64())], names=[*names, *counts])
-
-    return met.mapInArrow(cut, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), *(f"`{c}` long" for c in counts)]))
+    """The rows of ``docs`` without the lines that the masks of their texts leave out; of rows equal in order and text, all but the
+    first have their blank lines only."""
+    names = [c for c in docs.columns if c not in counts]
+    rest = F.struct(F.lit(0).alias("__0"), *(f"`{n}`" for n in names if n != text))
+    rows = docs.select(rest.alias("rest"), by.alias("by"), F.xxhash64(text).alias("tie"), F.col(text).alias("t"))
+    lists = kept.select(F.col("by").alias("by2"), F.col("tie").alias("tie2"), "mask", "n")
+    copy = F.row_number().over(Window.partitionBy("by", "tie").orderBy("tie"))
+    both = rows.join(lists, (F.col("by") == F.col("by2")) & (F.col("tie") == F.col("tie2")), "left").withColumn("first", copy == 1)
+    mask = F.when(F.col("first"), F.coalesce("mask", F.lit(b""))).otherwise(F.lit(b""))
+    if floor <= 1:
+        small = lambda x: F.trim(x, F.lit(_BLANK)) == ""
+    else:
+        small = lambda x: F.size(F.array_distinct(F.array_remove(F.split(F.translate(x, _UPPER, _UPPER.lower()), f"[{_BLANK}]+"), ""))) < floor
+    parts = F.split("t", "\n")
+    cut = both.withColumn("mask", mask).withColumn("left", F.filter(parts, lambda x, i: (F.substring("mask", i + 1, F.lit(1)) == F.lit(b"\1")) | small(x)))
+    out = [F.array_join("left", "\n").alias(n) if n == text else F.col(f"rest.`{n}`").alias(n) for n in names]
+    n_lines = F.coalesce(F.size(parts), F.lit(0)).cast("long")
+    lines = F.when(F.col("t").isNull(), 0).otherwise(n_lines).cast("long")
+    left = F.when(F.col("t").isNull(), 0).otherwise(F.size("left")).cast("long")
+    return cut.select(*out, lines.alias(counts[0]), (lines - left).alias(counts[1]))

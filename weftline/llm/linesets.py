@@ -16,12 +16,8 @@ BUCKET_BITS = 21
 #: sets of so many words have a sketch of 128 bits, others of 64
 WIDE = 72
 #: bytes of texts that are cut into words at once (a longer line is cut alone)
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 20
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 _FIRST = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
 _WORD = np.uint64((1 << WORD_BITS) - 1)
 
@@ -40,13 +36,14 @@ def prefix_of(n: np.ndarray) -> np.ndarray:
 
 
 def _words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(start, hash) of each word of ``raw``, which ends in white space."""
-    space = _SPACE[raw]
+    """(start, hash) of each word of ``raw``, which ends in white space; A-Z count as a-z."""
+    space = (raw == 32) | ((raw - np.uint8(9)) < 5)
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     if not space[0]:
         edge = np.concatenate([[0], edge])
     start, size = edge[::2], edge[1::2] - edge[::2]
-    padded = np.concatenate([_LOWER[raw], np.zeros(8, np.uint8)])
+    padded = np.zeros(len(raw) + 8, np.uint8)
+    np.add(raw, ((raw - np.uint8(65)) < 26).view(np.uint8) << np.uint8(5), out=padded[: len(raw)])
     eight = np.ndarray((len(raw) + 1,), "<u8", buffer=padded, strides=(1,))  # the eight bytes from each on
     h = mix((eight[start] & _FIRST[np.minimum(size, 8)]) + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     more, at = np.flatnonzero(size > 8), 8
@@ -114,10 +111,20 @@ def _pieces(texts: list[bytes | None]):
         yield held
 
 
+def _joined(piece) -> np.ndarray:
+    return np.frombuffer(b"".join(x for _, _, t in piece for x in (t, b"\n")), np.uint8)
+
+
+def words_of(texts: list[bytes | None]):
+    """The hashes of all words, repeats included, in slices."""
+    for piece in _pieces(texts):
+        yield _words(_joined(piece))[1] & _WORD
+
+
 def sets_of(texts: list[bytes | None], floor: int = 1):
-    """:class:`Sets` of the lines with ``floor`` different words, in slices; A-Z count as a-z."""
+    """:class:`Sets` of the lines with ``floor`` different words, in slices."""
     for piece in _pieces(texts):
-        raw = np.frombuffer(b"".join(x for _, _, t in piece for x in (t, b"\n")), np.uint8)
+        raw = _joined(piece)
         start, h = _words(raw)
         breaks = np.flatnonzero(raw == 10)
         lines = np.searchsorted(breaks, np.cumsum([len(t) + 1 for _, _, t in piece]))  # lines up to the end of each text
@@ -215,7 +222,7 @@ def lookups(n: np.ndarray, size: np.ndarray, token: np.ndarray, common: int, lon
 
 @dataclass
 class Postings:
-    """Sets under a key, in order of key and number: number, words, place, sketches; ``part``: the key has further parts."""
+    """Sets under a key, in order of key: number, words, place, sketches; ``part``: the key has further parts."""
 
     key: np.ndarray
     num: np.ndarray
@@ -249,7 +256,7 @@ _STEPS, _BLOCK = 192, 1 << 20
 
 
 def _meeting(p: Postings):
-    """Pairs (earlier, later) of places that share a key, in blocks."""
+    """Pairs of places that share a key, in blocks; those that ask come after those that do not."""
     edges = np.flatnonzero(np.concatenate([[True], p.key[1:] != p.key[:-1], [True]]))
     count = np.diff(edges)
     end = np.repeat(edges[1:], count)
@@ -277,14 +284,19 @@ def matches(p: Postings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     found = []
     for i, j in _meeting(p):
         if p.ask is not None:
-            use = p.ask[j] & ~p.ask[i] & (p.num[i] < p.num[j])
+            use = p.ask[j] & ~p.ask[i]
             i, j = i[use], j[use]
         i, j, apart = p.near(i, j)
+        late = p.num[i] < p.num[j]
+        if p.ask is None:
+            i, j = np.where(late, i, j), np.where(late, j, i)
+        else:
+            i, j, apart = i[late], j[late], apart[late]
         found.append((j, i, apart))
     j, i, apart = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int16))
     if p.ask is not None:
         return p.num[j], p.num[i], apart, np.zeros(len(j), bool)
-    order = np.lexsort((i, apart, j))
+    order = np.lexsort((p.num[i], apart, j))
     j, i, apart = j[order], i[order], apart[order]
     first = np.ones(len(j), bool)
     first[1:] = j[1:] != j[:-1]
