@@ -37,7 +37,7 @@ COMMON = 4096
 #: lines of so many words are looked up by single words, however common; lines of fewer than LONG * 5 / 4 as all others
 LONG = 320
 #: lines of a key from which it is dealt to parts
-LEADERS = 16384
+LEADERS = 8192
 #: bytes of a word in a packed prefix and in a packed set
 _TOKEN, _WORD = 5, 7
 #: rows of (long) that may be broadcast: 16 MB at most; more go by a filter of fixed size
@@ -48,7 +48,6 @@ _CHUNKS, _BITS = 64, 1 << 25
 _ROWS, _HELD = 512, 1 << 19
 #: fixed values: white space that parts words, letters that are lower-cased
 _BLANK, _UPPER = " \t\n\x0b\x0c\r", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-_HEAD = np.dtype([("n", "<u4"), ("one", "<i8"), ("two", "<i8")])
 
 
 def _added(rows: DataFrame, dtype: str, join) -> np.ndarray:
@@ -108,6 +107,19 @@ def _raw(b: pa.RecordBatch, column: int):
         yield at, b.column(column).slice(at, _ROWS).cast(pa.binary()).to_pylist()
 
 
+def _binaries(raw: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Arrow's binary values of ``sizes`` bytes each, one after the other in ``raw``."""
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(raw))])
+
+
+def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a binary column without nulls, and the size of each value."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None else np.zeros(0, np.uint8), np.diff(ends).astype(np.int64)
+
+
 def _ranks(texts: DataFrame) -> np.ndarray:
     """How common the words of each bucket are, over all texts."""
 
@@ -124,33 +136,30 @@ def _ranks(texts: DataFrame) -> np.ndarray:
 
 
 def _sets(texts: DataFrame, floor: int, rank: np.ndarray) -> DataFrame:
-    """The distinct sets (num, id, first: where it comes first, blob: size, sketches and prefix), numbered in that order."""
+    """The distinct sets (num, id, first: where it comes first, prefix, n: words, one and two: sketches), numbered in that order."""
     sent = texts.sparkSession.sparkContext.broadcast(rank)
 
     def run(batches):
-        seen, done = sent.value, set()
+        seen = sent.value
         for b in batches:
             for at, texts_ in _raw(b, 2):
                 for s in L.sets_of(texts_, floor):
                     one, two = s.ids()
-                    new = np.array([not (i in done or done.add(i)) for i in one.tolist()], bool)
-                    fresh = s.only(new)
-                    head = np.zeros(len(fresh.n), _HEAD)
-                    head["n"], (head["one"], head["two"]) = fresh.n, fresh.sketches()
+                    new = np.zeros(len(one), bool)
+                    new[np.unique(one, return_index=True)[1]] = True  # others go without their prefix, which is the same
+                    fresh = s.only(new & (s.n >= MIN_WORDS))  # smaller sets are not looked up
                     take, token = L.prefixes(fresh, seen)
-                    raw, end = L.packed(token, _TOKEN).tobytes(), np.cumsum(take) * _TOKEN
-                    take = np.where(fresh.n >= MIN_WORDS, take, 0) * _TOKEN  # smaller sets are not looked up
-                    heads, k = head.tobytes(), _HEAD.itemsize
-                    made = iter([heads[i * k : i * k + k] + raw[a : a + t] for i, (a, t) in enumerate(zip([0, *end.tolist()], take.tolist()))])
-                    blobs = [next(made) if n else b"" for n in new.tolist()]
-                    of = pa.array(s.text + at)
-                    yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), b.column(0).take(of), b.column(1).take(of), pa.array(s.line, pa.int64()), pa.array(blobs, pa.binary())], names=["id", "id2", "by", "tie", "line", "blob"])
+                    sizes = np.zeros(len(one), np.int64)
+                    sizes[new & (s.n >= MIN_WORDS)] = take * _TOKEN
+                    of, (s1, s2) = pa.array(s.text + at), s.sketches()
+                    columns = [pa.array(one), pa.array(two), b.column(0).take(of), b.column(1).take(of), pa.array(s.line, pa.int64()), _binaries(L.packed(token, _TOKEN), sizes), pa.array(s.n), pa.array(s1), pa.array(s2)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["id", "id2", "by", "tie", "line", "prefix", "n", "one", "two"])
 
     by = texts.schema["__by"].dataType.simpleString()
-    rows = texts.select("__by", "__tie", "__text").mapInArrow(run, f"id long, id2 long, by {by}, tie long, line long, blob binary")
-    sets = rows.groupBy("id", "id2").agg(F.min(F.struct("by", "tie", "line")).alias("first"), F.max("blob").alias("blob"))
-    plain = written(sets.select("id", "first", "blob"), "sets")  # sorting looks at it twice
-    ordered = written(plain.sort("first").select(F.monotonically_increasing_id().alias("num"), "id", "first", "blob"), "sets")
+    rows = texts.select("__by", "__tie", "__text").mapInArrow(run, f"id long, id2 long, by {by}, tie long, line long, prefix binary, n long, one long, two long")
+    sets = rows.groupBy("id", "id2").agg(F.min(F.struct("by", "tie", "line")).alias("first"), F.max(F.struct("prefix", "n", "one", "two")).alias("set"))
+    plain = written(sets.select("id", "first", "set.*"), "sets")  # sorting looks at it twice
+    ordered = written(plain.sort("first").select(F.monotonically_increasing_id().alias("num"), *plain.columns), "sets")
     drop_written(plain)
     return ordered
 
@@ -173,7 +182,7 @@ def _unblock(z: bytes, n: int, unzip) -> dict[str, np.ndarray]:
 
 
 def _postings(sets: DataFrame, sizes: tuple[int, int, int, int], ask: bool = False, only: np.ndarray | None = None) -> DataFrame:
-    """The lookups of ``sets`` (num, blob) in blocks by bucket of their key (bucket, n, ask, block); with ``ask`` in all parts of
+    """The lookups of ``sets`` in blocks by bucket of their key (bucket, n, ask, block); with ``ask`` in all parts of
     their keys, with ``only`` (a filter) of its keys."""
     sent = sets.sparkSession.sparkContext.broadcast((sizes, only))
 
@@ -193,13 +202,10 @@ def _postings(sets: DataFrame, sizes: tuple[int, int, int, int], ask: bool = Fal
 
         for b in batches:
             for at in range(0, b.num_rows, 4096):
-                num, blobs = b.column(0).slice(at, 4096).to_numpy(), b.column(1).slice(at, 4096).to_pylist()
-                use = np.array([len(x) > _HEAD.itemsize for x in blobs], bool)
-                num, blobs = num[use], [x for x in blobs if len(x) > _HEAD.itemsize]
-                head = np.frombuffer(b"".join(x[: _HEAD.itemsize] for x in blobs), _HEAD)
-                token = L.unpacked(np.frombuffer(b"".join(x[_HEAD.itemsize :] for x in blobs), np.uint8), _TOKEN)
-                count = np.array([(len(x) - _HEAD.itemsize) // _TOKEN for x in blobs], np.int64)
-                n = head["n"].astype(np.int64)
+                part = b.slice(at, 4096)
+                num, n, one, two = (part.column(c).to_numpy() for c in (0, 2, 3, 4))
+                raw, count = _bytes_of(part.column(1))
+                token, count = L.unpacked(raw, _TOKEN), count // _TOKEN
                 of, key, pos, lines = L.lookups(n, count, token, common, long)
                 parts = np.maximum(1, np.ceil(lines / leaders)).astype(np.int64)
                 if ask:
@@ -212,7 +218,7 @@ def _postings(sets: DataFrame, sizes: tuple[int, int, int, int], ask: bool = Fal
                 if wanted is not None:
                     of, key, pos, parts = (c[ok] for ok in [_inside(wanted, key.view(np.int64))] for c in (of, key, pos, parts))
                 size = (n[of] << 21) | (np.minimum(pos, (1 << 20) - 1) << 1) | (parts > 1)
-                held.append({"key": key, "num": num[of], "size": size, "one": head["one"][of], "two": head["two"][of]})
+                held.append({"key": key, "num": num[of], "size": size, "one": one[of], "two": two[of]})
                 rows += len(of)
                 if rows > _HELD:
                     yield blocks()
@@ -220,7 +226,7 @@ def _postings(sets: DataFrame, sizes: tuple[int, int, int, int], ask: bool = Fal
         if rows:
             yield blocks()
 
-    return sets.select("num", "blob").mapInArrow(run, "bucket long, n int, ask boolean, block binary")
+    return sets.select("num", "prefix", "n", "one", "two").mapInArrow(run, "bucket long, n int, ask boolean, block binary")
 
 
 def _keys(post: DataFrame) -> DataFrame:
@@ -240,7 +246,7 @@ def _matches(post: DataFrame) -> DataFrame:
         parts = [_unblock(z, n, unzip) for n, _, z in blocks]
         c = {k: np.concatenate([p[k] for p in parts]) for k in _COLUMNS}
         asks = np.repeat([a for _, a, _ in blocks], [n for n, _, _ in blocks])
-        order = np.lexsort((asks, c["key"])) if asks.any() else np.argsort(c["key"])
+        order = np.argsort(L.place(c["key"], c["size"] >> np.uint64(21)))
         c, size = {k: v[order] for k, v in c.items()}, c["size"][order].astype(np.int64)
         asks = asks[order]
         p = L.Postings(c["key"], c["num"].view(np.int64), size >> 21, (size >> 1) & ((1 << 20) - 1), (size & 1).astype(bool), c["one"], c["two"], asks if asks.any() else None)
@@ -284,8 +290,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, floor: int) -
                     use = _inside(wanted, one)
                     use[use] = [not (i in done or done.add(i)) for i in one[use].tolist()]
                     s, one = s.only(use), one[use]
-                    raw, end = L.packed(s.words, _WORD).tobytes(), (np.cumsum(s.n) * _WORD).tolist()
-                    yield pa.RecordBatch.from_arrays([pa.array(one), pa.array([raw[i:k] for i, k in zip([0, *end], end)], pa.binary())], names=["id", "words"])
+                    yield pa.RecordBatch.from_arrays([pa.array(one), _binaries(L.packed(s.words, _WORD), s.n * _WORD)], names=["id", "words"])
 
     def judge(batches):
         for b in batches:
@@ -360,7 +365,7 @@ def _cut(docs: DataFrame, text: str, by, kept: DataFrame, floor: int, counts: tu
     rest = F.struct(F.lit(0).alias("__0"), *(f"`{n}`" for n in names if n != text))
     rows = docs.select(rest.alias("rest"), by.alias("by"), F.xxhash64(text).alias("tie"), F.col(text).alias("t"))
     lists = kept.select(F.col("by").alias("by2"), F.col("tie").alias("tie2"), "mask", "n")
-    copy = F.row_number().over(Window.partitionBy("by", "tie").orderBy("tie"))
+    copy = F.row_number().over(Window.partitionBy("by", "tie").orderBy(F.lit(1)))
     both = rows.join(lists, (F.col("by") == F.col("by2")) & (F.col("tie") == F.col("tie2")), "left").withColumn("first", copy == 1)
     mask = F.when(F.col("first"), F.coalesce("mask", F.lit(b""))).otherwise(F.lit(b""))
     if floor <= 1:

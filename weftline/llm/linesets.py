@@ -222,7 +222,7 @@ def lookups(n: np.ndarray, size: np.ndarray, token: np.ndarray, common: int, lon
 
 @dataclass
 class Postings:
-    """Sets under a key, in order of key: number, words, place, sketches; ``part``: the key has further parts."""
+    """Sets under a key, in order of key and size: number, words, place, sketches; ``part``: the key has further parts."""
 
     key: np.ndarray
     num: np.ndarray
@@ -235,57 +235,66 @@ class Postings:
 
     def __post_init__(self):
         up, down = SIMILAR
-        self._room = (down + up) * (self.n - self.pos)  # both sides of the positional filter, times nine
-        self._share = up * self.n
+        self._room = ((down + up) * (self.n - self.pos)).astype(np.int32)  # both sides of the positional filter, times nine
+        self._share = (up * self.n).astype(np.int32)
 
     def near(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The pairs that pass the positional filter, which implies that of lengths, and the sketch; words that differ at least."""
+        """The pairs that pass the positional filter and the sketch; words that differ at least."""
         ok = np.minimum(self._room[i], self._room[j]) >= self._share[i] + self._share[j]
         i, j = i[ok], j[ok]
         up, down = SIMILAR
         both = self.n[i] + self.n[j]
         a, b = self.one[i] ^ self.one[j], self.two[i] ^ self.two[j]
         wide = np.minimum(self.n[i], self.n[j]) >= WIDE
-        apart = np.where(wide, np.bitwise_count(b).astype(np.int16) + np.bitwise_count(a ^ b), np.bitwise_count(a).astype(np.int16))
+        apart = np.where(wide, np.bitwise_count(b).astype(np.int16) + np.bitwise_count(a ^ b), np.bitwise_count(a)).astype(np.int16)
         good = (apart <= both - 2 * -(-both * up // (up + down))) & (self.num[i] != self.num[j])
         return i[good], j[good], apart[good]
 
 
-#: keys of so many sets are taken step by step, all at once; larger ones in blocks
-_STEPS, _BLOCK = 192, 1 << 20
+#: bits of a set's size in the order of postings (larger sets count as that), pairs that are looked at at once
+_SIZE, _PAIRS = 24, 1 << 18
+
+
+def place(key: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """By key (of 40 bits), then by size: sets of like size lie side by side."""
+    return (key << np.uint64(_SIZE)) | np.minimum(n, (1 << _SIZE) - 1).astype(np.uint64)
 
 
 def _meeting(p: Postings):
-    """Pairs of places that share a key, in blocks; those that ask come after those that do not."""
-    edges = np.flatnonzero(np.concatenate([[True], p.key[1:] != p.key[:-1], [True]]))
-    count = np.diff(edges)
-    end = np.repeat(edges[1:], count)
-    i, step = np.flatnonzero((end - np.arange(len(p.key)) > 1) & np.repeat(count <= _STEPS, count)), 1
-    while len(i):
-        yield i, i + step
-        step += 1
-        i = i[i + step < end[i]]
-    for g in np.flatnonzero(count > _STEPS).tolist():
-        a, b = edges[g], edges[g + 1]
-        later = np.arange(a, b) if p.ask is None else np.flatnonzero(p.ask[a:b]) + a
-        rows = max(1, _BLOCK // (b - a))
-        for at in range(0, len(later), rows):
-            j = later[at : at + rows]
-            i = np.arange(a, j[-1] + 1)
-            jj, ii = np.repeat(j, len(i)), np.tile(i, len(j))
-            yield ii[ii < jj], jj[ii < jj]
+    """Pairs of places that share a key and are of like size (the length filter), in blocks: of any two, or with ``ask`` (one that
+    does not ask, one that does)."""
+    up, down = SIMILAR
+    at = place(p.key, p.n)
+    if p.ask is None:
+        row = np.arange(len(at))
+        low = row + 1
+    else:
+        row = np.flatnonzero(p.ask)
+        low = np.searchsorted(at, place(p.key[row], -(-p.n[row] * up // down)))
+    room = np.searchsorted(at, place(p.key[row], p.n[row] * down // up), side="right") - low
+    use = room > 0
+    row, low, room = row[use], low[use], room[use]
+    total = np.cumsum(room)
+    start = 0
+    while start < len(row):
+        stop = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + _PAIRS, side="right")))
+        r, k = row[start:stop], room[start:stop]
+        j = np.repeat(r, k)
+        i = np.arange(len(j)) + np.repeat(low[start:stop] - (np.cumsum(k) - k), k)
+        start = stop
+        if p.ask is not None:
+            use = ~p.ask[i]
+            i, j = i[use], j[use]
+        yield i, j
 
 
 def matches(p: Postings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(line, earlier line, distance, whether it may have others) by number.
+    """(line, earlier line, distance, whether it may have others) by number, from postings in the order of :func:`place`.
 
     Each line names the nearest that it may be similar to.  One that names none may still have some in other parts of its
     key: it names -1.  With ``ask``, all pairs of a line that asks with one that does not."""
     found = []
     for i, j in _meeting(p):
-        if p.ask is not None:
-            use = p.ask[j] & ~p.ask[i]
-            i, j = i[use], j[use]
         i, j, apart = p.near(i, j)
         late = p.num[i] < p.num[j]
         if p.ask is None:
