@@ -11,7 +11,7 @@ def test_stages(spark, sf, tmp_path):
         docs = spark.read.parquet(str(tmp_path / name))
         sizes.append(docs.select("doc_id").distinct().count())
         assert k == 4 or docs.columns == columns
-    assert sizes[0] > sizes[1] >= sizes[2] > sizes[3] >= sizes[4] == sizes[5] > 0.4 * sizes[0]
+    assert sizes[0] > sizes[1] >= sizes[2] >= sizes[3] >= sizes[4] == sizes[5] > 0.4 * sizes[0]
     kept = spark.read.parquet(str(tmp_path / "benchmark_decontamination"))
     assert decontamination.measure(kept, spark.read.parquet(f"{sf}/benchmark.parquet")).where("contaminated").isEmpty()
     assert kept.select("doc_id").distinct().count() == kept.count()

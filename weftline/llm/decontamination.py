@@ -62,20 +62,20 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def prepared(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``__row`` (a number of its own), ``__norm`` and ``__n`` (words), written down so that numbers stay."""
-    norm = normal(F.col(text))
-    return written(docs.withColumn("__row", F.monotonically_increasing_id()).withColumn("__norm", norm).withColumn("__n", F.size(words(F.col("__norm"))).cast("long")), "decontaminate")
-
-
 def _true_run(flags: Column, size: int) -> Column:
     """How many of the ``size`` flags are true before the first that is not."""
     return let(flags, lambda f: F.when(F.array_position(f, False) == 0, F.lit(size)).otherwise(F.array_position(f, False) - 1).cast("int"))
 
 
-def hits(base: DataFrame, bench: DataFrame, key: str = "item_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """From :func:`prepared` documents: (__row, start, stop) of words inside benchmark windows (spans may overlap), and
-    (__row, __norm of the item) once for each pair."""
+def named(text: Column) -> Column:
+    """What stands for a text in joins: all that is measured hangs on the text alone, so copies are measured once."""
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+
+
+def hits(docs: DataFrame, bench: DataFrame, key: str = "item_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """From documents (text): (__row, start, stop) of words inside benchmark windows (spans may overlap), and
+    (__row, __norm of the item) once for each pair; __row is the text's name (:func:`named`)."""
+    base = docs.select(named(F.col("text")).alias("__row"), normal(F.col("text")).alias("__norm"))
     items = bench.select(normal(F.col(text)).alias("i_norm")).where("i_norm <> ''").distinct().withColumn("i_words", words(F.col("i_norm")))
     items = written(items, "items")
     spans = []
@@ -88,10 +88,9 @@ def hits(base: DataFrame, bench: DataFrame, key: str = "item_id", text: str = "t
         if marks.isEmpty():
             continue
         kinds = _small(marks.select("h").distinct())
-        found = base.where(F.col("__n") >= n).select("__row", F.explode(chosen(grams(word_hashes(words(F.col("__norm"))), n), span)).alias("h")).join(kinds, "h", "left_semi")
-        found = written(found, "found")
-        rows = _small(found.select("__row").distinct())
-        text_of = base.join(rows, "__row", "left_semi").select("__row", "__norm")
+        found = base.select("__row", F.explode(chosen(grams(word_hashes(words(F.col("__norm"))), n), span)).alias("h")).join(kinds, "h", "left_semi")
+        found = written(found.select("__row").distinct(), "found")
+        text_of = written(base.join(_small(found), "__row", "left_semi").dropDuplicates(["__row"]), "near")
         # where in the document and where in the item the shared gram stands; both may have it several times
         where = text_of.withColumn("g", grams(word_hashes(words(F.col("__norm"))), n)).select("__row", "__norm", F.posexplode("g").alias("at", "h")).join(kinds, "h", "left_semi")
         there = marks.select("i_norm", F.col("h").alias("ih"), F.explode(F.transform(F.filter(F.transform(F.col("own"), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: s.x == F.col("h")), lambda s: s.i)).alias("i_at"))
@@ -117,24 +116,22 @@ def hits(base: DataFrame, bench: DataFrame, key: str = "item_id", text: str = "t
     return every.select("__row", "start", "stop").distinct(), every.select("__row", "i_norm").distinct()
 
 
-def measure(docs: DataFrame, bench: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """``docs`` with ``__row``, ``__n`` (words), n_hit, n_items, items_sha256 and contaminated.
+def measure(docs: DataFrame, bench: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", prefix: str = "") -> DataFrame:
+    """``docs`` with ``__n`` (words), n_hit, n_items, items_sha256 and contaminated, names that ``prefix`` goes before.
 
     A word is hit if it is inside any occurrence of a window of any item.  Null and empty texts have no words and are clean;
     items without words are passed over; an item listed twice counts twice if its ids differ; null ids are not listed.
-    Repeated documents are measured each by itself.  Columns of ``docs`` must not begin with ``__`` and those with the names
-    of the results are replaced."""
-    made = ("n_hit", "n_items", "items_sha256", "contaminated")
-    base = prepared(docs.select(*(c for c in docs.columns if c not in made)), text)
-    spans, pairs = hits(base, bench, item_key, item_text)
+    Repeated documents are measured alike.  Columns of ``docs`` with the names of the results are replaced."""
+    made = [f"{prefix}{k}" for k in ("__n", "n_hit", "n_items", "items_sha256", "contaminated")]
+    kept = [c for c in docs.columns if c not in made]
+    spans, pairs = hits(docs.select(F.col(text).alias("text")), bench, item_key, item_text)
     n_hit = spans.select("__row", F.explode(F.sequence("start", F.col("stop") - 1)).alias("w")).distinct().groupBy("__row").agg(F.count(F.lit(1)).alias("n_hit"))
     ids = bench.where(F.col(item_key).isNotNull()).select(F.col(item_key).cast("string").alias("id"), normal(F.col(item_text)).alias("n2")).distinct()
     listed = pairs.join(ids, F.col("i_norm") == F.col("n2")).groupBy("__row").agg(F.sort_array(F.collect_set("id")).alias("ids"))
     listed = listed.select("__row", F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join("ids", ","), 256).alias("items_sha256"))
     both = written(n_hit.join(listed, "__row", "left"), "hits")
-    out = base.join(_small(both), "__row", "left")
+    rows = docs.select(F.struct(F.lit(0).alias("__0"), *(F.col(f"`{c}`") for c in kept)).alias("__doc"), named(F.col(text)).alias("__name"), F.size(words(normal(F.col(text)))).cast("long").alias("__words"))
+    out = rows.join(_small(both), F.col("__name") == F.col("__row"), "left")
     hit = F.coalesce("n_hit", F.lit(0))
-    return out.select(
-        *docs.select(*(c for c in docs.columns if c not in made)).columns, "__row", "__n", hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
-        F.coalesce("items_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("items_sha256"), ((hit > 0) & (20 * hit >= F.col("__n"))).alias("contaminated"),
-    )
+    values = (F.col("__words"), hit, F.coalesce("n_items", F.lit(0)).cast("long"), F.coalesce("items_sha256", F.sha2(F.lit("").cast("binary"), 256)), (hit > 0) & (20 * hit >= F.col("__words")))
+    return out.select(*(F.col(f"__doc.`{c}`").alias(c) for c in kept), *(v.alias(k) for v, k in zip(values, made)))

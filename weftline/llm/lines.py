@@ -45,7 +45,7 @@ BROADCAST_ROWS = 1_000_000
 #: fixed sizes: parts of a table that tasks add up, bits of a filter
 _CHUNKS, _BITS = 64, 1 << 25
 #: rows of texts that a task turns into Python's objects at once; postings that it holds back to hand them on in blocks
-_ROWS, _HELD = 512, 1 << 19
+_ROWS, _HELD = 512, 1 << 18
 #: fixed values: white space that parts words, letters that are lower-cased
 _BLANK, _UPPER = " \t\n\x0b\x0c\r", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
