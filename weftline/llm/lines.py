@@ -26,9 +26,8 @@ from pyspark.sql import functions as F
 from weftline.llm import linesets as L
 from weftline.llm.common import drop_written, written
 from weftline.llm.linesets import SIMILAR, prefix_of
-from weftline.llm.linesets import mix as _mix
 
-__all__ = ["SIMILAR", "prefix_of", "_mix", "dedup"]
+__all__ = ["SIMILAR", "prefix_of", "dedup"]
 
 #: lines of fewer words are like equal ones only, so they are not looked up; also the default floor of :func:`dedup`
 MIN_WORDS = 5

@@ -147,6 +147,40 @@ def sets_of(texts: list[bytes | None], floor: int = 1):
         yield out.only(n >= floor) if floor > 1 else out
 
 
+#: odd numbers by which the words of a shingle are told apart
+_PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
+
+
+def shingle_sets(texts: list[bytes | None], k: int):
+    """:class:`Sets` of whole texts: their different runs of ``k`` words (8 at most), of all words where there are fewer.  Texts
+    without words are left out."""
+    held, size = [], 0
+    for i, t in enumerate([*texts, None]):
+        if t:
+            held.append((i, 0, t))
+            size += len(t)
+        if not held or i < len(texts) and size < SLICE_BYTES and len(held) < 1 << SLICE_BITS:
+            continue
+        start, h = _words(_joined(held))
+        at = np.searchsorted(np.cumsum([len(t) + 1 for _, _, t in held]), start, side="right")
+        count = np.bincount(at, minlength=len(held))
+        first = np.cumsum(count) - count
+        whole = np.flatnonzero((count > 0) & (count < k))
+        runs = max(0, len(h) - k + 1)
+        total = np.zeros(runs, np.uint64)
+        for j in range(k):
+            total += h[j : j + runs] * _PLACES[j]
+        inside = at[:runs] == at[k - 1 :] if runs else np.zeros(0, bool)
+        few = np.array([(h[first[x] : first[x] + count[x]] * _PLACES[: count[x]]).sum(dtype=np.uint64) + np.uint64(count[x]) for x in whole], np.uint64)
+        of = np.concatenate([at[:runs][inside], whole])
+        keys = (of.astype(np.uint64) << np.uint64(WORD_BITS)) | (mix(np.concatenate([total[inside], few])) & _WORD)
+        keys = np.unique(keys)
+        of = (keys >> np.uint64(WORD_BITS)).astype(np.int64)
+        begin = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, np.int64)
+        yield Sets(np.array([i for i, _, _ in held])[of[begin]], np.zeros(len(begin), np.int64), begin, np.diff(np.append(begin, len(of))), keys & _WORD)
+        held, size = [], 0
+
+
 def bucket(words: np.ndarray) -> np.ndarray:
     return (words >> np.uint64(WORD_BITS - BUCKET_BITS)).astype(np.int64)
 
