@@ -4,26 +4,47 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (``spark.checkpoint.dir``); a temporary one only where none is set (tests)."""
+    """The folder that all executors share (``spark.checkpoint.dir``).  Where none is set, a local session gets a temporary one, and
+    any other an error: its executors could not see such a folder."""
     context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set: tables in between need a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="weftline-checkpoint-"))
         found = context.getCheckpointDir()
     return found
 
 
+#: rows that go to a Python worker at once while tables are written: whole texts lie in memory several times on the way
+BATCH_ROWS = 1000
+
+
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Arrow batches of ``BATCH_ROWS`` rows at most for what runs inside."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = int(spark.conf.get(name))
+    spark.conf.set(name, str(min(before, BATCH_ROWS) if before > 0 else BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, str(before))
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a table in the shared folder, read back: lineage ends here, so a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with small_batches(spark):
+        df.write.option("compression", "zstd").parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._written_at = path
     return back

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import re
+import sys
 from html import unescape
 
+#: trees are walked by recursion in Python alone, as deep as a page goes
+sys.setrecursionlimit(max(sys.getrecursionlimit(), 10_000_000))
+
 #: fixed values: element kinds of the HTML standard
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
@@ -20,9 +24,6 @@ _CLOSED_BY = {
 }
 _FENCE = frozenset("table ul ol dl article section div body html main aside nav header footer form blockquote".split())
 
-#: elements nested deeper are held as if side by side
-DEPTH = 120
-
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([A-Za-z][^\s/>]*)[^>]*(?:>|\Z)|<([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _JOINT = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -51,7 +52,7 @@ class Node:
 def parse(html: str | None) -> Node:
     """The tree of ``html`` (None: empty); text is held as str among the children.  Never fails: what isn't a tag is text."""
     root = Node("#")
-    top, at, text, depth, over = root, 0, html or "", {id(root): 0}, 0
+    top, at, text = root, 0, html or ""
     while True:
         m = _TOKEN.search(text, at)
         between = text[at : m.start() if m else len(text)]
@@ -76,12 +77,7 @@ def parse(html: str | None) -> Node:
                 node.children.append(text[at : end.start() if end else len(text)])
                 at = end.end() if end else len(text)
             elif tag not in VOID and not m[3].endswith("/"):
-                if (level := depth[id(top)] + 1) < DEPTH:
-                    top, depth[id(node)] = node, level
-                else:
-                    over += 1
-        elif m[1] and over:
-            over -= 1
+                top = node
         elif m[1]:
             tag, walk = m[1].lower(), top
             while walk.parent is not None and walk.tag != tag:
@@ -93,34 +89,56 @@ def parse(html: str | None) -> Node:
 
 
 def text_of(node) -> str:
-    if isinstance(node, str):
-        return node
-    if node.tag in RAW:
-        return ""
-    return "".join(text_of(c) if isinstance(c, str) or c.tag not in BLOCK and c.tag != "br" else f" {text_of(c)} " for c in node.children)
-
-
-def outline(node: Node, depth: int = 40) -> list:
-    """[tag, classes, digest of own text, children]: what tree matching needs of a page."""
-    own = " ".join("".join(c for c in node.children if isinstance(c, str)).split()) if node.tag not in RAW else ""
-    return [node.tag, node.get("class", "id"), own, [outline(c, depth - 1) for c in node.children if isinstance(c, Node)] if depth else []]
+    out, todo = [], [node]
+    while todo:
+        n = todo.pop()
+        if isinstance(n, str):
+            out.append(n)
+        elif n.tag not in RAW:
+            if n.tag in BLOCK or n.tag == "br":
+                out.append(" ")
+                todo.append(" ")
+            todo += reversed(n.children)
+    return "".join(out)
+
+
+def outline(node: Node) -> list:
+    """[tag, names, own text, children, characters, characters in links, digest of all text]: what matching and counting need of a
+    page; the last three of the whole subtree, without what is not text."""
+
+    def build(n: Node, linked: bool) -> list:
+        linked = linked or n.tag == "a"
+        own = " ".join("".join(c for c in n.children if isinstance(c, str)).split()) if n.tag not in RAW else ""
+        made = [n.tag, n.get("class", "id"), own, [], len(own), len(own) if linked else 0, 0]
+        digest = [own]
+        for c in n.children:
+            if not isinstance(c, str):
+                kid = build(c, linked)
+                made[3].append(kid)
+                made[4] += kid[4]
+                made[5] += kid[5]
+                digest.append(kid[6])
+        made[6] = hash(tuple(digest))
+        return made
+
+    return build(node, False)
+
+
+def preorder(tree: list) -> list[list]:
+    """The nodes of an outline by their number."""
+    out, todo = [], [tree]
+    while todo:
+        t = todo.pop()
+        out.append(t)
+        todo += reversed(t[3])
+    return out
 
 
-def match(a: list, b: list, limit: int = 250_000) -> dict[int, int]:
+def match(a: list, b: list) -> dict[int, int]:
     """Simple tree matching of two outlines: the largest order-keeping mapping between nodes of equal tag whose parents are
     mapped too.  Returns preorder number in ``a`` -> preorder number in ``b``.
 
-    Children lists whose table would be over ``limit`` cells are mapped first to first of each tag instead."""
-    number: dict[int, int] = {}
-
-    def count(t, n):
-        number[id(t)] = n
-        for c in t[3]:
-            n = count(c, n + 1)
-        return n
-
-    count(a, 0)
-    count(b, 0)
+    Ends of two lists of children that are leaves of equal tags are mapped at once, which costs no node of any larger mapping."""
     size: dict[tuple[int, int], tuple[int, list]] = {}
 
     def best(x, y) -> int:
@@ -132,22 +150,22 @@ def match(a: list, b: list, limit: int = 250_000) -> dict[int, int]:
         at = (id(x), id(y))
         if at in size:
             return size[at][0]
-        p, q = x[3], y[3]
-        if len(p) == len(q) and all(c[0] == d[0] and not (c[3] and d[3]) for c, d in zip(p, q)):
-            size[at] = (1 + len(p), list(zip(p, q)))
-            return 1 + len(p)
-        if len(p) * len(q) > limit:
-            spare: dict[str, list] = {}
-            for c in reversed(q):
-                spare.setdefault(c[0], []).append(c)
-            pairs = [(c, spare[c[0]].pop()) for c in p if spare.get(c[0])]
-            size[at] = (1 + sum(best(*s) for s in pairs), pairs)
-            return size[at][0]
-        m = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
-        for i in range(1, len(p) + 1):
-            for j in range(1, len(q) + 1):
-                m[i][j] = max(m[i - 1][j], m[i][j - 1], m[i - 1][j - 1] + best(p[i - 1], q[j - 1]))
-        pairs, i, j = [], len(p), len(q)
+        p, q, low, end = x[3], y[3], 0, 0
+        room = min(len(p), len(q))
+        while low < room and p[low][0] == q[low][0] and not p[low][3] and not q[low][3]:
+            low += 1
+        while end < room - low and p[-1 - end][0] == q[-1 - end][0] and not p[-1 - end][3] and not q[-1 - end][3]:
+            end += 1
+        pairs = [*zip(p[:low], q[:low]), *zip(p[len(p) - end :], q[len(q) - end :])]
+        p, q = p[low : len(p) - end], q[low : len(q) - end]
+        m = [[0] * (len(q) + 1)]
+        for c in p:
+            above, row, left = m[-1], [0], 0
+            for j, d in enumerate(q):
+                left = max(left, above[j + 1], above[j] + best(c, d) if c[0] == d[0] else 0)
+                row.append(left)
+            m.append(row)
+        i, j = len(p), len(q)
         while i and j:
             if m[i][j] == m[i - 1][j]:
                 i -= 1
@@ -156,9 +174,10 @@ def match(a: list, b: list, limit: int = 250_000) -> dict[int, int]:
             else:
                 pairs.append((p[i - 1], q[j - 1]))
                 i, j = i - 1, j - 1
-        size[at] = (1 + m[len(p)][len(q)], pairs)
+        size[at] = (1 + low + end + m[-1][-1], pairs)
         return size[at][0]
 
+    number = {id(t): i for tree in (a, b) for i, t in enumerate(preorder(tree))}
     out: dict[int, int] = {}
     if best(a, b):
         todo = [(a, b)]

@@ -1,27 +1,35 @@
 """Main text of web pages by wrapper induction.
 
 The pages of one host share a template.  One page of each host is its pattern; every other page of the host is aligned with
-it by simple tree matching, and for each node of the pattern all pages together say how often it was found and how often
-with the same text.  Nodes found with the same text nearly always are the host's template, the others are its slots.  A
-page's text is what stands in its slots, without elements whose kind or name says that they are not the article.
+it by simple tree matching, and for each node of the pattern all pages together say how often it was found, how often with
+the same text, and how much of its text lies in links.  From those figures the host's wrapper is made (:func:`induce`): nodes
+that keep their text or are made of links are template, and the node that holds most of the text that varies is the content.
+A page's text is what stands in the node that is aligned with the content, less the template.
+
+Kinds of elements that hold no article (scripts, forms, nav, footer) never count.  Names and roles are a hint: inside a host's
+wrapper they cannot outvote the figures of a node that holds half of the varying text; pages without a wrapper (hosts of one
+or two pages, pages on which the content was not found) are read by kinds and names alone.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import written
-from weftline.llm.html_dom import BLOCK, RAW, Node, match, outline, parse, text_of
+from weftline.llm.html_dom import BLOCK, RAW, Node, match, outline, parse, preorder, text_of
 
 #: a longer page (in characters) is its host's pattern only where all others are blank or longer too
 PATTERN_CHARS = 200_000
 #: pages that a host must have for a template; share of them with the node, and with the same text
 MIN_PAGES, FOUND, SAME = 3, 0.3, 0.9
+#: share of text in links from which a node is a menu; share of the varying text with which a child stands for its parent, with
+#: which an article element is the content, and from which neither names nor sameness make a node template
+LINKS, HEIR, ARTICLE, MAIN = 0.6, 0.6, 0.3, 0.5
 #: a host with more than this share of all pages is hot: there are 200 such hosts at most
 HOT_SHARE = 1 / 200
 
@@ -37,18 +45,21 @@ _ARTICLE_NAMES = re.compile(r"(?:^|[\s_-])(?:comment|comments|reply|replies|ad|a
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
+def kind_says_no(n: Node, inside: bool) -> bool:
+    """Whether the element is of a kind that is not part of an article; ``inside``: it stands in the article."""
+    return n.tag in _DROP or n.tag in RAW or n.tag == "header" and not inside or bool(n.attrs and (re.search(r"(?:^|\s)hidden(?:\s|=|$)", n.attrs) or _HIDDEN.search(n.get("style"))))
+
+
 def boilerplate(n: Node, inside: bool) -> bool:
-    """Whether the element is not part of an article by its kind, role or names; ``inside``: it stands in the article."""
-    if n.tag in _DROP or n.tag in RAW:
-        return True
-    if n.tag == "header" and not inside:
+    """Whether the element is not part of an article by its kind, role or names."""
+    if kind_says_no(n, inside):
         return True
     if not n.attrs or n.tag in ("html", "body"):
         return False
     names = n.words()
     if names and (_ARTICLE_NAMES if n.tag in ("article", "main") else _NAMES).search(names):
         return True
-    return n.get("role") in _ROLES or n.get("aria-hidden") == "true" or bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", n.attrs)) or bool(_HIDDEN.search(n.get("style")))
+    return n.get("role") in _ROLES or n.get("aria-hidden") == "true"
 
 
 def _roots(top: Node) -> list[Node]:
@@ -70,8 +81,10 @@ def _roots(top: Node) -> list[Node]:
     return [top]
 
 
-def blocks(top: Node, template: set[int]) -> list[str]:
-    """The texts of the page's blocks, in order.  template: identities of nodes whose own text is the host's."""
+def blocks(top: Node, roots: list[Node] | None = None, dropped: frozenset | set = frozenset(), constant: frozenset | set = frozenset(), trusted: frozenset | set = frozenset()) -> list[str]:
+    """The texts of the page's blocks, in order: those in ``roots``, or in the page's article elements.
+
+    Identities of nodes: ``dropped`` are left out whole, of ``constant`` the own text; names say nothing about ``trusted``."""
     out: list[str] = []
 
     def run(roots, plain: bool):
@@ -89,12 +102,12 @@ def blocks(top: Node, template: set[int]) -> list[str]:
         def walk(n: Node, linked: bool, inside: bool):
             for c in n.children:
                 if isinstance(c, str):
-                    if id(n) not in template:
+                    if id(n) not in constant:
                         line.append(c)
                         links[0] += len(c) if linked else 0
                 elif c.tag == "br":
                     line.append(" ")
-                elif not boilerplate(c, inside):
+                elif id(c) not in dropped and not (kind_says_no(c, inside) if id(c) in trusted else boilerplate(c, inside)):
                     if c.tag in BLOCK:
                         end()
                         walk(c, linked, inside or c.tag in ("article", "main"))
@@ -106,32 +119,108 @@ def blocks(top: Node, template: set[int]) -> list[str]:
             walk(r, r.tag == "a", not plain)
             end()
 
-    roots = _roots(top)
-    run(roots, roots == [top])
+    if roots is None:
+        roots = _roots(top)
+        run(roots, roots == [top])
+    else:
+        run(roots, False)
     return out
 
 
-def _numbered(n: Node, depth: int = 40) -> list[Node]:
+def _nodes(top: Node) -> list[Node]:
     """Nodes in the preorder of :func:`outline`."""
-    return [n, *(x for c in n.children if isinstance(c, Node) for x in (_numbered(c, depth - 1)))] if depth else [n]
+    out, todo = [], [top]
+    while todo:
+        n = todo.pop()
+        out.append(n)
+        todo += [c for c in reversed(n.children) if isinstance(c, Node)]
+    return out
 
 
-def extract(html: str | None, pattern: list | None = None, constant: frozenset = frozenset()) -> str:
-    """The article's text.  Where the template would leave nothing (all pages of the host are alike), it is not used."""
-    top = parse(html)
-    if pattern is not None and constant:
-        own = outline(top)
-        nodes, texts = _numbered(top), _texts(own)
-        known = _texts(pattern)
-        template = {id(nodes[b]) for a, b in match(pattern, own).items() if a in constant and known[a] == texts[b]}
-        found = "\n".join(blocks(top, template))
-        if found:
-            return found
-    return "\n".join(blocks(top, set()))
+#: what is counted of each node of a pattern: pages with it, with the same text in it, with own text, with the same own text; characters in it,
+#: of those in links, and own ones
+COUNTS = ("found", "alike", "owning", "same", "chars", "links", "own")
+
+
+def induce(pattern: str, counts: dict[int, tuple], pages: int) -> tuple[list[int], list[int], list[int]]:
+    """A host's wrapper: the pattern's nodes (by number) that are content, those that are template as a whole, and those of which the own
+    text is; empty if no text varies."""
+    top = parse(pattern)
+    nodes, need = _nodes(top), max(MIN_PAGES, FOUND * pages)
+    at = {id(n): i for i, n in enumerate(nodes)}
+    total = counts.get(0, (0,) * len(COUNTS))[4]
+    dropped, constant, mass = set(), set(), [0.0] * len(nodes)
+    for i in range(len(nodes) - 1, -1, -1):
+        n = nodes[i]
+        found, alike, owning, same, chars, links, own = counts.get(i, (0,) * len(COUNTS))
+        sure = found >= need
+        if sure and owning >= need and same >= SAME * owning and own < MAIN * total:
+            constant.add(i)
+            own = 0
+        mass[i] = sum(mass[at[id(c)]] for c in n.children if isinstance(c, Node)) + (own if n.tag != "a" else 0)
+        if kind_says_no(n, True) or sure and chars and (links >= LINKS * chars or alike >= SAME * found and chars < MAIN * total):
+            dropped.add(i)
+            mass[i] = 0.0
+    for i, n in enumerate(nodes):  # from the outside in
+        if i and i not in dropped and mass[i] < MAIN * mass[0] and boilerplate(n, any(a.tag in ("article", "main") for a in _above(n))):
+            dropped.add(i)
+            lost, up = mass[i], n
+            while up is not None:
+                mass[at[id(up)]] -= lost
+                up = up.parent
+    if mass[0] <= 0:
+        return [], [], []
+    content = [at[id(n)] for kind in ("article", "main") for n in _outermost(top, kind) if at[id(n)] not in dropped and mass[at[id(n)]] >= ARTICLE * mass[0]][:1]
+    if content:
+        kind = nodes[content[0]].tag
+        content = [at[id(n)] for n in _outermost(top, kind) if at[id(n)] not in dropped and mass[at[id(n)]] > 0]
+    else:
+        here = 0
+        while True:
+            heirs = [at[id(c)] for c in nodes[here].children if isinstance(c, Node) and c.tag in _HOLDERS and at[id(c)] not in dropped and counts.get(at[id(c)], (0,))[0] >= need]
+            heir = max(heirs, key=lambda k: mass[k], default=None)
+            if heir is None or mass[heir] < HEIR * mass[here]:
+                break
+            here = heir
+        content = [here]
+    return content, sorted(dropped), sorted(constant)
+
+
+#: elements that hold blocks rather than being one
+_HOLDERS = frozenset("html body div section main article center table tbody tr td form fieldset details dialog".split())
+
+
+def _above(n: Node):
+    while n.parent is not None:
+        n = n.parent
+        yield n
+
+
+def _outermost(top: Node, tag: str) -> list[Node]:
+    out, todo = [], [top]
+    while todo:
+        n = todo.pop()
+        if n.tag == tag:
+            out.append(n)
+        else:
+            todo += [c for c in reversed(n.children) if isinstance(c, Node)]
+    return out
 
 
-def _texts(tree: list) -> list[str]:
-    return [tree[2], *(t for c in tree[3] for t in _texts(c))]
+def extract(html: str | None, pattern: list | None = None, wrapper: tuple | None = None) -> str:
+    """The article's text, by the wrapper (content, template, own text that is template) where there is one and it finds the content."""
+    top = parse(html)
+    if pattern is not None and wrapper is not None and wrapper[0]:
+        nodes, own = _nodes(top), outline(top)
+        found = match(pattern, own)
+        roots, dropped = ([nodes[found[k]] for k in ks if k in found] for ks in wrapper[:2])
+        if roots:
+            known, mine = preorder(pattern), preorder(own)
+            constant = {id(nodes[found[k]]) for k in wrapper[2] if k in found and known[k][2] == mine[found[k]][2]}
+            text = "\n".join(blocks(top, roots, {id(n) for n in dropped}, constant, {id(nodes[k]) for k in found.values()}))
+            if text:
+                return text
+    return "\n".join(blocks(top))
 
 
 class _Patterns(dict):
@@ -165,35 +254,44 @@ def patterns_of(pages: DataFrame) -> DataFrame:
 
 
 def templates_of(pages: DataFrame, patterns: DataFrame) -> DataFrame:
-    """``patterns`` with ``constant``: the numbers of the pattern's nodes that are the host's template."""
+    """``patterns`` with the host's wrapper: content, dropped and constant (numbers of the pattern's nodes)."""
 
     def align(batches):
-        known, found, same = _Patterns(), Counter(), Counter()
+        known, counts = _Patterns(), {}
 
         def flush():
-            keys = list(found)
-            return pa.RecordBatch.from_pydict({"host": pa.array([k[0] for k in keys], pa.string()), "node": pa.array([k[1] for k in keys], pa.int32()), "found": pa.array([found[k] for k in keys], pa.int64()), "same": pa.array([same[k] for k in keys], pa.int64())})
+            hosts = [h for h, c in counts.items() for _ in range(len(c))]
+            whole = np.concatenate([*counts.values(), np.zeros((0, len(COUNTS)), np.int64)])
+            numbers = np.concatenate([*(np.arange(len(c)) for c in counts.values()), np.zeros(0, np.int64)])
+            some = np.flatnonzero(whole[:, 0])
+            return pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()).take(pa.array(some)), pa.array(numbers[some].astype(np.int32)), *(pa.array(whole[some, k]) for k in range(len(COUNTS)))], names=["host", "node", *COUNTS])
 
         for b in batches:
             for host, html, pattern in zip(*(c.to_pylist() for c in b.columns)):
                 tree, own = known[pattern], outline(parse(html))
-                texts, mine = _texts(tree), _texts(own)
-                for x, y in match(tree, own).items():
-                    if texts[x]:
-                        found[host, x] += 1
-                        same[host, x] += texts[x] == mine[y]
-            if len(found) > 200_000:
+                if host not in counts:
+                    counts[host] = np.zeros((len(preorder(tree)), len(COUNTS)), np.int64)
+                theirs, mine = preorder(tree), preorder(own)
+                rows = [(x, 1, t[6] == m[6], bool(t[2]), bool(t[2]) and t[2] == m[2], m[4], m[5], len(m[2])) for x, y in match(tree, own).items() for t, m in ((theirs[x], mine[y]),)]
+                told = np.array(rows, np.int64)
+                counts[host][told[:, 0]] += told[:, 1:]
+            if sum(map(len, counts.values())) > 200_000:
                 yield flush()
-                found.clear()
-                same.clear()
+                counts.clear()
         yield flush()
 
-    beside = _with_patterns(pages.select("host", "html"), patterns).where(F.col("pattern").isNotNull())
-    seen = beside.select("host", "html", "pattern").mapInArrow(align, "host string, node int, found long, same long").groupBy("host", "node").agg(F.sum("found").alias("found"), F.sum("same").alias("same"))
-    size = patterns.select(F.col("host").alias("h"), "pages")
-    kept = seen.join(size, F.col("host") == F.col("h")).where((F.col("found") >= MIN_PAGES) & (F.col("found") >= FOUND * F.col("pages")) & (F.col("same") >= SAME * F.col("found")))
-    lists = kept.groupBy("host").agg(F.collect_list("node").alias("constant")).withColumnRenamed("host", "h")
-    return written(patterns.join(lists, F.col("host") == F.col("h")).drop("h"), "templates")
+    kinds = ", ".join(f"{c} long" for c in COUNTS)
+    beside = _with_patterns(pages.select("host", "html"), patterns).where(F.col("pattern").isNotNull() & F.col("html").rlike(r"\S"))
+    seen = beside.select("host", "html", "pattern").mapInArrow(align, f"host string, node int, {kinds}").groupBy("host", "node").agg(*(F.sum(c).alias(c) for c in COUNTS))
+    lists = seen.groupBy(F.col("host").alias("h")).agg(F.collect_list(F.struct("node", *COUNTS)).alias("nodes"))  # as many as the pattern has
+
+    def wrap(batches):
+        for b in batches:
+            made = [induce(p, {n["node"]: tuple(n[c] for c in COUNTS) for n in nodes}, max(n["found"] for n in nodes)) for p, nodes in zip(b.column(3).to_pylist(), b.column(4).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], *(pa.array([m[k] for m in made], pa.list_(pa.int32())) for k in range(3))], names=["host", "pages", "hot", "pattern", "content", "dropped", "constant"])
+
+    both = patterns.join(lists, F.col("host") == F.col("h")).select("host", "pages", "hot", "pattern", "nodes")
+    return written(both.mapInArrow(wrap, "host string, pages long, hot boolean, pattern string, content array<int>, dropped array<int>, constant array<int>"), "templates")
 
 
 def main_text(pages: DataFrame, keep_columns: list[str]) -> DataFrame:
@@ -211,9 +309,9 @@ def main_text(pages: DataFrame, keep_columns: list[str]) -> DataFrame:
     def run(batches):
         known = _Patterns()
         for b in batches:
-            made = [extract(h, known[p] if p is not None else None, frozenset(c or ())) for h, p, c in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)))]
+            made = [extract(h, known[p] if p is not None else None, w) for h, p, *w in zip(*(b.column(i).to_pylist() for i in range(1, 6)))]
             row = b.column(0).flatten()
             yield pa.RecordBatch.from_arrays([*row, pa.array(made, pa.string()), pa.array([len(t) for t in made], pa.int64())], names=[*names, "text", "n_chars"])
 
-    beside = _with_patterns(keyed.select("__row", "host", "html"), templates).select("__row", "html", "pattern", "constant")
+    beside = _with_patterns(keyed.select("__row", "host", "html"), templates).select("__row", "html", "pattern", "content", "dropped", "constant")
     return beside.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in order), "text string, n_chars long"]))
