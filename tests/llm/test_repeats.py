@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 
 import pytest
@@ -72,3 +73,43 @@ def test_odd_rows(odd_docs, no_docs):
     assert len(got) == odd_docs.count() and {r.doc_id: r.n_bytes for r in got}[1] == 0
     assert [r.n_removed for r in got if r.doc_id == 6] == [150_000]
     assert repeats.strip(no_docs).count() == 0
+
+
+def test_groups_of_one_anchor_against_all_pairs():
+    rng = random.Random(11)
+    for _ in range(300):
+        length, n = rng.choice((3, 5)), rng.randint(1, 9)
+        made = {(bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 5))), bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 5)))) for _ in range(n)}
+        lefts, rights = ([m[k] for m in sorted(made)] for k in (0, 1))
+        got = sorted((a, b, sorted(m)) for a, b, m in repeats_kernel.repeat_groups(rights, lefts, length))
+        want = set()
+        for i in range(len(lefts)):
+            for j in range(i):
+                a, b = (len(os.path.commonprefix((x[i], x[j]))) for x in (lefts, rights))
+                if a + b >= length:
+                    want.add((a, b, tuple(k for k in range(len(lefts)) if lefts[k][:a] == lefts[i][:a] and rights[k][:b] == rights[i][:b] and len(lefts[k]) >= a and len(rights[k]) >= b)))
+        assert got == sorted((a, b, list(m)) for a, b, m in want)
+
+
+def test_groups_tell_all_occurrences(make, monkeypatch):
+    rng = random.Random(12)
+    rows = [(d, "".join(rng.choice("ab") for _ in range(rng.randint(0, 60)))) for d in range(30)]
+    rows += [(40 + k, rows[0][1]) for k in range(3)] + [(50, None)]
+    for limit in (128, 2):
+        monkeypatch.setattr(repeats, "GROUP", limit)
+        found = {}
+        for r in repeats.groups(make(rows), length=40).collect():
+            found.setdefault((r.group, r.length), set()).add((r.doc_id, r.start))
+        texts = {d: (t or "").encode() for d, t in rows}
+        told = set()
+        for (_, n), at in found.items():
+            strings = {texts[d][s : s + n] for d, s in at}
+            assert len(strings) == 1 and len(at) > 1
+            every = {(d, s) for d, t in texts.items() for s in range(len(t) - n + 1) if t[s : s + n] in strings}
+            assert at == every
+            told |= {(d, s + k) for d, s in at for k in range(n)}
+        seen = {}
+        for d, t in texts.items():
+            for s in range(len(t) - 39):
+                seen.setdefault(t[s : s + 40], []).append((d, s))
+        assert told == {(d, s + k) for at in seen.values() if len(at) > 1 for d, s in at for k in range(40)}

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +41,22 @@ def small_batches(spark: SparkSession):
         spark.conf.set(name, str(before))
 
 
+def released(run):
+    """``run``, a function for mapInArrow, after which the worker gives back the memory that its arrays have left behind: workers live on,
+    beside an executor that may need it."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+            if trim is not None:
+                trim(0)
+
+    return wrapped
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a table in the shared folder, read back: lineage ends here, so a lost executor costs no recomputation."""
     spark = df.sparkSession

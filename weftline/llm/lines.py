@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm import linesets as L
-from weftline.llm.common import drop_written, written
+from weftline.llm.common import drop_written, released, written
 from weftline.llm.linesets import SIMILAR, prefix_of
 
 __all__ = ["SIMILAR", "prefix_of", "dedup"]
@@ -66,7 +66,7 @@ def _added(rows: DataFrame, dtype: str, join) -> np.ndarray:
         if held is not None:
             yield pa.RecordBatch.from_pydict({"chunk": pa.array([held], pa.int32()), "z": [zip_.compress(total.tobytes())]})
 
-    whole = rows.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(run, "chunk int, z binary").toArrow().sort_by("chunk")
+    whole = rows.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(released(run), "chunk int, z binary").toArrow().sort_by("chunk")
     unzip = zstandard.ZstdDecompressor()
     return np.concatenate([np.frombuffer(unzip.decompress(z), dtype) for z in whole.column("z").to_pylist()]) if whole.num_rows else np.zeros(0, dtype)
 
@@ -86,7 +86,7 @@ def _filter(values: DataFrame) -> np.ndarray:
                 bits[at] = True
         yield _chunks(np.packbits(bits))
 
-    return _added(values.mapInArrow(run, "chunk int, z binary"), "u1", np.bitwise_or)
+    return _added(values.mapInArrow(released(run), "chunk int, z binary"), "u1", np.bitwise_or)
 
 
 def _cells(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,7 +130,7 @@ def _ranks(texts: DataFrame) -> np.ndarray:
                     np.add.at(counts, L.bucket(h), np.uint32(1))
         yield _chunks(counts)
 
-    found = _added(texts.select("__text").mapInArrow(run, "chunk int, z binary"), "<u4", np.add)
+    found = _added(texts.select("__text").mapInArrow(released(run), "chunk int, z binary"), "<u4", np.add)
     return L.ranks(found) if len(found) else np.zeros(1 << L.BUCKET_BITS, np.uint8)
 
 
@@ -155,7 +155,7 @@ def _sets(texts: DataFrame, floor: int, rank: np.ndarray) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(columns, names=["id", "id2", "by", "tie", "line", "prefix", "n", "one", "two"])
 
     by = texts.schema["__by"].dataType.simpleString()
-    rows = texts.select("__by", "__tie", "__text").mapInArrow(run, f"id long, id2 long, by {by}, tie long, line long, prefix binary, n long, one long, two long")
+    rows = texts.select("__by", "__tie", "__text").mapInArrow(released(run), f"id long, id2 long, by {by}, tie long, line long, prefix binary, n long, one long, two long")
     sets = rows.groupBy("id", "id2").agg(F.min(F.struct("by", "tie", "line")).alias("first"), F.max(F.struct("prefix", "n", "one", "two")).alias("set"))
     plain = written(sets.select("id", "first", "set.*"), "sets")  # sorting looks at it twice
     ordered = written(plain.sort("first").select(F.monotonically_increasing_id().alias("num"), *plain.columns), "sets")
@@ -225,7 +225,7 @@ def _postings(sets: DataFrame, sizes: tuple[int, int, int, int], ask: bool = Fal
         if rows:
             yield blocks()
 
-    return sets.select("num", "prefix", "n", "one", "two").mapInArrow(run, "bucket long, n int, ask boolean, block binary")
+    return sets.select("num", "prefix", "n", "one", "two").mapInArrow(released(run), "bucket long, n int, ask boolean, block binary")
 
 
 def _keys(post: DataFrame) -> DataFrame:
@@ -235,7 +235,7 @@ def _keys(post: DataFrame) -> DataFrame:
             for n, z in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 yield pa.RecordBatch.from_pydict({"key": pa.array(_unblock(z, n, unzip)["key"].view(np.int64))})
 
-    return post.select("n", "block").mapInArrow(run, "key long")
+    return post.select("n", "block").mapInArrow(released(run), "key long")
 
 
 def _matches(post: DataFrame) -> DataFrame:
@@ -264,7 +264,7 @@ def _matches(post: DataFrame) -> DataFrame:
         if blocks:
             yield work(blocks, unzip)
 
-    return post.select("bucket", "n", "ask", "block").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "x long, y long, far int, more boolean")
+    return post.select("bucket", "n", "ask", "block").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(released(run), "x long, y long, far int, more boolean")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, floor: int) -> DataFrame:
@@ -296,10 +296,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, floor: int) -
             ok = L.similar(b.column(1).to_pylist(), b.column(2).to_pylist(), _WORD)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok))], names=["x"])
 
-    full = texts.select("__tie", "__text").mapInArrow(words, "id long, words binary").dropDuplicates(["id"])
+    full = texts.select("__tie", "__text").mapInArrow(released(words), "id long, words binary").dropDuplicates(["id"])
     a, b = (full.select(F.col("id").alias(f"{k}_"), F.col("words").alias(f"{k}w")) for k in "xy")
     both = named.join(a, F.col("xi") == F.col("x_")).join(b, F.col("yi") == F.col("y_")).select("x", "xw", "yw")
-    found = written(both.mapInArrow(judge, "x long").distinct(), "gone")
+    found = written(both.mapInArrow(released(judge), "x long").distinct(), "gone")
     drop_written(named)
     drop_written(rows)
     return found
@@ -332,7 +332,7 @@ def _kept(sets: DataFrame, texts: DataFrame, floor: int, sizes: tuple[int, int,
                 made.append(mask.tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.binary()), pa.compute.list_value_length(b.column(2)).cast(pa.int64())], names=["by", "tie", "mask", "n"])
 
-    kept = written(lists.mapInArrow(masks, f"by {lists.schema['by'].dataType.simpleString()}, tie long, mask binary, n long"), "kept")
+    kept = written(lists.mapInArrow(released(masks), f"by {lists.schema['by'].dataType.simpleString()}, tie long, mask binary, n long"), "kept")
     for t in (open_, *gone):
         drop_written(t)
     return kept

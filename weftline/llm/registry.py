@@ -33,7 +33,9 @@ def op5_sharding(spark, sf_dir):
 
 
 def op6_suffix_array_dedup(spark, sf_dir):
-    return repeats.strip(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    """A row for each document; ``text`` is what stays, parts of cut characters replaced."""
+    kept = repeats.strip(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
 
 
 def op7_toxicity(spark, sf_dir):

@@ -22,8 +22,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import written
-from weftline.llm.repeats_kernel import LENGTH, anchors, covers
+from weftline.llm.common import drop_written, written
+from weftline.llm.repeats_kernel import LENGTH, anchors, covers, repeat_groups
 
 #: different contexts of one key that go through one tree; keys with more are split
 GROUP = 128
@@ -83,15 +83,17 @@ def _contexts(base: DataFrame, shared: DataFrame) -> DataFrame:
     return both.mapInArrow(cut, "hash long, cid binary, row long, place long, l int, ctx binary")
 
 
-def _trees(small: DataFrame, length: int) -> DataFrame:
-    """(hash, cid, left, right) of contexts that lie in a repeat; rows of one hash come together, hash by hash."""
+def _trees(small: DataFrame, length: int, groups: bool = False) -> DataFrame:
+    """(hash, cid, left, right) of contexts that lie in a repeat, or with ``groups`` of each group that they are in; rows of one hash
+    come together, hash by hash."""
 
     def finish(group):
-        if len(group) == 1:
-            found = [(0, 0)]
-        else:
-            found = covers([c[left:] for _, _, left, c in group], [c[:left][::-1] for _, _, left, c in group], length)
-        for (cid, n, left, ctx), (a, b) in zip(group, found):
+        sides = [c[left:] for _, _, left, c in group], [c[:left][::-1] for _, _, left, c in group]
+        if groups:
+            yield from ((cid, left, len(ctx) - left) for cid, n, left, ctx in group if n > 1)
+            yield from ((group[m][0], a, b) for a, b, members in repeat_groups(*sides, length) for m in members)
+            return
+        for (cid, n, left, ctx), (a, b) in zip(group, covers(*sides, length) if len(group) > 1 else [(0, 0)]):
             if n > 1:
                 yield cid, left, len(ctx) - left
             elif a + b >= length:
@@ -147,19 +149,24 @@ def _split(large: DataFrame, width: int, length: int) -> DataFrame:
     return large.select("hash", "cid", "n", "l", "ctx").mapInArrow(run, "hash2 long, cid2 binary, n long, l int, ctx binary, hash long, cid binary")
 
 
-def _covered(different: DataFrame, length: int, level: int = 0) -> DataFrame:
-    """(hash, cid, left, right) for ``different`` contexts (hash, cid, n, l, ctx), written."""
+def _covered(different: DataFrame, length: int, level: int = 0, groups: bool = False) -> DataFrame:
+    """(hash, cid, left, right) for ``different`` contexts (hash, cid, n, l, ctx): the widest span of each that is repeated, or with
+    ``groups`` those of all groups."""
     spark = different.sparkSession
     many = different.groupBy(F.col("hash").alias("h2")).agg(F.count(F.lit(1)).alias("many")).where(F.col("many") > GROUP)
     if level == len(WIDTHS) or (many := written(many, "many")).isEmpty():
         if level == len(WIDTHS):  # single strings: a count says all
             return different.where("n > 1").select("hash", "cid", F.col("l").alias("left"), (F.lit(length) - F.col("l")).alias("right"))
-        return _trees(different, length)
-    done = _trees(different.join(many, F.col("hash") == F.col("h2"), "left_anti"), length)
+        return _trees(different, length, groups)
+    done = _trees(different.join(many, F.col("hash") == F.col("h2"), "left_anti"), length, groups)
     parts = written(_split(different.join(many, F.col("hash") == F.col("h2"), "left_semi"), WIDTHS[level], length), "parts")
     each = written(parts.groupBy(F.col("hash2").alias("hash"), F.col("cid2").alias("cid")).agg(F.sum("n").alias("n"), F.first("l").alias("l"), F.first("ctx").alias("ctx")), "each")
-    under = _covered(each, length, level + 1).select(F.col("hash").alias("h3"), F.col("cid").alias("c3"), "left", "right")
-    up = parts.select("hash", "cid", "hash2", "cid2").join(under, (F.col("hash2") == F.col("h3")) & (F.col("cid2") == F.col("c3"))).groupBy("hash", "cid").agg(F.max("left").alias("left"), F.max("right").alias("right"))
+    under = _covered(each, length, level + 1, groups).select(F.col("hash").alias("h3"), F.col("cid").alias("c3"), "left", "right")
+    up = parts.select("hash", "cid", "hash2", "cid2").join(under, (F.col("hash2") == F.col("h3")) & (F.col("cid2") == F.col("c3")))
+    if groups:
+        up = up.select("hash", "cid", "left", "right").distinct()
+    else:
+        up = up.groupBy("hash", "cid").agg(F.max("left").alias("left"), F.max("right").alias("right"))
     return done.unionByName(up.select("hash", "cid", F.col("left").cast("int"), F.col("right").cast("int")))
 
 
@@ -174,6 +181,32 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def _met(docs: DataFrame, key: str, text: str, length: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(stored texts, contexts of anchors that come up twice, the different ones of those)."""
+    base = _stored(docs, key, text)
+    every = _anchors(base, length)
+    twice = every.groupBy(F.col("hash").alias("h2")).agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("h2")
+    shared = every.join(twice, F.col("hash") == F.col("h2"), "left_semi")
+    contexts = written(_contexts(base, shared), "contexts")
+    drop_written(every)
+    different = contexts.groupBy("hash", "cid").agg(F.count(F.lit(1)).alias("n"), F.first("l").alias("l"), F.first("ctx").alias("ctx"))
+    return base, contexts, written(different, "different")
+
+
+def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
+    """(group, length, ``key``, start): all occurrences of each maximal repeated string of ``length`` bytes or more that one anchor sees;
+    group names the string.
+
+    A longer repeat is told by its anchors, in strings that lie over one another.  Null texts count as empty, repeated rows as
+    two occurrences each.  An empty table gives no rows."""
+    base, contexts, different = _met(docs, key, text, length)
+    found = _covered(different, length, groups=True).distinct().select(F.col("hash").alias("h3"), F.col("cid").alias("c3"), "left", "right")
+    hit = contexts.join(found, (F.col("hash") == F.col("h3")) & (F.col("cid") == F.col("c3")))
+    string = F.substring("ctx", F.col("l") - F.col("left") + 1, F.col("left") + F.col("right"))
+    rows = hit.select(F.sha2(string, 256).alias("group"), (F.col("left") + F.col("right")).cast("long").alias("length"), "row", (F.col("place") - F.col("left")).alias("start")).distinct()
+    return rows.join(base.select(F.col("row").alias("r4"), F.col("key").alias("__key")), F.col("row") == F.col("r4")).select("group", "length", F.col("__key").alias(key), "start")
+
+
 def strip(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """A row for each row of ``docs``: ``key``, n_bytes, n_removed, n_spans, kept (binary, the bytes that stay) and
     kept_sha256.
@@ -181,12 +214,7 @@ def strip(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
     A byte goes if a string of ``length`` bytes over it starts anywhere else too, in the same or another row; rows are judged
     on the input.  Null texts count as empty; texts below ``length`` bytes stay whole; repeated rows take each other's bytes
     away, like any copies.  ``kept`` may part a character of several bytes.  An empty table gives no rows."""
-    base = _stored(docs, key, text)
-    every = _anchors(base, length)
-    twice = every.groupBy(F.col("hash").alias("h2")).agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("h2")
-    shared = every.join(twice, F.col("hash") == F.col("h2"), "left_semi")
-    contexts = written(_contexts(base, shared), "contexts")
-    different = written(contexts.groupBy("hash", "cid").agg(F.count(F.lit(1)).alias("n"), F.first("l").alias("l"), F.first("ctx").alias("ctx")), "different")
+    base, contexts, different = _met(docs, key, text, length)
     found = written(_covered(different, length), "covered").select(F.col("hash").alias("h3"), F.col("cid").alias("c3"), "left", "right")
     hit = contexts.select("hash", "cid", "row", "place").join(found, (F.col("hash") == F.col("h3")) & (F.col("cid") == F.col("c3")))
     spans = hit.groupBy(F.col("row").alias("r3")).agg(F.collect_list(F.struct((F.col("place") - F.col("left")).alias("a"), (F.col("place") + F.col("right")).alias("b"))).alias("spans"))

@@ -62,13 +62,15 @@ def _common(a: bytes, b: bytes) -> int:
     return len(os.path.commonprefix((a, b)))
 
 
-def covers(rights: list[bytes], lefts: list[bytes], length: int = LENGTH) -> list[tuple[int, int]]:
-    """(left, right) for each context: the bytes before and after its anchor that lie in a repeated string; (0, 0) if none.
+def repeat_groups(rights: list[bytes], lefts: list[bytes], length: int = LENGTH) -> list[tuple[int, int, list[int]]]:
+    """(left, right, members) of the maximal repeats around one anchor: strings of ``length`` bytes or more, ``left`` of them before the
+    anchor, that all members share and no longer string does.
 
     ``rights`` are the bytes from the anchor on, ``lefts`` those before it, reversed; all contexts differ and share the anchor.
     The sorted ``rights`` are the suffix array; a stack runs over the lengths of common prefixes of neighbours and yields the
-    intervals of the prefix tree.  An interval whose members' left sides also agree for long enough is a group of repeats,
-    maximal where left sides part; each member is extended as far as its nearest member on the left side."""
+    intervals of the prefix tree, each with its children.  The members of an interval are then scanned in the order of their left sides,
+    by a stack again: a run that shares enough to the left, and parts there (left-extension diversity, as it is an interval of
+    left sides), is a group if it takes members of two children, so that it parts to the right, too."""
     n = len(rights)
     order = sorted(range(n), key=rights.__getitem__)
     by_left = sorted(range(n), key=lefts.__getitem__)
@@ -76,27 +78,47 @@ def covers(rights: list[bytes], lefts: list[bytes], length: int = LENGTH) -> lis
     for i, x in enumerate(by_left):
         rank[x] = i
     beside = [_common(lefts[a], lefts[b]) for a, b in zip(by_left, by_left[1:])]
-    left, right = [0] * n, [0] * n
-
-    def close(members: list[int], common: int) -> None:
-        need = length - common
-        at = sorted(rank[m] for m in members)
-        for a, b in zip(at, at[1:]):
-            shared = beside[a] if b == a + 1 else min(beside[a:b])
-            if shared >= need:
-                for m in (by_left[a], by_left[b]):
-                    left[m], right[m] = max(left[m], shared), max(right[m], common)
-
-    stack: list[tuple[int, list[int]]] = []  # (common prefix, members so far)
+    found: list[tuple[int, int, list[int]]] = []
+
+    def close(children: list[list[int]], common: int) -> None:
+        need = max(0, length - common)
+        child = {m: k for k, members in enumerate(children) for m in members}
+        at = sorted((rank[m], m) for m in child)
+        stack: list[tuple[int, list[int]]] = []
+        for k, (r, m) in enumerate(at):
+            here = [m]
+            shared = -1 if k + 1 == len(at) else beside[r] if at[k + 1][0] == r + 1 else min(beside[r : at[k + 1][0]])
+            while stack and stack[-1][0] > shared:
+                depth, members = stack.pop()
+                here = members + here
+                if depth >= need and len({child[x] for x in here}) > 1:
+                    found.append((depth, common, here))
+            if stack and stack[-1][0] == shared:
+                stack[-1][1].extend(here)
+            elif shared >= 0:
+                stack.append((shared, here))
+
+    stack: list[tuple[int, list[list[int]]]] = []  # (common prefix, children so far)
     for k in range(n):
         here = [order[k]]
-        common = _common(rights[order[k]], rights[order[k + 1]]) if k + 1 < n else 0
+        common = _common(rights[order[k]], rights[order[k + 1]]) if k + 1 < n else -1
         while stack and stack[-1][0] > common:
-            depth, members = stack.pop()
-            here = members + here
-            close(here, depth)
+            depth, children = stack.pop()
+            children.append(here)
+            close(children, depth)
+            here = [m for c in children for m in c]
         if stack and stack[-1][0] == common:
-            stack[-1][1].extend(here)
-        elif common or not stack:
-            stack.append((common, here))
+            stack[-1][1].append(here)
+        elif common >= 0:
+            stack.append((common, [here]))
+    return found
+
+
+def covers(rights: list[bytes], lefts: list[bytes], length: int = LENGTH) -> list[tuple[int, int]]:
+    """(left, right) for each context: the bytes before and after its anchor that lie in a repeated string, those of all its groups of
+    :func:`repeat_groups` together (each holds the anchor, so they are one run); (0, 0) if none."""
+    left, right = [0] * len(rights), [0] * len(rights)
+    for a, b, members in repeat_groups(rights, lefts, length):
+        for m in members:
+            left[m], right[m] = max(left[m], a), max(right[m], b)
     return list(zip(left, right))
