@@ -20,6 +20,7 @@ SIZE_STEP = 0.1428
 MODELS = Path(__file__).parent / "plans" / "models"
 
 
+#: the defaults below are fixed values
 @dataclass(frozen=True)
 class ClusterConfig:
     gaussian_std_days: float = 3.0
@@ -47,4 +48,9 @@ class ClusterConfig:
     rank_model: str = str(MODELS / "rank.cls")
     merge_model: str | None = str(MODELS / "merge.cls")
     join_model: str = str(MODELS / "join.cls")
+    #: module -> {"rank": path, "merge": path or None, "join": path}, for modules with models of their own
     modules: dict = field(default_factory=dict, compare=False)
+
+    def models(self, module: str) -> dict:
+        """The paths of a module's weight files."""
+        return {"rank": self.rank_model, "merge": self.merge_model, "join": self.join_model, **self.modules.get(module, {})}

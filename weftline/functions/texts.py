@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 MAX_PARAGRAPHS = 40
 MAX_CHARS = 4096
 MAX_WORDS = 128
-#: fixed values: block tags that end a paragraph
+#: fixed values: block tags whose end ends a paragraph, where a text comes with the ends of its blocks
 NEWLINE_TAGS = (
-    "address article aside blockquote br canvas dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav "
-    "noscript ol p pre section table tr"
+    "address article aside blockquote canvas dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav "
+    "noscript ol p pre section table tfoot ul video"
 ).split()
+#: tags that break the paragraphs of a page read as markup: those, and what parts lines and rows there
+BREAKING_TAGS = [*NEWLINE_TAGS, "br", "tr"]
 
 
 def paragraphs(text: Column) -> Column:
@@ -42,33 +44,51 @@ def title_first_paragraph(title: Column, of: Column) -> Column:
 def html_paragraphs(html: Column) -> Column:
     """Paragraphs of a page by its block tags: other tags become a space, white space is drawn together."""
     inner = F.regexp_replace(html, r"(?is)<(script|style|head)\b.*?</(script|style|head)>|<!--.*?-->", " ")
-    broken = F.regexp_replace(inner, rf"(?i)</?({'|'.join(NEWLINE_TAGS)})\b[^>]*>", "\n")
+    broken = F.regexp_replace(inner, rf"(?i)</?({'|'.join(BREAKING_TAGS)})\b[^>]*>", "\n")
     plain = F.regexp_replace(broken, r"<[^>]*>", " ")
     lines = F.transform(F.split(plain, "\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
     return F.filter(lines, lambda x: x != "")
 
 
 def paragraphs_by_ends(text: str, ends: dict[str, list[int]]) -> list[str]:
-    """Paragraphs of ``text`` whose blocks end at the given places (tag -> end offsets).
+    """Paragraphs of ``text`` whose blocks end at the given places (tag -> offsets).
 
-    Where a block of a newline tag ends the paragraph is closed; where another ends, a space keeps words apart."""
-    stops: dict[int, bool] = {}
-    for tag, places in ends.items():
+    Where a block of a newline tag ends the paragraph is closed; where another ends, a space keeps words apart.  Line breaks
+    go, with the spaces and tabs after them; of a run of spaces and tabs the first one stays."""
+    closing: dict[int, bool] = {}
+    for tag, places in sorted(ends.items()):
         for p in places:
-            stops[p] = stops.get(p, False) or tag.lower() in NEWLINE_TAGS
-    out, now = [], ""
-    for at, ch in enumerate(text):
-        if at in stops:
-            if stops[at]:
-                if now.strip():
-                    out.append(now.strip())
-                now = ""
-            elif ch != " ":
-                now += " "
-        if ch == "\n" or ch in " \t" and now[-1:] in (" ", ""):
-            continue
-        now += ch
-    return [*out, now.strip()] if now.strip() else out
+            closing[p] = closing.get(p, False) or tag in NEWLINE_TAGS
+    out, cut = [], [*sorted({0, *(p for p in closing if 0 <= p < len(text))}), len(text)] if text else []
+    now, skip = "", False
+    for a, b in zip(cut, cut[1:]):
+        if a in closing and closing[a]:
+            out.append(now)
+            now = ""
+        elif a in closing and text[a] != " ":
+            now += " "
+        for run in re.findall(r"\n|[ \t]+|[^\n \t]+", text[a:b]):
+            if run == "\n":
+                skip = True
+            elif run[0] in " \t":
+                now += "" if skip else run[0]
+                skip = True
+            else:
+                now, skip = now + run, False
+    return [p for p in (x.strip() for x in [*out, now]) if p]
+
+
+def block_ends(html: str | None) -> tuple[str, dict[str, list[int]]]:
+    """The text of a page without its tags, and where the blocks of each tag end in it."""
+    text, ends, size = [], {}, 0
+    for part in re.split(r"(<[^>]*>)", re.sub(r"(?is)<(script|style|head)\b.*?</\1>|<!--.*?-->", "", html or "")):
+        tag = re.fullmatch(r"</([A-Za-z][A-Za-z0-9]*)[^>]*>|<(hr|br)\b[^>]*>", part, re.I)
+        if tag:
+            ends.setdefault((tag[1] or tag[2]).lower(), []).append(size)
+        elif not part.startswith("<"):
+            text.append(unescape(part))
+            size += len(text[-1])
+    return "".join(text), ends
 
 
 def plain(html: str) -> str:

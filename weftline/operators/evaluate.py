@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.scalars import pairs
+from weftline.sources.scratch import written
 
 #: fixed values: upper bounds of the cluster size histogram
 DENSITY_BOUNDS = (1, 2, 5, 10, 25, 50, 100, 200, 500)
@@ -57,9 +58,11 @@ def cross_pairs_scores(assigned: DataFrame, links: DataFrame, all_connections: b
 
 
 def recall_at(positions: DataFrame, position: str = "position") -> DataFrame:
-    """(k, recall): the share of documents whose gold cluster is among the first k; a null position is a miss."""
-    cuts = positions.agg(F.count(F.lit(1)).alias("all"), *(F.count_if(F.col(position) < k).alias(f"k{k}") for k in RECALL_AT))
-    return cuts.select(F.expr(f"stack({len(RECALL_AT)}, {', '.join(f'{k}L, k{k} / all' for k in RECALL_AT)}) AS (k, recall)"))
+    """(k, recall): the share of documents whose gold cluster is among the first k, for each cut and for the highest place that there
+    is (its k is that place + 1); a null position is a miss."""
+    cuts = positions.agg(F.count(F.lit(1)).alias("all"), *(F.count_if(F.col(position) < k).alias(f"k{k}") for k in RECALL_AT), F.max(position).alias("highest"), F.count(position).alias("found"))
+    rows = F.array(*(F.struct(F.lit(k).cast("long").alias("k"), (F.col(f"k{k}") / F.col("all")).alias("recall")) for k in RECALL_AT), F.struct((F.col("highest") + 1).cast("long").alias("k"), (F.col("found") / F.col("all")).alias("recall")))
+    return cuts.select(F.inline(rows)).where(F.col("k").isNotNull()).distinct()
 
 
 def density_histogram(sizes: DataFrame, n: str = "n") -> DataFrame:
@@ -71,22 +74,79 @@ def density_histogram(sizes: DataFrame, n: str = "n") -> DataFrame:
     return bins.join(sizes.groupBy(at.cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("m")), "bin", "left").select("bin", F.coalesce("m", F.lit(0)).cast("long").alias("clusters"))
 
 
-def clusters_over_time(docs: DataFrame, order: str = "seq", cluster: str = "cid") -> DataFrame:
-    """(seq, clusters): clusters begun so far.  Only the first documents of clusters matter, so the running count is taken
-    over those and joined back as of each document by range."""
-    from pyspark.sql import Window
+def running(rows: DataFrame, order: list[str], sums: dict[str, Column]) -> DataFrame:
+    """``rows`` with running sums in the order of ``order``, the own row included.
+
+    Rows are dealt to ranges of the order, summed by range, and each range starts from the total of those before it: one row a range
+    meets in one task, not the rows themselves."""
+    dealt = rows.select("*", *(c.alias(f"__{n}") for n, c in sums.items())).repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    dealt = written(dealt, "ranges")  # they are looked at twice and must be the same ones
+    totals = dealt.groupBy("__part").agg(*(F.sum(f"__{n}").alias(f"__t_{n}") for n in sums))
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(F.col("__part").alias("__p"), *(F.col(f"__t_{n}") for n in sums)).select("__p", *(F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__s_{n}") for n in sums))
+    inside = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = dealt.join(F.broadcast(starts), F.col("__part") == F.col("__p"))  # a row for each range
+    return out.select(*rows.columns, *((F.col(f"__s_{n}") + F.sum(f"__{n}").over(inside)).cast("long").alias(n) for n in sums))
+
 
+def clusters_over_time(docs: DataFrame, order: str = "seq", cluster: str = "cid") -> DataFrame:
+    """(seq, clusters): clusters begun so far."""
     first = docs.groupBy(cluster).agg(F.min(order).alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("m"))
-    marked = docs.select(F.col(order).alias("seq")).join(first, F.col("seq") == F.col("f"), "left")
-    return marked.select("seq", F.sum(F.coalesce("m", F.lit(0))).over(Window.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)).cast("long").alias("clusters"))
+    marked = docs.select(F.col(order).alias("seq")).join(first, F.col("seq") == F.col("f"), "left").select("seq", "m")
+    return running(marked, ["seq"], {"clusters": F.coalesce("m", F.lit(0))}).drop("m")
 
 
 def toppling(events: DataFrame, order: str = "seq", sign: str = "sign") -> DataFrame:
     """(seq, ups, downs): running counts of +1 and -1 events."""
-    from pyspark.sql import Window
+    rows = events.select(F.col(order).alias("seq"), F.col(sign).alias("sign"))
+    return running(rows, ["seq"], {"ups": F.when(F.col("sign") > 0, 1).otherwise(0), "downs": F.when(F.col("sign") < 0, 1).otherwise(0)}).drop("sign")
+
+
+def pair_scores_over_time(log: DataFrame, step: int = 1000) -> DataFrame:
+    """Pairwise scores after every ``step`` documents and at the end, from a log (seq, doc_no, gold, pred, sign: 1 for an addition, -1
+    for a removal; doc_no: the number of the document, from 1, at which the row was written).
+
+    No state is rebuilt: a row changes the pairs of its cell, row and column of the contingency table by what stands there before
+    it, so each count is a running sum over those changes."""
+    point = (F.ceil(F.col("doc_no") / step) * step).cast("long")
+    rows = log.select("seq", F.least(point, F.lit(2**62)).alias("at"), "gold", "pred", "sign")
+    out = []
+    for name, keys in (("tp", ["gold", "pred"]), ("by_gold", ["gold"]), ("by_pred", ["pred"])):
+        so_far = F.coalesce(F.sum("sign").over(Window.partitionBy(*keys).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        step_of = rows.withColumn("had", so_far).withColumn("d", F.when(F.col("sign") > 0, F.col("had")).otherwise(1 - F.col("had")))
+        groups = F.when((F.col("sign") > 0) & (F.col("had") == 0), 1).when((F.col("sign") < 0) & (F.col("had") == 1), -1).otherwise(0)
+        out.append(step_of.groupBy("at").agg(F.sum("d").alias(name), F.sum(groups).alias(f"{name}_groups")))
+    points = rows.groupBy("at").agg(F.sum("sign").alias("n"))
+    for part in out:
+        points = points.join(part, "at")
+    over = Window.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)  # a row for each step
+    sums = points.select("at", *(F.sum(c).over(over).alias(c) for c in ("n", "tp", "by_gold", "by_pred", "by_pred_groups")))
+    last = log.agg(F.max("doc_no").alias("last"))
+    counts = sums.crossJoin(F.broadcast(last)).select(F.least("at", "last").alias("documents"), "tp", (F.col("by_pred") - F.col("tp")).alias("fp"), (F.col("by_gold") - F.col("tp")).alias("fn"), (pairs(F.col("n")) - F.col("by_pred") - F.col("by_gold") + F.col("tp")).alias("tn"), F.col("by_pred_groups").alias("n_clu"))
+    return scores(counts)
+
+
+def join_gain(labelled: DataFrame, gold: str = "gold", pred: str = "pred") -> DataFrame:
+    """(s, t, separate_f1, joined_f1) for all ordered pairs of clusters that share a label: the local pair scores of the two apart and as
+    one (:func:`local_f1`).  Pairs that share none gain nothing by joining and are left out.
+
+    Worked out from sums of each cluster and one product for each pair; no list of documents is made."""
+    cells = labelled.groupBy(F.col(pred).alias("c"), F.col(gold).alias("l")).agg(F.count(F.lit(1)).alias("n"))
+    every = cells.groupBy(F.col("l").alias("l2")).agg(F.sum("n").alias("every"))
+    own = cells.join(every, F.col("l") == F.col("l2")).groupBy("c").agg(F.sum("n").alias("size"), F.sum(F.col("n") * F.col("n")).alias("square"), F.sum(F.col("n") * F.col("every")).alias("reach"))
+    a, b = cells.select(F.col("c").alias("s"), "l", "n"), cells.select(F.col("c").alias("t"), F.col("l").alias("m"), F.col("n").alias("k"))
+    both = a.join(b, (F.col("l") == F.col("m")) & (F.col("s") != F.col("t"))).groupBy("s", "t").agg(F.sum(F.col("n") * F.col("k")).alias("shared"))
+    for k in "st":
+        both = both.join(own.select(F.col("c").alias(f"c_{k}"), *(F.col(x).alias(f"{x}_{k}") for x in ("size", "square", "reach"))), F.col(k) == F.col(f"c_{k}"))
+    size, square, reach = ([F.col(f"{x}_s"), F.col(f"{x}_t")] for x in ("size", "square", "reach"))
+
+    def f1(tp, fp, fn):
+        p, r = _ratio(tp, tp + fp), _ratio(tp, tp + fn)
+        return _ratio(2 * p * r, p + r)
 
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return events.select(F.col(order).alias("seq"), F.sum(F.when(F.col(sign) > 0, 1).otherwise(0)).over(w).alias("ups"), F.sum(F.when(F.col(sign) < 0, 1).otherwise(0)).over(w).alias("downs"))
+    apart = f1(square[0] + square[1] - size[0] - size[1], size[0] * size[0] + size[1] * size[1] - square[0] - square[1], reach[0] + reach[1] - square[0] - square[1])
+    one, whole = square[0] + square[1] + 2 * F.col("shared"), size[0] + size[1]
+    return both.select("s", "t", apart.alias("separate_f1"), f1(one - whole, whole * whole - one, reach[0] + reach[1] - one).alias("joined_f1"))
 
 
 def local_f1(labelled: DataFrame, candidates: list, joined: bool = False, gold: str = "gold", pred: str = "pred") -> DataFrame:

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from weftline.config import FEATURES, ClusterConfig
@@ -17,8 +15,9 @@ from weftline.operators import features as X
 from weftline.operators import pool as P
 from weftline.operators import training as TR
 from weftline.plans import oracles
-from weftline.sources import encode, linking
+from weftline.sources import encode, gold, linking
 from weftline.sources import fixtures as FX
+from weftline.sources.scratch import fresh_path
 from weftline.sources.models import PolynomialModel, load_merge, load_rank
 from weftline.streaming import run as R
 from weftline.streaming import store
@@ -32,11 +31,6 @@ def r6(c) -> F.Column:
     return F.round(c, 6)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{found or tempfile.mkdtemp(prefix='weftline-')}/{uuid.uuid4().hex}"
-
-
 # -- pieces that several queries share
 
 
@@ -148,6 +142,51 @@ def enc_main_repr(spark, d):
     return cells.groupBy(F.col("key.id").alias("id"), F.col("bucket").cast("long").alias("bucket")).agg(r6(F.sum("weight") / F.max("key.parts")).alias("weight"))
 
 
+def enc_sentence_mean(spark, d):
+    """TXT-05: the vector of each paragraph by its sentences: the mean of theirs, in rows."""
+    p = FX.doc_stream(spark, d).select("id", F.posexplode(T.paragraphs(F.col("body"))).alias("i", "p")).select("id", "i", T.sentences(F.col("p")).alias("s"))
+    rows = p.where(F.size("s") > 0).select("id", "i", F.size("s").alias("parts"), F.posexplode("s").alias("k", "t")).withColumn("key", F.struct("id", "i", "k", "parts"))
+    cells = encode.hashed_cells(rows, "key", F.col("t"))
+    return cells.groupBy(F.col("key.id").alias("id"), F.col("key.i").cast("long").alias("i"), F.col("bucket").cast("long").alias("bucket")).agg(r6(F.sum("weight") / F.max("key.parts")).alias("weight"))
+
+
+def enc_title(spark, d):
+    """TXT-07: the vector of the title alone, in rows."""
+    return encode.hashed_cells(FX.doc_stream(spark, d), "id", F.col("title")).select("id", F.col("bucket").cast("long").alias("bucket"), F.col("weight").cast("long").alias("weight"))
+
+
+def txt_block_paragraphs(spark, d):
+    """TXT-06, SRT-04, exact form: paragraphs of a page's text by the ends of its blocks."""
+    @F.pandas_udf("array<string>")
+    def cut(html: pd.Series) -> pd.Series:
+        return html.map(lambda x: T.paragraphs_by_ends(*T.block_ends(x)))
+
+    p = FX.read(spark, d, "pages").select("page_id", F.posexplode(cut(F.col("html"))).alias("i", "paragraph"))
+    return p.select("page_id", F.col("i").cast("long").alias("i"), "paragraph")
+
+
+# -- the gold stream and stored vectors
+
+
+def src_gold_stream(spark, d):
+    """SRC-01: the document stream as files of JSON arrays, read back in their order."""
+    s = FX.with_seq(FX.doc_stream(spark, d))
+    path = fresh_path(spark, "gold")
+    gold.write_gold(s.select((F.col("seq") - 1).alias("seq"), F.col("id").cast("string").alias("id"), F.col("body").alias("text"), "title", F.lit(None).cast("string").alias("event_id"), F.lit(False).alias("duplicate"), "lang", "group_id", F.lit(None).cast("string").alias("bag_id"), F.col("ts").cast("timestamp_ntz").alias("date"), F.col("source").alias("source_feed_name"), F.md5(F.col("body").cast("binary")).alias("cluster")), path)
+    back = gold.to_stream(gold.read_gold(spark, path))
+    return back.select("seq", "id", "title", "lang", "group_id", "source", F.length("body").cast("long").alias("n_chars"), "label")
+
+
+def src_stored_vectors(spark, d):
+    """SRC-03, SNK-05, JON-07: vectors stored by place in two appends, then joined to the documents of the stream by place."""
+    v = FX.with_seq(FX.vec_stream(spark, d).withColumnRenamed("vec_id", "id")).withColumn("seq", F.col("seq") - 1)
+    path = fresh_path(spark, "vectors")
+    for half in (F.col("seq") % 2 == 0, F.col("seq") % 2 == 1):
+        gold.append_vectors(v.where(half), path)
+    both = gold.with_stored_vectors(v.select("seq", "id"), gold.read_vectors(spark, path))
+    return both.select("seq", F.col("id").alias("vec_id"), r6(V.dot(F.col("main"), F.col("par"))).alias("main_par"), r6(V.dot(F.col("par"), F.col("tp"))).alias("par_tp"))
+
+
 # -- vectors
 
 
@@ -387,7 +426,7 @@ def eval_gold_position(spark, d):
 
 
 def eval_recall_at_k(spark, d):
-    """EVL-07, without the reference's own misses counted as hits."""
+    """EVL-07: the share of documents whose gold cluster is among the first k; a miss is no hit."""
     return _rounded(E.recall_at(eval_gold_position(spark, d)), "k", "recall")
 
 
@@ -443,11 +482,17 @@ def train_merge_neg_lines(spark, d):
     return TR.merge_lines(_six(spark, d), negatives=True)
 
 
+def train_merge_random_lines(spark, d):
+    """TRN-04 with a random negative."""
+    return TR.merge_lines(_six(spark, d), negatives=True, random=True)
+
+
 def train_join_lines(spark, d):
-    """TRN-06, TRN-07: pairs of neighbours in the pool's order are taken as those that belong together."""
-    p = _pairs(spark, d, densities=True)
-    p = p.select(*(F.round(c, 4).alias(c) if c in FEATURES else F.col(c) for c in ("s_cid", "t_cid", *FEATURES)))
-    return TR.join_lines(p, F.floor(F.col("s_cid") / 2) == F.floor(F.col("t_cid") / 2))
+    """TRN-06, TRN-07: a pair belongs together if the documents assigned to its clusters score better as one cluster."""
+    p = _pairs(spark, d, densities=True).withColumn("merge_score", X.linear_score(load_merge(CFG.merge_model)))
+    p = p.select("merge_score", *(F.round(c, 4).alias(c) if c in FEATURES else F.col(c) for c in ("s_cid", "t_cid", *FEATURES)))
+    # two labels each are one story here, so that there is something to join
+    return TR.join_supervision(p, E.join_gain(_labelled(spark, d).withColumn("gold", F.floor(F.col("gold") / 2))))
 
 
 def train_split_by_qid(spark, d):
@@ -485,7 +530,7 @@ def cluster_offline_merge(spark, d):
 
 def cluster_online_stream(spark, d):
     """STA-01, STA-02 through Structured Streaming: the documents as files in order of time; the same log as in batch."""
-    home = shared_dir(spark)
+    home = fresh_path(spark, "run")
     ready = R.prepared(_stream_vectors(spark, d), "lang").withColumn("part", F.ntile(4).over(Window.orderBy("ts_h", "id")))
     for k in range(1, 5):
         ready.where(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(f"{home}/in")
@@ -495,9 +540,44 @@ def cluster_online_stream(spark, d):
     return spark.read.schema(R.UPDATES).parquet(f"{home}/out")
 
 
+def cluster_gold_labels(spark, d):
+    """STA-09, STA-15: gold mode; a document goes to the cluster of its label, or opens it."""
+    log = R.cluster_batch(R.prepared(_stream_vectors(spark, d), "lang"), ClusterConfig(use_forced_label=True))
+    return log.where(F.col("op") == "add").select("module", "document_id", "cluster_id")
+
+
+def cluster_gold_deviating(spark, d):
+    """FLT-05: gold mode in which every tenth document of a module goes by score."""
+    log = R.cluster_batch(R.prepared(_stream_vectors(spark, d), "lang"), ClusterConfig(use_forced_label=True, deviate_from_gold=True))
+    return log.where(F.col("op") == "add").select("module", "document_id", "cluster_id")
+
+
+def cluster_resumed(spark, d):
+    """SRC-09, JON-06: half of the stream, the pool saved and loaded with its documents, then the other half; the log of both."""
+    docs = R.prepared(_stream_vectors(spark, d), "lang")
+    middle = docs.groupBy("module").agg(F.percentile("ts_h", 0.5).alias("middle")).withColumnRenamed("module", "__m")
+    first = docs.join(F.broadcast(middle), F.col("module") == F.col("__m")).withColumn("first", F.col("ts_h") <= F.col("middle")).drop("__m", "middle")
+    early, late, path = first.where("first").drop("first"), first.where("NOT first").drop("first"), fresh_path(spark, "pool")
+    store.save_pool(R.cluster_pool(early, CFG), path)
+    return R.cluster_batch(early, CFG).unionByName(R.cluster_batch(late, CFG, store.load_pool(spark, path)))
+
+
+def pool_saves(spark, d):
+    """SNK-01, SNK-02, WIN-04: the changes saved at every hundredth document, and the pool that they tell of."""
+    found = store.replayed(R.cluster_saves(R.prepared(_stream_vectors(spark, d), "lang"), CFG))
+    return found.select("module", "cluster_id", F.col("n").cast("long").alias("n"), r6("stamp").alias("stamp"), F.size("documents").cast("long").alias("documents"))
+
+
+def eval_scores_over_time(spark, d):
+    """EVL-01, WIN-04: pair scores after every thousand documents and at the end."""
+    s = FX.with_seq(FX.vec_stream(spark, d).select(F.col("vec_id").alias("id"), "ts")).select(F.col("id").alias("doc"), "seq")
+    log = _labelled(spark, d).join(s, "doc").select("seq", F.col("seq").alias("doc_no"), "gold", "pred", F.lit(1).alias("sign"))
+    return _rounded(E.pair_scores_over_time(log), "documents", "tp", "fp", "fn", "tn", "n_clu", "acc", "p", "r", "f1")
+
+
 def pool_snapshot(spark, d):
     """SNK-01/04, SRC-09: the pool, saved and read back."""
-    path = f"{shared_dir(spark)}/pool"
+    path = f"{fresh_path(spark, "run")}/pool"
     store.save(R.cluster_pool(R.prepared(_stream_vectors(spark, d), "lang"), CFG), path)
     return store.load(spark, path).select("module", "cluster_id", F.col("n").cast("long").alias("n"), r6("stamp").alias("stamp"), F.concat_ws(",", "languages").alias("languages"))
 
@@ -515,7 +595,7 @@ def eval_online_clusters(spark, d):
     return _rounded(E.pair_scores(found.join(gold, "document_id").select(F.col("module").alias("lang"), "gold", F.col("cluster_id").alias("pred")), ["lang"]), "lang", "tp", "fp", "fn", "tn", "n_clu", "acc", "p", "r", "f1")
 
 
-_PREFIXES = ("prj_", "flt_", "txt_", "enc_", "vec_", "agg_", "fn_", "rank_", "merge_", "first_", "score_", "pair_", "nearest_", "triangular_", "join_", "evict_", "changelog_", "eval_", "train_", "link_", "cluster_", "pool_", "flagship_")
+_PREFIXES = ("prj_", "flt_", "txt_", "src_", "enc_", "vec_", "agg_", "fn_", "rank_", "merge_", "first_", "score_", "pair_", "nearest_", "triangular_", "join_", "evict_", "changelog_", "eval_", "train_", "link_", "cluster_", "pool_", "flagship_")
 
 
 def queries() -> dict:

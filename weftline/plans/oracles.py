@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
-from weftline.config import FEATURES, JOIN_MASK, RANK_MASK, ClusterConfig
-from weftline.functions.texts import NEWLINE_TAGS
+from weftline.config import ClusterConfig
 from weftline.sources.models import load_merge, load_rank
 
+#: fixed values, written out here so that a twin shares no constant with what it checks
+FEATURES = (
+    "embedding_all", "NEWEST_TS", "OLDEST_TS", "RELEVANCE_TS", "title_repr", "paragraph_repr", "title_paragraph_repr",
+    "paragraph_centroid", "title_paragraph_centroid", "cluster_density", "mean_similarity", "target_density",
+)
+RANK_MASK, JOIN_MASK = (1, 1, 1, 1, 0, 1, 1, 1, 1, 1, 1, 0), (1, 1, 1, 1, 0, 1, 1, 1, 1, 1, 0, 1)
+_TAGS = "address|article|aside|blockquote|canvas|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h1|h2|h3|h4|h5|h6|header|hr|li|main|nav|noscript|ol|p|pre|section|table|tfoot|ul|video|br|tr"
+
 _BASE = "epoch_us(TIMESTAMP '2024-01-01 00:00:00')"
 _DOCS = f"""ds AS (SELECT doc_id AS id, coalesce(text, '') AS body, trim(regexp_extract(coalesce(text, ''), '^[^.!?\\n]*[.!?]?')) AS title, lang, source,
   'clusters_' || lang AS group_id, ts, (epoch_us(ts) - {_BASE}) / 3.6e9::DOUBLE AS h FROM documents JOIN events ON event_id = doc_id)"""
-_VECS = f"""e0 AS (SELECT vec_id, embedding::DOUBLE[] AS v, label::BIGINT AS label FROM embeddings), m0 AS (SELECT count(*) AS m FROM embeddings),
-vs AS (SELECT e.vec_id, e.label AS gold, lang, ts, (epoch_us(ts) - {_BASE}) / 3.6e9::DOUBLE AS h, e.v AS main, p.v AS par, t.v AS tp
-  FROM e0 e JOIN documents ON doc_id = e.vec_id JOIN events ON event_id = e.vec_id, m0, e0 p, e0 t WHERE p.vec_id = (e.vec_id + 1) % m AND t.vec_id = (e.vec_id + 2) % m)"""
+_VECS = f"""m0 AS (SELECT count(*) AS m FROM embeddings), e0 AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS v, label::BIGINT AS label, (vec_id + 1) % m AS k1, (vec_id + 2) % m AS k2 FROM embeddings, m0),
+vs AS MATERIALIZED (SELECT e.vec_id, e.label AS gold, lang, ts, (epoch_us(ts) - {_BASE}) / 3.6e9::DOUBLE AS h, e.v AS main, p.v AS par, t.v AS tp
+  FROM e0 e JOIN documents ON doc_id = e.vec_id JOIN events ON event_id = e.vec_id JOIN e0 p ON p.vec_id = e.k1 JOIN e0 t ON t.vec_id = e.k2)"""
 
 
 def _stamp(n="n", s="sum_h", q="sq_h"):
@@ -112,10 +119,9 @@ x AS (SELECT coalesce(sum(n * (n - 1)), 0)::BIGINT AS tp, coalesce(sum(n * (size
 
 def sql() -> dict[str, str]:
     d, v, pl, sc = f"WITH {_DOCS} ", f"WITH {_VECS} ", f"WITH {_POOL} ", f"WITH {_SCORED} "
-    nxt = f"WITH {_VECS}, nx AS (SELECT a.vec_id, a.main AS a, b.main AS b FROM vs a JOIN vs b ON b.vec_id = a.vec_id + 1) "
+    nxt = f"WITH {_VECS}, nx AS (SELECT a.vec_id, a.main AS a, b.main AS b, list_transform(a.main, lambda x: x * 0) AS z FROM (SELECT vec_id, vec_id + 1 AS k, main FROM vs) a JOIN vs b ON b.vec_id = a.k) "
     vec = lambda x: f"list_transform({x}, lambda x: round(x, 6))"
     eh = f"WITH eh AS (SELECT *, (epoch_us(ts) - {_BASE}) / 3.6e9::DOUBLE AS h FROM events) "
-    tags = "|".join(NEWLINE_TAGS)
     poly = " + ".join(f"{c}::DOUBLE * pow(0.5::DOUBLE * ({' + '.join(f'{x}::DOUBLE * {n}' for n, x in zip(FEATURES, sv) if x)}) + 1, 2)" for c, sv in ((0.75, (1, 0.5, 0, 0.25, 0, 1, 0.5, 0, 1, 0, 0, 0)), (-0.5, (0.5, 1, 0.25, 0, 0, 0, 1, 0.5, 0, 0, 0, 0))))
     links = f", one AS (SELECT a.vec_id AS doc_a, b.vec_id AS doc_b, a.gold = b.gold AS positive FROM vs a JOIN vs b ON b.vec_id - a.vec_id BETWEEN 1 AND 10), ln AS (SELECT * FROM one UNION ALL SELECT doc_b, doc_a, positive FROM one)"
     return {
@@ -130,7 +136,7 @@ ss AS (SELECT id, i, CASE WHEN len(regexp_split_to_array(trim(p), '\\s+')) <= 12
 SELECT id, (i - 1)::BIGINT AS i, (k - 1)::BIGINT AS k, s[k] AS sentence FROM (SELECT id, i, s, unnest(generate_series(1, len(s))) AS k FROM ss)""",
         "txt_title_first_paragraph": d + f"SELECT id, CASE WHEN len(p) > 0 THEN title || ' ' || chr(10) || ' ' || p[1] ELSE title END AS title_paragraph, CASE WHEN len(p) > 0 THEN len(p) + 1 ELSE 1 END::BIGINT AS parts FROM (SELECT id, title, {_PARAGRAPHS} AS p FROM ds)",
         "txt_html_paragraphs": f"""WITH a AS (SELECT page_id, regexp_replace(coalesce(html, ''), '<(script|style|head)\\b.*?</(script|style|head)>|<!--.*?-->', ' ', 'gis') AS x FROM pages),
-b AS (SELECT page_id, regexp_replace(regexp_replace(x, '</?({tags})\\b[^>]*>', chr(10), 'gi'), '<[^>]*>', ' ', 'g') AS x FROM a),
+b AS (SELECT page_id, regexp_replace(regexp_replace(x, '</?({_TAGS})\\b[^>]*>', chr(10), 'gi'), '<[^>]*>', ' ', 'g') AS x FROM a),
 c AS (SELECT page_id, list_filter(list_transform(string_split(x, chr(10)), lambda y: trim(regexp_replace(y, '\\s+', ' ', 'g'))), lambda y: y <> '') AS p FROM b)
 SELECT page_id, (i - 1)::BIGINT AS i, p[i] AS paragraph FROM (SELECT page_id, p, unnest(generate_series(1, len(p))) AS i FROM c)""",
         "enc_hash_vectors": f"WITH {_DOCS}, {_cells('ds', 'id', 'body')} SELECT id, bucket, weight FROM cl",
@@ -141,7 +147,7 @@ li AS (SELECT id, CASE WHEN len(p) > 1 THEN list_concat([h], p[2:]) ELSE [h] END
         "vec_subtract": nxt + f"SELECT vec_id, {vec('list_transform(list_zip(a, b), lambda z: z[1] - z[2])')} AS v FROM nx",
         "vec_dot": nxt + "SELECT vec_id, round(list_dot_product(a, b), 6) AS dot FROM nx",
         "vec_sq_norm": v + "SELECT vec_id, round(list_dot_product(main, main), 6) AS sq_norm FROM vs",
-        "vec_cosine": nxt + f"SELECT vec_id, round({_cos('a', 'b')} - 1, 6) AS cos, round({_cos('a', 'b')}, 6) AS shifted, 1::DOUBLE AS against_zero FROM nx",
+        "vec_cosine": nxt + f"SELECT vec_id, round({_cos('a', 'b')} - 1, 6) AS cos, round({_cos('a', 'b')}, 6) AS shifted, round({_cos('a', 'z')}, 6) AS against_zero FROM nx",
         "vec_mean": v + "SELECT vec_id, list_transform(generate_series(1, 64), lambda i: round((main[i] + par[i] + tp[i]) / 3, 6)) AS v FROM vs",
         "agg_centroid": v + f"SELECT gold, {vec('main')} AS centroid FROM {_sums('vs', 'gold', ('main',))}",
         "agg_cluster_stats": pl + f"SELECT cid AS gold, n, {_round(('sum_h', 'sq_h'))}, newest, oldest, round(stamp_h, 6) AS stamp_h FROM pool",
@@ -180,7 +186,7 @@ SELECT user_id, max_by(s, k) AS state FROM f GROUP BY user_id HAVING max_by(s, k
 pr AS (SELECT a.d AS da, b.d AS db, a.c = b.c AS same, positive FROM src JOIN pl a ON a.d = doc_a, pl b LEFT JOIN ln ON ln.doc_a = a.d AND ln.doc_b = b.d WHERE a.d <> b.d),
 x AS (SELECT count(*) FILTER (same AND positive) // 2 AS tp, count(*) FILTER (same AND (positive IS NULL OR NOT positive)) // 2 AS fp, count(*) FILTER (NOT same AND positive) // 2 AS fn, count(*) FILTER (NOT same AND NOT positive) // 2 AS tn, (SELECT count(DISTINCT c) FROM pl) AS n_clu FROM pr)""" + _rates(),
         "eval_gold_position": sc + "SELECT doc, place - 1 AS position FROM placed WHERE cid = gold",
-        "eval_recall_at_k": sc + ", ks AS (SELECT unnest([1, 5, 10, 20, 50, 100])::BIGINT AS k) SELECT k, round(count(*) FILTER (place - 1 < k) / count(*), 6) AS recall FROM ks, (SELECT place FROM placed WHERE cid = gold) GROUP BY k",
+        "eval_recall_at_k": sc + ", ks AS (SELECT unnest([1, 5, 10, 20, 50, 100])::BIGINT AS k) SELECT k, round(count(*) FILTER (place - 1 < k) / count(*), 6) AS recall FROM ks, (SELECT place FROM placed WHERE cid = gold) GROUP BY k UNION SELECT max(place), 1 FROM placed WHERE cid = gold",
         "eval_local_f1_separate": sc + _LOCAL("pred::VARCHAR"),
         "eval_local_f1_joined": sc + _LOCAL("CASE WHEN pred IN (0, 1, 2) THEN 'candidates' ELSE pred::VARCHAR END"),
         "eval_density_histogram": "WITH s AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id), b AS (SELECT CASE WHEN n <= 1 THEN 0 WHEN n <= 2 THEN 1 WHEN n <= 5 THEN 2 WHEN n <= 10 THEN 3 WHEN n <= 25 THEN 4 WHEN n <= 50 THEN 5 WHEN n <= 100 THEN 6 WHEN n <= 200 THEN 7 WHEN n <= 500 THEN 8 ELSE 9 END AS bin FROM s) SELECT i::BIGINT AS bin, (SELECT count(*) FROM b WHERE b.bin = i) AS clusters FROM (SELECT unnest(generate_series(0, 9)) AS i)",
@@ -189,7 +195,32 @@ x AS (SELECT count(*) FILTER (same AND positive) // 2 AS tp, count(*) FILTER (sa
         "train_rank_lines": sc + f", z AS (SELECT *, row_number() OVER (PARTITION BY doc, cid = gold ORDER BY place) AS nth FROM placed) SELECT doc AS qid, cid, (cid = gold)::INT::VARCHAR || ' qid:' || doc::VARCHAR || ' ' || {_line(RANK_MASK)} AS line FROM z WHERE cid = gold OR nth <= 50",
         "train_merge_lines": sc + f"SELECT doc, cid, (cid = gold)::INT::VARCHAR || ' ' || {_line(RANK_MASK)} AS line FROM best",
         "train_merge_neg_lines": sc + f", z AS (SELECT *, max(CASE WHEN place = 1 THEN (cid = gold)::INT END) OVER (PARTITION BY doc) AS first FROM placed) SELECT doc, cid, (cid = gold)::INT::VARCHAR || ' ' || {_line(RANK_MASK)} AS line FROM z WHERE place = 1 OR (first = 1 AND place = 2) OR (first = 0 AND cid = gold)",
-        "train_join_lines": f"WITH {_pairs(True)} SELECT s_cid, t_cid, (s_cid // 2 = t_cid // 2)::INT::VARCHAR || ' ' || {_line(JOIN_MASK)} AS line FROM px",
+        "train_merge_random_lines": sc + f", z AS (SELECT *, max(CASE WHEN place = 1 THEN (cid = gold)::INT END) OVER (PARTITION BY doc) AS first, count(*) OVER (PARTITION BY doc) AS m, ('0x' || substr(md5(doc::VARCHAR), 1, 6))::BIGINT AS draw FROM placed) SELECT doc, cid, (cid = gold)::INT::VARCHAR || ' ' || {_line(RANK_MASK)} AS line FROM z WHERE place = 1 OR (first = 1 AND place = 2 + draw % greatest(least(10, m) - 1, 1)) OR (first = 0 AND cid = gold)",
+        "train_join_lines": f"""WITH {_pairs(True)}, fx AS (SELECT d.vec_id AS doc, d.gold, d.lang, c.cid, {_features('c', 'd', ('d.h - c.newest_h', 'd.h - c.oldest_h', 'd.h - c.stamp_h'))} FROM vs d, pool c),
+lab AS (SELECT doc, gold, cid AS pred FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY round({_score(_RANK)}, 9) DESC, cid) AS place FROM fx) WHERE place = 1),
+k AS (SELECT pred AS c, gold // 2 AS l, count(*) AS n FROM lab GROUP BY 1, 2), sz AS (SELECT c, sum(n) AS size FROM k GROUP BY c), ev AS (SELECT l, sum(n) AS every FROM k GROUP BY l),
+pk AS (SELECT s_cid, t_cid, c, l, n, size, every FROM px JOIN k ON c = s_cid OR c = t_cid JOIN sz USING (c) JOIN ev USING (l)),
+sep AS (SELECT s_cid, t_cid, sum(n * (n - 1)) AS tp, sum(n * (size - n)) AS fp, sum(n * (every - n)) AS fn FROM pk GROUP BY 1, 2),
+js AS (SELECT s_cid, t_cid, sum(size) AS size FROM (SELECT DISTINCT s_cid, t_cid, c, size FROM pk) GROUP BY 1, 2), jl AS (SELECT s_cid, t_cid, l, sum(n) AS n, max(every) AS every FROM pk GROUP BY 1, 2, 3),
+jn AS (SELECT s_cid, t_cid, sum(n * (n - 1)) AS tp, sum(n * (size - n)) AS fp, sum(n * (every - n)) AS fn FROM jl JOIN js USING (s_cid, t_cid) GROUP BY 1, 2),
+g AS (SELECT s_cid, t_cid, 2.0 * jn.tp / greatest(2 * jn.tp + jn.fp + jn.fn, 1) > 2.0 * sep.tp / greatest(2 * sep.tp + sep.fp + sep.fn, 1) + 1e-12 AS better FROM sep JOIN jn USING (s_cid, t_cid)),
+o AS (SELECT px.*, coalesce(better, false)::INT AS label, row_number() OVER (PARTITION BY s_cid ORDER BY round({_score(_MERGE)}, 6) DESC, t_cid) AS place FROM px LEFT JOIN g USING (s_cid, t_cid)),
+q AS (SELECT *, min(CASE WHEN label = 1 THEN place END) OVER (PARTITION BY s_cid) AS found FROM o)
+SELECT s_cid, t_cid, label::VARCHAR || ' ' || {_line(JOIN_MASK)} AS line FROM q WHERE place < found + 10""",
+        "src_gold_stream": d + "SELECT row_number() OVER (ORDER BY ts, id) - 1 AS seq, id::VARCHAR AS id, title, lang, group_id, source, length(body)::BIGINT AS n_chars, md5(body) AS label FROM ds",
+        "src_stored_vectors": v + "SELECT row_number() OVER (ORDER BY ts, vec_id) - 1 AS seq, vec_id, round(list_dot_product(main, par), 6) AS main_par, round(list_dot_product(par, tp), 6) AS par_tp FROM vs",
+        "enc_title": f"WITH {_DOCS}, {_cells('ds', 'id', 'title')} SELECT id, bucket, weight FROM cl",
+        "enc_sentence_mean": f"""WITH {_DOCS}, pp AS (SELECT id, i, p[i] AS p FROM (SELECT id, p, unnest(generate_series(1, len(p))) AS i FROM (SELECT id, {_PARAGRAPHS} AS p FROM ds))),
+ss AS (SELECT id, i, CASE WHEN len(regexp_split_to_array(trim(p), '\\s+')) <= 128 THEN [p] ELSE list_filter(list_transform(regexp_extract_all(substr(p, 1, 4096), '[^.!?]+[.!?]*'), lambda x: trim(x)), lambda x: x <> '') END AS s FROM pp),
+ro AS (SELECT struct_pack(id := id, i := i - 1, k := k, n := len(s)) AS key, s[k] AS t FROM (SELECT id, i, s, unnest(generate_series(1, len(s))) AS k FROM ss)), {_cells('ro', 'key', 't')}
+SELECT key.id AS id, key.i::BIGINT AS i, bucket, round(sum(weight) / max(key.n), 6)::DOUBLE AS weight FROM cl GROUP BY 1, 2, 3""",
+        "cluster_gold_labels": d + """, k AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY ts, id) AS seq FROM ds WHERE NOT (body = '' AND title = '')), f AS (SELECT *, min(seq) OVER (PARTITION BY lang, body) AS first FROM k)
+SELECT lang AS module, id::VARCHAR AS document_id, lang || '-' || lpad((CASE WHEN seq <= 4 THEN seq ELSE first END)::VARCHAR, 9, '0') AS cluster_id FROM f""",
+        "eval_scores_over_time": sc + """, s AS (SELECT vec_id AS doc, row_number() OVER (ORDER BY ts, vec_id) AS seq FROM vs), ls AS (SELECT lab.*, seq FROM lab JOIN s USING (doc)), m AS (SELECT max(seq) AS m FROM ls),
+ck AS (SELECT DISTINCT least(k * 1000, m) AS documents FROM m, (SELECT unnest(generate_series(1, (SELECT (m + 999) // 1000 FROM m))) AS k)), z AS (SELECT documents, gold, pred FROM ck JOIN ls ON seq <= documents),
+c AS (SELECT documents, gold, pred, count(*) AS n FROM z GROUP BY 1, 2, 3), w AS (SELECT documents, sum(n * (n - 1) // 2)::BIGINT AS tp, (sum(n) * (sum(n) - 1) // 2)::BIGINT AS a FROM c GROUP BY 1),
+g AS (SELECT documents, sum(n * (n - 1) // 2)::BIGINT AS bg FROM (SELECT documents, gold, sum(n) AS n FROM c GROUP BY 1, 2) GROUP BY 1), l AS (SELECT documents, sum(n * (n - 1) // 2)::BIGINT AS bp, count(*) AS n_clu FROM (SELECT documents, pred, sum(n) AS n FROM c GROUP BY 1, 2) GROUP BY 1),
+x AS (SELECT documents, tp, bp - tp AS fp, bg - tp AS fn, a - bp - bg + tp AS tn, n_clu FROM w JOIN g USING (documents) JOIN l USING (documents))""" + _rates("documents, "),
         "train_split_by_qid": d + "SELECT id AS qid, CASE WHEN ('0x' || substr(md5(id::VARCHAR), 1, 6))::BIGINT % 100 < 80 THEN 'train' ELSE 'test' END AS part FROM ds",
         "link_cross_pairs": "SELECT DISTINCT a.conv_id::VARCHAR || '#' || a.turn::VARCHAR AS doc_a, b.conv_id::VARCHAR || '#' || b.turn::VARCHAR AS doc_b, CASE WHEN n > 4 THEN 'positive' ELSE 'negative' END AS verdict FROM conversations a JOIN conversations b USING (conv_id) JOIN (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id) USING (conv_id) WHERE a.turn <> b.turn",
         "pool_status": d + "SELECT strftime(max(ts), '%Y-%m-%dT%H%M%S.%f') AS latest_update_timestamp FROM ds",

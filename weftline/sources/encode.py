@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -36,27 +37,70 @@ def hash_encode(texts: list[str]) -> np.ndarray:
     return out
 
 
-def with_vectors(docs: DataFrame, encoder: Encoder = hash_encode, batch: int = 256) -> DataFrame:
-    """``docs`` (body, title) with main, par and tp vectors, by Arrow batches.
+class ServiceEncoder:
+    """An encoder behind a service: ``post`` takes texts and gives their vectors.
 
-    tp is of the title and the first paragraph, par of the first paragraph; main is the mean of tp and the further paragraphs."""
+    Where the service does not answer (a timeout, a lost connection) the call waits and is made again, without end unless ``attempts`` is
+    given; any other failure is the caller's."""
+
+    def __init__(self, post: Callable[[list[str]], list[list[float]]], wait_seconds: float = 600.0, attempts: int | None = None, sleep: Callable[[float], None] = time.sleep):
+        self.post, self.wait, self.attempts, self.sleep = post, wait_seconds, attempts, sleep
+
+    def __call__(self, texts: list[str]) -> np.ndarray:
+        tried = 0
+        while True:
+            try:
+                return np.asarray(self.post(texts), dtype=float)
+            except (TimeoutError, ConnectionError):
+                tried += 1
+                if self.attempts is not None and tried >= self.attempts:
+                    raise
+                self.sleep(self.wait)
+
+
+def flattened(encoder: Encoder, groups: list[list[str]], size: int = 32) -> list[np.ndarray]:
+    """The vectors of each group's texts.  The texts of all groups go to the encoder together, ``size`` at a time, and come back to
+    the groups by a cursor."""
+    texts = [t for g in groups for t in g]
+    parts = [encoder(texts[at : at + size]) for at in range(0, len(texts), size)]
+    whole = np.vstack(parts) if parts else np.zeros((0, DIM))
+    ends = np.cumsum([len(g) for g in groups])
+    return np.split(whole, ends[:-1]) if len(groups) else []
+
+
+def sentence_mean(encoder: Encoder, sentences: list[str]) -> np.ndarray:
+    """A text's vector by its sentences: the mean of theirs."""
+    return np.mean(encoder(sentences), axis=0)
+
+
+def with_vectors(docs: DataFrame, encoder: Encoder = hash_encode, batch: int = 256, title: bool = False) -> DataFrame:
+    """``docs`` (body, title) with main, par and tp vectors, and with ``title`` one of the title alone (title_repr), by Arrow batches.
+
+    tp is of the title and the first paragraph, par of the first paragraph; main is the mean of tp and the further paragraphs.
+    The texts of a batch of documents are encoded together."""
     from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-    schema = StructType([*docs.schema.fields, *(StructField(n, ArrayType(DoubleType())) for n in ("main", "par", "tp"))])
+    made = ["main", "par", "tp", *(["title_repr"] if title else [])]
+    schema = StructType([*docs.schema.fields, *(StructField(n, ArrayType(DoubleType())) for n in made)])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in frames:
             for at in range(0, len(whole), batch):
                 f = whole.iloc[at : at + batch].copy()
-                main, par, tp = [], [], []
-                for body, title in zip(f["body"], f["title"]):
+                groups, main, par, tp, own = [], [], [], [], []
+                for body, name in zip(f["body"], f["title"]):
                     parts = [p for p in (body or "").split("\n") if p.strip()][:40]
-                    head = f"{title or ''} \n {parts[0]}" if parts else title or ""
-                    v = encoder([head, *parts])
+                    groups.append([f"{name or ''} \n {parts[0]}" if parts else name or "", *parts, *([name or ""] if title else [])])
+                for v in flattened(encoder, groups, 32 if encoder is not hash_encode else len(f) * 42):
+                    if title:
+                        own.append(v[-1])
+                        v = v[:-1]
                     tp.append(v[0])
-                    par.append(v[1] if parts else np.zeros(v.shape[1]))
-                    main.append(np.mean(np.vstack([v[:1], v[2:]]), axis=0) if len(parts) > 1 else v[0])
+                    par.append(v[1] if len(v) > 1 else np.zeros(v.shape[1]))
+                    main.append(np.mean(np.vstack([v[:1], v[2:]]), axis=0) if len(v) > 2 else v[0])
                 f["main"], f["par"], f["tp"] = main, par, tp
+                if title:
+                    f["title_repr"] = own
                 yield f
 
     return docs.mapInPandas(run, schema)

@@ -15,19 +15,25 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def doc_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, body, title (first sentence), lang, source, group_id, ts, h."""
+    """id, body, title (first sentence), lang, source, group_id, ts, h.  The time of a document is that of the event of its number;
+    those without one have no place in the stream and are not in it."""
     d, e = read(spark, sf_dir, "documents"), read(spark, sf_dir, "events").select("event_id", "ts")
     both = d.join(e, d.doc_id == e.event_id)
     return both.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("body"), first_sentence(F.coalesce("text", F.lit(""))).alias("title"), "lang", "source", F.concat(F.lit("clusters_"), "lang").alias("group_id"), "ts", S.hours(F.col("ts")).alias("h"))
 
 
 def with_seq(docs: DataFrame, partition: str | None = None) -> DataFrame:
-    """The place in the stream, from 1, by (ts, id) in each partition."""
-    return docs.withColumn("seq", F.row_number().over(Window.partitionBy(partition or F.lit("multi")).orderBy("ts", "id")).cast("long"))
+    """The place in the stream, from 1, by (ts, id); with ``partition`` in each value of that column, which one task counts."""
+    if partition is None:
+        from weftline.operators.evaluate import running
+
+        return running(docs, ["ts", "id"], {"seq": F.lit(1)})
+    return docs.withColumn("seq", F.row_number().over(Window.partitionBy(partition).orderBy("ts", "id")).cast("long"))
 
 
 def vec_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """vec_id, gold, lang, ts, h, main, par, tp.  par and tp are the vectors of the next two ids, going round."""
+    """vec_id, gold, lang, ts, h, main, par, tp, of vectors that have a document and an event of their number.  par and tp are the vectors
+    of the next two ids, going round."""
     e = read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"), "label")
     n = e.count()
     shifted = lambda k, name: e.select(((F.col("vec_id") + (n - k)) % n).alias("vec_id"), F.col("v").alias(name))
