@@ -21,11 +21,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import written
+from weftline.llm.common import released, written
 
 CAPACITY = 2048
+#: rows (four longs) that may be broadcast: 32 MB at most
+BROADCAST_ROWS = 1_000_000
 END = b"\0\0\0\0"
-_CACHE = 400_000
+_CACHE = 250_000
 
 #: texts of these characters only are cut into the tokenizer's words here; all others go to the tokenizer whole
 _PLAIN = re.compile("[\\t\\n\\r -~¡-įı-ňŊ-ž]*")
@@ -59,7 +61,7 @@ class Words(dict):
             return END
         if "<|" in text or not _PLAIN.fullmatch(text):
             return self.whole(text) + END
-        return b"".join([self[w] for w in _PIECE.findall(text.lower())]) + END
+        return b"".join(map(self.__getitem__, _PIECE.findall(text.lower()))) + END
 
 
 _LOADED: dict[str, Words] = {}
@@ -82,9 +84,9 @@ def pieces(docs: DataFrame, tokenizer: str, keep_columns: list[str], text: str =
     def run(batches):
         part, seen, known = TaskContext.get().partitionId(), {}, words(tokenizer)
         for b in batches:
-            for at in range(0, b.num_rows, 500):
+            for at in range(0, b.num_rows, 250):
                 rows, out = [], {m: [] for m in made}
-                for i, t in enumerate(b.column(len(names)).slice(at, 500).to_pylist()):
+                for i, t in enumerate(b.column(len(names)).slice(at, 250).to_pylist()):
                     ids = known.ids(t)
                     for k, s in enumerate(range(0, len(ids), 4 * capacity)):
                         raw = ids[s : s + 4 * capacity]
@@ -98,7 +100,7 @@ def pieces(docs: DataFrame, tokenizer: str, keep_columns: list[str], text: str =
                 take = pa.array(rows, pa.int64())
                 yield pa.RecordBatch.from_arrays([*(b.column(c).take(take) for c in range(len(names))), *(pa.array(out[m], k) for m, k in zip(made, kinds))], names=[*names, *made])
 
-    return docs.select(*names, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*names, F.col(text).alias("__text")).mapInArrow(released(run), schema)
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -186,6 +188,8 @@ def pack(docs: DataFrame, tokenizer: str, keep_columns: list[str], text: str = "
     sent = docs.sparkSession.sparkContext.broadcast(Places(plan(counts, capacity)))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     starts = tally.select(F.col("length").alias("__l"), F.col("part").alias("__p"), F.coalesce(before, F.lit(0)).alias("__before"))
+    # a row for each length and partition: broadcast while they are few, else both sides are shuffled
+    starts = F.broadcast(starts) if tally.count() <= BROADCAST_ROWS else starts.hint("merge")
     ranked = cut.join(starts, (F.col("length") == F.col("__l")) & (F.col("part") == F.col("__p"))).withColumn("__rank", F.col("__before") + F.col("nth")).drop("__l", "__p", "__before", "part", "nth")
 
     def place(batches):

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import written
+from weftline.llm.common import released, written
 
 #: fixed value: the characters that count as symbols
 SYMBOLS = b"#*$%&|<>"
@@ -182,7 +182,7 @@ def judge(docs: DataFrame, keep_columns: list[str] | None = None, text: str = "t
             columns = [b.column(i) for i in range(len(names))] + [pa.array(s[:, i]) for i in range(len(STATS))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(base_failed(s)), ballots], names=[*names, *STATS, "base_failed", "__votes"])
 
-    measured = written(docs.select(*names, F.col(text).alias("__text")).mapInArrow(measure, schema), "quality")
+    measured = written(docs.select(*names, F.col(text).alias("__text")).mapInArrow(released(measure), schema), "quality")
     rows = measured.where(~F.col("base_failed")).groupBy("__votes").agg(F.count(F.lit(1)).alias("n")).collect()
     patterns = np.array([list(r["__votes"]) for r in sorted(rows)], dtype=np.int8).reshape(-1, len(RULES)) - 1
     model = fit(patterns, np.array([r.n for r in sorted(rows)], dtype=float))
