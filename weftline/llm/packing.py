@@ -170,6 +170,14 @@ class Places:
             sequence += count
         self.key, self.rank, self.sequence, self.each, self.offset = np.array(sorted(rows), dtype=np.int64).reshape(-1, 5).T
 
+    def table(self) -> pa.Table:
+        """The same as rows: the pieces of length ``__n`` and ranks from ``__low`` up to ``__high`` lie in sequences from ``__sequence`` on,
+        ``__each`` of them in one, from ``__offset`` on."""
+        n, end = self.key >> 44, np.full(len(self.key), np.iinfo(np.int64).max)
+        end[:-1] = np.where(n[1:] == n[:-1], self.rank[1:], end[:-1])
+        columns = {"__n": n, "__low": self.rank, "__high": end, "__sequence": self.sequence, "__each": self.each, "__offset": self.offset}
+        return pa.table({k: pa.array(v, pa.int64()) for k, v in columns.items()})
+
     def of(self, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         i = np.searchsorted(self.key, length << 44 | rank, side="right") - 1
         nth = rank - self.rank[i]
@@ -185,18 +193,16 @@ def pack(docs: DataFrame, tokenizer: str, keep_columns: list[str], text: str = "
     cut = written(made if with_ids else made.drop("ids"), "pieces")
     tally = written(cut.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")), "lengths")
     counts = {r.length: r.n for r in tally.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    sent = docs.sparkSession.sparkContext.broadcast(Places(plan(counts, capacity)))
+    sent = Places(plan(counts, capacity))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     starts = tally.select(F.col("length").alias("__l"), F.col("part").alias("__p"), F.coalesce(before, F.lit(0)).alias("__before"))
     # a row for each length and partition: broadcast while they are few, else both sides are shuffled
     starts = F.broadcast(starts) if tally.count() <= BROADCAST_ROWS else starts.hint("merge")
     ranked = cut.join(starts, (F.col("length") == F.col("__l")) & (F.col("part") == F.col("__p"))).withColumn("__rank", F.col("__before") + F.col("nth")).drop("__l", "__p", "__before", "part", "nth")
 
-    def place(batches):
-        for b in batches:
-            s, o = sent.value.of(b.column("length").to_numpy(), b.column("__rank").to_numpy())
-            t = pa.table([*b.columns, pa.array(s), pa.array(o)], names=[*b.schema.names, "sequence_id", "offset"]).drop_columns(["__rank"])
-            yield from t.to_batches()
-
-    kept = [f for f in ranked.schema if f.name != "__rank"]
-    return ranked.mapInArrow(place, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "sequence_id long, offset long"]))
+    # a row for each length in each group of equal sequences: thousands, whatever the corpus
+    places = F.broadcast(docs.sparkSession.createDataFrame(sent.table()))
+    held = (F.col("length") == F.col("__n")) & (F.col("__rank") >= F.col("__low")) & (F.col("__rank") < F.col("__high"))
+    nth = F.col("__rank") - F.col("__low")
+    sequence, offset = F.col("__sequence") + F.floor(nth / F.col("__each")), F.col("__offset") + F.pmod(nth, F.col("__each")) * F.col("length")
+    return ranked.join(places, held).select(*(f"`{c}`" for c in ranked.columns if c != "__rank"), sequence.cast("long").alias("sequence_id"), offset.cast("long").alias("offset"))
