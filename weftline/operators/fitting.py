@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from weftline.config import FEATURES
 
-#: penalties that are tried
-GRID = (1e-3, 1e-2, 1e-1, 1.0, 10.0)
+#: penalties that are tried, the heaviest first: of equals it stays
+GRID = (1e3, 1e2, 10.0, 1.0, 0.1)
 ROUNDS = 200
 
 
