@@ -92,7 +92,7 @@ def repeat_groups(rights: list[bytes], lefts: list[bytes], length: int = LENGTH)
                 depth, members = stack.pop()
                 here = members + here
                 if depth >= need and len({child[x] for x in here}) > 1:
-                    found.append((depth, common, here))
+                    found.append((depth, common, list(here)))
             if stack and stack[-1][0] == shared:
                 stack[-1][1].extend(here)
             elif shared >= 0:
