@@ -9,26 +9,33 @@ from weftline.llm.common import table, training_row, written
 
 
 def op1_line_dedup(spark, sf_dir):
+    """Lines of every document, and those like an earlier line (by doc_id, nulls first) that go; see :func:`weftline.llm.lines.dedup`."""
     kept = lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), floor=1)
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
 def op2_html_extraction(spark, sf_dir):
+    """Main text of every page: null and empty pages give the empty text; see :func:`weftline.llm.wrappers.main_text`."""
     return wrappers.main_text(table(spark, sf_dir, "pages"), ["page_id", "url"])
 
 
 def op3_simhash_near_dedup(spark, sf_dir):
+    """Fingerprint and component of every document: null texts and those without words have fingerprint zero and are one component; repeated rows
+    come back as often; null ids count for nothing in the smallest id."""
     prints = written(simhash.fingerprints(table(spark, sf_dir, "documents"), ["doc_id"]), "prints")
     return simhash.cluster(prints).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op4_language_id(spark, sf_dir):
+    """Predicted language of every document, learned from the training rows: null texts and those without a letter are und; repeated rows are
+    predicted alike; without labelled rows all are und."""
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs, training_row())
     return langid.predict(docs, model, ["doc_id"]).select("doc_id", (~training_row()).alias("held_out"), "lang_pred", "score", "shares")
 
 
 def op5_sharding(spark, sf_dir):
+    """Shard of every document by its id alone: equal ids share one, null ids have one of their own."""
     return sharding.place(table(spark, sf_dir, "documents").select("doc_id"))
 
 
@@ -39,12 +46,15 @@ def op6_suffix_array_dedup(spark, sf_dir):
 
 
 def op7_toxicity(spark, sf_dir):
+    """Toxicity of every document, learned from the training rows: null and empty texts are scored like any other, by the model's prior; repeated
+    rows are scored alike."""
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), training_row())
     return toxicity.predict(docs, model, ["doc_id"]).select("doc_id", (~training_row()).alias("held_out"), "score", "predicted")
 
 
 def op8_best_fit_packing(spark, sf_dir):
+    """Pieces of every document in sequences: null and empty texts are one piece, the end mark; repeated rows are packed as often as they come."""
     import public_tokenizers
 
     packed = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), ["doc_id"])
@@ -52,11 +62,13 @@ def op8_best_fit_packing(spark, sf_dir):
 
 
 def op9_quality_rules(spark, sf_dir):
+    """Statistics and verdict of every document: null and empty texts have no words and are not kept; repeated rows are judged alike."""
     judged = quality.judge(table(spark, sf_dir, "documents"), ["doc_id"])
     return judged.select("doc_id", *quality.STATS, "base_failed", "kept", F.round("quality", 6).alias("quality"))
 
 
 def op10_decontamination(spark, sf_dir):
+    """Benchmark words in every document: null and empty texts have none and are clean; repeated rows are measured alike."""
     measured = decontamination.measure(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return measured.select("doc_id", F.col("__n").alias("n_words"), "n_hit", "n_items", "items_sha256", "contaminated")
 
