@@ -28,14 +28,14 @@ def op3_simhash_near_dedup(spark, sf_dir):
 
 def op4_language_id(spark, sf_dir):
     """Predicted language of every document, learned from the training rows: null texts and those without a letter are und; repeated rows are
-    predicted alike; without labelled rows all are und."""
+    predicted alike."""
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs, training_row())
     return langid.predict(docs, model, ["doc_id"]).select("doc_id", (~training_row()).alias("held_out"), "lang_pred", "score", "shares")
 
 
 def op5_sharding(spark, sf_dir):
-    """Shard of every document by its id alone: equal ids share one, null ids have one of their own."""
+    """Shard of every document by its id alone: equal ids share one, null ids count as the empty text."""
     return sharding.place(table(spark, sf_dir, "documents").select("doc_id"))
 
 
