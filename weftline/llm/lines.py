@@ -106,12 +106,6 @@ def _raw(b: pa.RecordBatch, column: int):
         yield at, b.column(column).slice(at, _ROWS).cast(pa.binary()).to_pylist()
 
 
-def _binaries(raw: np.ndarray, sizes: np.ndarray) -> pa.Array:
-    """Arrow's binary values of ``sizes`` bytes each, one after the other in ``raw``."""
-    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(raw))])
-
-
 def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a binary column without nulls, and the size of each value."""
     ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
@@ -151,7 +145,7 @@ def _sets(texts: DataFrame, floor: int, rank: np.ndarray) -> DataFrame:
                     sizes = np.zeros(len(one), np.int64)
                     sizes[new & (s.n >= MIN_WORDS)] = take * _TOKEN
                     of, (s1, s2) = pa.array(s.text + at), s.sketches()
-                    columns = [pa.array(one), pa.array(two), b.column(0).take(of), b.column(1).take(of), pa.array(s.line, pa.int64()), _binaries(L.packed(token, _TOKEN), sizes), pa.array(s.n), pa.array(s1), pa.array(s2)]
+                    columns = [pa.array(one), pa.array(two), b.column(0).take(of), b.column(1).take(of), pa.array(s.line, pa.int64()), L.binaries(L.packed(token, _TOKEN), sizes), pa.array(s.n), pa.array(s1), pa.array(s2)]
                     yield pa.RecordBatch.from_arrays(columns, names=["id", "id2", "by", "tie", "line", "prefix", "n", "one", "two"])
 
     by = texts.schema["__by"].dataType.simpleString()
@@ -289,7 +283,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, floor: int) -
                     use = _inside(wanted, one)
                     use[use] = [not (i in done or done.add(i)) for i in one[use].tolist()]
                     s, one = s.only(use), one[use]
-                    yield pa.RecordBatch.from_arrays([pa.array(one), _binaries(L.packed(s.words, _WORD), s.n * _WORD)], names=["id", "words"])
+                    yield pa.RecordBatch.from_arrays([pa.array(one), L.binaries(L.packed(s.words, _WORD), s.n * _WORD)], names=["id", "words"])
 
     def judge(batches):
         for b in batches:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 
 SIMILAR = (4, 5)  # 0.8, as a fraction
 #: bits of a word's hash
@@ -225,6 +226,12 @@ def packed(values: np.ndarray, width: int) -> np.ndarray:
     return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width])
 
 
+def binaries(raw: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Arrow's binary values of ``sizes`` bytes each, one after the other in ``raw``."""
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(raw))])
+
+
 def unpacked(raw: np.ndarray, width: int) -> np.ndarray:
     out = np.zeros((len(raw) // width, 8), np.uint8)
     out[:, :width] = raw.reshape(-1, width)
