@@ -27,7 +27,7 @@ CAPACITY = 2048
 #: rows (four longs) that may be broadcast: 32 MB at most
 BROADCAST_ROWS = 1_000_000
 END = b"\0\0\0\0"
-_CACHE = 250_000
+_CACHE = 400_000
 
 #: texts of these characters only are cut into the tokenizer's words here; all others go to the tokenizer whole
 _PLAIN = re.compile("[\\t\\n\\r -~¡-įı-ňŊ-ž]*")
