@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from weftline.llm import linesets as L
 from weftline.llm.common import drop_written, released, written
 from weftline.llm.linesets import SIMILAR, prefix_of
+from weftline.llm.shingles import SHINGLE
 
 __all__ = ["SIMILAR", "prefix_of", "dedup"]
 
@@ -39,6 +40,8 @@ LONG = 320
 LEADERS = 8192
 #: bytes of a word in a packed prefix and in a packed set
 _TOKEN, _WORD = 5, 7
+#: for a copy: of its words one in so many at least comes from its source, and the sizes of both, as a fraction
+_SHARE, _SIZES = 10, (3, 5)
 #: rows of (long) that may be broadcast: 16 MB at most; more go by a filter of fixed size
 BROADCAST_ROWS = 1_000_000
 #: fixed sizes: parts of a table that tasks add up, bits of a filter
@@ -262,9 +265,9 @@ def _matches(post: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, floor: int) -> DataFrame:
-    """(x) of those of ``pairs`` (x, y) whose sets are similar enough, written."""
+    """Those of ``pairs`` (x, y) whose sets are similar enough, written."""
     a, b = (sets.select(F.col("num").alias(f"{k}_"), F.col("id").alias(f"{k}i"), F.col("first.tie").alias(f"{k}t")) for k in "xy")
-    named = written(pairs.join(a, F.col("x") == F.col("x_")).join(b, F.col("y") == F.col("y_")).select("x", "xi", "yi", "xt", "yt"), "pairs")
+    named = written(pairs.join(a, F.col("x") == F.col("x_")).join(b, F.col("y") == F.col("y_")).select("x", "y", "xi", "yi", "xt", "yt"), "pairs")
     rows, ids = (named.select(F.col(f"x{k}").alias("w")).union(named.select(f"y{k}")) for k in "ti")
     rows = written(rows.distinct(), "rows")
     few = rows.count() <= BROADCAST_ROWS
@@ -287,20 +290,113 @@ def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, floor: int) -
 
     def judge(batches):
         for b in batches:
-            ok = L.similar(b.column(1).to_pylist(), b.column(2).to_pylist(), _WORD)
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok))], names=["x"])
+            ok = pa.array(L.similar(b.column(2).to_pylist(), b.column(3).to_pylist(), _WORD))
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["x", "y"])
 
     full = texts.select("__tie", "__text").mapInArrow(released(words), "id long, words binary").dropDuplicates(["id"])
     a, b = (full.select(F.col("id").alias(f"{k}_"), F.col("words").alias(f"{k}w")) for k in "xy")
-    both = named.join(a, F.col("xi") == F.col("x_")).join(b, F.col("yi") == F.col("y_")).select("x", "xw", "yw")
-    found = written(both.mapInArrow(released(judge), "x long").distinct(), "gone")
+    both = named.join(a, F.col("xi") == F.col("x_")).join(b, F.col("yi") == F.col("y_")).select("x", "y", "xw", "yw")
+    found = written(both.mapInArrow(released(judge), "x long, y long"), "gone")
     drop_written(named)
     drop_written(rows)
     return found
 
 
-def _kept(sets: DataFrame, texts: DataFrame, floor: int, sizes: tuple[int, int, int, int]) -> DataFrame:
-    """(by, tie, mask, n): the lines that stay, of each different text, as a byte for each line up to the last of them; written."""
+def _roots(links: DataFrame) -> DataFrame:
+    """(x, y): the end of the chain that leads from x, by the earliest of its ``links`` (x, y; y is before x), written."""
+    up = written(links.groupBy("x").agg(F.min("y").alias("y")), "roots")
+    while True:
+        above = up.select(F.col("x").alias("x2"), F.col("y").alias("y2"))
+        new = written(up.join(above, F.col("y") == F.col("x2"), "left").select("x", F.coalesce("y2", "y").alias("y"), F.col("y2").isNotNull().alias("moved")), "roots")
+        drop_written(up)
+        up = new
+        if up.where("moved").isEmpty():
+            return up
+
+
+def _sources(sets: DataFrame, texts: DataFrame, floor: int, links: DataFrame) -> DataFrame:
+    """(tie, src, n, lines) of each different text: its lines that come from the text ``src``, and their words.  A line comes from the
+    text of the earliest line that a chain of like ones (``links``: x, y) leads to; that one stays."""
+
+    def run(batches):
+        for b in batches:
+            for at, texts_ in _raw(b, 1):
+                for s in L.sets_of(texts_, floor):
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(s.text + at)), pa.array(s.line, pa.int64()), pa.array(s.ids()[0]), pa.array(s.n, pa.int64())], names=["tie", "line", "id", "n"])
+
+    heads = sets.select(F.col("num").alias("head"), F.col("first.tie").alias("src"))
+    roots = _roots(links)
+    chained = roots.join(heads, F.col("y") == F.col("head")).select(F.col("x").alias("node"), "src")
+    origin = sets.join(chained, F.col("num") == F.col("node"), "left").select(F.col("id").alias("i"), F.coalesce("src", "first.tie").alias("src"))
+    every = texts.select("__tie", "__text").mapInArrow(released(run), "tie long, line long, id long, n long").distinct()  # equal texts count once
+    found = written(every.join(origin, F.col("id") == F.col("i")).groupBy("tie", "src").agg(F.sum("n").alias("n"), F.collect_list(F.when(F.col("tie") != F.col("src"), F.col("line"))).alias("lines")), "sources")
+    drop_written(roots)
+    return found
+
+
+def _copies(sets: DataFrame, texts: DataFrame, floor: int, links: DataFrame, kept: DataFrame) -> DataFrame:
+    """``kept`` (tie, mask) with the lines that copies have from their source.
+
+    The source of a text of which something stays is the one that most of its other words come from.  It is a copy if that and the lines that it
+    has from its source are near what stays of the source, which is no copy: by the sets of shingles of
+    :mod:`weftline.llm.shingles`, so that :func:`weftline.llm.shingles.groups` joins the two."""
+    parts = _sources(sets, texts, floor, links)
+    whole = parts.where("tie = src").select(F.col("tie").alias("w"), F.col("n").alias("own"))
+    best = parts.where("tie <> src").groupBy("tie").agg(F.max_by(F.struct("src", "n", "lines"), F.struct("n", "src")).alias("b")).select("tie", "b.*")
+    sized = best.join(whole, F.col("tie") == F.col("w")).select("tie", "src", "lines", "n", (F.col("n") + F.col("own")).alias("all"))
+    pairs = sized.join(whole, F.col("src") == F.col("w")).where(f"n * {_SHARE} >= all and least(all, own) * {_SIZES[1]} >= greatest(all, own) * {_SIZES[0]}").select("tie", "src", "lines")
+    masks = kept.select(F.col("tie").alias("k"), "mask")
+
+    def mark(batches):
+        for b in batches:
+            made = []
+            for mask, lines in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                out = np.zeros(max(len(mask), max(lines) + 1), np.uint8)
+                out[: len(mask)] = np.frombuffer(mask, np.uint8)
+                out[lines] = 1
+                made.append(out.tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary()), *b.columns[3:]], names=["tie", "mask", *b.schema.names[3:]])
+
+    pairs = pairs.join(masks, F.col("tie") == F.col("k")).select("tie", "mask", "lines", "src").mapInArrow(released(mark), "tie long, mask binary, src long")
+    pairs = written(pairs, "copies")
+    asked = pairs.select("tie", "mask", F.lit(True).alias("copy")).union(masks.join(pairs.select("src").distinct(), F.col("k") == F.col("src"), "left_semi").select("k", "mask", F.lit(False)))
+    asked = written(asked, "asked")
+    ties = asked.select(F.col("tie").alias("t")).distinct()
+
+    def shingled(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                left = []
+                for t, mask in zip(*(b.column(k).slice(at, 256).to_pylist() for k in (2, 3))):
+                    left.append(b"\n".join(x for x, m in zip(t.encode().split(b"\n"), mask) if m))
+                for s in L.shingle_sets(left, SHINGLE):
+                    of = pa.array(s.text + at)
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(of), b.column(1).take(of), L.binaries(L.packed(s.words, _WORD), s.n * _WORD)], names=["tie", "copy", "words"])
+
+    def judge(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
+                ok = pa.array(L.similar(b.column(2).to_pylist(), b.column(3).to_pylist(), _WORD))
+                yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["tie", "src"])
+
+    few = F.broadcast(ties) if asked.count() <= BROADCAST_ROWS else ties
+    some = texts.select("__tie", "__text").join(few, F.col("__tie") == F.col("t"), "left_semi").dropDuplicates(["__tie"])
+    full = written(some.join(asked, F.col("__tie") == F.col("tie")).select("tie", "copy", "__text", "mask").mapInArrow(released(shingled), "tie long, copy boolean, words binary"), "shingled")
+    a, b = (full.where(F.col("copy") == k).select(F.col("tie").alias(f"t{int(k)}"), F.col("words").alias(f"w{int(k)}")) for k in (True, False))
+    near = pairs.select("tie", "src").join(a, F.col("tie") == F.col("t1")).join(b, F.col("src") == F.col("t0")).select("tie", "src", "w1", "w0")
+    near = written(near.mapInArrow(released(judge), "tie long, src long"), "near")
+    found = near.join(near.select(F.col("tie").alias("c")), F.col("src") == F.col("c"), "left_anti").select(F.col("tie").alias("c"))
+    more = pairs.join(found, F.col("tie") == F.col("c"), "left_semi").select(F.col("tie").alias("c"), F.col("mask").alias("m"))
+    out = written(kept.select("tie", "mask").join(more, F.col("tie") == F.col("c"), "left").select("tie", F.coalesce("m", "mask").alias("mask")), "kept")
+    for t in (parts, pairs, asked, full, near, kept):
+        drop_written(t)
+    return out
+
+
+def _kept(sets: DataFrame, texts: DataFrame, floor: int, sizes: tuple[int, int, int, int], copies: bool = False) -> DataFrame:
+    """(by, tie, mask, n): the lines that stay, of each different text, as a byte for each line up to the last of them; with
+    ``copies`` (tie, mask) of :func:`_copies`; written."""
     spark = sets.sparkSession
     near = _matches(_postings(sets, sizes)).groupBy("x").agg(F.min(F.struct("far", "y")).alias("b"), F.max("more").alias("more"), F.min(F.nullif("y", F.lit(-1))).alias("low"), F.max("y").alias("high"))
     near = written(near.select("x", F.col("b.y").alias("y"), (F.col("more") | (F.col("low") < F.col("high"))).alias("more")), "named")
@@ -327,12 +423,14 @@ def _kept(sets: DataFrame, texts: DataFrame, floor: int, sizes: tuple[int, int,
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.binary()), pa.compute.list_value_length(b.column(2)).cast(pa.int64())], names=["by", "tie", "mask", "n"])
 
     kept = written(lists.mapInArrow(released(masks), f"by {lists.schema['by'].dataType.simpleString()}, tie long, mask binary, n long"), "kept")
+    if copies:
+        kept = _copies(sets, texts, floor, reduce(DataFrame.union, gone), kept)
     for t in (open_, *gone):
         drop_written(t)
     return kept
 
 
-def dedup(docs: DataFrame, text: str = "text", floor: int = MIN_WORDS, order: tuple[str, ...] | None = None, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+def dedup(docs: DataFrame, text: str = "text", floor: int = MIN_WORDS, order: tuple[str, ...] | None = None, counts: tuple[str, str] = ("n_lines", "n_removed"), copies: bool = False) -> DataFrame:
     """``docs`` with ``text`` less its removed lines, and two columns named by ``counts``: its lines, and those removed.
 
     A line goes if its set of words (A-Z lower-cased, parted by ASCII white space) is equal to that of an earlier line, or of
@@ -340,27 +438,34 @@ def dedup(docs: DataFrame, text: str = "text", floor: int = MIN_WORDS, order: tu
     is one; nulls first), then by a hash of the text, then by the place in it, so that neither files nor partitions count;
     of rows equal in all that, one is the first.  Lines of fewer than ``floor`` different words always stay; with 1, as op1
     and the pipeline have it, those are the blank ones only.  Null texts stay null and have no lines; a text all of whose
-    lines go becomes empty.  An empty table gives no rows.  Other columns keep their values, whatever their names."""
+    lines go becomes empty.  An empty table gives no rows.  Other columns keep their values, whatever their names.
+
+    With ``copies`` lines go from texts, not from copies of texts: equal texts lose the same lines, and one that is a near copy
+    of an earlier text as a whole, with lines of its own (:func:`_copies`), keeps those that it has from it.  The near-dedup
+    finds them and drops them whole; without that, what differs in a near copy would stay as a text of its own."""
     order = tuple(c for c in ("doc_id",) if c in docs.columns) if order is None else order
     by = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(order)), F.lit(0).alias("z"))
     texts = docs.where(F.col(text).isNotNull()).select(by.alias("__by"), F.xxhash64(text).alias("__tie"), F.col(text).alias("__text"))
     sets = _sets(texts, floor, _ranks(texts))
     buckets = max(1024, sets.count() * 12 >> 16)  # so that what meets in one is some 65,000 lookups, whatever the input
-    kept = _kept(sets, texts, floor, (COMMON, LONG, LEADERS, buckets))
+    kept = _kept(sets, texts, floor, (COMMON, LONG, LEADERS, buckets), copies)
     drop_written(sets)
-    return _cut(docs, text, by, kept, floor, counts)
+    return _cut(docs, text, by, kept, floor, counts, copies)
 
 
-def _cut(docs: DataFrame, text: str, by, kept: DataFrame, floor: int, counts: tuple[str, str]) -> DataFrame:
+def _cut(docs: DataFrame, text: str, by, kept: DataFrame, floor: int, counts: tuple[str, str], copies: bool = False) -> DataFrame:
     """The rows of ``docs`` without the lines that the masks of their texts leave out; of rows equal in order and text, all but the
-    first have their blank lines only."""
+    first have their blank lines only, unless ``copies``."""
     names = [c for c in docs.columns if c not in counts]
     rest = F.struct(F.lit(0).alias("__0"), *(f"`{n}`" for n in names if n != text))
     rows = docs.select(rest.alias("rest"), by.alias("by"), F.xxhash64(text).alias("tie"), F.col(text).alias("t"))
-    lists = kept.select(F.col("by").alias("by2"), F.col("tie").alias("tie2"), "mask", "n")
-    copy = F.row_number().over(Window.partitionBy("by", "tie").orderBy(F.lit(1)))
-    both = rows.join(lists, (F.col("by") == F.col("by2")) & (F.col("tie") == F.col("tie2")), "left").withColumn("first", copy == 1)
-    mask = F.when(F.col("first"), F.coalesce("mask", F.lit(b""))).otherwise(F.lit(b""))
+    if copies:
+        both, mask = rows.join(kept.select(F.col("tie").alias("tie2"), "mask"), F.col("tie") == F.col("tie2"), "left"), F.coalesce("mask", F.lit(b""))
+    else:
+        lists = kept.select(F.col("by").alias("by2"), F.col("tie").alias("tie2"), "mask", "n")
+        copy = F.row_number().over(Window.partitionBy("by", "tie").orderBy(F.lit(1)))
+        both = rows.join(lists, (F.col("by") == F.col("by2")) & (F.col("tie") == F.col("tie2")), "left").withColumn("first", copy == 1)
+        mask = F.when(F.col("first"), F.coalesce("mask", F.lit(b""))).otherwise(F.lit(b""))
     if floor <= 1:
         small = lambda x: F.trim(x, F.lit(_BLANK)) == ""
     else:
