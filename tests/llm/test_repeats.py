@@ -1,9 +1,11 @@
 import hashlib
 import os
 import random
+from collections import Counter
 
 import pytest
 from helpers import prose
+from pyspark.sql import functions as F
 from weftline.llm import repeats, repeats_kernel
 
 
@@ -113,3 +115,26 @@ def test_groups_tell_all_occurrences(make, monkeypatch):
             for s in range(len(t) - 39):
                 seen.setdefault(t[s : s + 40], []).append((d, s))
         assert told == {(d, s + k) for at in seen.values() if len(at) > 1 for d, s in at for k in range(40)}
+
+
+def test_hot_anchor_is_dealt_to_many_tasks(make, spark, monkeypatch):
+    conf = {"autoBroadcastJoinThreshold": "-1", "adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k", "adaptive.skewJoin.skewedPartitionFactor": "1.5", "adaptive.advisoryPartitionSizeInBytes": "4k"}
+    contexts, dealt = repeats._contexts, []
+
+    def seen(base, shared):
+        dealt.extend(shared.withColumn("task", F.spark_partition_id()).collect())
+        return contexts(base, shared)
+
+    monkeypatch.setattr(repeats, "_contexts", seen)
+    rows = [(i, "a" * 1000) for i in range(40)]  # an anchor at each place, all of one hash
+    before = {k: spark.conf.get(f"spark.sql.{k}") for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+        got = repeats.strip(make(rows)).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+    assert len({r.hash for r in dealt}) == 1 and len(dealt) == 40 * 601
+    assert max(Counter(r.task for r in dealt).values()) < len(dealt) / 2
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in got) == [(i, 1000, 1000, 1) for i in range(40)]
