@@ -8,7 +8,7 @@ import uuid
 from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -82,3 +82,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def training_row(doc_id="doc_id"):
     """True where crc32(doc_id as text) mod 3 is not 1 (null ids count as the text '')."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 3 != 1
+
+
+def one_key(column: Column) -> Column:
+    """``column`` as a text that is never null, so that rows with a null meet in joins and windows like any other."""
+    return F.coalesce(F.concat(F.lit("v"), column.cast("string")), F.lit("n"))
+
+
+#: a key with a larger share of the rows of a join than one of so many is broadcast: there are no more such keys than this
+HEAVY = 256
+
+
+def dealt_join(left: DataFrame, right: DataFrame, keys: list[str], rows: str, how: str = "inner") -> DataFrame:
+    """``left`` joined to ``right``, which has each of ``keys`` once and in ``rows`` the number of rows of ``left`` with it.
+
+    Keys with over 1/HEAVY of all rows, HEAVY at most, meet their rows in a broadcast, the others in a shuffle, so that no key is a task of
+    its own.  ``right`` is read several times: let it be a written table.  ``how``: inner, or left."""
+    total = right.agg(F.sum(rows)).first()[0] or 0
+    heavy, light = right.where(F.col(rows) * HEAVY > total).drop(rows), right.where(F.col(rows) * HEAVY <= total).drop(rows)
+    common = left.join(F.broadcast(heavy), keys)
+    rest = left.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(light, keys, how)
+    return common.unionByName(rest)

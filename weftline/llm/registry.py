@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftline.llm import decontamination, langid, lines, packing, quality, repeats, sharding, simhash, toxicity, wrappers
+from weftline.llm import chat, decontamination, langid, lines, oracles, packing, prefixes, quality, repair, repeats, sharding, simhash, toxicity, wrappers
 from weftline.llm.common import table, training_row, written
 
 
@@ -73,6 +73,32 @@ def op10_decontamination(spark, sf_dir):
     return measured.select("doc_id", F.col("__n").alias("n_words"), "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op11_chat_formatting(spark, sf_dir):
+    """Every conversation, and conversation -7 (which joins one of that id that the table may have), written and read back: rows go by turn
+    (nulls first), then by role and text; null roles and texts are empty; rows without a conv_id are one conversation; repeated rows are
+    written as often as they come."""
+    said = F.lit("\\### Assistant: </turn> ok")
+    made = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(made)
+    records = rows.select(F.struct("conv_id", "turn").alias("key"), F.to_json(F.struct("role", "text"), {"ignoreNullFields": "false"}).alias("record"))
+    turns = chat.canonical(records).select(F.col("key.conv_id").alias("conversation"), F.col("key.turn").alias("turn"), "place", "role", "text")
+    return chat.read_back(chat.formatted(turns, ["turn", "place"])).withColumnRenamed("conversation", "conv_id")
+
+
+def op12_conversation_repair(spark, sf_dir):
+    """Every conversation, damaged and repaired: rows without a conv_id are one conversation, nulls are one space, rows of equal turns go by role
+    and a digest of role and text; conversations whose rows are all dropped have zeros; see :mod:`weftline.llm.repair`."""
+    rows = repair.damaged(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("conversation"), "turn", "role", "text"))
+    return repair.digests(repair.repaired(rows, F.col("gone"))).withColumnRenamed("conversation", "conv_id")
+
+
+def op13_prefix_trie(spark, sf_dir):
+    """The nodes of the trie of all rebuilt conversations: turns go by turn (nulls first), then by role and a digest of both; null roles and texts are
+    empty; rows without a conv_id are left out; an empty table has no nodes; see :mod:`weftline.llm.prefixes`."""
+    nodes = prefixes.trie(prefixes.rebuilt(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")))
+    return nodes.withColumnsRenamed({"conversation": "conv_id", "parent": "parent_conv_id"})
+
+
 def queries():
     import corpus_pipeline
 
@@ -99,4 +125,4 @@ FROM d LEFT JOIN n_hit USING (r) LEFT JOIN items USING (r)
 
 
 def oracle_sql():
-    return {"op10_decontamination": _OP10_SQL}
+    return {"op10_decontamination": _OP10_SQL, "op11_chat_formatting": oracles.OP11, "op12_conversation_repair": oracles.OP12, "op13_prefix_trie": oracles.OP13}
