@@ -68,6 +68,30 @@ def test_odd_rows(odd_docs, no_docs, make):
     assert not any(r.contaminated for r in decontamination.measure(odd_docs, make([], "item_id long, text string")).collect())
 
 
+def test_empty_benchmark_without_adaptive_execution(spark, odd_docs, make):
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for items in ([], [(1, None), (2, " -- ")]):
+            got = decontamination.measure(odd_docs, make(items, "item_id long, text string")).collect()
+            assert len(got) == odd_docs.count() and not any(r.contaminated or r.n_hit or r.n_items for r in got)
+        docs, items = corpus(3)
+        assert result(decontamination.measure(make(docs), make(items, "item_id long, text string"))) == brute(docs, items)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+def test_repeated_words_take_linear_time(make):
+    """A document of 20,000 equal words and one of 5,000 copies of a sentence, items of 300 and of 5 equal words, and a long item that holds
+    the sentence fifty times."""
+    said = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen".split()
+    docs = [(1, "spam " * 20_000), (2, " ".join(said * 5_000)), (3, "spam " * 12 + "ham " + " ".join(said[:12])), (4, "clean words only")]
+    items = [(1, "spam " * 300), (2, "spam " * 5), (3, " ".join(said * 50)), (4, " ".join(said[3:] + said[:3]))]
+    got = {r.doc_id: (r["__n"], r.n_hit, r.n_items) for r in decontamination.measure(make(docs), make(items, "item_id long, text string")).collect()}
+    # the item of five words is hit in the twelve of document 3, no window of thirteen is
+    assert got == {1: (20_000, 20_000, 2), 2: (70_000, 70_000, 2), 3: (25, 12, 1), 4: (3, 0, 0)}
+
+
 def test_main_path_has_no_python(spark, sf):
     from weftline.llm import registry
 
