@@ -19,6 +19,7 @@ from weftline.sources import encode, gold, linking
 from weftline.sources import fixtures as FX
 from weftline.sources.scratch import fresh_path
 from weftline.sources.models import PolynomialModel, load_merge, load_rank
+from weftline.streaming import rounds as RD
 from weftline.streaming import run as R
 from weftline.streaming import store
 
@@ -514,8 +515,8 @@ def _stream_vectors(spark, d):
 
 
 def cluster_online_batch(spark, d):
-    """STA-01..11, API-01: one module."""
-    return R.cluster_batch(R.prepared(_stream_vectors(spark, d)), CFG)
+    """STA-01..11, API-01: one module, in rounds of scoring by all tasks."""
+    return RD.cluster_rounds(R.prepared(_stream_vectors(spark, d)), CFG).log
 
 
 def cluster_online_by_lang(spark, d):
@@ -528,16 +529,40 @@ def cluster_offline_merge(spark, d):
     return R.cluster_pool(R.prepared(_stream_vectors(spark, d), "lang"), ClusterConfig(check_cluster_join=False), merge_offline=True).select("module", "cluster_id", F.col("n").cast("long").alias("n"), F.size("documents").cast("long").alias("documents"))
 
 
+def _streamed(spark, d, started):
+    """The document stream in four parts, one after the other in time, each taken in by a query that starts where the last one stopped; ``started``
+    makes a query of its writer."""
+    home = fresh_path(spark, "run")
+    ready = R.prepared(_stream_vectors(spark, d), "lang")
+    most = ready.groupBy("module").count().agg(F.max("count")).first()[0] or 1
+    parts, count = RD.blocks(ready, -(-most // 4))
+    for k in range(count):
+        spark.read.schema(ready.schema).parquet(f"{parts}/block={k}").write.mode("append").parquet(f"{home}/in")
+        source = spark.readStream.schema(ready.schema).parquet(f"{home}/in")
+        job = R.cluster_stream(source, CFG).writeStream.option("checkpointLocation", f"{home}/checkpoint").outputMode("append").trigger(availableNow=True)
+        started(job, home).start().awaitTermination()
+    return home
+
+
 def cluster_online_stream(spark, d):
     """STA-01, STA-02 through Structured Streaming: the documents as files in order of time; the same log as in batch."""
-    home = fresh_path(spark, "run")
-    ready = R.prepared(_stream_vectors(spark, d), "lang").withColumn("part", F.ntile(4).over(Window.orderBy("ts_h", "id")))
-    for k in range(1, 5):
-        ready.where(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(f"{home}/in")
-    source = spark.readStream.schema(ready.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(f"{home}/in")
-    job = R.cluster_stream(source, CFG).writeStream.format("parquet").option("path", f"{home}/out").option("checkpointLocation", f"{home}/checkpoint").outputMode("append").trigger(availableNow=True).start()
-    job.awaitTermination()
-    return spark.read.schema(R.UPDATES).parquet(f"{home}/out")
+    home = _streamed(spark, d, lambda job, home: job.format("parquet").option("path", f"{home}/out"))
+    return R.updates(spark.read.schema(R.ROUND).parquet(f"{home}/out"))
+
+
+def pool_streamed(spark, d):
+    """SNK-01, SNK-02: the pool that a running stream has saved, each batch handed over twice."""
+    def started(job, home):
+        def twice(batch, number):
+            batch.persist()  # it is written twice here, so that what comes again is the same
+            for _ in range(2):
+                store.PoolStore(spark, f"{home}/pool", fold=3).take(batch, number)
+            batch.unpersist()
+
+        return job.foreachBatch(twice)
+
+    found = store.PoolStore(spark, f"{_streamed(spark, d, started)}/pool").clusters()
+    return found.select("module", "cluster_id", F.col("n").cast("long").alias("n"), r6("stamp").alias("stamp"), F.size("documents").cast("long").alias("documents"))
 
 
 def cluster_gold_labels(spark, d):
