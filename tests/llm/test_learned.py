@@ -78,3 +78,17 @@ def test_toxicity_of_odd_rows(odd_docs, no_docs, make):
         assert len(got) == odd_docs.count() and all(0 <= r.score <= 1 for r in got)
         assert len({r.score for r in got if r.doc_id in (1, 2, 3)}) == 1
     assert toxicity.predict(no_docs, model, ["doc_id"]).count() == 0
+
+
+def test_fit_is_bounded_after_the_join(make, monkeypatch):
+    """One labelled id on two thirds of the rows, with texts of its own and copies: no more than ``rows`` different texts are learned from."""
+    docs = [(1, f"text {i % 900} bad word{i % 7}") for i in range(2000)] + [(i, f"good text {i}") for i in range(2, 1002)] + [(None, "bad")]
+    labels = [(1, 1, 1), (1, 1, 0), *((i, 1, 0) for i in range(2, 1002)), (None, 1, 1)]
+    seen = []
+    real = toxicity.train_linear
+    monkeypatch.setattr(toxicity, "train_linear", lambda x, d, *more: seen.append(len(x)) or real(x, d, *more))
+    model = toxicity.fit(make(docs), make(labels, "doc_id long, quality int, toxic int"), F.lit(True), rows=300)
+    assert seen == [300]
+    assert model.score("text 5 bad word3") > model.score("good text 7")
+    toxicity.fit(make(docs), make(labels, "doc_id long, quality int, toxic int"), F.lit(True))
+    assert seen[1] == len({t for d, t in docs if d is not None})

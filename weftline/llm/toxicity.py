@@ -132,14 +132,15 @@ def train_linear(x: list[list[int]], dense: np.ndarray, y: np.ndarray, k: int, r
 
 
 def fit(docs: DataFrame, labels: DataFrame, train, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = FIT_ROWS) -> Model:
-    """Learn from about ``rows`` labelled rows for which ``train`` holds, taken by a hash of the key.
+    """Learn from ``rows`` different labelled texts at most, for which ``train`` holds, those of the least hashes.
 
-    Labels other than 0 and 1 are left out; a key with several labels counts as its largest.  Without labelled rows, or with
-    one label only, the model has no entries and scores all alike."""
+    Labels other than 0 and 1 are left out; a key, or a text, with several labels counts as its largest; copies of a text count once, however many rows
+    a key has.  Without labelled rows, or with one label only, the model has no entries and scores all alike."""
     labels = labels.where(train & F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("__k")).agg(F.max(label).cast("int").alias("__y"))
-    rate = min(1.0, rows / max(1, labels.count()))
-    few = labels.where(F.shiftrightunsigned(F.xxhash64("__k"), 11) <= int(rate * (1 << 53)))
-    sample = written(docs.select(F.col(key).alias("__id"), F.col(text).alias("t")).join(F.broadcast(few), F.col("__id") == F.col("__k")).select("t", F.col("__y").alias("y")), "toxicity")
+    texts = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("__id"), F.col(text).alias("t"), F.md5(F.coalesce(text, F.lit("")).cast("binary")).alias("__t"))
+    told = texts.select("__id", "__t").distinct().join(labels, F.col("__id") == F.col("__k")).groupBy("__t").agg(F.max("__y").alias("y"))
+    few = told.orderBy(F.xxhash64("__t"), "__t").limit(rows).withColumnRenamed("__t", "__f")  # a digest and a number each
+    sample = written(texts.join(F.broadcast(few), F.col("__t") == F.col("__f")).groupBy("__f").agg(F.min("t").alias("t"), F.max("y").alias("y")).select("t", "y"), "toxicity")
 
     def count(batches):
         n, k = Counter(), Counter()
