@@ -1,5 +1,7 @@
 import json
 import random
+import threading
+import time
 
 import numpy as np
 import pytest
@@ -161,3 +163,66 @@ def test_progress_is_told(spark, tmp_path):
     finally:
         spark.streams.removeListener(seen)
     assert seen.rows == 10 and seen.told[-1][2] == 100.0
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_running_vectors(spark, parts):
+    """A key over many ranges, null keys and null vectors, against a cumulative sum."""
+    rng = np.random.default_rng(parts)
+    rows = [(i, None if i % 11 == 0 else "hot" if i % 3 else f"k{i % 5}", None if i % 13 == 0 else rng.normal(size=4).tolist()) for i in range(400)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        got = {r.i: r for r in E.running_vectors(spark.createDataFrame(rows, "i long, key string, v array<double>"), "key", ["i"], "v").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(got) == 400
+    for key in {k for _, k, _ in rows}:
+        total, n = np.zeros(4), 0
+        for i, k, v in rows:
+            if k == key:
+                total, n = total + (v or 0.0), n + 1
+                assert got[i].n == n and np.allclose(got[i].v if len(got[i].v) == 4 else np.zeros(4), total)
+
+
+def test_requests_in_flight():
+    """Results in order, bounded looking ahead, the first failure in its place, and a slow service that no longer keeps the caller waiting."""
+    begun, lock = [], threading.Lock()
+
+    def call(i):
+        def run():
+            with lock:
+                begun.append(i)
+            time.sleep(0.03)
+            if i == 17:
+                raise KeyError(i)
+            return i
+
+        return run
+
+    taken = encode.in_order((call(i) for i in range(100)), 4)
+    assert next(taken) == 0
+    time.sleep(0.2)
+    assert len(begun) <= 5  # the taker is slow, so nothing more was begun
+    assert [next(taken) for _ in range(16)] == list(range(1, 17))
+    with pytest.raises(KeyError):
+        next(taken)
+    assert len(begun) < 30
+    at = time.time()
+    assert list(encode.in_order((call(i) for i in range(20, 80)), 12)) == list(range(20, 80))
+    assert time.time() - at < 60 * 0.03 / 4
+
+
+def test_service_in_flight_equals_one_at_a_time(spark):
+    def post(texts):
+        time.sleep(0.01)
+        if threading.current_thread() is not threading.main_thread() and hash(texts[0]) % 3 == 0 and texts[0] not in tried:
+            tried.add(texts[0])
+            raise TimeoutError
+        return [[float(len(t)), float(sum(map(ord, t)))] for t in texts]
+
+    tried: set = set()
+    service = encode.ServiceEncoder(post, wait_seconds=0.0, sleep=lambda _: None)
+    groups = [[f"text {i} {k}" for k in range(i % 4)] for i in range(60)]
+    one, many = encode.flattened(service, groups, 5), encode.flattened(service, groups, 5, in_flight=6)
+    assert tried and all(np.array_equal(a, b) for a, b in zip(one, many))

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from weftline.functions.scalars import pairs
 from weftline.sources.scratch import written
@@ -89,6 +94,68 @@ def running(rows: DataFrame, order: list[str], sums: dict[str, Column]) -> DataF
     return out.select(*rows.columns, *((F.col(f"__s_{n}") + F.sum(f"__{n}").over(inside)).cast("long").alias(n) for n in sums))
 
 
+def running_vectors(rows: DataFrame, key: str, order: list[str], column: str) -> DataFrame:
+    """``rows`` with ``column``, vectors of equal length, as the sum of it over the rows of the same ``key`` up to the own one in ``order``, and ``n``, how many
+    these are.  Null vectors count as zero.
+
+    Rows are dealt to ranges of (key, order).  A range sums up what it has of each key; a key that goes on over ranges starts each from the sum of those
+    before, so that a key of any size is summed by many tasks: one row a range and key meets another."""
+    dealt = written(rows.repartitionByRange(key, *order).withColumn("__part", F.spark_partition_id()), "vectors")
+    kind = dealt.schema[key].dataType.simpleString()
+    names = [*rows.columns, "n"]
+
+    def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
+        for f in frames:
+            for (part, k), g in f.groupby(["__part", key], sort=False, dropna=False):
+                vectors = [v for v in g[column] if v is not None]
+                n, total = held.get((part, k), (0, 0.0))
+                held[part, k] = n + len(g), total + np.sum(vectors, axis=0) if vectors else total
+        yield pd.DataFrame([(part, None if pd.isna(k) else k, n, np.atleast_1d(v)) for (part, k), (n, v) in held.items()], columns=["part", "k", "n", "v"])
+
+    def before(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("part")
+        n, total, out = 0, 0.0, []
+        for r in f.itertuples():
+            if n:
+                out.append((r.part, r.k, n, np.atleast_1d(total)))
+            n, total = n + r.n, total + r.v
+        return pd.DataFrame(out, columns=["part", "k", "n", "v"])
+
+    shape = f"part int, k {kind}, n long, v array<double>"
+    found = dealt.select("__part", key, column).mapInPandas(sums, shape)
+    # a range that a task has seen in pieces is put together first: few rows a range and key
+    starts = found.groupBy("k").applyInPandas(_whole_then(before), shape).select(F.col("part").alias("__p"), F.col("k").alias("__k"), F.col("n").alias("__n"), F.col("v").alias("__v"))
+    both = dealt.join(starts, (F.col("__part") == F.col("__p")) & F.col(key).eqNullSafe(F.col("__k")), "left").drop("__p", "__k")
+
+    def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, n, total = None, 0, 0.0
+        for f in frames:
+            out_n, out_v = [], []
+            for part, k, v, start, first in zip(f["__part"], f[key], f[column], f["__v"], f["__n"]):
+                name = part, None if pd.isna(k) else k
+                if name != at:
+                    at, n, total = name, 0 if pd.isna(first) else int(first), 0.0 if start is None else np.array(start, dtype=float)
+                n, total = n + 1, total if v is None else total + v
+                out_n.append(n)
+                out_v.append(np.array(np.atleast_1d(total)))
+            f = f.assign(n=out_n)
+            f[column] = out_v
+            yield f[names]
+
+    schema = StructType([*(StructField(f.name, ArrayType(DoubleType())) if f.name == column else f for f in rows.schema.fields), StructField("n", LongType())])
+    return both.repartition("__part").sortWithinPartitions("__part", key, *order).mapInPandas(add, schema)
+
+
+def _whole_then(of):
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        k = f["k"].iloc[0]
+        rows = [(part, k, int(g["n"].sum()), sum(g["v"])) for part, g in f.groupby("part")]
+        return of(pd.DataFrame(rows, columns=["part", "k", "n", "v"]))
+
+    return run
+
+
 def clusters_over_time(docs: DataFrame, order: str = "seq", cluster: str = "cid") -> DataFrame:
     """(seq, clusters): clusters begun so far."""
     first = docs.groupBy(cluster).agg(F.min(order).alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("m"))

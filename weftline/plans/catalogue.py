@@ -14,11 +14,13 @@ from weftline.operators import evaluate as E
 from weftline.operators import features as X
 from weftline.operators import pool as P
 from weftline.operators import training as TR
+from weftline.operators.topk import top_clusters
 from weftline.plans import oracles
 from weftline.sources import encode, gold, linking
 from weftline.sources import fixtures as FX
 from weftline.sources.scratch import fresh_path
 from weftline.sources.models import PolynomialModel, load_merge, load_rank
+from weftline.streaming import agglomerate
 from weftline.streaming import rounds as RD
 from weftline.streaming import run as R
 from weftline.streaming import store
@@ -230,6 +232,12 @@ def agg_centroid(spark, d):
     return V.vector_sum(FX.vec_stream(spark, d), ["gold"], ["main"]).select("gold", F.transform("main", r6).alias("centroid"))
 
 
+def agg_running_centroid(spark, d):
+    """WIN-03: the sum of a cluster's vectors after each of its documents, in the order of the stream."""
+    rows = FX.vec_stream(spark, d).select("vec_id", "gold", "ts", "main")
+    return E.running_vectors(rows, "gold", ["ts", "vec_id"], "main").select("vec_id", "gold", "n", F.transform("main", r6).alias("centroid"))
+
+
 def agg_cluster_stats(spark, d):
     """AGG-01, AGG-03, STA-06 in batch form, FEA-05."""
     return _rounded(FX.cluster_stats(FX.vec_stream(spark, d), "gold"), "gold", "n", "sum_h", "sq_h", "newest", "oldest", "stamp_h")
@@ -317,6 +325,15 @@ def rank_top50(spark, d):
     return s.select("doc", "cid", by_doc.alias("in_doc"), by_cid.alias("in_cluster")).where("in_doc <= 5 OR in_cluster <= 50").select("doc", "cid", F.col("in_doc").cast("long").alias("in_doc"), F.col("in_cluster").cast("long").alias("in_cluster"))
 
 
+def rank_top_pruned(spark, d):
+    """FEA-01, SRT-02: each document's first five of some hundreds of clusters (a label's vectors by the remainder of their ids), found by bounds of blocks
+    without scoring all of them."""
+    stream = FX.vec_stream(spark, d).withColumn("gold", F.col("gold") * 40 + F.col("vec_id") % 40)
+    pool = FX.label_pool(stream).drop("newest", "oldest", "languages")
+    out = top_clusters(stream.withColumnRenamed("vec_id", "doc"), pool, load_rank(CFG.rank_model), 5, CFG)
+    return _rounded(out, "doc", "place", "cid", "rank")
+
+
 def rank_best(spark, d):
     """STA-04, AGG-10."""
     return _rounded(_best(spark, d), "doc", "cid", "rank", "embedding_all")
@@ -565,6 +582,13 @@ def pool_streamed(spark, d):
     return found.select("module", "cluster_id", F.col("n").cast("long").alias("n"), r6("stamp").alias("stamp"), F.size("documents").cast("long").alias("documents"))
 
 
+def cluster_offline_rounds(spark, d):
+    """STA-12: the agglomerative pass in rounds of pairs that are each other's best, dealt to all tasks."""
+    pool = R.cluster_pool(R.prepared(_stream_vectors(spark, d), "lang"), ClusterConfig(check_cluster_join=False))
+    merged, _ = agglomerate.merge_rounds(pool, CFG)
+    return merged.select("module", "cluster_id", F.col("n").cast("long").alias("n"), F.size("documents").cast("long").alias("documents"))
+
+
 def cluster_gold_labels(spark, d):
     """STA-09, STA-15: gold mode; a document goes to the cluster of its label, or opens it."""
     log = R.cluster_batch(R.prepared(_stream_vectors(spark, d), "lang"), ClusterConfig(use_forced_label=True))

@@ -162,6 +162,9 @@ li AS (SELECT id, CASE WHEN len(p) > 1 THEN list_concat([h], p[2:]) ELSE [h] END
         "fn_logistic": sc + f"SELECT doc, round(1 / (1 + exp(-({_score(_MERGE)} - {_MERGE.bias!r}::DOUBLE - {_MERGE.bias!r}::DOUBLE))), 6) AS p FROM best",
         "fn_pair_counts": f"SELECT user_id, {_SUMS} AS pairs FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY user_id",
         "fn_short_number": f"SELECT event_id, {_number('round(value, 3)')} AS text FROM events",
+        "rank_top_pruned": sc.replace("e.label AS gold", "e.label * 40 + e.vec_id % 40 AS gold") + "SELECT doc, place, cid, round(rank, 6) AS rank FROM placed WHERE place <= 5",
+        "agg_running_centroid": v + """SELECT vec_id, gold, any_value(n) AS n, list(round(s, 6) ORDER BY i) AS centroid
+FROM (SELECT vec_id, gold, i, count(*) OVER w AS n, sum(main[i]) OVER w AS s FROM vs, (SELECT unnest(generate_series(1, 64)) AS i) WINDOW w AS (PARTITION BY gold, i ORDER BY ts, vec_id ROWS UNBOUNDED PRECEDING)) GROUP BY vec_id, gold""",
         "rank_all": sc + f"SELECT doc, cid, {_round((*FEATURES, 'rank'))} FROM scored",
         "rank_top50": sc + ", q AS (SELECT doc, cid, row_number() OVER (PARTITION BY doc ORDER BY round(rank, 9) DESC, cid) AS in_doc, row_number() OVER (PARTITION BY cid ORDER BY round(rank, 9) DESC, doc) AS in_cluster FROM scored) SELECT * FROM q WHERE in_doc <= 5 OR in_cluster <= 50",
         "rank_best": sc + f"SELECT doc, cid, {_round(('rank', 'embedding_all'))} FROM best",

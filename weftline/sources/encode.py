@@ -5,7 +5,10 @@ from __future__ import annotations
 import hashlib
 import re
 import time
-from collections.abc import Callable, Iterator
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -58,11 +61,33 @@ class ServiceEncoder:
                 self.sleep(self.wait)
 
 
-def flattened(encoder: Encoder, groups: list[list[str]], size: int = 32) -> list[np.ndarray]:
-    """The vectors of each group's texts.  The texts of all groups go to the encoder together, ``size`` at a time, and come back to
-    the groups by a cursor."""
+def in_order(calls: Iterable[Callable], width: int) -> Iterator:
+    """What the ``calls`` give, in their order, with up to ``width`` of them under way at once.
+
+    No call is begun that is more than ``width`` ahead of what has been taken, so a slow taker holds the service back, and what is in memory is bounded.  The first
+    failure is raised in its place; those under way are waited for, none is begun after it."""
+    if width <= 1:
+        yield from (call() for call in calls)
+        return
+    with ThreadPoolExecutor(width) as pool:
+        waiting: deque = deque()
+        try:
+            for call in calls:
+                waiting.append(pool.submit(call))
+                if len(waiting) >= width:
+                    yield waiting.popleft().result()
+            while waiting:
+                yield waiting.popleft().result()
+        finally:
+            for w in waiting:
+                w.cancel()
+
+
+def flattened(encoder: Encoder, groups: list[list[str]], size: int = 32, in_flight: int = 1) -> list[np.ndarray]:
+    """The vectors of each group's texts.  The texts of all groups go to the encoder together, ``size`` at a time and ``in_flight`` requests at once, and come
+    back to the groups by a cursor.  An encoder that is asked at once from several threads, and retries, does so for each request alone."""
     texts = [t for g in groups for t in g]
-    parts = [encoder(texts[at : at + size]) for at in range(0, len(texts), size)]
+    parts = list(in_order((partial(encoder, texts[at : at + size]) for at in range(0, len(texts), size)), in_flight))
     whole = np.vstack(parts) if parts else np.zeros((0, DIM))
     ends = np.cumsum([len(g) for g in groups])
     return np.split(whole, ends[:-1]) if len(groups) else []
@@ -73,11 +98,12 @@ def sentence_mean(encoder: Encoder, sentences: list[str]) -> np.ndarray:
     return np.mean(encoder(sentences), axis=0)
 
 
-def with_vectors(docs: DataFrame, encoder: Encoder = hash_encode, batch: int = 256, title: bool = False) -> DataFrame:
+def with_vectors(docs: DataFrame, encoder: Encoder = hash_encode, batch: int = 256, title: bool = False, in_flight: int = 1) -> DataFrame:
     """``docs`` (body, title) with main, par and tp vectors, and with ``title`` one of the title alone (title_repr), by Arrow batches.
 
     tp is of the title and the first paragraph, par of the first paragraph; main is the mean of tp and the further paragraphs.
-    The texts of a batch of documents are encoded together."""
+    The texts of a batch of documents are encoded together; ``in_flight`` requests of a task may be under way at once, which keeps it busy while a
+    service thinks."""
     from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
     made = ["main", "par", "tp", *(["title_repr"] if title else [])]
@@ -91,7 +117,7 @@ def with_vectors(docs: DataFrame, encoder: Encoder = hash_encode, batch: int = 2
                 for body, name in zip(f["body"], f["title"]):
                     parts = [p for p in (body or "").split("\n") if p.strip()][:40]
                     groups.append([f"{name or ''} \n {parts[0]}" if parts else name or "", *parts, *([name or ""] if title else [])])
-                for v in flattened(encoder, groups, 32 if encoder is not hash_encode else len(f) * 42):
+                for v in flattened(encoder, groups, 32 if encoder is not hash_encode else len(f) * 42, in_flight):
                     if title:
                         own.append(v[-1])
                         v = v[:-1]
