@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from weftline.config import FEATURES, ClusterConfig
+from weftline.config import FEATURES, MODELS, ClusterConfig
 from weftline.functions import scalars as S
 from weftline.functions import texts as T
 from weftline.functions import vectors as V
@@ -19,7 +19,7 @@ from weftline.plans import oracles
 from weftline.sources import encode, gold, linking
 from weftline.sources import fixtures as FX
 from weftline.sources.scratch import fresh_path
-from weftline.sources.models import PolynomialModel, load_merge, load_rank
+from weftline.sources.models import load_merge, load_polynomial, load_rank
 from weftline.streaming import agglomerate
 from weftline.streaming import rounds as RD
 from weftline.streaming import run as R
@@ -27,7 +27,9 @@ from weftline.streaming import store
 
 CFG = ClusterConfig()
 #: a small polynomial model, for the query that shows the scorer
-POLYNOMIAL = PolynomialModel(2.0, 0.5, 1.0, 0.25, tuple((c, tuple(v)) for c, v in ((0.75, (1, 0.5, 0, 0.25, 0, 1, 0.5, 0, 1, 0, 0, 0)), (-0.5, (0.5, 1, 0.25, 0, 0, 0, 1, 0.5, 0, 0, 0, 0)))))
+POLYNOMIAL = load_polynomial(str(MODELS / "polynomial.svm"))
+#: a language with a ranking model of its own
+BY_MODULE = ClusterConfig(modules={"de": {"rank": CFG.join_model}})
 
 
 def r6(c) -> F.Column:
@@ -190,6 +192,25 @@ def src_stored_vectors(spark, d):
     return both.select("seq", F.col("id").alias("vec_id"), r6(V.dot(F.col("main"), F.col("par"))).alias("main_par"), r6(V.dot(F.col("par"), F.col("tp"))).alias("par_tp"))
 
 
+def src_linked_corpus(spark, d):
+    """SRC-11, TXT-08: conversations as bags in JSON files, four bags each, read back as a linked corpus; the gold pairs of its linked bags."""
+    path, said = fresh_path(spark, "corpus"), FX.read(spark, d, "conversations")
+    results = F.struct(F.concat_ws("#", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), F.col("text").alias("body"), F.col("role").alias("title"))
+    bags = said.groupBy("conv_id").agg(F.collect_list(results).alias("results")).withColumn("part", F.floor(F.col("conv_id") / 4))
+    bag = F.struct(F.struct(F.lit("en").alias("lang"), F.col("conv_id").cast("string").alias("eventUri")).alias("info"), F.struct("results").alias("articles"))
+    files = bags.groupBy("part").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("conv_id").cast("string"), bag)))).alias("value"))
+    files.withColumn("kind", F.when(F.col("part") % 2 == 0, "positive").otherwise("negative")).repartition("part").write.partitionBy("kind", "part").option("compression", "none").format("text").save(f"{path}.json")
+    _, articles, links = linking.read_corpus(spark, f"{path}.json", pattern="*.txt")
+    return linking.gold_pairs(links, articles)
+
+
+def src_cross_pairs(spark, d):
+    """SRC-02, TXT-09: gold pairs written as tab-separated lines and read back."""
+    path = fresh_path(spark, "cross")
+    linking.write_pairs(link_cross_pairs(spark, d), path)
+    return linking.read_cross_pairs(spark, path)
+
+
 # -- vectors
 
 
@@ -345,13 +366,23 @@ def merge_accept(spark, d):
     return P.accepted(_best(spark, d), m).select("doc", "accepted", (F.col("rank") > 16.5).alias("by_rank"))
 
 
+def rank_by_module(spark, d):
+    """SRC-08: each document's best cluster by the ranking model of its module (the language), of which one has its own."""
+    s = _scored(spark, d)
+    own = {m: load_rank(BY_MODULE.models(m)["rank"]) for m in BY_MODULE.modules}
+    rank = F.col("rank")
+    for m, model in own.items():
+        rank = F.when(F.col("lang") == m, X.linear_score(model)).otherwise(rank)
+    return _rounded(P.best_cluster(s.withColumn("rank", rank)), "doc", "cid", "rank")
+
+
 def first_k_flag(spark, d):
     """STA-03, WIN-01: documents that open a cluster whatever their rank, one module for each language (STA-17)."""
     return FX.with_seq(FX.doc_stream(spark, d), "lang").select("id", "lang", "seq", (F.col("seq") <= CFG.k_first).alias("opens"))
 
 
 def score_polynomial(spark, d):
-    """SCO-02."""
+    """SRC-07, SCO-02."""
     return _scored(spark, d).select("doc", "cid", F.round(X.polynomial_score(POLYNOMIAL), 5).alias("score"))
 
 
@@ -448,6 +479,14 @@ def eval_recall_at_k(spark, d):
     return _rounded(E.recall_at(eval_gold_position(spark, d)), "k", "recall")
 
 
+def eval_dumped_assignments(spark, d):
+    """SNK-06: the assignments dumped as lines of JSON, read back."""
+    path, best = fresh_path(spark, "dump"), _best(spark, d)
+    log = best.select(F.lit("add").alias("op"), F.col("doc").cast("string").alias("document_id"), F.col("cid").cast("string").alias("cluster_id"), r6("embedding_all").alias("similarity"), F.array("lang").alias("available_languages"))
+    store.dump(log, path)
+    return spark.read.schema("documentId string, clusterId string, similarity string, availableLanguages array<string>").json(path)
+
+
 def eval_local_f1_separate(spark, d):
     """EVL-09, EVL-10: clusters 0 to 2, apart."""
     return _rounded(E.local_f1(_labelled(spark, d), [0, 1, 2]), "tp", "fp", "fn", "p", "r", "f1")
@@ -490,6 +529,13 @@ def _six(spark, d):
     return s.select(*(F.round(c, 4).alias(c) if c in FEATURES else F.col(c) for c in s.columns))
 
 
+def train_written_lines(spark, d):
+    """SNK-07, TRN-09: the ranking lines as text, in a folder for training and one for testing, read back."""
+    path = fresh_path(spark, "lines")
+    TR.write_lines(TR.split_by_qid(TR.rank_lines(_six(spark, d))), path, "part")
+    return spark.read.schema("value string, part string").text(path).select("part", F.col("value").alias("line"))
+
+
 def train_merge_lines(spark, d):
     """TRN-03, TRN-04."""
     return TR.merge_lines(_six(spark, d))

@@ -124,7 +124,15 @@ def sql() -> dict[str, str]:
     eh = f"WITH eh AS (SELECT *, (epoch_us(ts) - {_BASE}) / 3.6e9::DOUBLE AS h FROM events) "
     poly = " + ".join(f"{c}::DOUBLE * pow(0.5::DOUBLE * ({' + '.join(f'{x}::DOUBLE * {n}' for n, x in zip(FEATURES, sv) if x)}) + 1, 2)" for c, sv in ((0.75, (1, 0.5, 0, 0.25, 0, 1, 0.5, 0, 1, 0, 0, 0)), (-0.5, (0.5, 1, 0.25, 0, 0, 0, 1, 0.5, 0, 0, 0, 0))))
     links = f", one AS (SELECT a.vec_id AS doc_a, b.vec_id AS doc_b, a.gold = b.gold AS positive FROM vs a JOIN vs b ON b.vec_id - a.vec_id BETWEEN 1 AND 10), ln AS (SELECT * FROM one UNION ALL SELECT doc_b, doc_a, positive FROM one)"
+    link = "SELECT DISTINCT a.conv_id::VARCHAR || '#' || a.turn::VARCHAR AS doc_a, b.conv_id::VARCHAR || '#' || b.turn::VARCHAR AS doc_b, CASE WHEN n > 4 THEN 'positive' ELSE 'negative' END AS verdict FROM conversations a JOIN conversations b USING (conv_id) JOIN (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id) USING (conv_id) WHERE a.turn <> b.turn"
+    part = "CASE WHEN ('0x' || substr(md5(doc::VARCHAR), 1, 6))::BIGINT % 100 < 80 THEN 'train' ELSE 'test' END AS part"
+    own = _score(load_rank(_CFG.join_model))
     return {
+        "src_linked_corpus": "SELECT DISTINCT a.conv_id::VARCHAR || '#' || a.turn::VARCHAR AS doc_a, b.conv_id::VARCHAR || '#' || b.turn::VARCHAR AS doc_b, CASE WHEN (a.conv_id // 4) % 2 = 0 THEN 'positive' ELSE 'negative' END AS verdict FROM conversations a JOIN conversations b ON a.conv_id // 4 = b.conv_id // 4 AND a.conv_id <> b.conv_id",
+        "src_cross_pairs": f"SELECT doc_a, doc_b, verdict = 'positive' AS positive FROM ({link})",
+        "rank_by_module": sc + f", r AS (SELECT * REPLACE (CASE WHEN lang = 'de' THEN {own} ELSE rank END AS rank) FROM scored), q AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY round(rank, 9) DESC, cid) AS p FROM r) SELECT doc, cid, round(rank, 6) AS rank FROM q WHERE p = 1",
+        "train_written_lines": sc + f", z AS (SELECT *, row_number() OVER (PARTITION BY doc, cid = gold ORDER BY place) AS nth FROM placed) SELECT {part}, (cid = gold)::INT::VARCHAR || ' qid:' || doc::VARCHAR || ' ' || {_line(RANK_MASK)} AS line FROM z WHERE cid = gold OR nth <= 50",
+        "eval_dumped_assignments": sc + "SELECT doc::VARCHAR AS \"documentId\", cid::VARCHAR AS \"clusterId\", round(embedding_all, 6)::VARCHAR AS similarity, [lang] AS \"availableLanguages\" FROM best",
         "flagship_fixed_pool_assign": sc + f"SELECT doc, cid, {_round(('rank',))}, round({_score(_MERGE)}, 6) AS merge_score, {_score(_MERGE)} > 0 AS accepted FROM best",
         "prj_payload": d + "SELECT id::VARCHAR AS id, group_id, id::VARCHAR || '_' || group_id AS unique_id, source AS source_feed_name, lang AS language, body, title, ts AS timestamp, ts AS update_timestamp, md5(body) AS forced_label FROM ds",
         "flt_nonempty": d + "SELECT id, length(body)::BIGINT AS n_chars FROM ds WHERE NOT (body = '' AND title = '')",
@@ -225,6 +233,6 @@ c AS (SELECT documents, gold, pred, count(*) AS n FROM z GROUP BY 1, 2, 3), w AS
 g AS (SELECT documents, sum(n * (n - 1) // 2)::BIGINT AS bg FROM (SELECT documents, gold, sum(n) AS n FROM c GROUP BY 1, 2) GROUP BY 1), l AS (SELECT documents, sum(n * (n - 1) // 2)::BIGINT AS bp, count(*) AS n_clu FROM (SELECT documents, pred, sum(n) AS n FROM c GROUP BY 1, 2) GROUP BY 1),
 x AS (SELECT documents, tp, bp - tp AS fp, bg - tp AS fn, a - bp - bg + tp AS tn, n_clu FROM w JOIN g USING (documents) JOIN l USING (documents))""" + _rates("documents, "),
         "train_split_by_qid": d + "SELECT id AS qid, CASE WHEN ('0x' || substr(md5(id::VARCHAR), 1, 6))::BIGINT % 100 < 80 THEN 'train' ELSE 'test' END AS part FROM ds",
-        "link_cross_pairs": "SELECT DISTINCT a.conv_id::VARCHAR || '#' || a.turn::VARCHAR AS doc_a, b.conv_id::VARCHAR || '#' || b.turn::VARCHAR AS doc_b, CASE WHEN n > 4 THEN 'positive' ELSE 'negative' END AS verdict FROM conversations a JOIN conversations b USING (conv_id) JOIN (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id) USING (conv_id) WHERE a.turn <> b.turn",
+        "link_cross_pairs": link,
         "pool_status": d + "SELECT strftime(max(ts), '%Y-%m-%dT%H%M%S.%f') AS latest_update_timestamp FROM ds",
     }

@@ -9,11 +9,11 @@ _ARTICLE = "id string, body string, title string, eventUri string, isDuplicate b
 BAG = f"map<string, struct<info: struct<lang: string, eventUri: string>, articles: struct<results: array<struct<{_ARTICLE.replace(' string', ': string').replace(' boolean', ': boolean').replace(' struct', ': struct')}>>>>>"
 
 
-def read_corpus(spark: SparkSession, path: str, languages: list[str] | None = None, documents: DataFrame | None = None, limited: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+def read_corpus(spark: SparkSession, path: str, languages: list[str] | None = None, documents: DataFrame | None = None, limited: bool = False, pattern: str = "*.json") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(bags, articles, links) of a directory tree of JSON files; a file whose path has "positive" in it links its bags so.
 
-    ``documents`` (column id) and ``languages`` restrict the articles; ``limited`` keeps files of two bags in two languages."""
-    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path, wholetext=True).select(F.input_file_name().alias("file"), F.from_json("value", BAG).alias("bags"))
+    ``documents`` (column id) and ``languages`` restrict the articles; ``limited`` keeps files of two bags in two languages; ``pattern`` is that of the files' names."""
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path, wholetext=True).select(F.input_file_name().alias("file"), F.from_json("value", BAG).alias("bags"))
     bags = raw.where(F.col("bags").isNotNull()).select("file", F.explode("bags").alias("bag_id", "bag")).where((F.col("bag_id") != "meta") & F.col("bag.info").isNotNull())
     bags = bags.select("file", F.when(F.col("file").contains("positive"), "positive").otherwise("negative").alias("linked_as"), "bag_id", F.col("bag.info.lang").alias("lang"), F.col("bag.info.eventUri").alias("event_id"), F.col("bag.articles.results").alias("results"))
     if languages:
