@@ -23,7 +23,7 @@ from weftline.sources.models import load_merge, load_polynomial, load_rank
 from weftline.streaming import agglomerate
 from weftline.streaming import rounds as RD
 from weftline.streaming import run as R
-from weftline.streaming import store
+from weftline.streaming import store, supervision
 
 CFG = ClusterConfig()
 #: a small polynomial model, for the query that shows the scorer
@@ -559,6 +559,12 @@ def train_join_lines(spark, d):
     return TR.join_supervision(p, E.join_gain(_labelled(spark, d).withColumn("gold", F.floor(F.col("gold") / 2))))
 
 
+def train_join_lines_applied(spark, d):
+    """TRN-06, TRN-07 in the order of the clusterer: each accepted join is applied before the next pair is looked at, a module for each language."""
+    pool = R.cluster_pool(R.prepared(_stream_vectors(spark, d), "lang"), ClusterConfig(check_cluster_join=False))
+    return supervision.applied_lines(pool, CFG)
+
+
 def train_split_by_qid(spark, d):
     """TRN-09."""
     return TR.split_by_qid(FX.doc_stream(spark, d).select(F.col("id").alias("qid")))
