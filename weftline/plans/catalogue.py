@@ -13,6 +13,7 @@ from weftline.functions import vectors as V
 from weftline.operators import evaluate as E
 from weftline.operators import features as X
 from weftline.operators import pool as P
+from weftline.operators import sentences as learned
 from weftline.operators import training as TR
 from weftline.operators.topk import top_clusters
 from weftline.plans import oracles
@@ -121,6 +122,13 @@ def txt_sentences(spark, d):
     return p.select("id", F.col("i").cast("long").alias("i"), F.posexplode(T.sentences(F.col("p"))).alias("k", "sentence")).select("id", "i", F.col("k").cast("long").alias("k"), "sentence")
 
 
+def txt_learned_sentences(spark, d):
+    """TXT-02 with bounds that are learned from all documents: abbreviations, collocations and sentence starters."""
+    p = FX.doc_stream(spark, d).select("id", F.posexplode(T.paragraphs(F.col("body"))).alias("i", "p"))
+    found = learned.sentences(p, learned.learn(p.select("p")))
+    return found.select("id", F.col("i").cast("long").alias("i"), F.posexplode("sentences").alias("k", "sentence")).select("id", "i", F.col("k").cast("long").alias("k"), "sentence")
+
+
 def txt_title_first_paragraph(spark, d):
     """TXT-03."""
     s = FX.doc_stream(spark, d).select("id", T.title_first_paragraph(F.col("title"), T.paragraphs(F.col("body"))).alias("p"))
