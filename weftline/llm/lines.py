@@ -131,8 +131,8 @@ def _ranks(texts: DataFrame) -> np.ndarray:
     return L.ranks(found) if len(found) else np.zeros(1 << L.BUCKET_BITS, np.uint8)
 
 
-def _sets(texts: DataFrame, floor: int, rank: np.ndarray) -> DataFrame:
-    """The distinct sets (num, id, first: where it comes first, prefix, n: words, one and two: sketches), numbered in that order."""
+def _sets(texts: DataFrame, floor: int, rank: np.ndarray, half: int) -> DataFrame:
+    """The distinct sets (num, id and id2: the halves of its name, first: where it comes first, prefix, n: words, one and two: sketches), numbered in that order."""
     sent = texts.sparkSession.sparkContext.broadcast(rank)
 
     def run(batches):
@@ -140,7 +140,7 @@ def _sets(texts: DataFrame, floor: int, rank: np.ndarray) -> DataFrame:
         for b in batches:
             for at, texts_ in _raw(b, 2):
                 for s in L.sets_of(texts_, floor):
-                    one, two = s.ids()
+                    one, two = s.ids(half)
                     new = np.zeros(len(one), bool)
                     new[np.unique(one, return_index=True)[1]] = True  # others go without their prefix, which is the same
                     fresh = s.only(new & (s.n >= MIN_WORDS))  # smaller sets are not looked up
@@ -154,7 +154,7 @@ def _sets(texts: DataFrame, floor: int, rank: np.ndarray) -> DataFrame:
     by = texts.schema["__by"].dataType.simpleString()
     rows = texts.select("__by", "__tie", "__text").mapInArrow(released(run), f"id long, id2 long, by {by}, tie long, line long, prefix binary, n long, one long, two long")
     sets = rows.groupBy("id", "id2").agg(F.min(F.struct("by", "tie", "line")).alias("first"), F.max(F.struct("prefix", "n", "one", "two")).alias("set"))
-    plain = written(sets.select("id", "first", "set.*"), "sets")  # sorting looks at it twice
+    plain = written(sets.select("id", "id2", "first", "set.*"), "sets")  # sorting looks at it twice
     ordered = written(plain.sort("first").select(F.monotonically_increasing_id().alias("num"), *plain.columns), "sets")
     drop_written(plain)
     return ordered
@@ -264,10 +264,10 @@ def _matches(post: DataFrame) -> DataFrame:
     return post.select("bucket", "n", "ask", "block").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(released(run), "x long, y long, far int, more boolean")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, floor: int) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, floor: int, half: int) -> DataFrame:
     """Those of ``pairs`` (x, y) whose sets are similar enough, written."""
-    a, b = (sets.select(F.col("num").alias(f"{k}_"), F.col("id").alias(f"{k}i"), F.col("first.tie").alias(f"{k}t")) for k in "xy")
-    named = written(pairs.join(a, F.col("x") == F.col("x_")).join(b, F.col("y") == F.col("y_")).select("x", "y", "xi", "yi", "xt", "yt"), "pairs")
+    a, b = (sets.select(F.col("num").alias(f"{k}_"), F.col("id").alias(f"{k}i"), F.col("id2").alias(f"{k}j"), F.col("first.tie").alias(f"{k}t")) for k in "xy")
+    named = written(pairs.join(a, F.col("x") == F.col("x_")).join(b, F.col("y") == F.col("y_")).select("x", "y", "xi", "xj", "yi", "yj", "xt", "yt"), "pairs")
     rows, ids = (named.select(F.col(f"x{k}").alias("w")).union(named.select(f"y{k}")) for k in "ti")
     rows = written(rows.distinct(), "rows")
     few = rows.count() <= BROADCAST_ROWS
@@ -282,20 +282,20 @@ def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, floor: int) -
                 b = b.filter(pa.array(_inside(rows, b.column(0).to_numpy())))
             for _, texts_ in _raw(b, 1):
                 for s in L.sets_of(texts_, floor):
-                    one, _ = s.ids()
+                    one, two = s.ids(half)
                     use = _inside(wanted, one)
-                    use[use] = [not (i in done or done.add(i)) for i in one[use].tolist()]
-                    s, one = s.only(use), one[use]
-                    yield pa.RecordBatch.from_arrays([pa.array(one), L.binaries(L.packed(s.words, _WORD), s.n * _WORD)], names=["id", "words"])
+                    use[use] = [not (i in done or done.add(i)) for i in zip(one[use].tolist(), two[use].tolist())]
+                    s, one, two = s.only(use), one[use], two[use]
+                    yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), L.binaries(L.packed(s.words, _WORD), s.n * _WORD)], names=["id", "id2", "words"])
 
     def judge(batches):
         for b in batches:
             ok = pa.array(L.similar(b.column(2).to_pylist(), b.column(3).to_pylist(), _WORD))
             yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["x", "y"])
 
-    full = texts.select("__tie", "__text").mapInArrow(released(words), "id long, words binary").dropDuplicates(["id"])
-    a, b = (full.select(F.col("id").alias(f"{k}_"), F.col("words").alias(f"{k}w")) for k in "xy")
-    both = named.join(a, F.col("xi") == F.col("x_")).join(b, F.col("yi") == F.col("y_")).select("x", "y", "xw", "yw")
+    full = texts.select("__tie", "__text").mapInArrow(released(words), "id long, id2 long, words binary").dropDuplicates(["id", "id2"])
+    a, b = (full.select(F.col("id").alias(f"{k}_"), F.col("id2").alias(f"{k}_2"), F.col("words").alias(f"{k}w")) for k in "xy")
+    both = named.join(a, (F.col("xi") == F.col("x_")) & (F.col("xj") == F.col("x_2"))).join(b, (F.col("yi") == F.col("y_")) & (F.col("yj") == F.col("y_2"))).select("x", "y", "xw", "yw")
     found = written(both.mapInArrow(released(judge), "x long, y long"), "gone")
     drop_written(named)
     drop_written(rows)
@@ -314,7 +314,7 @@ def _roots(links: DataFrame) -> DataFrame:
             return up
 
 
-def _sources(sets: DataFrame, texts: DataFrame, floor: int, links: DataFrame) -> DataFrame:
+def _sources(sets: DataFrame, texts: DataFrame, floor: int, links: DataFrame, half: int) -> DataFrame:
     """(tie, src, n, lines) of each different text: its lines that come from the text ``src``, and their words.  A line comes from the
     text of the earliest line that a chain of like ones (``links``: x, y) leads to; that one stays."""
 
@@ -322,25 +322,26 @@ def _sources(sets: DataFrame, texts: DataFrame, floor: int, links: DataFrame) ->
         for b in batches:
             for at, texts_ in _raw(b, 1):
                 for s in L.sets_of(texts_, floor):
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(s.text + at)), pa.array(s.line, pa.int64()), pa.array(s.ids()[0]), pa.array(s.n, pa.int64())], names=["tie", "line", "id", "n"])
+                    one, two = s.ids(half)
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(s.text + at)), pa.array(s.line, pa.int64()), pa.array(one), pa.array(two), pa.array(s.n, pa.int64())], names=["tie", "line", "id", "id2", "n"])
 
     heads = sets.select(F.col("num").alias("head"), F.col("first.tie").alias("src"))
     roots = _roots(links)
     chained = roots.join(heads, F.col("y") == F.col("head")).select(F.col("x").alias("node"), "src")
-    origin = sets.join(chained, F.col("num") == F.col("node"), "left").select(F.col("id").alias("i"), F.coalesce("src", "first.tie").alias("src"))
-    every = texts.select("__tie", "__text").mapInArrow(released(run), "tie long, line long, id long, n long").distinct()  # equal texts count once
-    found = written(every.join(origin, F.col("id") == F.col("i")).groupBy("tie", "src").agg(F.sum("n").alias("n"), F.collect_list(F.when(F.col("tie") != F.col("src"), F.col("line"))).alias("lines")), "sources")
+    origin = sets.join(chained, F.col("num") == F.col("node"), "left").select(F.col("id").alias("i"), F.col("id2").alias("j"), F.coalesce("src", "first.tie").alias("src"))
+    every = texts.select("__tie", "__text").mapInArrow(released(run), "tie long, line long, id long, id2 long, n long").distinct()  # equal texts count once
+    found = written(every.join(origin, (F.col("id") == F.col("i")) & (F.col("id2") == F.col("j"))).groupBy("tie", "src").agg(F.sum("n").alias("n"), F.collect_list(F.when(F.col("tie") != F.col("src"), F.col("line"))).alias("lines")), "sources")
     drop_written(roots)
     return found
 
 
-def _copies(sets: DataFrame, texts: DataFrame, floor: int, links: DataFrame, kept: DataFrame) -> DataFrame:
+def _copies(sets: DataFrame, texts: DataFrame, floor: int, links: DataFrame, kept: DataFrame, half: int) -> DataFrame:
     """``kept`` (tie, mask) with the lines that copies have from their source.
 
     The source of a text of which something stays is the one that most of its other words come from.  It is a copy if that and the lines that it
     has from its source are near what stays of the source, which is no copy: by the sets of shingles of
     :mod:`weftline.llm.shingles`, so that :func:`weftline.llm.shingles.groups` joins the two."""
-    parts = _sources(sets, texts, floor, links)
+    parts = _sources(sets, texts, floor, links, half)
     whole = parts.where("tie = src").select(F.col("tie").alias("w"), F.col("n").alias("own"))
     best = parts.where("tie <> src").groupBy("tie").agg(F.max_by(F.struct("src", "n", "lines"), F.struct("n", "src")).alias("b")).select("tie", "b.*")
     sized = best.join(whole, F.col("tie") == F.col("w")).select("tie", "src", "lines", "n", (F.col("n") + F.col("own")).alias("all"))
@@ -394,20 +395,20 @@ def _copies(sets: DataFrame, texts: DataFrame, floor: int, links: DataFrame, kep
     return out
 
 
-def _kept(sets: DataFrame, texts: DataFrame, floor: int, sizes: tuple[int, int, int, int], copies: bool = False) -> DataFrame:
+def _kept(sets: DataFrame, texts: DataFrame, floor: int, sizes: tuple[int, int, int, int], copies: bool = False, half: int = 64) -> DataFrame:
     """(by, tie, mask, n): the lines that stay, of each different text, as a byte for each line up to the last of them; with
     ``copies`` (tie, mask) of :func:`_copies`; written."""
     spark = sets.sparkSession
     near = _matches(_postings(sets, sizes)).groupBy("x").agg(F.min(F.struct("far", "y")).alias("b"), F.max("more").alias("more"), F.min(F.nullif("y", F.lit(-1))).alias("low"), F.max("y").alias("high"))
     near = written(near.select("x", F.col("b.y").alias("y"), (F.col("more") | (F.col("low") < F.col("high"))).alias("more")), "named")
-    gone = [_verified(near.where("y >= 0").select("x", "y"), sets, texts, floor)]
+    gone = [_verified(near.where("y >= 0").select("x", "y"), sets, texts, floor, half)]
     open_ = written(near.where("more").select(F.col("x").alias("o")).join(gone[0], F.col("o") == F.col("x"), "left_anti"), "open")
     drop_written(near)
     if not open_.isEmpty():
         asking = _postings(sets.join(open_, F.col("num") == F.col("o"), "left_semi"), sizes, ask=True)
         post = _postings(sets, sizes, only=_filter(_keys(asking)))
         rest = written(_matches(post.union(asking)).select("x", "y").distinct(), "rest")
-        gone.append(_verified(rest, sets, texts, floor))
+        gone.append(_verified(rest, sets, texts, floor, half))
         drop_written(rest)
     all_gone = reduce(DataFrame.union, gone).select(F.col("x").alias("g"))
     stay = sets.select("num", "first").join(all_gone, F.col("num") == F.col("g"), "left_anti")
@@ -424,13 +425,13 @@ def _kept(sets: DataFrame, texts: DataFrame, floor: int, sizes: tuple[int, int,
 
     kept = written(lists.mapInArrow(released(masks), f"by {lists.schema['by'].dataType.simpleString()}, tie long, mask binary, n long"), "kept")
     if copies:
-        kept = _copies(sets, texts, floor, reduce(DataFrame.union, gone), kept)
+        kept = _copies(sets, texts, floor, reduce(DataFrame.union, gone), kept, half)
     for t in (open_, *gone):
         drop_written(t)
     return kept
 
 
-def dedup(docs: DataFrame, text: str = "text", floor: int = MIN_WORDS, order: tuple[str, ...] | None = None, counts: tuple[str, str] = ("n_lines", "n_removed"), copies: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, text: str = "text", floor: int = MIN_WORDS, order: tuple[str, ...] | None = None, counts: tuple[str, str] = ("n_lines", "n_removed"), copies: bool = False, half: int = 64) -> DataFrame:
     """``docs`` with ``text`` less its removed lines, and two columns named by ``counts``: its lines, and those removed.
 
     A line goes if its set of words (A-Z lower-cased, parted by ASCII white space) is equal to that of an earlier line, or of
@@ -442,23 +443,38 @@ def dedup(docs: DataFrame, text: str = "text", floor: int = MIN_WORDS, order: tu
 
     With ``copies`` lines go from texts, not from copies of texts: equal texts lose the same lines, and one that is a near copy
     of an earlier text as a whole, with lines of its own (:func:`_copies`), keeps those that it has from it.  The near-dedup
-    finds them and drops them whole; without that, what differs in a near copy would stay as a text of its own."""
+    finds them and drops them whole; without that, what differs in a near copy would stay as a text of its own.
+
+    Sets are named by 128 bits.  Texts are named by 64; those whose names clash are told by another 64 and keep all their lines: a
+    few in ten billion.  ``half``: bits that are used of the first half of a name (fewer in tests, for clashes)."""
     order = tuple(c for c in ("doc_id",) if c in docs.columns) if order is None else order
     by = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(order)), F.lit(0).alias("z"))
-    texts = docs.where(F.col(text).isNotNull()).select(by.alias("__by"), F.xxhash64(text).alias("__tie"), F.col(text).alias("__text"))
-    sets = _sets(texts, floor, _ranks(texts))
+    texts = docs.where(F.col(text).isNotNull()).select(by.alias("__by"), _name(text, half).alias("__tie"), F.col(text).alias("__text"))
+    sets = _sets(texts, floor, _ranks(texts), half)
     buckets = max(1024, sets.count() * 12 >> 16)  # so that what meets in one is some 65,000 lookups, whatever the input
-    kept = _kept(sets, texts, floor, (COMMON, LONG, LEADERS, buckets), copies)
+    kept = _kept(sets, texts, floor, (COMMON, LONG, LEADERS, buckets), copies, half)
     drop_written(sets)
-    return _cut(docs, text, by, kept, floor, counts, copies)
+    return _cut(docs, text, by, kept, _clashes(texts), floor, counts, copies, half)
+
+
+def _name(text: str, half: int):
+    return F.shiftrightunsigned(F.xxhash64(text), 64 - half) if half < 64 else F.xxhash64(text)
+
+
+def _clashes(texts: DataFrame) -> DataFrame:
+    """The names that several texts have, written."""
+    again = F.xxhash64(F.lit(1), "__text")
+    return written(texts.groupBy(F.col("__tie").alias("clash")).agg(F.min(again).alias("a"), F.max(again).alias("b")).where("a <> b").select("clash"), "clashes")
 
 
-def _cut(docs: DataFrame, text: str, by, kept: DataFrame, floor: int, counts: tuple[str, str], copies: bool = False) -> DataFrame:
-    """The rows of ``docs`` without the lines that the masks of their texts leave out; of rows equal in order and text, all but the
+def _cut(docs: DataFrame, text: str, by, kept: DataFrame, clashes: DataFrame, floor: int, counts: tuple[str, str], copies: bool = False, half: int = 64) -> DataFrame:
+    """The rows of ``docs`` without the lines that the masks of their texts leave out, but for texts whose names clash; of rows equal in order and text, all but the
     first have their blank lines only, unless ``copies``."""
     names = [c for c in docs.columns if c not in counts]
     rest = F.struct(F.lit(0).alias("__0"), *(f"`{n}`" for n in names if n != text))
-    rows = docs.select(rest.alias("rest"), by.alias("by"), F.xxhash64(text).alias("tie"), F.col(text).alias("t"))
+    rows = docs.select(rest.alias("rest"), by.alias("by"), _name(text, half).alias("tie"), F.col(text).alias("t"))
+    few = F.broadcast(clashes) if clashes.count() <= BROADCAST_ROWS else clashes
+    rows = rows.join(few, F.col("tie") == F.col("clash"), "left")
     if copies:
         both, mask = rows.join(kept.select(F.col("tie").alias("tie2"), "mask"), F.col("tie") == F.col("tie2"), "left"), F.coalesce("mask", F.lit(b""))
     else:
@@ -471,7 +487,7 @@ def _cut(docs: DataFrame, text: str, by, kept: DataFrame, floor: int, counts: tu
     else:
         small = lambda x: F.size(F.array_distinct(F.array_remove(F.split(F.translate(x, _UPPER, _UPPER.lower()), f"[{_BLANK}]+"), ""))) < floor
     parts = F.split("t", "\n")
-    cut = both.withColumn("mask", mask).withColumn("left", F.filter(parts, lambda x, i: (F.substring("mask", i + 1, F.lit(1)) == F.lit(b"\1")) | small(x)))
+    cut = both.withColumn("mask", mask).withColumn("left", F.filter(parts, lambda x, i: F.col("clash").isNotNull() | (F.substring("mask", i + 1, F.lit(1)) == F.lit(b"\1")) | small(x)))
     out = [F.array_join("left", "\n").alias(n) if n == text else F.col(f"rest.`{n}`").alias(n) for n in names]
     n_lines = F.coalesce(F.size(parts), F.lit(0)).cast("long")
     lines = F.when(F.col("t").isNull(), 0).otherwise(n_lines).cast("long")

@@ -65,9 +65,10 @@ class Sets:
     n: np.ndarray
     words: np.ndarray
 
-    def ids(self) -> tuple[np.ndarray, np.ndarray]:
-        """Two hashes that together name a set."""
-        return tuple(np.add.reduceat(mix(self.words, salt), self.start).view(np.int64) if len(self.n) else np.zeros(0, np.int64) for salt in (1, 2))
+    def ids(self, half: int = 64) -> tuple[np.ndarray, np.ndarray]:
+        """Two hashes that together name a set; of the first one ``half`` bits are used."""
+        one, two = (np.add.reduceat(mix(self.words, salt), self.start) if len(self.n) else np.zeros(0, np.uint64) for salt in (1, 2))
+        return (one >> np.uint64(64 - half)).view(np.int64), two.view(np.int64)
 
     def sketches(self) -> tuple[np.ndarray, np.ndarray]:
         """Parities of the words in 64 cells, and of those in the first 64 of 128 cells (0 for sets below ``WIDE``)."""

@@ -49,24 +49,25 @@ def fingerprints(s: L.Sets) -> np.ndarray:
     return np.packbits(ones, axis=1).reshape(-1).view(np.int64)
 
 
-def _survey(base: DataFrame) -> DataFrame:
-    """(row, id, fp) of each text and, with null row, counts of shingles by bucket (id, n); id 0 has no words."""
+def _survey(base: DataFrame, half: int) -> DataFrame:
+    """(row, id, id2, fp) of each text and, with null row, counts of shingles by bucket (id, n); id 0 has no words."""
 
     def run(batches):
         counts = np.zeros(BUCKETS, np.int64)
         for b in batches:
-            ids, fps = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
+            ids, ids2, fps = (np.zeros(b.num_rows, np.int64) for _ in range(3))
             for at, s in shingles(b, 1):
-                ids[at], fps[at] = s.ids()[0], fingerprints(s)
+                ids[at], ids2[at] = s.ids(half)
+                fps[at] = fingerprints(s)
                 counts += np.bincount((s.words >> _BUCKET).astype(np.int64) & (BUCKETS - 1), minlength=BUCKETS)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids), pa.array(fps), pa.nulls(len(ids), pa.int64())], names=["row", "id", "fp", "n"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids), pa.array(ids2), pa.array(fps), pa.nulls(len(ids), pa.int64())], names=["row", "id", "id2", "fp", "n"])
         some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.int64()), pa.array(some), pa.nulls(len(some), pa.int64()), pa.array(counts[some])], names=["row", "id", "fp", "n"])
+        yield pa.RecordBatch.from_arrays([none := pa.nulls(len(some), pa.int64()), pa.array(some), none, none, pa.array(counts[some])], names=["row", "id", "id2", "fp", "n"])
 
-    return written(base.mapInArrow(released(run), "row long, id long, fp long, n long"), "shingles")
+    return written(base.mapInArrow(released(run), "row long, id long, id2 long, fp long, n long"), "shingles")
 
 
-def _postings(base: DataFrame, rarity: np.ndarray) -> DataFrame:
+def _postings(base: DataFrame, rarity: np.ndarray, half: int) -> DataFrame:
     """(key, id, n, pos): the prefix of each set, once per partition.  Sets of fewer than five are similar to equal ones only."""
     sent = base.sparkSession.sparkContext.broadcast(rarity)
 
@@ -74,7 +75,7 @@ def _postings(base: DataFrame, rarity: np.ndarray) -> DataFrame:
         count, done = sent.value, set()
         for b in batches:
             for _, s in shingles(b, 1):
-                ids = s.ids()[0]
+                ids = s.ids(half)[0]
                 new = np.array([n >= 5 and not (i in done or done.add(i)) for i, n in zip(ids.tolist(), s.n.tolist())], bool)
                 s, ids = s.only(new), ids[new]
                 of = np.repeat(np.arange(len(s.n)), s.n)
@@ -95,17 +96,17 @@ def _able(n1, p1, n2, p2):
     return (F.least(n1, n2) * down >= F.greatest(n1, n2) * up) & (F.least(n1 - p1, n2 - p2) * (up + down) >= (n1 + n2) * up)
 
 
-def _verified(pairs: DataFrame, base: DataFrame, survey: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, base: DataFrame, survey: DataFrame, half: int) -> DataFrame:
     """``pairs`` (a, b: set ids) whose sets are similar enough, written."""
     pairs = written(pairs, "pairs")
     ids = pairs.select(F.col("a").alias("w")).union(pairs.select("b")).distinct()
-    rows = survey.where(F.col("row").isNotNull()).join(ids, F.col("id") == F.col("w"), "left_semi").groupBy("id").agg(F.min("row").alias("r"))
-    rows = written(rows.select("r"), "rows")
+    rows = survey.where(F.col("row").isNotNull()).join(ids, F.col("id") == F.col("w"), "left_semi").groupBy("id").agg(F.min(F.struct("id2", "row")).alias("m"))
+    rows = written(rows.select(F.col("m.row").alias("r")), "rows")
 
     def sets(batches):
         for b in batches:
             for _, s in shingles(b, 0):
-                yield pa.RecordBatch.from_arrays([pa.array(s.ids()[0]), L.binaries(L.packed(s.words, WIDTH), s.n * WIDTH)], names=["id", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array(s.ids(half)[0]), L.binaries(L.packed(s.words, WIDTH), s.n * WIDTH)], names=["id", "words"])
 
     def judge(batches):
         for whole in batches:
@@ -134,22 +135,26 @@ def _by_simhash(survey: DataFrame) -> DataFrame:
     return equal.union(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct()
 
 
-def groups(docs: DataFrame, row: str, text: str = "text") -> DataFrame:
+def groups(docs: DataFrame, row: str, text: str = "text", half: int = 64) -> DataFrame:
     """(row, group) for each of ``docs``, whose ``row`` is a long of its own: rows are in one group if a chain of texts of Jaccard
     similarity 0.8 or more, by shingles of five words, leads from one to the other.
 
-    Texts without words, null ones too, are one group.  An empty table gives no rows."""
+    Texts without words, null ones too, are one group.  An empty table gives no rows.
+
+    Sets are looked up by 64 bits of their names; where several sets have the same, told by another 64, the one of the lowest name is looked
+    up and each other is a group of its own and its copies: no document is taken for a copy of another set.  ``half``: bits that are
+    used of the first half (fewer in tests, for clashes)."""
     base = docs.select(F.col(row).alias("__row"), F.col(text).alias("text"))
-    survey = _survey(base)
+    survey = _survey(base, half)
     cells = survey.where(F.col("row").isNull()).groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     rarity = np.zeros(BUCKETS, np.int64)
     rarity[cells.column("id").to_numpy()] = cells.column("n").to_numpy()
     key = Window.partitionBy("key")
-    post = _postings(base, rarity).withColumn("low", F.min(F.struct("id", "n", "pos")).over(key)).withColumn("high", F.max("id").over(key))
+    post = _postings(base, rarity, half).withColumn("low", F.min(F.struct("id", "n", "pos")).over(key)).withColumn("high", F.max("id").over(key))
     met = written(post.where(F.col("low.id") < F.col("high")).drop("high").distinct(), "met")
     star = met.where((F.col("id") > F.col("low.id")) & _able(F.col("n"), F.col("pos"), F.col("low.n"), F.col("low.pos"))).select(F.col("low.id").alias("a"), F.col("id").alias("b"))
     star = written(star.union(_by_simhash(survey)).distinct(), "star")
-    links = _verified(star, base, survey)
+    links = _verified(star, base, survey, half)
     joined = components(links)
     labelled = met.drop("low").join(joined, F.col("id") == F.col("node"), "left").select("key", "id", "n", "pos", F.coalesce("root", "id").alias("root"))
     # shingles all of whose sets are joined by now have nothing left to tell
@@ -158,7 +163,10 @@ def groups(docs: DataFrame, row: str, text: str = "text") -> DataFrame:
     x, y = labelled, labelled.select(*(F.col(c).alias(f"{c}2") for c in labelled.columns))
     open_ = x.join(y, (F.col("key") == F.col("key2")) & (F.col("id") < F.col("id2")) & (F.col("root") != F.col("root2")) & _able(F.col("n"), F.col("pos"), F.col("n2"), F.col("pos2")))
     open_ = open_.select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    more = _verified(open_, base, survey)
+    more = _verified(open_, base, survey, half)
     drop_written(labelled)
     named = survey.where(F.col("row").isNotNull()).join(components(links.union(more)), F.col("id") == F.col("node"), "left")
-    return named.select("row", F.coalesce("root", "id").alias("group"))
+    clashes = survey.where(F.col("row").isNotNull()).groupBy(F.col("id").alias("c")).agg(F.min("id2").alias("low"), F.max("id2").alias("high")).where("low <> high").select("c", "low")
+    clashes = written(clashes, "clashes")
+    named = named.join(F.broadcast(clashes) if clashes.count() <= BROADCAST_ROWS else clashes, F.col("id") == F.col("c"), "left")
+    return named.select("row", F.when(F.col("id2") != F.col("low"), F.xxhash64("id", "id2")).otherwise(F.coalesce("root", "id")).alias("group"))

@@ -30,8 +30,8 @@ MIN_PAGES, FOUND, SAME = 3, 0.3, 0.9
 #: share of text in links from which a node is a menu; share of the varying text with which a child stands for its parent, with
 #: which an article element is the content, and from which neither names nor sameness make a node template
 LINKS, HEIR, ARTICLE, MAIN = 0.6, 0.6, 0.3, 0.5
-#: a host with more than this share of all pages is hot: there are 200 such hosts at most
-HOT_SHARE = 1 / 200
+#: a host with more than this share of all pages is hot: there are 200 such hosts at most; bytes of patterns that are broadcast, larger ones meet by shuffle
+HOT_SHARE, BROADCAST_BYTES = 1 / 200, 64 << 20
 
 _DROP = frozenset("head nav aside footer form script style noscript template iframe svg canvas audio video object button select textarea input dialog menu label title map".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar tablist status".split())
@@ -234,7 +234,10 @@ class _Patterns(dict):
 
 
 def _with_patterns(pages: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Pages beside their host's pattern; hot hosts' patterns (a bounded number) are broadcast, the rest meets by host."""
+    """Pages beside their host's pattern; hot hosts' patterns (a bounded number) are broadcast behind a check of their size, the rest meets by host."""
+    if (patterns.where("hot").agg(F.sum(F.octet_length("pattern"))).first()[0] or 0) > BROADCAST_BYTES:
+        plain = patterns.drop("hot", "pages").withColumnRenamed("host", "h")
+        return pages.join(plain, F.col("host") == F.col("h"), "left").drop("h")
     hot, rest = F.broadcast(patterns.where("hot")).drop("hot", "pages"), patterns.where(~F.col("hot")).drop("hot", "pages")
     named = pages.join(hot.select(F.col("host").alias("h"), *(F.col(c).alias(f"{c}_1") for c in hot.columns if c != "host")), F.col("host") == F.col("h"), "left").drop("h")
     extra = [c for c in rest.columns if c != "host"]
