@@ -31,7 +31,7 @@ def test_odd_rows(spark, sf, odd_docs, no_docs):
 
 def test_registry_has_each_operator_once():
     names = [k for k in registry.queries() if k.startswith("op")]
-    assert sorted(int(k[2:].split("_")[0]) for k in names) == list(range(1, 11)) and "pipeline" in registry.queries()
+    assert sorted(int(k[2:].split("_")[0]) for k in names) == list(range(1, 14)) and "pipeline" in registry.queries()
 
 
 def test_copies_reach_the_near_dedup_whole(spark, make, tmp_path):
