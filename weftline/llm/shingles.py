@@ -7,6 +7,11 @@ shingles are ordered by rarity, and two sets of similarity ``SIMILAR`` share one
 First each set is held against one other of each shingle; then all pairs that meet and are not joined yet, and that pass the
 length and positional filters, are verified on the full sets.  No filter drops a similar pair, so the groups are those of
 all pairs.
+
+A shingle of which a large part of all sets may hold on is dealt to ``PARTS`` for the first step, whose own first sets are
+held against each other.  In the second, a shingle that still has over ``COMMON`` sets is looked up in pairs with the next ones of a
+prefix longer by one: two sets whose first shingle in common it is share another there.  Keys with more sets than that are cut
+into cells of two parts each, so no key is one task.
 """
 
 from __future__ import annotations
@@ -17,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm import linesets as L
-from weftline.llm.common import drop_written, released, written
+from weftline.llm.common import dealt_join, drop_written, released, written
 from weftline.llm.linesets import prefix_of
 from weftline.llm.simhash import RADIUS, components, edges
 
@@ -30,6 +35,12 @@ _BUCKET = np.uint64(L.WORD_BITS - 16)
 _ROWS, BROADCAST_ROWS = 256, 1_000_000
 #: bytes of a shingle in a packed set
 WIDTH = 7
+#: shingles of buckets with more than this share of all are dealt to so many parts; there are HOT such buckets at most
+HOT, PARTS = 1024, 64
+#: sets of a key, not joined yet, that are held against each other in one task, at most
+COMMON = 4096
+#: sets of so many shingles are not looked up in pairs, which grow with the square of a set; those below 5/4 of it as all others too
+LONG = 320
 
 
 def shingles(b: pa.RecordBatch, column: int):
@@ -68,8 +79,9 @@ def _survey(base: DataFrame, half: int) -> DataFrame:
 
 
 def _postings(base: DataFrame, rarity: np.ndarray, half: int) -> DataFrame:
-    """(key, id, n, pos): the prefix of each set, once per partition.  Sets of fewer than five are similar to equal ones only."""
-    sent = base.sparkSession.sparkContext.broadcast(rarity)
+    """(key, part, id, n, pos): the prefix of each set and one more, once per partition; part -1 where the shingle is not dealt.  Sets of
+    fewer than five are similar to equal ones only."""
+    sent, total = base.sparkSession.sparkContext.broadcast(rarity), int(rarity.sum())
 
     def run(batches):
         count, done = sent.value, set()
@@ -81,13 +93,15 @@ def _postings(base: DataFrame, rarity: np.ndarray, half: int) -> DataFrame:
                 of = np.repeat(np.arange(len(s.n)), s.n)
                 order = np.lexsort((s.words, count[(s.words >> _BUCKET).astype(np.int64) & (BUCKETS - 1)], of))
                 pos = np.arange(len(of)) - s.start[of]
-                use = pos < prefix_of(s.n)[of]
-                of, key, pos = of[use], s.words[order][use].view(np.int64), pos[use].astype(np.int32)
+                use = pos <= prefix_of(s.n)[of]
+                of, key, pos = of[use], s.words[order][use], pos[use].astype(np.int32)
+                hot = count[(key >> _BUCKET).astype(np.int64) & (BUCKETS - 1)] * HOT > total
+                key, part = key.view(np.int64), np.where(hot, ids[of] % PARTS, -1).astype(np.int32)
                 for k in range(0, len(of), 1 << 16):
                     c = slice(k, k + (1 << 16))
-                    yield pa.RecordBatch.from_arrays([pa.array(key[c]), pa.array(ids[of[c]]), pa.array(s.n[of[c]].astype(np.int32)), pa.array(pos[c])], names=["key", "id", "n", "pos"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key[c]), pa.array(part[c]), pa.array(ids[of[c]]), pa.array(s.n[of[c]].astype(np.int32)), pa.array(pos[c])], names=["key", "part", "id", "n", "pos"])
 
-    return base.mapInArrow(released(run), "key long, id long, n int, pos int")
+    return base.mapInArrow(released(run), "key long, part int, id long, n int, pos int")
 
 
 def _able(n1, p1, n2, p2):
@@ -96,6 +110,53 @@ def _able(n1, p1, n2, p2):
     return (F.least(n1, n2) * down >= F.greatest(n1, n2) * up) & (F.least(n1 - p1, n2 - p2) * (up + down) >= (n1 + n2) * up)
 
 
+def _star(met: DataFrame) -> DataFrame:
+    """(a, b): each set and the first of its shingle's part, and the first sets of parts and that of the shingle."""
+    pair = lambda low, x: (F.col(f"{x}.id") > F.col(f"{low}.id")) & _able(*(F.col(f"{k}.{c}") for k in (x, low) for c in ("n", "pos")))
+    within = met.withColumn("x", F.struct("id", "n", "pos")).where(pair("low", "x"))
+    firsts = met.where("part >= 0").groupBy("key", "part").agg(F.min("low").alias("x")).withColumn("first", F.min("x").over(Window.partitionBy("key")))
+    across = firsts.where(pair("first", "x")).withColumnRenamed("first", "low")
+    return within.select(F.col("low.id").alias("a"), F.col("x.id").alias("b")).union(across.select("low.id", "x.id"))
+
+
+def _apart(labelled: DataFrame) -> DataFrame:
+    """``labelled`` (key, id, n, pos, root; written) of shingles whose sets are not all joined, with ``sets``, their number, written."""
+    keys = labelled.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count(F.lit(1)).alias("sets"))
+    keys = written(keys.where("least < most").select("key", "sets"), "keys")
+    if keys.count() <= BROADCAST_ROWS:
+        found = labelled.join(F.broadcast(keys), "key")
+    else:
+        found = dealt_join(labelled, keys.withColumn("rows", F.col("sets")), ["key"], "rows")
+    found = written(found, "apart")
+    drop_written(keys)
+    return found
+
+
+def _open(apart: DataFrame) -> DataFrame:
+    """(a, b): sets that meet under a key, are not joined, and pass the filters."""
+    up, down = SIMILAR
+    inside = F.col("pos") < F.col("n") - F.ceil(F.col("n") * up / F.lit(down)) + 1
+    single = apart.where(inside & ((F.col("sets") <= COMMON) | (F.col("n") >= LONG))).select("key", "id", "n", "pos", "root")
+    common = apart.where(inside & (F.col("sets") > COMMON) & (F.col("n") * up <= LONG * down)).select("key", "id", "n", "pos", "root")
+    nexts = apart.select(F.col("id").alias("i"), F.col("key").alias("other"), F.col("pos").alias("after"))
+    paired = common.join(nexts, (F.col("id") == F.col("i")) & (F.col("after") > F.col("pos"))).select(F.xxhash64("key", "other").alias("key"), "id", "n", "pos", "root")
+    looked = rows = written(single.union(paired), "lookups")
+    large = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > COMMON)
+    large = written(large.select(F.col("key").alias("k"), F.ceil(F.col("c") / COMMON).cast("int").alias("parts")), "large")
+    few = F.broadcast(large) if large.count() <= BROADCAST_ROWS else large
+    rows = rows.join(few, F.col("key") == F.col("k"), "left").drop("k").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    x = rows.withColumn("i", F.col("own")).withColumn("j", F.explode(F.sequence("own", F.col("parts") - 1))).drop("own", "parts")
+    y = rows.withColumn("j", F.col("own")).withColumn("i", F.explode(F.sequence(F.lit(0), "own"))).drop("own", "parts")
+    y = y.select(*(F.col(c).alias(f"{c}2") for c in y.columns))
+    cell = (F.col("key") == F.col("key2")) & (F.col("i") == F.col("i2")) & (F.col("j") == F.col("j2")) & ((F.col("i") < F.col("j")) | (F.col("id") < F.col("id2")))
+    both = x.join(y, cell & (F.col("root") != F.col("root2")) & _able(F.col("n"), F.col("pos"), F.col("n2"), F.col("pos2")))
+    found = written(both.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct(), "open")
+    drop_written(looked)
+    drop_written(large)
+    return found
+
+
 def _verified(pairs: DataFrame, base: DataFrame, survey: DataFrame, half: int) -> DataFrame:
     """``pairs`` (a, b: set ids) whose sets are similar enough, written."""
     pairs = written(pairs, "pairs")
@@ -149,22 +210,23 @@ def groups(docs: DataFrame, row: str, text: str = "text", half: int = 64) -> Dat
     cells = survey.where(F.col("row").isNull()).groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     rarity = np.zeros(BUCKETS, np.int64)
     rarity[cells.column("id").to_numpy()] = cells.column("n").to_numpy()
-    key = Window.partitionBy("key")
-    post = _postings(base, rarity, half).withColumn("low", F.min(F.struct("id", "n", "pos")).over(key)).withColumn("high", F.max("id").over(key))
-    met = written(post.where(F.col("low.id") < F.col("high")).drop("high").distinct(), "met")
-    star = met.where((F.col("id") > F.col("low.id")) & _able(F.col("n"), F.col("pos"), F.col("low.n"), F.col("low.pos"))).select(F.col("low.id").alias("a"), F.col("id").alias("b"))
-    star = written(star.union(_by_simhash(survey)).distinct(), "star")
+    part = Window.partitionBy("key", "part")
+    post = _postings(base, rarity, half).withColumn("low", F.min(F.struct("id", "n", "pos")).over(part)).withColumn("high", F.max("id").over(part))
+    met = written(post.where((F.col("low.id") < F.col("high")) | (F.col("part") >= 0)).drop("high").distinct(), "met")
+    star = written(_star(met).union(_by_simhash(survey)).distinct(), "star")
     links = _verified(star, base, survey, half)
     joined = components(links)
-    labelled = met.drop("low").join(joined, F.col("id") == F.col("node"), "left").select("key", "id", "n", "pos", F.coalesce("root", "id").alias("root"))
-    # shingles all of whose sets are joined by now have nothing left to tell
-    labelled = written(labelled.withColumn("least", F.min("root").over(key)).withColumn("most", F.max("root").over(key)).where("least < most").drop("least", "most"), "apart")
+    labelled = met.join(joined, F.col("id") == F.col("node"), "left").select("key", "id", "n", "pos", F.coalesce("root", "id").alias("root"))
+    labelled = written(labelled, "labelled")
     drop_written(met)
-    x, y = labelled, labelled.select(*(F.col(c).alias(f"{c}2") for c in labelled.columns))
-    open_ = x.join(y, (F.col("key") == F.col("key2")) & (F.col("id") < F.col("id2")) & (F.col("root") != F.col("root2")) & _able(F.col("n"), F.col("pos"), F.col("n2"), F.col("pos2")))
-    open_ = open_.select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    more = _verified(open_, base, survey, half)
+    # shingles all of whose sets are joined by now have nothing left to tell
+    apart = _apart(labelled)
     drop_written(labelled)
+    open_ = _open(apart)
+    drop_written(apart)
+    more = _verified(open_.join(star, ["a", "b"], "left_anti"), base, survey, half)
+    drop_written(open_)
+    drop_written(star)
     named = survey.where(F.col("row").isNotNull()).join(components(links.union(more)), F.col("id") == F.col("node"), "left")
     clashes = survey.where(F.col("row").isNotNull()).groupBy(F.col("id").alias("c")).agg(F.min("id2").alias("low"), F.max("id2").alias("high")).where("low <> high").select("c", "low")
     clashes = written(clashes, "clashes")
