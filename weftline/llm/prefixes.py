@@ -156,24 +156,29 @@ def trie(turns: DataFrame) -> DataFrame:
 FAMILY, LENT = 5, 9
 
 
-def rebuilt(rows: DataFrame) -> DataFrame:
+def rebuilt(rows: DataFrame, by_text: bool = False) -> DataFrame:
     """Turns for :func:`trie`, of rows (conv_id, turn, role, text) with long ids: conversation c begins with the first h turns of conversation c - c % 5
     in place of its own first h; h is crc32 of c modulo 9.
 
-    Turns go by turn (nulls first), then by role and a digest of both; null roles and texts are empty; rows without a conv_id are left out.  A family
-    has one part: the lent turns are there already, and no row is dealt twice.  Null digests tell that a conversation is there."""
+    Turns go by turn (nulls first), then by role and a digest of both, or ``by_text`` by role and text (nulls last), for which texts are moved once; null
+    roles and texts are empty; rows without a conv_id are left out.  A family has one part: the lent turns are there already, and no row is dealt
+    twice.  Null digests tell that a conversation is there."""
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     lent = lambda c: F.crc32(c.cast("string").cast("binary")) % LENT
     base = F.col("conv_id") - F.col("conv_id") % FAMILY
-    said = rows.where("conv_id IS NOT NULL").select(base.alias("part"), "conv_id", "turn", role.alias("role"), turn_digest(role, text).alias("digest"), F.octet_length(text).cast("long").alias("n_bytes")).repartition("part")
-    placed = said.withColumn("place", F.row_number().over(Window.partitionBy("part", "conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "digest")) - 1)
+    ties = {"__role": F.col("role"), "__text": F.col("text")} if by_text else {"__role": role}
+    said = rows.where("conv_id IS NOT NULL").select(base.alias("part"), "conv_id", "turn", *(c.alias(n) for n, c in ties.items()), turn_digest(role, text).alias("digest"), F.octet_length(text).cast("long").alias("n_bytes")).repartition("part")
+    order = [F.col("turn").asc_nulls_first(), *(F.col(n).asc_nulls_last() for n in ties), F.col("digest")]
+    placed = said.withColumn("place", F.row_number().over(Window.partitionBy("part", "conv_id").orderBy(*order)) - 1)
     is_base = F.col("conv_id") == F.col("part")
-    near = F.transform(F.sequence(F.lit(1 - FAMILY), F.lit(FAMILY - 1)), lambda k: F.col("part") + k)
+    near = F.transform(F.sequence(F.lit(1 - FAMILY), F.lit(FAMILY - 1)), lambda k: F.try_add(F.col("part"), k))  # null beyond the last id
     takers = F.filter(near, lambda c: (c != F.col("part")) & (c - c % FAMILY == F.col("part")) & (lent(c) > F.col("place")))
     keeps = is_base | (F.col("place") >= lent(F.col("conv_id")))
-    none = F.array().cast("array<bigint>")
-    goes = F.concat(F.when(keeps, F.array("conv_id")).otherwise(none), F.when(is_base & (F.col("place") < LENT), takers).otherwise(none))
-    turns = placed.select("part", F.explode(goes).alias("conversation"), "place", "digest", "n_bytes", F.col("conv_id").alias("__from"))
-    turns = turns.select("part", "conversation", "place", "digest", "n_bytes", (F.col("conversation") == F.col("__from")).alias("own"))
-    there = placed.where("place = 0").select("part", F.col("conv_id").alias("conversation"), "place", F.lit(None).cast("binary").alias("digest"), F.lit(0).cast("long").alias("n_bytes"), F.lit(True).alias("own"))
-    return turns.unionByName(there)
+    goes = lambda c, own, turn: F.struct(c.alias("conversation"), F.lit(own).alias("own"), F.lit(turn).alias("turn"))
+    some = lambda condition, found: F.when(condition, found).otherwise(F.slice(found, 1, 0))
+    own = lambda turn: F.array(goes(F.col("conv_id"), True, turn))
+    there = some(F.col("place") == 0, own(False))
+    out = F.concat(there, some(keeps, own(True)), some(is_base & (F.col("place") < LENT), F.transform(takers, lambda c: goes(c, False, True))))
+    turns = placed.select("part", F.explode(out).alias("__g"), "place", "digest", "n_bytes")
+    is_turn = F.col("__g.turn")
+    return turns.select("part", "__g.conversation", "place", F.when(is_turn, F.col("digest")).alias("digest"), F.when(is_turn, F.col("n_bytes")).otherwise(0).alias("n_bytes"), "__g.own")
