@@ -226,3 +226,18 @@ def test_service_in_flight_equals_one_at_a_time(spark):
     groups = [[f"text {i} {k}" for k in range(i % 4)] for i in range(60)]
     one, many = encode.flattened(service, groups, 5), encode.flattened(service, groups, 5, in_flight=6)
     assert tried and all(np.array_equal(a, b) for a, b in zip(one, many))
+
+
+def test_cells_are_added_up_where_texts_were_dealt(spark, sf):
+    import contextlib
+    import io
+
+    from weftline.plans import catalogue
+
+    for name in ("enc_hash_vectors", "enc_main_repr", "enc_sentence_mean"):
+        told = io.StringIO()
+        with contextlib.redirect_stdout(told):
+            catalogue.queries()[name](spark, sf).explain()
+        plan = told.getvalue().split("+- == Initial Plan ==")[-1]
+        above = plan[: plan.index("REPARTITION_BY_NUM")]
+        assert above.count("Exchange") == 1, plan  # the one that deals the texts
