@@ -5,7 +5,9 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from weftline.operators import sentences as S
 
@@ -99,3 +101,42 @@ def test_little_to_learn_from(spark, rows):
 
 def test_bound(spark):
     assert len(S.learn(paragraphs(spark, 1, 60), entries=2).abbreviations) <= 2
+
+
+ODD = ["(\"Dr. Who\" said e.g.) this: \u201cNo!\u201d Then \u00abEr ging.\u00bb", " \t ", "\")]", "", None, "a.\u2028 B. c", "End.)\x85 Next", "x\u00a0y. Z \x0b q.\x0cR", ",\" \"( \u201d\u2019 a.b. \u00c9t\u00e9. \u00e9t\u00e9 \u00c9t\u00e9", "One two?! Three.\r\nFour ... Five", "\u0130stanbul. \u1e9e \u03a3\u039f\u03a3."]
+
+
+def by_expressions(paragraphs):
+    """The counts word by word, in expressions."""
+    bare = lambda c: F.regexp_replace(F.regexp_replace(c, f"^{S._LEAD}", ""), f"{S._TRAIL}$", "")
+    t = paragraphs.where("p IS NOT NULL").select(F.filter(F.transform(F.split("p", r"\s+"), bare), lambda x: x != "").alias("t"))
+    each = t.select(F.explode(F.transform("t", lambda x, i: F.struct(x.alias("x"), F.when(i > 0, F.get("t", i - 1)).alias("before"), F.get("t", i + 1).alias("next")))).alias("e")).select("e.*")
+    dot, large, word = F.col("x").rlike(r"\.$"), lambda c: F.col(c).rlike(r"^\p{Lu}"), lambda c: F.lower(F.regexp_replace(c, r"[.!?]+$", ""))
+    inside = F.coalesce(large("x") & ~F.col("before").rlike(r"[.!?]$"), F.lit(False))
+    return Counter(tuple(r) for r in each.select(word("x"), dot, F.when(dot, word("next")), F.when(dot, large("next")), F.col("x").rlike(r"^\p{Ll}"), inside).collect())
+
+
+@pytest.mark.parametrize("rows", [ODD, ODD * 3 + [prose(i, 5)[0] for i in range(300)]])
+def test_counts_of_odd_words(spark, monkeypatch, rows):
+    df = spark.createDataFrame([(p,) for p in rows], "p string")
+    want = by_expressions(df)
+    assert Counter({tuple(r)[:-1]: r.n for r in S.counts(df.where("p IS NOT NULL")).collect()}) == want
+    monkeypatch.setattr(S, "CHUNK_BYTES", 100)  # counted in many pieces, here
+    pieces = list(S._tallies(iter([pa.record_batch({"p": pa.array(rows[i : i + 300], pa.string())}) for i in range(0, len(rows), 300)])))
+    assert sum(sum(b.column("n").to_pylist()) for b in pieces) == sum(want.values()) and (len(rows) < 300 or len(pieces) > 1)
+
+
+def test_words_are_counted_before_they_are_rows(spark):
+    table = S.counts(spark.createDataFrame([("So it was. " * 2000,)] * 20, "p string"))
+    table.collect()
+    plan = table._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "MapInArrow" in plan
+    assert sum(b.num_rows for b in S._tallies(iter([pa.record_batch({"p": ["So it was. " * 2000] * 20})]))) < 10
+
+
+def test_cut_against_regular_expressions():
+    known = S.Bounds(frozenset(["dr", "e.g"]), frozenset(["then"]), frozenset([("no", "seven")]), frozenset(["who"]))
+    strip = lambda w: re.sub(f"^{S._LEAD}|{S._TRAIL}$", "", w)
+    for p in (x for x in ODD if x):
+        assert [S._stripped(w) for w in re.findall(r"\S+", p)] == [strip(w) for w in re.findall(r"\S+", p)]
+    assert S.cut("(\"Dr. Who\" said no.) Then \u201cNo!\u201d No. Seven: 7. 8 \")] (e.g. Who).", known) == ["(\"Dr.", "Who\" said no.)", "Then \u201cNo!\u201d", "No. Seven: 7. 8 \")] (e.g. Who)."]
