@@ -155,7 +155,8 @@ def _sets(texts: DataFrame, floor: int, rank: np.ndarray, half: int) -> DataFram
     rows = texts.select("__by", "__tie", "__text").mapInArrow(released(run), f"id long, id2 long, by {by}, tie long, line long, prefix binary, n long, one long, two long")
     sets = rows.groupBy("id", "id2").agg(F.min(F.struct("by", "tie", "line")).alias("first"), F.max(F.struct("prefix", "n", "one", "two")).alias("set"))
     plain = written(sets.select("id", "id2", "first", "set.*"), "sets")  # sorting looks at it twice
-    ordered = written(plain.sort("first").select(F.monotonically_increasing_id().alias("num"), *plain.columns), "sets")
+    places = [f"first.by.`{c}`" for c in plain.schema["first"].dataType["by"].dataType.names] + ["first.tie", "first.line"]  # by columns of their own, which Spark sorts by their bits
+    ordered = written(plain.sort(*places).select(F.monotonically_increasing_id().alias("num"), *plain.columns), "sets")
     drop_written(plain)
     return ordered
 
@@ -229,8 +230,8 @@ def _keys(post: DataFrame) -> DataFrame:
     def run(batches):
         unzip = zstandard.ZstdDecompressor()
         for b in batches:
-            for n, z in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                yield pa.RecordBatch.from_pydict({"key": pa.array(_unblock(z, n, unzip)["key"].view(np.int64))})
+            keys = [_unblock(z, n, unzip)["key"] for n, z in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]  # a block may hold few
+            yield pa.RecordBatch.from_pydict({"key": pa.array(np.concatenate([np.zeros(0, np.uint64), *keys]).view(np.int64))})
 
     return post.select("n", "block").mapInArrow(released(run), "key long")
 
@@ -266,10 +267,12 @@ def _matches(post: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, floor: int, half: int) -> DataFrame:
     """Those of ``pairs`` (x, y) whose sets are similar enough, written."""
-    a, b = (sets.select(F.col("num").alias(f"{k}_"), F.col("id").alias(f"{k}i"), F.col("id2").alias(f"{k}j"), F.col("first.tie").alias(f"{k}t")) for k in "xy")
-    named = written(pairs.join(a, F.col("x") == F.col("x_")).join(b, F.col("y") == F.col("y_")).select("x", "y", "xi", "xj", "yi", "yj", "xt", "yt"), "pairs")
-    rows, ids = (named.select(F.col(f"x{k}").alias("w")).union(named.select(f"y{k}")) for k in "ti")
-    rows = written(rows.distinct(), "rows")
+    pairs = written(pairs, "pairs")
+    asked = pairs.select(F.col("x").alias("a")).union(pairs.select("y")).distinct()
+    known = written(sets.select("num", "id", "id2", F.col("first.tie").alias("w")).join(asked, F.col("num") == F.col("a")).drop("a"), "asked")  # the large table is dealt once
+    a, b = (known.select(F.col("num").alias(f"{k}_"), F.col("id").alias(f"{k}i"), F.col("id2").alias(f"{k}j")) for k in "xy")
+    named = written(pairs.join(a, F.col("x") == F.col("x_")).join(b, F.col("y") == F.col("y_")).select("x", "y", "xi", "xj", "yi", "yj"), "pairs")
+    rows, ids = written(known.select("w").distinct(), "rows"), known.select("id")
     few = rows.count() <= BROADCAST_ROWS
     if few:  # texts in which one of the sets comes first
         texts = texts.join(F.broadcast(rows), F.col("__tie") == F.col("w"), "left_semi")
@@ -297,8 +300,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, floor: int, h
     a, b = (full.select(F.col("id").alias(f"{k}_"), F.col("id2").alias(f"{k}_2"), F.col("words").alias(f"{k}w")) for k in "xy")
     both = named.join(a, (F.col("xi") == F.col("x_")) & (F.col("xj") == F.col("x_2"))).join(b, (F.col("yi") == F.col("y_")) & (F.col("yj") == F.col("y_2"))).select("x", "y", "xw", "yw")
     found = written(both.mapInArrow(released(judge), "x long, y long"), "gone")
-    drop_written(named)
-    drop_written(rows)
+    for t in (pairs, known, named, rows):
+        drop_written(t)
     return found
 
 
@@ -472,6 +475,7 @@ def _cut(docs: DataFrame, text: str, by, kept: DataFrame, clashes: DataFrame, fl
     first have their blank lines only, unless ``copies``."""
     names = [c for c in docs.columns if c not in counts]
     rest = F.struct(F.lit(0).alias("__0"), *(f"`{n}`" for n in names if n != text))
+    by = by if copies else by.cast(kept.schema["by"].dataType)  # as it was read back, or the join would deal the texts by a cast of it and the window once more
     rows = docs.select(rest.alias("rest"), by.alias("by"), _name(text, half).alias("tie"), F.col(text).alias("t"))
     few = F.broadcast(clashes) if clashes.count() <= BROADCAST_ROWS else clashes
     rows = rows.join(few, F.col("tie") == F.col("clash"), "left")
@@ -479,17 +483,16 @@ def _cut(docs: DataFrame, text: str, by, kept: DataFrame, clashes: DataFrame, fl
         both, mask = rows.join(kept.select(F.col("tie").alias("tie2"), "mask"), F.col("tie") == F.col("tie2"), "left"), F.coalesce("mask", F.lit(b""))
     else:
         lists = kept.select(F.col("by").alias("by2"), F.col("tie").alias("tie2"), "mask", "n")
-        copy = F.row_number().over(Window.partitionBy("by", "tie").orderBy(F.lit(1)))
-        both = rows.join(lists, (F.col("by") == F.col("by2")) & (F.col("tie") == F.col("tie2")), "left").withColumn("first", copy == 1)
+        rows = rows.withColumn("row", F.monotonically_increasing_id())
+        both = rows.join(lists, (F.col("tie") == F.col("tie2")) & (F.col("by") == F.col("by2")), "left").withColumn("first", F.col("row") == F.min("row").over(Window.partitionBy("tie", "by")))
         mask = F.when(F.col("first"), F.coalesce("mask", F.lit(b""))).otherwise(F.lit(b""))
     if floor <= 1:
         small = lambda x: F.trim(x, F.lit(_BLANK)) == ""
     else:
         small = lambda x: F.size(F.array_distinct(F.array_remove(F.split(F.translate(x, _UPPER, _UPPER.lower()), f"[{_BLANK}]+"), ""))) < floor
-    parts = F.split("t", "\n")
-    cut = both.withColumn("mask", mask).withColumn("left", F.filter(parts, lambda x, i: F.col("clash").isNotNull() | (F.substring("mask", i + 1, F.lit(1)) == F.lit(b"\1")) | small(x)))
+    cut = both.withColumn("mask", mask).withColumn("parts", F.split("t", "\n")).withColumn("left", F.filter("parts", lambda x, i: F.col("clash").isNotNull() | (F.substring("mask", i + 1, F.lit(1)) == F.lit(b"\1")) | small(x)))
     out = [F.array_join("left", "\n").alias(n) if n == text else F.col(f"rest.`{n}`").alias(n) for n in names]
-    n_lines = F.coalesce(F.size(parts), F.lit(0)).cast("long")
+    n_lines = F.coalesce(F.size("parts"), F.lit(0)).cast("long")
     lines = F.when(F.col("t").isNull(), 0).otherwise(n_lines).cast("long")
     left = F.when(F.col("t").isNull(), 0).otherwise(F.size("left")).cast("long")
     return cut.select(*out, lines.alias(counts[0]), (lines - left).alias(counts[1]))

@@ -133,7 +133,8 @@ def sets_of(texts: list[bytes | None], floor: int = 1):
         first = np.concatenate([[0], lines[:-1]])
         of = np.repeat(np.arange(len(piece)), lines - first)
         number = np.arange(len(breaks)) - first[of] + np.array([line for _, line, _ in piece])[of]
-        at = np.searchsorted(breaks, start)
+        ahead = np.searchsorted(start, breaks)  # words up to each break
+        at = np.repeat(np.arange(len(breaks)), np.diff(ahead, prepend=0))
         keys = (at.astype(np.uint64) << np.uint64(WORD_BITS)) | (h & _WORD)
         block = at >> SLICE_BITS
         edges = np.searchsorted(block, np.arange(len(breaks) // (1 << SLICE_BITS) + 2))
@@ -347,17 +348,19 @@ def matches(p: Postings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     j, i, apart = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int16))
     if p.ask is not None:
         return p.num[j], p.num[i], apart, np.zeros(len(j), bool)
-    order = np.lexsort((p.num[i], apart, j))
-    j, i, apart = j[order], i[order], apart[order]
-    first = np.ones(len(j), bool)
-    first[1:] = j[1:] != j[:-1]
-    at = np.flatnonzero(first)
-    several = np.diff(np.append(at, len(j))) > 1
+    # of each j the nearest, of those the earliest: by minima, for a sort of all pairs costs more than finding them
+    near = np.full(len(p.num), np.iinfo(np.int16).max, np.int16)
+    np.minimum.at(near, j, apart)
+    nearest = apart == near[j]
+    low = np.full(len(p.num), np.iinfo(np.int64).max)
+    np.minimum.at(low, j[nearest], p.num[i[nearest]])
+    count = np.bincount(j, minlength=len(p.num))
+    at = np.flatnonzero(count)
     alone = p.part.copy()
-    alone[j] = False
+    alone[at] = False
     alone = np.flatnonzero(alone)
-    more = np.concatenate([several | p.part[j[at]], np.ones(len(alone), bool)])
-    return np.concatenate([p.num[j[at]], p.num[alone]]), np.concatenate([p.num[i[at]], np.full(len(alone), -1)]), np.concatenate([apart[at], np.full(len(alone), 1 << 14, np.int16)]), more
+    more = np.concatenate([(count[at] > 1) | p.part[at], np.ones(len(alone), bool)])
+    return np.concatenate([p.num[at], p.num[alone]]), np.concatenate([low[at], np.full(len(alone), -1)]), np.concatenate([near[at], np.full(len(alone), 1 << 14, np.int16)]), more
 
 
 def similar(pair_a: list[bytes], pair_b: list[bytes], width: int) -> np.ndarray:
